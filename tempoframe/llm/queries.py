@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempoframe.llm import exact_dedup, simhash
+from tempoframe.llm import exact_dedup, simhash, token_shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.token_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), "kept", end_id=2)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
@@ -22,6 +33,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_shards": op2_token_shards,
     "op3_exact_dedup": op3_exact_dedup,
     "op10_simhash": op10_simhash,
 }
