@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tempoframe.llm import decontamination, exact_dedup, packing, quality, simhash, token_shards, toxicity, warc
+from tempoframe.llm import decontamination, exact_dedup, line_dedup, packing, quality, simhash, token_shards, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return cleaned.select("doc_id", "chunks_removed", "lines_removed", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
+    "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
 
