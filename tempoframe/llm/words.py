@@ -6,6 +6,7 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -41,3 +42,65 @@ def word_numbers(texts: list[str], plain: bool = True, remembered: int = 600_000
     starts = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(w) for w in words], out=starts[1:])
     return np.fromiter(map(table.__getitem__, chain.from_iterable(words)), np.uint64, int(starts[-1])), starts
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE ** i and _BASE ** -i modulo 2 ** 64."""
+    out = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(n, b, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def _block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    inner = ~_SPACE[data]
+    begins = inner.copy()
+    begins[1:] &= ~inner[:-1]
+    starts = np.concatenate(([0], ends[:-1]))
+    cuts = starts[(starts > 0) & (starts < len(data))]
+    begins[cuts] = inner[cuts]
+    stops = inner.copy()
+    stops[:-1] &= ~inner[1:] | begins[1:]
+    low, high = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    power, back = _powers(max(1 << 22, 1 << (len(data) - 1).bit_length()))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * power[: len(data)], out=total[1:])
+    words = (total[high] - total[low]) * back[low]
+    for shift in (32, 29, 32):
+        words ^= words >> np.uint64(shift)
+        words *= np.uint64(0xD6E8FEB86659FD93)
+    words ^= words >> np.uint64(31)
+    counts = np.diff(np.searchsorted(low, np.concatenate((starts, [len(data)]))))
+    return words, counts
+
+
+def words_as_written(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words of a column of texts, and where each text starts (and the last one ends).
+
+    Words are what the characters of ``SPACE`` separate; they are hashed all at once, in blocks of bounded size.
+    """
+    words, counts, some, size = [], [], [], 0
+    for t in column:
+        some.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
+        size += len(some[-1])
+        if size > 2_000_000:
+            for x, y in zip((words, counts), _block(some), strict=True):
+                x.append(y)
+            some, size = [], 0
+    if some:
+        for x, y in zip((words, counts), _block(some), strict=True):
+            x.append(y)
+    sizes = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+    return (np.concatenate(words) if words else np.zeros(0, np.uint64)), np.concatenate(([0], np.cumsum(sizes)))
