@@ -1,25 +1,89 @@
-"""Token ids of whole texts, with the pieces between white space remembered.
+"""Token ids of whole texts, with the pieces between sure cuts remembered.
 
-A tokenizer whose first step is to cut at white space gives a text the same ids as its pieces one after the
-other, wherever the cut is one that it makes anyway. ``MemoEncoder`` uses just such cuts, so that a piece that
-comes again costs a dictionary lookup; texts in which the cuts are in doubt are encoded whole.
+A tokenizer that first cuts a text by a pattern gives it the ids of its pieces one after the other, wherever a cut is one
+that the pattern makes anyway. Sure cuts here: before a single white-space character, and between an ASCII letter and an
+ASCII mark other than the apostrophe. Texts with anything that makes these unsure (runs of white space, special strings,
+separators that the patterns see otherwise) are encoded whole.
+
+All pieces of a batch are found, hashed (two polynomial hashes of 64 bits) and looked up at once in a table of fixed
+size; pieces that are not in it go to the tokenizer, many in one text with a special token between them.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import sys
 from array import array
+from functools import cache
 
 import numpy as np
 
-_WORD, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"[!-&(-/:-@\[-`{-~]"
-#: Letters, marks (no apostrophe), and perhaps a line end with as much again: each part is a step of its own.
-SHAPE = re.compile(rf"({_WORD})({_MARKS}*)(?:\n({_WORD})({_MARKS}*))?\Z")
-SURE = re.compile(r"(?<=\S) (?=\S)")
-#: Python calls these white space, the tokenizers' patterns do not.
-SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+LONGEST = 48  # bytes of a remembered piece
+#: Of the table: 130 MB in all.
+ENTRIES, SLOTS, ID_ROOM = 1_500_000, 1 << 22, 5_000_000
+_SPACE, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(3))
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+@cache
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** i and base ** -i modulo 2 ** 64."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full(n, b, np.uint64)
+        p[0] = 1
+        np.multiply.accumulate(p, out=p)
+        out.append(p)
+    return out[0], out[1]
+
+
+class PieceTable:
+    """Ids of pieces by two hashes: open addressing, and no entry ever moves or goes."""
+
+    def __init__(self, entries: int = ENTRIES, slots: int = SLOTS, ids: int = ID_ROOM):
+        self.first, self.second = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.entry = np.full(slots, -1, np.int32)
+        self.start, self.size = np.zeros(entries, np.int32), np.zeros(entries, np.int32)
+        self.ids, self.most, self.used, self.count = np.zeros(ids, np.uint32), ids, 0, 0
+        self.shift, self.wrap = np.uint64(64 - (slots.bit_length() - 1)), slots - 1
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Number of each piece's entry, or -1."""
+        out = np.full(len(a), -1, np.int64)
+        at, todo = (a >> self.shift).astype(np.int64), np.arange(len(a))
+        while len(todo):
+            e = self.entry[at]
+            hit = (e >= 0) & (self.first[at] == a[todo]) & (self.second[at] == b[todo])
+            out[todo[hit]] = e[hit]
+            on = (e >= 0) & ~hit
+            at, todo = (at[on] + 1) & self.wrap, todo[on]
+        return out
+
+    def add(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> int:
+        """Different new pieces with their ids one after the other; returns how many there was room for."""
+        n = min(len(a), len(self.start) - self.count, int(np.searchsorted(np.cumsum(sizes), self.most - self.used, "right")))
+        if n <= 0:
+            return 0
+        numbers = np.arange(self.count, self.count + n)
+        self.size[numbers] = sizes[:n]
+        self.start[numbers] = self.used + np.cumsum(sizes[:n]) - sizes[:n]
+        total = int(sizes[:n].sum())
+        self.ids[self.used : self.used + total] = ids[:total]
+        self.used, self.count = self.used + total, self.count + n
+        at, todo = (a[:n] >> self.shift).astype(np.int64), np.arange(n)
+        while len(todo):
+            free = self.entry[at] < 0
+            _, lead = np.unique(at, return_index=True)
+            take = np.zeros(len(at), bool)
+            take[lead] = True
+            take &= free
+            s, t = at[take], todo[take]
+            self.entry[s], self.first[s], self.second[s] = numbers[t], a[t], b[t]
+            at, todo = (at[~take] + 1) & self.wrap, todo[~take]
+        return n
 
 
 class MemoEncoder:
@@ -29,7 +93,7 @@ class MemoEncoder:
     those that ignore white space.
     """
 
-    def __init__(self, path: str, spaces: str, remembered: int = 600_000):
+    def __init__(self, path: str, spaces: str):
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise OSError("ids are kept as they lie in memory, little-endian and of 4 bytes")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,69 +101,144 @@ class MemoEncoder:
 
         if spaces not in ("kept", "dropped"):
             raise ValueError(f"spaces: {spaces}")
-        self.tokenizer, self.spaces, self.remembered = Tokenizer.from_file(path), spaces, remembered
+        self.tokenizer, self.kept = Tokenizer.from_file(path), spaces == "kept"
         added = self.tokenizer.get_added_tokens_decoder()
-        self.special = [t.content for t in added.values()]
+        self.special = [t.content.encode() for t in added.values()]
         self.mark = next(((t.content, i) for i, t in added.items() if t.special and not t.normalized), None)
-        self.known: dict[str, bytes] = {}  # with the space before it, where spaces are kept
-        self.plain: dict[str, bytes] = {}
-        self.line = self._whole(["\n"])[0]
+        self.table = PieceTable()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, pieces: list[str]) -> list[bytes]:
-        """Of pieces without special strings: many in one text, with a special token between them."""
-        if not self.mark:
-            return self._whole(pieces)
-        (mark, mark_id), out = self.mark, []
+    def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and all ids; the pieces hold no special string."""
+        if not self.mark or not pieces:
+            found = [np.frombuffer(x, np.uint32) for x in self._whole(pieces)]
+            return np.array([len(x) for x in found], np.int64), np.concatenate([*found, np.zeros(0, np.uint32)])
+        (mark, mark_id), sizes, ids = self.mark, [], []
         for at in range(0, len(pieces), 2000):
             some = pieces[at : at + 2000]
-            data = self._whole([mark.join(some)])[0]
-            ends = [*(4 * np.flatnonzero(np.frombuffer(data, "<u4") == mark_id)).tolist(), len(data)]
+            found = np.frombuffer(self._whole([mark.join(some)])[0], np.uint32)
+            ends = np.append(np.flatnonzero(found == mark_id), len(found))
             if len(ends) != len(some):
                 raise ValueError("a special token inside a piece")
-            start = 0
-            for end in ends:
-                out.append(data[start:end])
-                start = end + 4
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+            ids.append(found[found != mark_id])
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    def _unsure(self, data: np.ndarray, space: np.ndarray, starts: np.ndarray, raw: bytes) -> np.ndarray:
+        """Numbers of the texts that need to be encoded whole."""
+        doubt = []
+        if self.kept:
+            doubt.append(np.flatnonzero(space[:-1] & space[1:]))
+            last = starts[1:] - 1
+            doubt.append(last[(last >= starts[:-1]) & space[np.maximum(last, 0)]])
+        else:
+            doubt.append(np.flatnonzero((data >= 0x1C) & (data <= 0x1F)))
+        wide = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))  # where further white space begins
+        a, b, c = data[wide].astype(np.int64), data[np.minimum(wide + 1, len(data) - 1)], data[np.minimum(wide + 2, len(data) - 1)]
+        white = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        white |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+        doubt.append(wide[white])
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                doubt.append(np.array([at]))
+                at = raw.find(s, at + 1)
+        return np.unique(np.searchsorted(starts, np.concatenate(doubt), "right") - 1)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        size, some = 0, []
+        for t in texts:  # blocks of a bounded size: the arrays below take some thirty bytes for each
+            some.append(t)
+            size += len(t)
+            if size > 2_000_000:
+                out += self._encode(some)
+                size, some = 0, []
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        parts = [t.encode() for t in texts]
+        raw = b"".join(parts)
+        starts = np.zeros(len(parts) + 1, np.int64)
+        np.cumsum([len(p) for p in parts], out=starts[1:])
+        if not raw:
+            return [b""] * len(texts)
+        data = np.frombuffer(raw, np.uint8)
+        space = _SPACE[data]
+        unsure = self._unsure(data, space, starts, raw)
+        cut = np.zeros(len(data) + 1, bool)
+        cut[starts] = True
+        cut[1:-1] |= _LETTER[data[:-1]] & _MARK[data[1:]]
+        if self.kept:
+            cut[:-1] |= space
+        else:
+            cut[:-1] |= space
+            cut[1:-1] |= space[:-1] & ~space[1:]
+        edges = np.flatnonzero(cut)
+        low, high = edges[:-1], edges[1:]
+        if not self.kept:
+            word = ~space[low]
+            low, high = low[word], high[word]
+        text_of = np.searchsorted(starts, low, "right") - 1
+        if len(unsure):
+            sure = ~np.isin(text_of, unsure)
+            low, high, text_of = low[sure], high[sure], text_of[sure]
+        hashes = []
+        n = 1 << (len(data) - 1).bit_length()
+        for base in _BASES:
+            power, back = _powers(base, max(n, 1 << 22))
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data + np.uint64(1)) * power[: len(data)], out=total[1:])
+            hashes.append((total[high] - total[low]) * back[low])
+        a, b = hashes
+        a ^= a >> np.uint64(32)
+        a *= np.uint64(_BASES[0])
+        entry = self.table.find(a, b)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            _, lead, back = np.unique(a[missing], return_index=True, return_inverse=True)
+            lead = missing[lead]
+            if not (b[missing] == b[lead[back]]).all():
+                raise ValueError("two pieces share a hash")
+            short = (high[lead] - low[lead]) <= LONGEST
+            order = np.concatenate((np.flatnonzero(short), np.flatnonzero(~short)))
+            new = lead[order]
+            sizes, ids = self._new([raw[i:j].decode() for i, j in zip(low[new].tolist(), high[new].tolist(), strict=True)])
+            table, k = self.table, int(short.sum())
+            first = table.count
+            put = table.add(a[new[:k]], b[new[:k]], sizes[:k], ids)
+            # What there was no room for lies behind the table's ids until the next batch.
+            done = int(sizes[:put].sum())
+            rest, extra = ids[done:], len(ids) - done
+            if table.used + extra > len(table.ids):
+                table.ids = np.concatenate((table.ids[: table.used], np.zeros(2 * extra + (len(table.ids) - table.used), np.uint32)))
+            table.ids[table.used : table.used + extra] = rest
+            begin, length = np.empty(len(new), np.int64), sizes
+            begin[:put] = table.start[first : first + put]
+            begin[put:] = table.used + np.cumsum(sizes[put:]) - sizes[put:]
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            at, size = np.empty(len(low), np.int64), np.empty(len(low), np.int64)
+            known = entry >= 0
+            at[known], size[known] = table.start[entry[known]], table.size[entry[known]]
+            at[missing], size[missing] = begin[rank[back]], length[rank[back]]
+        else:
+            at, size = self.table.start[entry], self.table.size[entry]
+        ends = np.cumsum(size)
+        ids = self.table.ids[np.repeat(at - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        upto = np.concatenate(([0], ends))[np.searchsorted(text_of, np.arange(len(texts) + 1))]
+        data_out = memoryview(ids.tobytes())
+        out = [bytes(data_out[4 * i : 4 * j]) for i, j in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+        for i, ids_of in zip(unsure.tolist(), self._whole([texts[i] for i in unsure.tolist()]), strict=True):
+            out[i] = ids_of
         return out
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """None: encode it whole. Kept spaces: the first piece, then those that follow a space."""
-        if any(s in text for s in self.special):
-            return None
-        if self.spaces == "dropped":
-            return None if any(s in text for s in SEPARATORS) else text.split()
-        if len(text.split()) == text.count(" ") + text.count("\n") + 1:  # single spaces and line ends, none at the ends
-            return text.split(" ") if " \n" not in text and "\n " not in text else SURE.split(text)
-        return SURE.split(text)
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Pieces that are a word with marks behind it, and at most one more after a line end, from their parts."""
-        shapes = {p: m.groups() for p in pieces if (m := SHAPE.match(p))}
-        parts = {g[0] for g in shapes.values()} | (pieces - shapes.keys())
-        after = {x for g in shapes.values() for x in g[1:] if x} - self.plain.keys()
-        self._encode_into(self.plain, list(after), "")
-        parts = list(parts - self.known.keys())
-        self._encode_into(self.known, parts, " " if self.spaces == "kept" else "")
-        known, plain, line = self.known, self.plain, self.line
-        for p, (word, marks, word2, marks2) in shapes.items():
-            ids = known[word] + plain[marks] if marks else known[word]
-            known[p] = ids if word2 is None else ids + line + plain[word2] + (plain[marks2] if marks2 else b"")
-
-    def _encode_into(self, table: dict[str, bytes], pieces: list[str], before: str) -> None:
-        table.update(zip(pieces, self._new([before + p for p in pieces] if before else pieces), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t) for t in texts]
-        lead = [i for i, c in enumerate(cut) if c is None or (c and self.spaces == "kept")]
-        heads = dict(zip(lead, self._whole([texts[i] if cut[i] is None else cut[i][0] for i in lead]), strict=True))
-        rest = [(c or []) if self.spaces == "dropped" else (c or [])[1:] for c in cut]
-        met = set().union(*rest)
-        new = met - self.known.keys()
-        if len(self.known) + len(self.plain) + len(new) > self.remembered:
-            self.known, self.plain, new = {}, {}, met
-        self._learn(new)
-        get = self.known.__getitem__
-        return [heads.get(i, b"") + b"".join(map(get, c)) for i, c in enumerate(rest)]
+@cache
+def memo_encoder(path: str, spaces: str) -> MemoEncoder:
+    """One for all tasks of a worker process."""
+    return MemoEncoder(path, spaces)

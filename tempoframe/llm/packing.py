@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempoframe.llm.memo_tokens import MemoEncoder
+from tempoframe.llm.memo_tokens import memo_encoder
 from tempoframe.llm.shared import bounded_batches, staged, text_or_empty
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, vocabulary: str, spaces: str = "dropped", end_id: in
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = MemoEncoder(vocabulary, spaces)
+        encoder = memo_encoder(vocabulary, spaces)
         for b in batches:
             rows: list[tuple] = []
             for i, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempoframe.llm.files import write_atomically
-from tempoframe.llm.memo_tokens import MemoEncoder
+from tempoframe.llm.memo_tokens import memo_encoder
 from tempoframe.llm.shared import bounded_batches, partitions, shared_folder, staged, text_or_empty
 
 MAGIC = b"TFWM0001"
@@ -196,7 +196,7 @@ def write_token_shards(docs: DataFrame, folder: str, vocabulary: str, spaces: st
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = MemoEncoder(vocabulary, spaces), TaskContext.get().partitionId()
+        encoder, part = memo_encoder(vocabulary, spaces), TaskContext.get().partitionId()
         ids: list[int | None] = []
         texts: list[bytes] = []
         size = number = before = 0
