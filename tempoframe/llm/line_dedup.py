@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tempoframe.llm.shared import bounded_batches, staged, text_or_empty
 
 WINDOW, BITS, LINES = 2, 1, 2
+#: The list of removals is broadcast up to this size, so that texts stay where they are; beyond it they are shuffled.
+BROADCAST_BYTES = 48 << 20
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -83,7 +85,7 @@ def repeated_chunks(texts: DataFrame, digest: Callable[[bytes], bytes]) -> DataF
     return staged(by_id.filter("n > 1").select("chunk_id", "first_doc", "texts"))
 
 
-def removals(texts: DataFrame, digests=(short_digest, long_digest)) -> DataFrame:
+def removals(texts: DataFrame, digests=(short_digest, long_digest)) -> tuple[DataFrame, Callable[[bytes], bytes]]:
     """doc_id, chunk_ids, firsts: of each document the chunks to remove and those to keep at their first place."""
     for digest in digests:
         groups = repeated_chunks(texts, digest)
@@ -130,7 +132,9 @@ def line_dedup(docs: DataFrame, digests=(short_digest, long_digest), report: boo
 
     names = docs.columns
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"), F.col("doc_id").cast("long").alias("key"))
-    joined = rows.join(listed.withColumnRenamed("doc_id", "key_of"), F.col("key").eqNullSafe(F.col("key_of")), "left")
+    size = listed.agg(F.coalesce(F.sum(F.lit(64) + 32 * (F.size("gone") + F.size("firsts"))), F.lit(0))).first()[0]
+    of = listed.withColumnRenamed("doc_id", "key_of")
+    joined = rows.join(F.broadcast(of) if size <= BROADCAST_BYTES else of.hint("merge"), F.col("key").eqNullSafe(F.col("key_of")), "left")
     fresh = joined.select("row", rebuilt(F.coalesce(F.col("row.text").cast("string"), F.lit("")), "gone", "firsts").alias("new"))
     count = F.char_length("new.text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None
     columns = [F.col("new.text").alias(c) if c == "text" else count.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in names]
