@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,37 +103,44 @@ class SeedIndex:
         return (low + start, low + end, matched) if matched >= min(least, len(own)) else None
 
 
-def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, item_id, start, end (words of the document), matched: each place where an item's words are found."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    def found(self, texts: list[str], least: int, share: float) -> list[tuple[int, int | None, int, int, int]]:
+        """(number of the text, item_id, start, end, matched) of each overlap."""
+        words, starts = word_numbers(texts)
+        item, shift = self.hits(words)
+        done: set[tuple] = set()
+        # A window may reach over the end of a text: the item is laid on each text that it touches.
+        for k, at, n in zip(item.tolist(), shift.tolist(), np.diff(self.starts)[item].tolist(), strict=True):
+            first = max(0, int(np.searchsorted(starts, max(at, 0), "right")) - 1)
+            for d in range(first, len(texts)):
+                if starts[d] >= at + n:
+                    break
+                if best := self.overlap(k, words[starts[d] : starts[d + 1]], at - int(starts[d]), least, share):
+                    done.add((d, k, *best))
+        return [(d, self.ids[k], *best) for d, k, *best in sorted(done)]
+
+
+def seed_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator:
+    """Broadcast indexes of the benchmark's items, each of about so many words."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
     size = items.agg(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] or 0
     blocks = max(1, -(-size // block_words))
-    passes = []
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # block_words, about
-        index = spark.sparkContext.broadcast(SeedIndex([(r["item_id"], r["text"]) for r in own]))
+        yield spark.sparkContext.broadcast(SeedIndex([(r["item_id"], r["text"]) for r in own]))
+
+
+def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, item_id, start, end (words of the document), matched: each place where an item's words are found."""
+    bounded_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    passes = []
+    for index in seed_blocks(benchmark, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            seeds = index.value
             for b in batches:
-                ids, rows = b.column(0).to_pylist(), []
-                words, starts = word_numbers(b.column(1).to_pylist())
-                item, shift = seeds.hits(words)
-                sizes = np.diff(seeds.starts)[item] if len(item) else item
-                done = set()
-                # A window may reach over the end of a text: the item is laid on each text that it touches.
-                for k, at, n in zip(item.tolist(), shift.tolist(), sizes.tolist(), strict=True):
-                    first = max(0, int(np.searchsorted(starts, max(at, 0), "right")) - 1)
-                    for d in range(first, len(ids)):
-                        if starts[d] >= at + n:
-                            break
-                        found = seeds.overlap(k, words[starts[d] : starts[d + 1]], at - int(starts[d]), least, share)
-                        if found and (d, k, found) not in done:
-                            done.add((d, k, found))
-                            rows.append((ids[d], seeds.ids[k], *found))
+                ids = b.column(0).to_pylist()
+                rows = [(ids[d], *rest) for d, *rest in index.value.found(b.column(1).to_pylist(), least, share)]
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "start", "end", "matched"])
 
@@ -144,3 +152,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, item_id, places, matched (words of the longest): one row per document and item found in it."""
     found = benchmark_overlaps(docs, benchmark, **options)
     return found.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("places"), F.max("matched").alias("matched"))
+
+
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, unchanged."""
+    bounded_batches(docs.sparkSession)
+    for index in seed_blocks(benchmark, block_words):
+        docs = docs.filter(_clean(index, least, share)(text_or_empty()))
+    return docs
+
+
+def _clean(index, least: int, share: float):
+    @F.pandas_udf("boolean")
+    def clean(text: pd.Series) -> pd.Series:
+        out = np.ones(len(text), bool)
+        out[[d for d, *_ in index.value.found(text.tolist(), least, share)]] = False
+        return pd.Series(out)
+
+    return clean

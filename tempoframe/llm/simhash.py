@@ -31,22 +31,30 @@ from tempoframe.llm.shared import bounded_batches, partitions, staged, text_or_e
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
-    """Unsigned SimHash of the ``width``-word shingles of ``text``, repeats included."""
+def shingle_hashes(text: str, width: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of each ``width``-word shingle, repeats included; of all words where they are fewer."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, hash64 = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) < width:
-        return hash64(joined, seed)
+        return np.array([hash64(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1]
-    n = len(starts)
-    hashes = np.fromiter((hash64(joined[i:j], seed) for i, j in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((hash64(joined[i:j], seed) for i, j in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 15):
+    for at in range(0, len(hashes), 1 << 15):
         ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
+    """Unsigned SimHash of the ``width``-word shingles of ``text``, repeats included."""
+    return majority_bits(shingle_hashes(text, width, seed))
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
@@ -189,3 +197,4 @@ def simhash_components(docs: DataFrame, width: int = 4, seed: int = 42, radius:
     named = linked.join(least, "label").select("node", "component_id")
     of = staged(nodes.join(named, nodes.fp == named.node, "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return found.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
