@@ -7,32 +7,35 @@ from pyspark.sql import functions as F
 
 from tempoframe.functions import numeric as N
 
-TRACK = Window.partitionBy("track_id").orderBy("beat_ms")
 MIN_BPM, MAX_BPM, MAJORITY, MAX_SHIFT = 80.0, 220.0, 0.8, 4
 
 
+def _track():
+    return Window.partitionBy("track_id").orderBy("beat_ms")
+
+
 def indexed(beats: DataFrame) -> DataFrame:
-    return beats.withColumn("beat_idx", F.row_number().over(TRACK) - 1)
+    return beats.withColumn("beat_idx", F.row_number().over(_track()) - 1)
 
 
 def intervals(beats: DataFrame, positive: bool = False) -> DataFrame:
     """gap_ms between each beat and the one before it."""
-    out = beats.withColumn("gap_ms", F.col("beat_ms") - F.lag("beat_ms").over(TRACK)).filter("gap_ms IS NOT NULL")
+    out = beats.withColumn("gap_ms", F.col("beat_ms") - F.lag("beat_ms").over(_track())).filter("gap_ms IS NOT NULL")
     return out.filter("gap_ms > 0") if positive else out
 
 
 def beat_lengths(beats: DataFrame) -> DataFrame:
     """length_ms: the gap to the next beat; the last beat repeats the gap before it; 0 for a beat alone."""
-    return beats.withColumn("length_ms", F.coalesce(F.lead("beat_ms").over(TRACK) - F.col("beat_ms"), F.col("beat_ms") - F.lag("beat_ms").over(TRACK), F.lit(0.0)))
+    return beats.withColumn("length_ms", F.coalesce(F.lead("beat_ms").over(_track()) - F.col("beat_ms"), F.col("beat_ms") - F.lag("beat_ms").over(_track()), F.lit(0.0)))
 
 
 def _gap_ahead() -> Column:
-    return F.lead("beat_ms").over(TRACK) - F.col("beat_ms")
+    return F.lead("beat_ms").over(_track()) - F.col("beat_ms")
 
 
 def local_periods(beats: DataFrame, window: int = 16) -> DataFrame:
     """period_ms: the gap around each beat that most gaps are within a quarter of, the smallest of equals; 0 below 3 gaps."""
-    gaps = beats.withColumn("_gap", _gap_ahead()).withColumn("_gaps", F.collect_list("_gap").over(TRACK.rowsBetween(-window, window - 1)))
+    gaps = beats.withColumn("_gap", _gap_ahead()).withColumn("_gaps", F.collect_list("_gap").over(_track().rowsBetween(-window, window - 1)))
     votes = F.transform("_gaps", lambda c: F.struct(F.size(F.filter("_gaps", lambda g: (g >= c * 0.75) & (g <= c * 1.25))).alias("n"), (-c).alias("minus")))
     return gaps.withColumn("period_ms", F.when(F.size("_gaps") < 3, 0.0).otherwise(-F.array_max(votes)["minus"])).drop("_gap", "_gaps")
 
@@ -66,7 +69,7 @@ def choose_shift(beats: DataFrame, low: float = MIN_BPM, high: float = MAX_BPM,
 
 def apply_shift(beats: DataFrame, shifts: DataFrame) -> DataFrame:
     """track_id, shift, beat_ms: every 2^s-th beat for s > 0, each gap in 2^-s parts for s < 0."""
-    rows = indexed(beats).withColumn("_next", F.lead("beat_ms").over(TRACK)).join(shifts, "track_id")
+    rows = indexed(beats).withColumn("_next", F.lead("beat_ms").over(_track())).join(shifts, "track_id")
     s = F.col("shift")
     step = F.pow(F.lit(2.0), F.least(s, F.lit(MAX_SHIFT))).cast("int")
     parts = F.pow(F.lit(2.0), F.least(-s, F.lit(MAX_SHIFT))).cast("int")
@@ -125,7 +128,7 @@ def track_tempo(beats: DataFrame) -> DataFrame:
 
 def steadiness(beats: DataFrame) -> DataFrame:
     """track_id, steadiness_ms: upper median of the change from gap to gap."""
-    rows = intervals(beats).withColumn("d", F.abs(F.col("gap_ms") - F.lag("gap_ms").over(TRACK))).filter("d IS NOT NULL")
+    rows = intervals(beats).withColumn("d", F.abs(F.col("gap_ms") - F.lag("gap_ms").over(_track()))).filter("d IS NOT NULL")
     return rows.groupBy("track_id").agg(N.median_of(F.col("d")).alias("steadiness_ms"))
 
 

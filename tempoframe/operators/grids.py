@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tempoframe.functions import numeric as N
 
-POINTS = Window.partitionBy("track_id").orderBy("time_ms")
+
+def _points():
+    return Window.partitionBy("track_id").orderBy("time_ms")
+
 
 
 def grid(timing: DataFrame, tail_ms: float = 60_000.0, scale: float = 1.0, until: Column | None = None, shortest_ms: float = 0.0, most: int = 500_000) -> DataFrame:
@@ -17,7 +20,7 @@ def grid(timing: DataFrame, tail_ms: float = 60_000.0, scale: float = 1.0, until
     """
     length = F.col("beat_length_ms") * scale
     end = F.greatest(until, F.col("time_ms")) if until is not None else F.col("time_ms") + tail_ms
-    rows = timing.withColumns({"_stop": F.coalesce(F.lead("time_ms").over(POINTS), end), "_len": length}).filter(F.col("_len") > shortest_ms)
+    rows = timing.withColumns({"_stop": F.coalesce(F.lead("time_ms").over(_points()), end), "_len": length}).filter(F.col("_len") > shortest_ms)
     steps = F.ceil((F.col("_stop") - F.col("time_ms")) / F.col("_len")).cast("int")
     steps = F.when(steps > most, F.raise_error(F.lit("too many beats after one timing point")).cast("int")).otherwise(F.greatest(steps, F.lit(0)))
     each = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), steps)))
@@ -26,7 +29,7 @@ def grid(timing: DataFrame, tail_ms: float = 60_000.0, scale: float = 1.0, until
 
 def weighted_mode(timing: DataFrame) -> DataFrame:
     """track_id, length_ms, held_ms: the rounded beat length that holds longest, the smaller of equals; the last point weighs nothing."""
-    rows = timing.select("track_id", F.rint("beat_length_ms").alias("length_ms"), (F.lead("time_ms").over(POINTS) - F.col("time_ms")).alias("w"))
+    rows = timing.select("track_id", F.rint("beat_length_ms").alias("length_ms"), (F.lead("time_ms").over(_points()) - F.col("time_ms")).alias("w"))
     per = rows.groupBy("track_id", "length_ms").agg(F.round(F.sum(F.coalesce("w", F.lit(0.0))), 6).alias("held_ms"))
     best = F.row_number().over(Window.partitionBy("track_id").orderBy(F.desc("held_ms"), "length_ms"))
     return per.withColumn("_r", best).filter("_r = 1").drop("_r")
@@ -34,7 +37,7 @@ def weighted_mode(timing: DataFrame) -> DataFrame:
 
 def sections(timing: DataFrame) -> DataFrame:
     """track_id, start_ms, end_ms, period_ms between neighbouring timing points; the last point has no end and is left out."""
-    return timing.select("track_id", F.col("time_ms").alias("start_ms"), F.lead("time_ms").over(POINTS).alias("end_ms"), F.col("beat_length_ms").alias("period_ms")).filter("end_ms IS NOT NULL")
+    return timing.select("track_id", F.col("time_ms").alias("start_ms"), F.lead("time_ms").over(_points()).alias("end_ms"), F.col("beat_length_ms").alias("period_ms")).filter("end_ms IS NOT NULL")
 
 
 def labels(grid_beats: DataFrame, per_bar: int = 4, fps: int = 50) -> DataFrame:

@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 
 from tempoframe.functions import numeric as N
 
-FRAMES = Window.partitionBy("track_id").orderBy("frame")
+
+def _frames():
+    return Window.partitionBy("track_id").orderBy("frame")
+
 
 
 def frame_peaks(activation: DataFrame, radius: int = 3) -> DataFrame:
     """Positive frames that nothing near exceeds; all members of a plateau stay."""
-    return activation.withColumn("_m", F.max("x").over(FRAMES.rowsBetween(-radius, radius))).filter("x > 0 AND x >= _m").drop("_m")
+    return activation.withColumn("_m", F.max("x").over(_frames().rowsBetween(-radius, radius))).filter("x > 0 AND x >= _m").drop("_m")
 
 
 def merged_peaks(peaks: DataFrame) -> DataFrame:
     """track_id, centre, width: neighbouring peaks pair by pair within each run of consecutive frames."""
-    run = peaks.withColumn("_run", F.col("frame") - F.row_number().over(FRAMES))
+    run = peaks.withColumn("_run", F.col("frame") - F.row_number().over(_frames()))
     pair = run.withColumn("_pair", F.floor((F.row_number().over(Window.partitionBy("track_id", "_run").orderBy("frame")) - 1) / 2))
     return pair.groupBy("track_id", "_run", "_pair").agg(F.avg("frame").alias("centre"), F.count(F.lit(1)).cast("int").alias("width")).drop("_run", "_pair")
 
 
 def refined(activation: DataFrame) -> DataFrame:
     """place: the vertex of the parabola through a frame and its neighbours, at most half a frame away."""
-    rows = activation.withColumns({"_b": F.lag("x").over(FRAMES), "_a": F.lead("x").over(FRAMES)})
+    rows = activation.withColumns({"_b": F.lag("x").over(_frames()), "_a": F.lead("x").over(_frames())})
     bend = F.col("_b") - 2 * F.col("x") + F.col("_a")
     move = N.clamped(0.5 * (F.col("_b") - F.col("_a")) / F.when(F.abs(bend) >= 1e-9, bend), -0.5, 0.5)
     usable = F.col("_b").isNotNull() & F.col("_a").isNotNull() & (F.abs(bend) >= 1e-9)
@@ -41,7 +44,7 @@ def raw_peaks(activation: DataFrame, radius: int = 3) -> DataFrame:
 
 def centroids(activation: DataFrame, radius: int = 2) -> DataFrame:
     """place: centroid of what rises above the lowest value near, over the connected frames around each frame."""
-    near = {k: F.lead("x", k).over(FRAMES) if k > 0 else F.lag("x", -k).over(FRAMES) for k in range(-radius, radius + 1) if k}
+    near = {k: F.lead("x", k).over(_frames()) if k > 0 else F.lag("x", -k).over(_frames()) for k in range(-radius, radius + 1) if k}
     rows = activation.withColumns({f"_n{k + radius}": c for k, c in near.items()})
     value = {k: F.col("x") if k == 0 else F.col(f"_n{k + radius}") for k in range(-radius, radius + 1)}
     floor = F.least(*[F.coalesce(v, F.col("x")) for v in value.values()])
@@ -58,20 +61,20 @@ def centroids(activation: DataFrame, radius: int = 2) -> DataFrame:
 def smoothed_periods(curve: DataFrame, seconds: float = 1.0, fps: int = 50, value: str = "period_frames") -> DataFrame:
     """The upper median of the positive periods around each frame; tracks of under three frames stay as they are."""
     half = max(1, round(seconds * fps))
-    near = F.collect_list(F.when(F.col(value) > 0, F.col(value))).over(FRAMES.rowsBetween(-half, half))
+    near = F.collect_list(F.when(F.col(value) > 0, F.col(value))).over(_frames().rowsBetween(-half, half))
     few = F.count(F.lit(1)).over(Window.partitionBy("track_id")) < 3
     return curve.withColumn(value, F.when(few, F.col(value)).otherwise(F.coalesce(N.upper_median(near), F.col(value))))
 
 
 def max_near(frames: DataFrame, radius: int, value: str = "x", name: str = "top", floor: float | None = None) -> DataFrame:
     """The largest value within ``radius`` frames, not below ``floor``."""
-    best = F.max(value).over(FRAMES.rowsBetween(-radius, radius))
+    best = F.max(value).over(_frames().rowsBetween(-radius, radius))
     return frames.withColumn(name, best if floor is None else F.greatest(best, F.lit(floor)))
 
 
 def flux(spectra: DataFrame) -> DataFrame:
     """track_id, frame, flux: what each bin of ``mags`` gained over the frame before (zeros before the first), over the track's mean."""
     gained = F.zip_with("mags", F.coalesce("_p", F.transform("mags", lambda _: F.lit(0.0))), lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    raw = spectra.withColumn("_p", F.lag("mags").over(FRAMES)).select("track_id", "frame", F.aggregate(gained, F.lit(0.0), lambda a, x: a + x).alias("flux"))
+    raw = spectra.withColumn("_p", F.lag("mags").over(_frames())).select("track_id", "frame", F.aggregate(gained, F.lit(0.0), lambda a, x: a + x).alias("flux"))
     mean = F.avg("flux").over(Window.partitionBy("track_id"))
     return raw.withColumn("flux", F.when(mean > 0, F.col("flux") / mean).otherwise(F.col("flux")))

@@ -11,7 +11,10 @@ from tempoframe.plans import relations as R
 from tempoframe.plans.relations import sql, upper
 
 QUERIES, ORACLE_SQL = {}, {}
-TRACK = Window.partitionBy("track_id")
+
+
+def _track():
+    return Window.partitionBy("track_id")
 
 
 def query(name: str, oracle: str | None = None):
@@ -157,8 +160,8 @@ query("h31_periodicity_peaks", sql("signal", then=_AUTO + _TOPS + " SELECT track
 def envelope_period(s, d):
     """Of the high peaks of the autocorrelation the one nearest to an expected period (8 frames)."""
     tops = G.periodicity_peaks(G.autocorrelation(R.signal(s, d), range(2, 25)).withColumn("r", F.round("r", 6)), 10**6)
-    high = tops.withColumn("best", F.max("r").over(TRACK)).filter(F.col("r") >= 0.75 * F.col("best"))
-    return high.withColumn("_r", F.row_number().over(TRACK.orderBy(F.abs(F.col("lag") - 8), "lag"))).filter("_r = 1").select("track_id", "lag", "r")
+    high = tops.withColumn("best", F.max("r").over(_track())).filter(F.col("r") >= 0.75 * F.col("best"))
+    return high.withColumn("_r", F.row_number().over(_track().orderBy(F.abs(F.col("lag") - 8), "lag"))).filter("_r = 1").select("track_id", "lag", "r")
 
 
 query("h34_cross_correlation", sql("signal", then=", l AS (SELECT a.track_id, k.lag::INT AS lag, corr(a.x, b.x) AS r, count(*) AS n FROM signal a CROSS JOIN (SELECT unnest(range(0, 4)) AS lag) k JOIN signal b ON b.track_id = a.track_id AND b.frame = a.frame + k.lag GROUP BY ALL) SELECT track_id, lag, n, CASE WHEN n >= 30 THEN round(r, 6) ELSE -1e9 END AS r FROM l"))(
@@ -203,7 +206,7 @@ def gap_classes(s, d):
 @query("h42_gap_class_runs", sql("beats", "timing", "gaps", then=_CLASS + ", r AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY beat_ms) - row_number() OVER (PARTITION BY track_id, times ORDER BY beat_ms) AS run FROM c WHERE times BETWEEN 1 AND 9), l AS (SELECT track_id, times, run, count(*) AS n FROM r GROUP BY ALL) SELECT times, n AS length, count(*) AS runs FROM l GROUP BY ALL"))
 def gap_class_runs(s, d):
     rows = gap_classes(s, d).filter("times BETWEEN 1 AND 9")
-    run = F.row_number().over(TRACK.orderBy("t_ms")) - F.row_number().over(Window.partitionBy("track_id", "times").orderBy("t_ms"))
+    run = F.row_number().over(_track().orderBy("t_ms")) - F.row_number().over(Window.partitionBy("track_id", "times").orderBy("t_ms"))
     return rows.withColumn("run", run).groupBy("track_id", "times", "run").agg(F.count(F.lit(1)).alias("length")).groupBy("times", "length").agg(F.count(F.lit(1)).alias("runs"))
 
 
@@ -258,7 +261,7 @@ query("h53_displacement", sql("beats", then=", a AS (SELECT track_id, row_number
     j AS (SELECT g.*, s.period_ms, abs(g.found_ms - s.period_ms) / s.period_ms AS error, log2(g.found_ms / s.period_ms) AS l FROM g JOIN sections s ON s.track_id = g.track_id AND g.mid_ms >= s.start_ms AND g.mid_ms < s.end_ms)
     SELECT track_id, count(*) AS sections, count(*) FILTER (WHERE abs(abs(l) - 1) < 0.15) AS octave_out, round(avg(error) FILTER (WHERE NOT abs(abs(l) - 1) < 0.15), 6) AS error, round(sum(error * (end_ms - start_ms)), 4) AS drift_ms, avg(CASE WHEN error <= 0.02 THEN 1.0 ELSE 0.0 END) AS within_2 FROM j GROUP BY track_id"""))
 def section_errors(s, d):
-    w = TRACK.orderBy("t_ms")
+    w = _track().orderBy("t_ms")
     found = R.clicks(s, d, "click").select("track_id", F.col("t_ms").alias("from_ms"), F.lead("t_ms").over(w).alias("to_ms")).filter("to_ms IS NOT NULL")
     found = found.withColumns({"t_ms": (F.col("from_ms") + F.col("to_ms")) / 2, "found_ms": (F.col("to_ms") - F.col("from_ms")) / 6})
     rows = asof.containing_interval(found, G.sections(R.timing(s, d)), ["start_ms", "period_ms"]).filter("period_ms IS NOT NULL")
