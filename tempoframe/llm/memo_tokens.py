@@ -12,15 +12,20 @@ size; pieces that are not in it go to the tokenizer, many in one text with a spe
 from __future__ import annotations
 
 import os
+import re
 import sys
 from array import array
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
 LONGEST = 48  # bytes of a remembered piece
-#: Of the table: 130 MB in all.
-ENTRIES, SLOTS, ID_ROOM = 1_500_000, 1 << 22, 5_000_000
+#: Of the table: 75 MB in all.
+ENTRIES, SLOTS, ID_ROOM = 1_000_000, 1 << 21, 4_000_000
+#: Characters that are looked up at once.
+BLOCK = 500_000
+#: A place in a longer text that the patterns cut before, whatever stands further off.
+SAFE = re.compile(r"[A-Za-z](?= [A-Za-z])")
 _SPACE, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(3))
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -28,7 +33,7 @@ _MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = T
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-@cache
+@lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base ** i and base ** -i modulo 2 ** 64."""
     out = []
@@ -150,14 +155,29 @@ class MemoEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         size, some = 0, []
-        for t in texts:  # blocks of a bounded size: the arrays below take some thirty bytes for each
+        for t in texts:  # blocks of a bounded size: the arrays below take some fifty bytes for each
+            if len(t) > BLOCK:
+                out += self._encode(some)
+                out.append(b"".join(self._encode([part])[0] for part in self._parts(t)))
+                size, some = 0, []
+                continue
             some.append(t)
             size += len(t)
-            if size > 2_000_000:
+            if size > BLOCK:
                 out += self._encode(some)
                 size, some = 0, []
         return out + self._encode(some)
 
+    def _parts(self, text: str) -> list[str]:
+        """A long text cut where its ids fall into two as well; one part if special strings could hold a cut."""
+        if any(b" " in s for s in self.special):
+            return [text]
+        parts, at = [], 0
+        while len(text) - at > BLOCK and (m := SAFE.search(text, at + BLOCK // 2)):
+            parts.append(text[at : m.end()])
+            at = m.end()
+        return [*parts, text[at:]]
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
@@ -190,7 +210,7 @@ class MemoEncoder:
         hashes = []
         n = 1 << (len(data) - 1).bit_length()
         for base in _BASES:
-            power, back = _powers(base, max(n, 1 << 22))
+            power, back = _powers(base, max(n, 1 << 20))
             total = np.zeros(len(data) + 1, np.uint64)
             np.cumsum((data + np.uint64(1)) * power[: len(data)], out=total[1:])
             hashes.append((total[high] - total[low]) * back[low])

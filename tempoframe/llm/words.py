@@ -1,55 +1,26 @@
-"""Words of texts as 64-bit numbers."""
+"""Words of texts as 64-bit numbers, hashed all at once.
+
+Words are what the characters of ``SPACE`` separate: as they are written, or ``plain``, in lower case and without
+the ASCII marks at their ends (a word of marks alone keeps them).
+"""
 
 from __future__ import annotations
 
-from functools import cache
-from itertools import chain
+from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-
-MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-class _Numbers(dict):
-    """Number of each word met; the first ``remembered`` stay."""
-
-    def __init__(self, plain: bool, remembered: int):
-        super().__init__()
-        self.plain, self.remembered = plain, remembered
-
-    def __missing__(self, word: str) -> int:
-        shown = (word.strip(MARKS) or word) if self.plain else word
-        number = xxhash.xxh64_intdigest(shown.encode("utf-8", "surrogatepass"), 7)
-        if len(self) < self.remembered:
-            self[word] = number
-        return number
-
-
-@cache
-def _numbers(plain: bool, remembered: int) -> _Numbers:
-    return _Numbers(plain, remembered)
 
-
-def word_numbers(texts: list[str], plain: bool = True, remembered: int = 600_000) -> tuple[np.ndarray, np.ndarray]:
-    """All words' numbers one text after the other, and where each text starts (and the last one ends).
-
-    Words are what white space separates; ``plain`` ones are lower-cased and lose marks at their ends.
-    """
-    table = _numbers(plain, remembered)
-    words = [(t.lower() if plain else t).split() for t in texts]
-    starts = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(w) for w in words], out=starts[1:])
-    return np.fromiter(map(table.__getitem__, chain.from_iterable(words)), np.uint64, int(starts[-1])), starts
-
-
-_SPACE = np.zeros(256, bool)
+#: Bytes that are hashed at once; longer texts are cut where white space allows.
+BLOCK = 1 << 20
+_SPACE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _BASE = 0x9E3779B97F4A7C15
 
 
-@cache
+@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE ** i and _BASE ** -i modulo 2 ** 64."""
     out = []
@@ -60,7 +31,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(texts: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All words' numbers, and how many each text has."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     if not len(data):
@@ -74,7 +46,13 @@ def _block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     stops = inner.copy()
     stops[:-1] &= ~inner[1:] | begins[1:]
     low, high = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    power, back = _powers(max(1 << 22, 1 << (len(data) - 1).bit_length()))
+    counts = np.diff(np.searchsorted(low, np.concatenate((starts, [len(data)]))))
+    if plain:
+        told = np.flatnonzero(inner & ~_MARK[data])
+        first, last = np.searchsorted(told, low), np.searchsorted(told, high) - 1
+        some = first <= last
+        low[some], high[some] = told[first[some]], told[last[some]] + 1
+    power, back = _powers(max(2 * BLOCK, 1 << (len(data) - 1).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data + np.uint64(1)) * power[: len(data)], out=total[1:])
     words = (total[high] - total[low]) * back[low]
@@ -82,25 +60,47 @@ def _block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         words ^= words >> np.uint64(shift)
         words *= np.uint64(0xD6E8FEB86659FD93)
     words ^= words >> np.uint64(31)
-    counts = np.diff(np.searchsorted(low, np.concatenate((starts, [len(data)]))))
     return words, counts
 
 
+def _parts(text: bytes) -> list[bytes]:
+    """A long text cut after white space, so that no part is much longer than BLOCK."""
+    out, at = [], 0
+    while len(text) - at > BLOCK:
+        place = max(text.rfind(c, at, at + BLOCK) for c in (b" ", b"\n", b"\t", b"\r"))
+        if place < at:
+            break
+        out.append(text[at : place + 1])
+        at = place + 1
+    return [*out, text[at:]]
+
+
+def word_numbers(texts: Iterable[str | None], plain: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """All words' numbers one text after the other, and where each text starts (and the last one ends)."""
+    words, counts, owner, some, size, n = [], [], [], [], 0, 0
+
+    def flush() -> None:
+        nonlocal some, size
+        if some:
+            w, c = _hashed(some, plain)
+            words.append(w)
+            counts.append(c)
+        some, size = [], 0
+
+    for n, t in enumerate(texts, 1):  # noqa: B007
+        for part in _parts(((t or "").lower() if plain else t or "").encode("utf-8", "surrogatepass")):
+            some.append(part)
+            owner.append(n - 1)
+            size += len(part)
+            if size > BLOCK:
+                flush()
+    flush()
+    starts = np.zeros(n + 1, np.int64)
+    if counts:
+        np.cumsum(np.bincount(owner, weights=np.concatenate(counts), minlength=n).astype(np.int64), out=starts[1:])
+    return (np.concatenate(words) if words else np.zeros(0, np.uint64)), starts
+
+
 def words_as_written(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words of a column of texts, and where each text starts (and the last one ends).
-
-    Words are what the characters of ``SPACE`` separate; they are hashed all at once, in blocks of bounded size.
-    """
-    words, counts, some, size = [], [], [], 0
-    for t in column:
-        some.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
-        size += len(some[-1])
-        if size > 2_000_000:
-            for x, y in zip((words, counts), _block(some), strict=True):
-                x.append(y)
-            some, size = [], 0
-    if some:
-        for x, y in zip((words, counts), _block(some), strict=True):
-            x.append(y)
-    sizes = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    return (np.concatenate(words) if words else np.zeros(0, np.uint64)), np.concatenate(([0], np.cumsum(sizes)))
+    """``word_numbers`` of a column of texts, as they are written."""
+    return word_numbers((t.as_py() for t in column), plain=False)
