@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from tempoframe.llm.memo_tokens import memo_encoder
 from tempoframe.llm.shared import bounded_batches, staged, text_or_empty
 
+#: Pieces of one partition in an exchange, at most: some 200 MB.
+MOST_PIECES = 1_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -147,7 +149,8 @@ def pack(rows: DataFrame, capacity: int = 4096, per_part: int = 100_000, rounds:
         loose = (F.col("free") > capacity // 16) | ((F.col("gap") > 0) & (F.col("free") > 0))
         again, stay = opened.filter(loose), opened.filter(~loose)
         before = _sequences(again)
-        packed = _packed(again.select(*[f.split()[0] for f in PIECE.split(", ")]), capacity, per_part, number)
+        # What is exchanged meets in ever fewer partitions, up to what a task can hold.
+        packed = _packed(again.select(*[f.split()[0] for f in PIECE.split(", ")]), capacity, max(per_part, min(per_part << 2 * (number - 1), MOST_PIECES)), number)
         after = _sequences(packed)
         if after >= before:
             break
