@@ -166,7 +166,7 @@ def mel_frames(tracks: DataFrame, chunk: int = 1500) -> DataFrame:
             for r in b.itertuples(index=False):
                 count = min(chunk, frame_count(r.total) - r.first)
                 mel = log_mel(r.samples, r.first, count, r.base, r.total)
-                yield pd.DataFrame({"track_id": r.track_id, "frame": np.arange(r.first, r.first + count, dtype=np.int32), "mel": list(mel)})
+                yield pd.DataFrame({"track_id": r.track_id, "frame": np.arange(r.first, r.first + count, dtype=np.int32), "mel": pd.Series(list(mel), dtype=object)})
 
     return parts.repartition("track_id", "first").mapInPandas(run, "track_id long, frame int, mel array<float>")
 
@@ -178,6 +178,6 @@ def flux_spectra(tracks: DataFrame) -> DataFrame:
         for b in batches:
             for r in b.itertuples(index=False):
                 mags = spectra_for_flux(r.samples)
-                yield pd.DataFrame({"track_id": r.track_id, "frame": np.arange(len(mags), dtype=np.int32), "mags": list(mags)})
+                yield pd.DataFrame({"track_id": r.track_id, "frame": np.arange(len(mags), dtype=np.int32), "mags": pd.Series(list(mags), dtype=object)})
 
     return tracks.select("track_id", "samples").mapInPandas(run, "track_id long, frame int, mags array<double>")

@@ -67,7 +67,7 @@ def read_mono(spark: SparkSession, folder: str, pattern: str = "*.wav", decoder:
 
 def map_lines(spark: SparkSession, folder: str, pattern: str = "*.osu") -> DataFrame:
     """path, line_no, line, section: the section is the last header at or before a line."""
-    text = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    text = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return sectioned(text)
 
 

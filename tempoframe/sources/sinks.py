@@ -68,17 +68,18 @@ def memoised(keys: DataFrame, folder: str, analyse: Callable[[DataFrame], DataFr
     return keys.join(held, "cache_key", "left")
 
 
-def write_manifest(rows: DataFrame, folder: str) -> DataFrame:
-    """Appends rows whose id is not there yet as tab-separated text; returns what was added."""
+def write_manifest(rows: DataFrame, folder: str) -> int:
+    """Appends rows whose id is not there yet as tab-separated text; returns how many."""
     spark = rows.sparkSession
     try:
         there = spark.read.option("sep", "\t").schema(rows.schema).csv(folder).select("id").distinct()
     except AnalysisException:
         there = spark.createDataFrame([], "id string")
-    fresh = rows.join(there, "id", "left_anti").select(rows.columns).persist()
-    if not fresh.isEmpty():
+    fresh = rows.join(there, "id", "left_anti").select(rows.columns)
+    added = fresh.count()
+    if added:
         fresh.write.mode("append").option("sep", "\t").csv(folder)
-    return fresh
+    return added
 
 
 def write_curve(curve: DataFrame, folder: str) -> None:
