@@ -32,10 +32,11 @@ def asof_join(left: DataFrame, right: DataFrame, columns: list[str], on: str = "
 
 def nearest(left: DataFrame, right: DataFrame, on: str = "track_id", time: str = "t_ms", right_time: str = "beat_ms", name: str = "offset_ms") -> DataFrame:
     """Left rows with the signed distance to the nearest right row (left - right); the earlier one wins a tie."""
-    order = Window.partitionBy("_on").orderBy("_at", "_side")
+    # Looking ahead is looking back in the other order: a frame that runs to the end would be quadratic.
+    past = Window.partitionBy("_on").rowsBetween(Window.unboundedPreceding, 0)
     both = _tagged(left, right, on, time, right_time, []).withColumns({
-        "_before": F.last("_r._time", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "_after": F.first("_r._time", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
+        "_before": F.last("_r._time", ignorenulls=True).over(past.orderBy("_at", "_side")),
+        "_after": F.last("_r._time", ignorenulls=True).over(past.orderBy(F.desc("_at"), "_side")),
     })
     back, ahead = F.col("_at") - F.col("_before"), F.col("_at") - F.col("_after")
     best = F.when(F.col("_before").isNull(), ahead).when(F.col("_after").isNull(), back).when(back <= -ahead, back).otherwise(ahead)

@@ -13,18 +13,20 @@ def _points():
 
 
 
-def grid(timing: DataFrame, tail_ms: float = 60_000.0, scale: float = 1.0, until: Column | None = None, shortest_ms: float = 0.0, most: int = 500_000) -> DataFrame:
-    """track_id, beat_ms: time, time + length, ... before the next timing point; the last one goes on for ``tail_ms`` or to ``until``.
+def grid(timing: DataFrame, tail_ms: float = 60_000.0, scale: Column | float = 1.0, until: Column | None = None, shortest_ms: float = 0.0, most: int = 500_000, by: tuple[str, ...] = ("track_id",), keep_length: bool = False) -> DataFrame:
+    """``by``, beat_ms: time, time + length, ... before the next timing point; the last one goes on for ``tail_ms`` or to ``until``.
 
-    ``most`` bounds the beats of one point: a point that needs more is an error, not a cut.
+    ``most`` bounds the beats of one point: a point that needs more is an error, not a cut. ``keep_length`` adds length_ms.
     """
     length = F.col("beat_length_ms") * scale
     end = F.greatest(until, F.col("time_ms")) if until is not None else F.col("time_ms") + tail_ms
-    rows = timing.withColumns({"_stop": F.coalesce(F.lead("time_ms").over(_points()), end), "_len": length}).filter(F.col("_len") > shortest_ms)
+    points = Window.partitionBy(*by).orderBy("time_ms")
+    rows = timing.withColumns({"_stop": F.coalesce(F.lead("time_ms").over(points), end), "_len": length}).filter(F.col("_len") > shortest_ms)
     steps = F.ceil((F.col("_stop") - F.col("time_ms")) / F.col("_len")).cast("int")
     steps = F.when(steps > most, F.raise_error(F.lit("too many beats after one timing point")).cast("int")).otherwise(F.greatest(steps, F.lit(0)))
     each = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), steps)))
-    return each.withColumn("beat_ms", F.col("time_ms") + F.col("_k") * F.col("_len")).filter("beat_ms < _stop").select("track_id", "beat_ms")
+    out = each.withColumn("beat_ms", F.col("time_ms") + F.col("_k") * F.col("_len")).filter("beat_ms < _stop")
+    return out.select(*by, "beat_ms", *([F.col("_len").alias("length_ms")] if keep_length else []))
 
 
 def weighted_mode(timing: DataFrame) -> DataFrame:

@@ -132,18 +132,14 @@ query("h27_best_lag", sql("beats", "timing", "grid", "signal", then=_CENTRED + "
     SELECT track_id, CASE WHEN separation > 1.25 * own THEN scale ELSE 1.0 END AS scale, own AS own_separation, separation AS best_separation FROM r JOIN own USING (track_id)"""))
 def octave_choice(s, d):
     """The scale of a grid at which beats stand out most against midpoints; another than 1 only if it is clearly better."""
-    timing, curve = R.timing(s, d), R.signal(s, d)
-    parts = []
-    for scale in (0.25, 0.5, 1.0, 2.0, 4.0):
-        length = timing.withColumn("_l", F.col("beat_length_ms") * scale)
-        g = G.grid(timing, 2000.0, scale)
-        held = asof.asof_join(g.withColumnRenamed("beat_ms", "t_ms"), length, ["_l"], right_time="time_ms")
-        on = asof.value_at_frame(held, curve, "x", F.rint(F.col("t_ms") / 400)).withColumnRenamed("x", "o")
-        both = asof.value_at_frame(on, curve, "x", F.rint((F.col("t_ms") + F.col("_l") / 2) / 400))
-        parts.append(both.groupBy("track_id").agg((N.median_of(F.col("o")) - N.median_of(F.col("x"))).alias("separation")).withColumn("scale", F.lit(scale)))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    scaled = R.timing(s, d).withColumn("scale", F.explode(F.array(*map(F.lit, (0.25, 0.5, 1.0, 2.0, 4.0)))))
+    beats = G.grid(scaled, 2000.0, F.col("scale"), by=("track_id", "scale"), keep_length=True)
+    # On a beat and halfway to the next: one lookup for both.
+    places = F.array(F.struct(F.lit(True).alias("on"), F.col("beat_ms").alias("t_ms")), F.struct(F.lit(False).alias("on"), (F.col("beat_ms") + F.col("length_ms") / 2).alias("t_ms")))
+    each = beats.select("track_id", "scale", F.explode(places).alias("p")).select("track_id", "scale", "p.*")
+    found = asof.value_at_frame(each, R.signal(s, d), "x", F.rint(F.col("t_ms") / 400))
+    value = lambda on: N.upper_median(F.collect_list(F.when(F.col("on") == on, F.col("x"))))
+    rows = found.groupBy("track_id", "scale").agg((value(True) - value(False)).alias("separation"))
     best = F.array_max(F.collect_list(F.struct("separation", (-F.col("scale")).alias("m"))))
     per = rows.groupBy("track_id").agg(best.alias("b"), F.max(F.when(F.col("scale") == 1.0, F.col("separation"))).alias("own"))
     return per.select("track_id", F.when(F.col("b.separation") > 1.25 * F.col("own"), -F.col("b.m")).otherwise(1.0).alias("scale"), F.col("own").alias("own_separation"), F.col("b.separation").alias("best_separation"))
