@@ -8,7 +8,7 @@ from tempoframe.functions import numeric as N
 from tempoframe.operators import beats as B, peaks as P, scoring as S, signal as G, tracking as T
 from tempoframe.plans import relations as R
 from tempoframe.plans.relations import sql
-from tempoframe.sources import sinks
+from tempoframe.sources import readers, sinks
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -83,3 +83,52 @@ def _entry(s, d):
 
 
 query("i4_reading", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'detector:m.onnx' WHEN c_custkey % 3 = 1 THEN 'search' ELSE 'peaks' END AS reading FROM customer")(lambda s, d: R.table(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, sinks.reading("m.onnx")).when(F.col("c_custkey") % 3 == 1, sinks.reading(search=True)).otherwise(sinks.reading()).alias("reading")))
+
+
+def map_texts(s, d):
+    """path, value: a map text for each track, made from its timing points and clicks, with lines that no reader should take."""
+    points = R.timing(s, d).select("track_id", F.lit(1).alias("part"), F.col("time_ms").alias("t"), F.concat_ws(",", F.format_string("%.3f", "time_ms"), F.format_string("%.3f", F.when(F.floor(F.col("beat_length_ms")) % 3 == 0, -F.col("beat_length_ms")).otherwise(F.col("beat_length_ms"))), F.lit("4")).alias("line"))
+    objects = R.clicks(s, d, "click").select("track_id", F.lit(2).alias("part"), F.col("t_ms").alias("t"), F.concat(F.lit("1,2,"), F.format_string("%.3f", "t_ms"), F.lit(",x")).alias("line"))
+    per = points.unionByName(objects).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("part", "t", "line"))).alias("l"))
+    lines = lambda k: F.array_join(F.transform(F.filter("l", lambda x: x["part"] == k), lambda x: x["line"]), "\n")
+    return per.select(F.col("track_id").cast("string").alias("path"), F.concat(F.lit("[General]\nAudioFilename: a.wav\n[TimingPoints]\nnot,a,point\n"), lines(1), F.lit("\n[HitObjects]\n1,2\n"), lines(2)).alias("value"))
+
+
+query("a6_timing_points", sql("timing", then="SELECT track_id, round(time_ms, 3) AS time_ms, round(beat_length_ms, 3) AS beat_length_ms FROM timing WHERE floor(beat_length_ms)::BIGINT % 3 <> 0"))(
+    lambda s, d: readers.timing_points(readers.sectioned(map_texts(s, d))).select(F.col("path").cast("long").alias("track_id"), "time_ms", "beat_length_ms")
+)
+query("a7_hit_objects", sql("asked", then="SELECT track_id, round(t_ms, 3) AS t_ms FROM asked"))(lambda s, d: readers.hit_objects(readers.sectioned(map_texts(s, d))).select(F.col("path").cast("long").alias("track_id"), "t_ms"))
+
+
+@query("g4_stream_beats")
+def streamed(s, d):
+    """The tones as a stream of three pieces for each track: all beats, each once, as the settled ones come out."""
+    from tempoframe.streaming.tracker import stream_beats
+
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = sinks.scratch(s)
+    seq, size = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seq"), 5880
+    pieces = tones(s, d).select("track_id", seq, "samples").select("track_id", "seq", F.slice("samples", F.col("seq") * size + 1, size).alias("samples"), (F.col("seq") == 2).alias("is_last"))
+    for k in range(3):
+        pieces.filter(F.col("seq") == k).write.mode("append").parquet(f"{folder}/in")
+    source = s.readStream.schema(pieces.withColumn("seq", F.col("seq").cast("int")).schema).parquet(f"{folder}/in")
+    stream = stream_beats(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return s.read.parquet(f"{folder}/out").filter("frame IS NOT NULL")
+
+
+@query("i3_memoised")
+def memoised(s, d):
+    """Grids of all tracks: the first half is stored before, only the others are analysed, and all come back."""
+    folder = sinks.scratch(s)
+    grids = R.beats(s, d).groupBy("track_id").agg(F.array_sort(F.collect_list("beat_ms")).alias("beats"))
+    keys = grids.select(F.col("track_id").cast("string").alias("path"), sinks.cache_key("b", F.col("track_id").cast("string"), F.size("beats"), F.lit(0)).alias("cache_key"))
+
+    def analyse(missing):
+        return missing.join(grids, F.col("path") == F.col("track_id")).select("cache_key", F.lit(0).alias("metrical_shift"), "beats")
+
+    sinks.memoised(keys.filter(F.col("path").cast("long") % 2 == 0), folder, analyse)
+    return sinks.memoised(keys, folder, analyse).select(F.col("path").cast("long").alias("track_id"), F.size("beats").alias("beats"))
+
+
+ORACLE_SQL["i3_memoised"] = sql("beats", then="SELECT track_id, count(*) AS beats FROM beats GROUP BY track_id")
