@@ -10,7 +10,7 @@ from collections.abc import Callable
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +87,13 @@ def scored(mel: np.ndarray, scorer: Scorer) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _bands(rows: pa.Table) -> tuple[np.ndarray, int, dict]:
+    """Frames x bands in order, the first frame, and what else the first row holds."""
+    rows = rows.sort_by("frame")
+    mel = rows.column("mel").combine_chunks()
+    return mel.flatten().to_numpy().reshape(len(mel), -1), rows.column("frame")[0].as_py(), {c: rows.column(c)[0].as_py() for c in rows.column_names if c != "mel"}
+
+
 def activations(mel: DataFrame, scorer: Scorer = band_scorer) -> DataFrame:
     """track_id, frame, beat, downbeat from track_id, frame, mel: each chunk of each track is a task's group."""
     sizes = mel.groupBy("track_id").agg((F.max("frame") + 1).alias("total"))
@@ -94,15 +101,14 @@ def activations(mel: DataFrame, scorer: Scorer = band_scorer) -> DataFrame:
     # A frame lies in at most three chunks: its own, the next and the last, which is pulled back.
     frames = mel.join(chunks, "track_id").filter((F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("start") + CHUNK))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame")
-        found = score_chunk(np.stack(rows.mel.to_numpy()).astype(np.float32), int(rows.start.iloc[0]), int(rows.total.iloc[0]), scorer, int(rows.frame.iloc[0]))
-        if not found:
-            return pd.DataFrame({"track_id": [], "chunk": [], "frame": [], "beat": [], "downbeat": []})
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        mel, first_frame, rest = _bands(rows)
+        found = score_chunk(mel, rest["start"], rest["total"], scorer, first_frame) or (0, np.zeros(0, np.float32), np.zeros(0, np.float32))
         first, a, b = found
-        return pd.DataFrame({"track_id": key[0], "chunk": key[1], "frame": np.arange(first, first + len(a)), "beat": a, "downbeat": b})
+        n = len(a)
+        return pa.table({"track_id": np.full(n, key[0].as_py(), np.int64), "chunk": np.full(n, key[1].as_py(), np.int32), "frame": np.arange(first, first + n, dtype=np.int32), "beat": a.astype(np.float32), "downbeat": b.astype(np.float32)})
 
-    owned = frames.groupBy("track_id", "chunk").applyInPandas(run, "track_id long, chunk int, frame int, beat float, downbeat float")
+    owned = frames.groupBy("track_id", "chunk").applyInArrow(run, "track_id long, chunk int, frame int, beat float, downbeat float")
     first = owned.withColumn("_r", F.row_number().over(Window.partitionBy("track_id", "frame").orderBy("chunk"))).filter("_r = 1")
     return mel.select("track_id", "frame").join(first, ["track_id", "frame"], "left").select("track_id", "frame", *[F.coalesce(c, F.lit(UNSCORED).cast("float")).alias(c) for c in ("beat", "downbeat")])
 
@@ -114,11 +120,12 @@ def overlap_add(mel: DataFrame, scorer: Scorer = band_scorer, window: int = 1024
     # No window after one that is too short: only the last one of a track can be.
     frames = mel.join(starts, "track_id").filter((F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("start") + window))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame")
-        a, b = scorer(np.stack(rows.mel.to_numpy()).astype(np.float32))
-        return pd.DataFrame({"track_id": key[0], "frame": rows.frame.to_numpy(), "p": 1 / (1 + np.exp(-a.astype(np.float32))), "log_period": b})
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        mel, first, _ = _bands(rows)
+        a, b = scorer(mel)
+        n = len(a)
+        return pa.table({"track_id": np.full(n, key[0].as_py(), np.int64), "frame": np.arange(first, first + n, dtype=np.int32), "p": (1 / (1 + np.exp(-a.astype(np.float32)))).astype(np.float32), "log_period": b.astype(np.float32)})
 
-    each = frames.groupBy("track_id", "start").applyInPandas(run, "track_id long, frame int, p float, log_period float")
+    each = frames.groupBy("track_id", "start").applyInArrow(run, "track_id long, frame int, p float, log_period float")
     means = each.groupBy("track_id", "frame").agg(F.avg("p").alias("p"), F.avg("log_period").alias("l"))
     return mel.select("track_id", "frame").join(means, ["track_id", "frame"], "left").select("track_id", "frame", F.coalesce("p", F.lit(0.0)).cast("float").alias("beat_prob"), F.coalesce(F.exp("l"), F.lit(1.0)).cast("float").alias("period_frames"))

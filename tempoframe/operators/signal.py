@@ -10,6 +10,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,12 +164,20 @@ def mel_frames(tracks: DataFrame, chunk: int = 1500) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for r in b.itertuples(index=False):
-                count = min(chunk, frame_count(r.total) - r.first)
-                mel = log_mel(r.samples, r.first, count, r.base, r.total)
-                yield pd.DataFrame({"track_id": r.track_id, "frame": np.arange(r.first, r.first + count, dtype=np.int32), "mel": pd.Series(list(mel), dtype=object)})
+            track, first, total, base = (b.column(c).to_pylist() for c in ("track_id", "first", "total", "base"))
+            for i, samples in enumerate(b.column("samples")):
+                count = min(chunk, frame_count(total[i]) - first[i])
+                mel = log_mel(samples.values.to_numpy(zero_copy_only=False), first[i], count, base[i], total[i])
+                yield framed(track[i], first[i], mel, "mel")
 
-    return parts.repartition("track_id", "first").mapInPandas(run, "track_id long, frame int, mel array<float>")
+    return parts.repartition("track_id", "first").mapInArrow(run, "track_id long, frame int, mel array<float>")
+
+
+def framed(track_id: int, first: int, rows: np.ndarray, name: str) -> pa.RecordBatch:
+    """A row for each frame: track_id, frame and the row's values."""
+    n, width = rows.shape
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(rows.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, track_id, np.int64)), pa.array(np.arange(first, first + n, dtype=np.int32)), lists], ["track_id", "frame", name])
 
 
 def flux_spectra(tracks: DataFrame) -> DataFrame:
@@ -176,8 +185,8 @@ def flux_spectra(tracks: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for r in b.itertuples(index=False):
-                mags = spectra_for_flux(r.samples)
-                yield pd.DataFrame({"track_id": r.track_id, "frame": np.arange(len(mags), dtype=np.int32), "mags": pd.Series(list(mags), dtype=object)})
+            for track, samples in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                mags = spectra_for_flux(samples.values.to_numpy(zero_copy_only=False) if samples.is_valid else np.zeros(0))
+                yield framed(track, 0, mags.reshape(-1, FFT // 2), "mags")
 
-    return tracks.select("track_id", "samples").mapInPandas(run, "track_id long, frame int, mags array<double>")
+    return tracks.select("track_id", "samples").mapInArrow(run, "track_id long, frame int, mags array<double>")

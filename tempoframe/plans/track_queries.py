@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None):
 def tones(s, d):
     """A tone for each supplier: 0.8 s at 22,050 Hz."""
     i = F.sequence(F.lit(0), F.lit(17_639))
-    return R.table(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("track_id"), F.transform(i, lambda k: (0.5 * F.sin(2 * F.pi() * k * (110.0 + F.col("s_suppkey") % 880) / 22050) * (k % 11025 < 2205).cast("double")).cast("float")).alias("samples"))
+    return R.table(s, d, "supplier").select("s_suppkey").repartition(16, "s_suppkey").select(F.col("s_suppkey").cast("long").alias("track_id"), F.transform(i, lambda k: (0.5 * F.sin(2 * F.pi() * k * (110.0 + F.col("s_suppkey") % 880) / 22050) * (k % 11025 < 2205).cast("double")).cast("float")).alias("samples")).repartition("track_id")  # made once, however often it is named
 
 
 def mels(s, d):
