@@ -388,7 +388,7 @@ def test_near_copies(spark, odd, odd_pairs, none, limit):
     df = spark.createDataFrame(rows_of(pairs), SCHEMA)
     got = near_copies.near_copy_groups(df, limit=limit).collect()
     assert sorted(map(tuple, got)) == sorted((i, least[k]) for (i, _), k in zip(named, label, strict=True))
-    left = near_copies.without_near_copies(df)
+    left = near_copies.without_near_copies(df, broadcast_ids=limit)
     ids = [r["doc_id"] for r in left.collect()]
     assert left.columns == df.columns and sorted(i for i in ids if i is not None) == sorted(set(least.values())) and ids.count(None) == 2
     assert near_copies.without_near_copies(none).count() == 0
