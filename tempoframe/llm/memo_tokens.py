@@ -20,10 +20,10 @@ from functools import cache, lru_cache
 import numpy as np
 
 LONGEST = 48  # bytes of a remembered piece
-#: Of the table: 75 MB in all.
-ENTRIES, SLOTS, ID_ROOM = 1_000_000, 1 << 21, 4_000_000
+#: Pieces that the table holds; 65 bytes or so for each.
+ENTRIES = 1_000_000
 #: Characters that are looked up at once.
-BLOCK = 500_000
+BLOCK = 125_000
 #: A place in a longer text that the patterns cut before, whatever stands further off.
 SAFE = re.compile(r"[A-Za-z](?= [A-Za-z])")
 _SPACE, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(3))
@@ -48,7 +48,8 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class PieceTable:
     """Ids of pieces by two hashes: open addressing, and no entry ever moves or goes."""
 
-    def __init__(self, entries: int = ENTRIES, slots: int = SLOTS, ids: int = ID_ROOM):
+    def __init__(self, entries: int = ENTRIES):
+        slots, ids = 1 << (2 * entries - 1).bit_length(), 4 * entries
         self.first, self.second = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
         self.entry = np.full(slots, -1, np.int32)
         self.start, self.size = np.zeros(entries, np.int32), np.zeros(entries, np.int32)
@@ -98,7 +99,7 @@ class MemoEncoder:
     those that ignore white space.
     """
 
-    def __init__(self, path: str, spaces: str):
+    def __init__(self, path: str, spaces: str, entries: int = ENTRIES):
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise OSError("ids are kept as they lie in memory, little-endian and of 4 bytes")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -110,7 +111,7 @@ class MemoEncoder:
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = [t.content.encode() for t in added.values()]
         self.mark = next(((t.content, i) for i, t in added.items() if t.special and not t.normalized), None)
-        self.table = PieceTable()
+        self.table = PieceTable(entries)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -210,7 +211,7 @@ class MemoEncoder:
         hashes = []
         n = 1 << (len(data) - 1).bit_length()
         for base in _BASES:
-            power, back = _powers(base, max(n, 1 << 20))
+            power, back = _powers(base, max(n, 1 << 18))
             total = np.zeros(len(data) + 1, np.uint64)
             np.cumsum((data + np.uint64(1)) * power[: len(data)], out=total[1:])
             hashes.append((total[high] - total[low]) * back[low])
@@ -259,6 +260,6 @@ class MemoEncoder:
 
 
 @cache
-def memo_encoder(path: str, spaces: str) -> MemoEncoder:
+def memo_encoder(path: str, spaces: str, entries: int = ENTRIES) -> MemoEncoder:
     """One for all tasks of a worker process."""
-    return MemoEncoder(path, spaces)
+    return MemoEncoder(path, spaces, entries)

@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, vocabulary: str, spaces: str = "dropped", end_id: in
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = memo_encoder(vocabulary, spaces)
+        encoder = memo_encoder(vocabulary, spaces, 400_000)
         for b in batches:
             rows: list[tuple] = []
             for i, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed at once; longer texts are cut where white space allows.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _SPACE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
