@@ -394,6 +394,21 @@ def test_near_copies(spark, odd, odd_pairs, none, limit):
     assert near_copies.without_near_copies(none).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"limit": 8}])
+def test_long_near_copies_are_decided_exactly(spark, options):
+    pairs, whole = [], []
+    for words in (600, 1000, 1800, 3000, 5000):
+        for k, share in enumerate((0.78, 0.785, 0.79, 0.795, 0.798, 0.802, 0.805, 0.81, 0.815, 0.82)):
+            name = f"{words}x{k}"
+            common = round(2 * (words - 4) * share / (1 + share)) + 4
+            head = [f"c{name}x{j}" for j in range(common)]
+            for side in "ab":
+                pairs.append((len(pairs), " ".join(head + [f"{side}{name}x{j}" for j in range(words - common)])))
+            whole.append((len(pairs) - 2, len(pairs) - 1, (common - 4) / (2 * (words - 4) - common + 4)))
+    got = dict(map(tuple, near_copies.near_copy_groups(spark.createDataFrame(rows_of(pairs), SCHEMA), **options).collect()))
+    assert {(a, b) for a, b, _ in whole if got[a] == got[b]} == {(a, b) for a, b, s in whole if s >= 0.8}
+
+
 def test_files_are_moved_into_place(spark, tmp_path):
     from tempoframe.llm.files import write_atomically
 
