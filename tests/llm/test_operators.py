@@ -170,6 +170,23 @@ def test_log_ratios_are_those_of_proper_models():
     assert np.isfinite(ratio).all() and ratio[number[(toxic > 3) & (ordinary == 0)]].mean() > 0 > ratio[number[(toxic == 0) & (ordinary > 6)]].mean()
 
 
+def test_toxic_words_of_equal_character_classes_are_told_apart(spark):
+    rng = random.Random(8)
+    vile, fair = (lambda: f"{rng.choice((1234, 9031))}"), (lambda: f"{rng.choice((4321, 1309, 7777))}")
+    docs, labels = [], []
+    for i in range(600):
+        toxic = int(i % 3 == 0)
+        words = prose(rng, 60, 200).split()
+        words[5::20] = [vile() if toxic else fair() for _ in words[5::20]]
+        docs.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    df, marked = spark.createDataFrame(rows_of(docs), SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = [sorted(map(tuple, toxicity.toxicity(df, marked, **options).collect())) for options in ({}, {"broadcast_words": 0, "broadcast_pairs": 0})]
+    assert got[0] == got[1]
+    held = [(p, labels[i][1]) for i, h, _, p in got[0] if h]
+    assert sum(p == t for p, t in held) / len(held) > 0.97
+
+
 # 5
 def test_packing(odd, odd_pairs, none):
     t = Tokenizer.from_file(WORDS)
