@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -294,6 +295,19 @@ def test_decontamination(spark, odd, none):
     assert decontamination.contaminated(none, bench).count() == 0 and decontamination.contaminated(odd, bench.filter("item_id < 0")).count() == 0
 
 
+def test_seeds_miss_no_accepted_overlap():
+    for n in range(decontamination.LEAST, 26):
+        windows = [sum(1 << (k + i) for i, c in enumerate(m) if c == "1") for m in decontamination.MASKS for k in range(n - len(m) + 1)]
+        for spoilt in range(int(n * (1 - decontamination.SHARE) + 1e-9) + 1):
+            if n - spoilt >= decontamination.LEAST:
+                assert all(any(not w & gone for w in windows) for gone in (sum(1 << i for i in c) for c in itertools.combinations(range(n), spoilt)))
+    index = decontamination.SeedIndex([(7, " ".join(f"w{i}" for i in range(16)))])
+    for gone in itertools.combinations(range(16), 3):
+        text = " ".join("other" if i in gone else f"w{i}" for i in range(16))
+        accepted = index.overlap(0, word_numbers([text])[0], 0, decontamination.LEAST, decontamination.SHARE)
+        assert index.found([text], decontamination.LEAST, decontamination.SHARE) == ([(0, 7, *accepted)] if accepted else [])
+
+
 def test_words():
     words, starts = word_numbers(["A b,", "", None, " «x»  -- B "], plain=True)
     assert starts.tolist() == [0, 2, 2, 2, 5] and words[1] == words[4] and len(set(words.tolist())) == 4
