@@ -7,6 +7,7 @@ import corpus_pipeline
 from tempoframe.llm import queries
 from tempoframe.llm.near_copies import near_copy_groups
 from tempoframe.llm.shared import staged
+from tempoframe.llm.toxicity import without_toxic
 
 
 def test_stages_keep_their_columns_and_take_effect(spark, sf):
@@ -35,6 +36,12 @@ def test_odd_inputs_pass_all_stages(spark, odd, none, sf):
         assert docs.columns[:2] == ["doc_id", "piece"]
 
 
+def test_no_document_is_dropped_as_toxic_without_labels_of_both_kinds(spark, odd):
+    for rows in ([], [(10**9, 1)], [(i, 1) for i in range(100)]):
+        labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+        assert without_toxic(odd, labels).count() == odd.count()
+
+
 def test_queries_cover_whole_tables(spark, sf):
     rows = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("documents", "pages")}
     for name, query in queries.QUERIES.items():
