@@ -1,12 +1,12 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by counts of hashed windows over sparse suffixes.
 
 Suffixes are retained only where a minimiser stands: among the hashes of ``GRAM`` words that begin in any
 ``LEAST - GRAM + 1`` neighbouring places the smallest is selected (all of equal ones). What is selected depends on the
-words alone, so that two copies of ``LEAST`` words retain suffixes at the same places. Retained suffixes are ordered
-by their first ``GRAM`` words; those that stand alone in that order are dropped, after counting them by task. The others
-are compared with their neighbours in the order: occurrences with the same words around count as one class, and
-classes that share their first words are extended to the left and to the right, word by word, for each way in which
-``LEAST`` words can lie over the minimiser. What is found repeated are exactly the windows of ``LEAST`` words that occur
+words alone, so that two copies of ``LEAST`` words retain suffixes at the same places. Retained suffixes are grouped
+by a hash of their first ``GRAM`` words; those that stand alone are dropped, after counting them by task. Of the others,
+occurrences with the same words around count as one class; in classes that share their first words the window is hashed
+for each way in which ``LEAST`` words can lie over the minimiser, and equal hashes are counted. Suffixes are not sorted
+further, neighbours are not compared and words are not compared beyond their hashes. What is found repeated are exactly the windows of ``LEAST`` words that occur
 in two places of the corpus or more; overlapping ones join to spans.
 
 No occurrence of a hot passage needs to meet all others: equal ones are counted before the shuffle, classes of a key
