@@ -5,8 +5,9 @@ that the pattern makes anyway. Sure cuts here: before a single white-space chara
 ASCII mark other than the apostrophe. Texts with anything that makes these unsure (runs of white space, special strings,
 separators that the patterns see otherwise) are encoded whole.
 
-All pieces of a batch are found, hashed (two polynomial hashes of 64 bits) and looked up at once in a table of fixed
-size; pieces that are not in it go to the tokenizer, many in one text with a special token between them.
+All pieces of a batch are found and looked up at once in a table of fixed size, which holds their bytes: a piece is never
+known by a hash alone. Pieces that are not in it go to the tokenizer, many in one text with a special token between them;
+pieces over ``LONGEST`` bytes do so in every batch.
 """
 
 from __future__ import annotations
@@ -15,11 +16,14 @@ import os
 import re
 import sys
 from array import array
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 
-LONGEST = 48  # bytes of a remembered piece
+from tempoframe.llm.words import eights, mixed
+
+#: Bytes of a remembered piece, eight to a number.
+LONGEST = 24
 #: Pieces that the table holds; 65 bytes or so for each.
 ENTRIES = 1_000_000
 #: Characters that are looked up at once.
@@ -30,64 +34,68 @@ _SPACE, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(3))
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and base ** -i modulo 2 ** 64."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        np.multiply.accumulate(p, out=p)
-        out.append(p)
-    return out[0], out[1]
+def hashed(keys: np.ndarray) -> np.ndarray:
+    """Where the search for a piece begins."""
+    out = mixed(keys[:, 0] ^ keys[:, -1])
+    for k in range(1, keys.shape[1] - 1):
+        out = mixed(out + keys[:, k])
+    return out
+
+
+def leaders(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different row, and for each row which of these it equals."""
+    _, lead, back = np.unique(hashed(keys), return_index=True, return_inverse=True)
+    if (keys == keys[lead[back]]).all():
+        return lead, back
+    _, lead, back = np.unique(keys, axis=0, return_index=True, return_inverse=True)  # different rows share a hash
+    return lead, back.ravel()
 
 
 class PieceTable:
-    """Ids of pieces by two hashes: open addressing, and no entry ever moves or goes."""
+    """Ids of pieces by their bytes: open addressing, and no entry ever moves or goes."""
 
     def __init__(self, entries: int = ENTRIES):
         slots, ids = 1 << (2 * entries - 1).bit_length(), 4 * entries
-        self.first, self.second = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.keys = np.zeros((entries, LONGEST // 8 + 1), np.uint64)
         self.entry = np.full(slots, -1, np.int32)
         self.start, self.size = np.zeros(entries, np.int32), np.zeros(entries, np.int32)
         self.ids, self.most, self.used, self.count = np.zeros(ids, np.uint32), ids, 0, 0
         self.shift, self.wrap = np.uint64(64 - (slots.bit_length() - 1)), slots - 1
 
-    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray) -> np.ndarray:
         """Number of each piece's entry, or -1."""
-        out = np.full(len(a), -1, np.int64)
-        at, todo = (a >> self.shift).astype(np.int64), np.arange(len(a))
+        out = np.full(len(keys), -1, np.int64)
+        at, todo = (hashed(keys) >> self.shift).astype(np.int64), np.arange(len(keys))
         while len(todo):
             e = self.entry[at]
-            hit = (e >= 0) & (self.first[at] == a[todo]) & (self.second[at] == b[todo])
+            hit = (e >= 0) & (self.keys[e] == keys[todo]).all(axis=1)
             out[todo[hit]] = e[hit]
             on = (e >= 0) & ~hit
             at, todo = (at[on] + 1) & self.wrap, todo[on]
         return out
 
-    def add(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> int:
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> int:
         """Different new pieces with their ids one after the other; returns how many there was room for."""
-        n = min(len(a), len(self.start) - self.count, int(np.searchsorted(np.cumsum(sizes), self.most - self.used, "right")))
+        n = min(len(keys), len(self.start) - self.count, int(np.searchsorted(np.cumsum(sizes), self.most - self.used, "right")))
         if n <= 0:
             return 0
         numbers = np.arange(self.count, self.count + n)
         self.size[numbers] = sizes[:n]
         self.start[numbers] = self.used + np.cumsum(sizes[:n]) - sizes[:n]
+        self.keys[numbers] = keys[:n]
         total = int(sizes[:n].sum())
         self.ids[self.used : self.used + total] = ids[:total]
         self.used, self.count = self.used + total, self.count + n
-        at, todo = (a[:n] >> self.shift).astype(np.int64), np.arange(n)
+        at, todo = (hashed(keys[:n]) >> self.shift).astype(np.int64), np.arange(n)
         while len(todo):
             free = self.entry[at] < 0
             _, lead = np.unique(at, return_index=True)
             take = np.zeros(len(at), bool)
             take[lead] = True
             take &= free
-            s, t = at[take], todo[take]
-            self.entry[s], self.first[s], self.second[s] = numbers[t], a[t], b[t]
+            self.entry[at[take]] = numbers[todo[take]]
             at, todo = (at[~take] + 1) & self.wrap, todo[~take]
         return n
 
@@ -208,47 +216,38 @@ class MemoEncoder:
         if len(unsure):
             sure = ~np.isin(text_of, unsure)
             low, high, text_of = low[sure], high[sure], text_of[sure]
-        hashes = []
-        n = 1 << (len(data) - 1).bit_length()
-        for base in _BASES:
-            power, back = _powers(base, max(n, 1 << 18))
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data + np.uint64(1)) * power[: len(data)], out=total[1:])
-            hashes.append((total[high] - total[low]) * back[low])
-        a, b = hashes
-        a ^= a >> np.uint64(32)
-        a *= np.uint64(_BASES[0])
-        entry = self.table.find(a, b)
-        missing = np.flatnonzero(entry < 0)
+        length = high - low
+        padded = raw + bytes(LONGEST + 8)
+        keys = np.empty((len(low), LONGEST // 8 + 1), np.uint64)
+        for k in range(LONGEST // 8):
+            keys[:, k] = eights(padded, low + 8 * k, np.maximum(length - 8 * k, 0))
+        keys[:, -1] = length
+        short = length <= LONGEST
+        entry = np.full(len(low), -1, np.int64)
+        entry[short] = self.table.find(keys[short])
+        missing, known = np.flatnonzero(entry < 0), entry >= 0
+        at, size = np.empty(len(low), np.int64), np.empty(len(low), np.int64)
+        at[known], size[known] = self.table.start[entry[known]], self.table.size[entry[known]]
         if len(missing):
-            _, lead, back = np.unique(a[missing], return_index=True, return_inverse=True)
-            lead = missing[lead]
-            if not (b[missing] == b[lead[back]]).all():
-                raise ValueError("two pieces share a hash")
-            short = (high[lead] - low[lead]) <= LONGEST
-            order = np.concatenate((np.flatnonzero(short), np.flatnonzero(~short)))
-            new = lead[order]
-            sizes, ids = self._new([raw[i:j].decode() for i, j in zip(low[new].tolist(), high[new].tolist(), strict=True)])
-            table, k = self.table, int(short.sum())
-            first = table.count
-            put = table.add(a[new[:k]], b[new[:k]], sizes[:k], ids)
+            fresh, far = missing[short[missing]], missing[~short[missing]]
+            lead, back = leaders(keys[fresh])
+            lead = fresh[lead]
+            number: dict[bytes, int] = {}
+            far_back = np.array([number.setdefault(raw[i:j], len(number)) for i, j in zip(low[far].tolist(), high[far].tolist(), strict=True)], np.int64)
+            sizes, ids = self._new([raw[i:j].decode() for i, j in zip(low[lead].tolist(), high[lead].tolist(), strict=True)] + [x.decode() for x in number])
+            table, first = self.table, self.table.count
+            put = table.add(keys[lead], sizes[: len(lead)], ids)
             # What there was no room for lies behind the table's ids until the next batch.
             done = int(sizes[:put].sum())
             rest, extra = ids[done:], len(ids) - done
             if table.used + extra > len(table.ids):
                 table.ids = np.concatenate((table.ids[: table.used], np.zeros(2 * extra + (len(table.ids) - table.used), np.uint32)))
             table.ids[table.used : table.used + extra] = rest
-            begin, length = np.empty(len(new), np.int64), sizes
+            begin = np.empty(len(sizes), np.int64)
             begin[:put] = table.start[first : first + put]
             begin[put:] = table.used + np.cumsum(sizes[put:]) - sizes[put:]
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            at, size = np.empty(len(low), np.int64), np.empty(len(low), np.int64)
-            known = entry >= 0
-            at[known], size[known] = table.start[entry[known]], table.size[entry[known]]
-            at[missing], size[missing] = begin[rank[back]], length[rank[back]]
-        else:
-            at, size = self.table.start[entry], self.table.size[entry]
+            at[fresh], size[fresh] = begin[back], sizes[back]
+            at[far], size[far] = begin[len(lead) + far_back], sizes[len(lead) + far_back]
         ends = np.cumsum(size)
         ids = self.table.ids[np.repeat(at - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
         upto = np.concatenate(([0], ends))[np.searchsorted(text_of, np.arange(len(texts) + 1))]

@@ -2,12 +2,15 @@
 
 Words are what the characters of ``SPACE`` separate: as they are written, or ``plain``, in lower case and without
 the ASCII marks at their ends (a word of marks alone keeps them).
+
+A number comes from all bytes of a word, eight at a time, each eight mixed in before the next; there is no algebra by
+which plain inputs could share one. Where a single match counts, words are compared as such (``plain_words``).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,24 +19,47 @@ import pyarrow as pa
 BLOCK = 1 << 18
 _SPACE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
-_BASE = 0x9E3779B97F4A7C15
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+_MARK[[ord(c) for c in MARKS]] = True
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Bytes of a number's last eight that belong to the word, by how many there are.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _M2
+    x = (x ^ (x >> np.uint64(29))) * _M2
+    return x ^ (x >> np.uint64(32))
+
+
+def eights(data: bytes, low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The up to eight bytes from each place, little-endian, zero behind the first ``size``; data ends in eight bytes more."""
+    every = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    return every[low] & _KEEP[np.minimum(size, 8)]
+
+
+def slice_numbers(data: bytes, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A number for each slice of ``data``, which ends in eight bytes more than the slices need."""
+    size = high - low
+    out = mixed(eights(data, low, size) ^ (size.astype(np.uint64) * _M1))
+    todo, at = np.flatnonzero(size > 8), 8
+    while len(todo):
+        out[todo] = mixed((out[todo] + _M1) ^ eights(data, low[todo] + at, size[todo] - at))
+        at += 8
+        todo = todo[size[todo] > at]
+    return out
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE ** i and _BASE ** -i modulo 2 ** 64."""
-    out = []
-    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+def plain_words(text: str | None) -> list[str]:
+    """The words themselves, as ``word_numbers`` numbers them by default."""
+    return [w.strip(MARKS) or w for w in _WORD.findall((text or "").lower())]
 
 
 def _hashed(texts: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:
     """All words' numbers, and how many each text has."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    raw = b"".join(texts)
+    data = np.frombuffer(raw, np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
@@ -52,15 +78,7 @@ def _hashed(texts: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:
         first, last = np.searchsorted(told, low), np.searchsorted(told, high) - 1
         some = first <= last
         low[some], high[some] = told[first[some]], told[last[some]] + 1
-    power, back = _powers(max(2 * BLOCK, 1 << (len(data) - 1).bit_length()))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data + np.uint64(1)) * power[: len(data)], out=total[1:])
-    words = (total[high] - total[low]) * back[low]
-    for shift in (32, 29, 32):
-        words ^= words >> np.uint64(shift)
-        words *= np.uint64(0xD6E8FEB86659FD93)
-    words ^= words >> np.uint64(31)
-    return words, counts
+    return slice_numbers(raw + bytes(8), low, high), counts
 
 
 def _parts(text: bytes) -> list[bytes]:
