@@ -1,23 +1,27 @@
-"""Repeated passages by counts of hashed windows over sparse suffixes.
+"""Repeated passages by a sparse suffix array.
 
 Suffixes are retained only where a minimiser stands: among the hashes of ``GRAM`` words that begin in any
 ``LEAST - GRAM + 1`` neighbouring places the smallest is selected (all of equal ones). What is selected depends on the
-words alone, so that two copies of ``LEAST`` words retain suffixes at the same places. Retained suffixes are grouped
-by a hash of their first ``GRAM`` words; those that stand alone are dropped, after counting them by task. Of the others,
-occurrences with the same words around count as one class; in classes that share their first words the window is hashed
-for each way in which ``LEAST`` words can lie over the minimiser, and equal hashes are counted. Suffixes are not sorted
-further, neighbours are not compared and words are not compared beyond their hashes. What is found repeated are exactly the windows of ``LEAST`` words that occur
-in two places of the corpus or more; overlapping ones join to spans.
+words alone, so that two copies of ``LEAST`` words retain suffixes at the same places. Retained suffixes are dealt
+by their first ``GRAM`` words; those that stand alone are dropped, after counting them by task.
+
+Of the others, occurrences with the same words around count as one class. The classes of a task are sorted by the words
+that follow, and once more by the words before, nearest first. Neighbours are compared word by word, which gives how far each
+match extends to the right and to the left; neighbours that share that many words form the intervals of a suffix array. A
+window of ``LEAST`` words that begins d words before the minimiser is repeated if two occurrences share the interval of its d words to
+the left and that of the others to the right. What is found are exactly the windows of ``LEAST`` words that occur in
+two places of the corpus or more; overlapping ones join to spans.
 
 No occurrence of a hot passage needs to meet all others: equal ones are counted before the shuffle, classes of a key
-meet in one task only up to ``HOT_CLASSES``, and beyond that each window is counted by itself.
+meet in one task only up to ``HOT_CLASSES``, and beyond that each window is hashed and counted by itself.
 
-Words are what the characters of ``SPACE`` separate, as they are written. They are compared by hashes of 32 bits or more
-around and 64 bits in a minimiser.
+Words are what the characters of ``SPACE`` separate, as they are written. In a minimiser they are known by 64 bits, around
+it by 48 of these: two windows are taken for the same only if all 50 numbers agree in place, so that an error needs
+windows which differ in few words and a collision at each of these.
 
 Defined cases: null text is the empty text; texts of fewer than ``LEAST`` words have no span; repeats within one text
-count; rows with equal ``doc_id`` are each a text, their spans join under that id; rows with a null ``doc_id`` count as one
-id; an empty table gives no rows; further columns are ignored.
+count; rows with equal ``doc_id`` and different texts are each a text with spans of its own under that id, so are rows without a
+``doc_id``; rows that repeat whole give their spans once; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from tempoframe.llm.words import words_as_written
 
 LEAST, GRAM = 50, 26
 AROUND = LEAST - GRAM
+#: Bytes that are kept of the number of each word around.
+WORD_BYTES = 6
 #: Repeated keys (8 bytes each) are broadcast up to this number; beyond it documents are joined with theirs.
 BROADCAST_KEYS = 4_000_000
 HOT_CLASSES = 20_000
@@ -82,7 +88,7 @@ def minimisers(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("tid", F.xxhash64("text"))
 
 
 def repeated_keys(texts: DataFrame) -> DataFrame:
@@ -98,14 +104,26 @@ def repeated_keys(texts: DataFrame) -> DataFrame:
 
 
 def surroundings(words: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """AROUND words before (nearest first) and behind each minimiser in 32 bits, and how many the text has of either."""
+    """AROUND words before (nearest first) and behind each minimiser, and how many the text has of either."""
     text = np.searchsorted(starts, at, "right") - 1
     left, right = np.minimum(at - starts[text], AROUND), np.minimum(starts[text + 1] - at - GRAM, AROUND)
     step = np.arange(AROUND)
-    short = (words >> np.uint64(32)).astype(np.uint32)
-    before = np.where(step < left[:, None], short[np.maximum(at[:, None] - 1 - step, 0)], 0)
-    behind = np.where(step < right[:, None], short[np.minimum(at[:, None] + GRAM + step, len(words) - 1)], 0)
-    return np.concatenate((before, behind), axis=1).astype("<u4"), left, right
+    before = np.where(step < left[:, None], words[np.maximum(at[:, None] - 1 - step, 0)], 0)
+    behind = np.where(step < right[:, None], words[np.minimum(at[:, None] + GRAM + step, len(words) - 1)], 0)
+    return np.concatenate((before, behind), axis=1), left, right
+
+
+def packed(near: np.ndarray) -> pa.Array:
+    """The upper WORD_BYTES bytes of each number, a binary value for each row."""
+    data = near.astype("<u8").view(np.uint8).reshape(*near.shape, 8)[:, :, 8 - WORD_BYTES :].tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(near), [None, pa.py_buffer((np.arange(len(near) + 1) * near.shape[1] * WORD_BYTES).astype("<i4")), pa.py_buffer(data)])
+
+
+def unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * AROUND, WORD_BYTES)
+    out = np.zeros((len(data), 2 * AROUND, 8), np.uint8)
+    out[:, :, 8 - WORD_BYTES :] = data
+    return out.view("<u8")[:, :, 0]
 
 
 def occurrences(texts: DataFrame, keys: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -119,10 +137,10 @@ def occurrences(texts: DataFrame, keys: DataFrame, broadcast_keys: int = BROADCA
             for b in batches:
                 words, starts = words_as_written(b.column(1))
                 at, gram = minimisers(words, starts)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.searchsorted(starts, at, "right") - 1)), pa.array(gram.view(np.int64))], ["doc_id", "key"])
+                yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(np.searchsorted(starts, at, "right") - 1)), pa.array(gram.view(np.int64))], ["of", "key"])
 
-        each = texts.mapInArrow(own, "doc_id long, key long").distinct().join(keys, "key").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("key").alias("keys"))
-        texts = texts.join(staged(each), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "keys")
+        each = texts.mapInArrow(own, "of long, key long").distinct().join(keys, "key").groupBy("of").agg(F.collect_list("key").alias("keys"))
+        texts = texts.join(staged(each), F.col("tid") == F.col("of")).select("doc_id", "text", "tid", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,17 +152,16 @@ def occurrences(texts: DataFrame, keys: DataFrame, broadcast_keys: int = BROADCA
                 again = all_keys[np.minimum(np.searchsorted(all_keys, key), len(all_keys) - 1)] == key if len(all_keys) else np.zeros(len(key), bool)
             else:
                 again = np.zeros(len(key), bool)
-                for k, some in enumerate(b.column(2)):
+                for k, some in enumerate(b.column(3)):
                     mine = slice(*np.searchsorted(text, [k, k + 1]))
                     again[mine] = np.isin(key[mine], some.values.to_numpy())
             at, key, text = at[again], key[again], text[again]
             near, left, right = surroundings(words, starts, at)
-            ctx = near.astype(np.uint64) @ (_B ** np.arange(1, 2 * AROUND + 1, dtype=np.uint64)) + left.astype(np.uint64) * _A + right.astype(np.uint64)
-            rows = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * near.shape[1] * 4).astype("<i4")), pa.py_buffer(near.tobytes())])
-            columns = [b.column(0).take(pa.array(text)), pa.array((at - starts[text]).astype(np.int64)), pa.array(key), pa.array(ctx.view(np.int64)), rows, pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "key", "ctx", "near", "left", "right"])
+            ctx = near @ (_B ** np.arange(1, 2 * AROUND + 1, dtype=np.uint64)) + left.astype(np.uint64) * _A + right.astype(np.uint64)
+            columns = [b.column(0).take(pa.array(text)), b.column(2).take(pa.array(text)), pa.array((at - starts[text]).astype(np.int64)), pa.array(key), pa.array(ctx.view(np.int64)), packed(near), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tid", "place", "key", "ctx", "near", "left", "right"])
 
-    return staged(texts.mapInArrow(run, f"doc_id long, place long, {CLASS}"))
+    return staged(texts.mapInArrow(run, f"doc_id long, tid long, place long, {CLASS}"))
 
 
 def window_hashes(key: np.ndarray, near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,9 +181,23 @@ def window_hashes(key: np.ndarray, near: np.ndarray, left: np.ndarray, right: np
 
 def _arrays(table: pa.Table) -> tuple[np.ndarray, ...]:
     key, left, right = (table.column(c).to_numpy() for c in ("key", "left", "right"))
-    joined = table.column("near").combine_chunks()
-    data = b"".join(joined.to_pylist()) if len(joined) else b""
-    return key, np.frombuffer(data, "<u4").reshape(-1, 2 * AROUND), left, right
+    return key, unpacked(table.column("near")), left, right
+
+
+def intervals(key: np.ndarray, side: np.ndarray) -> Iterator[np.ndarray]:
+    """For 0, 1, ... words: number of the interval of each suffix, in which all share the key and so many words of that side.
+
+    The suffixes are sorted once; neighbours in that order are compared.
+    """
+    order = np.lexsort((*side.T[::-1], key))
+    alike = np.ones((len(key), side.shape[1] + 1), bool)
+    alike[1:, 1:] = side[order[1:]] == side[order[:-1]]
+    alike[1:, 0], alike[:1] = key[order[1:]] == key[order[:-1]], False
+    shared = np.where(alike.all(axis=1), side.shape[1] + 1, np.argmin(alike, axis=1)) - 1  # words, -1 for another key
+    for words in range(side.shape[1] + 1):
+        number = np.empty(len(key), np.int64)
+        number[order] = np.cumsum(shared < words)
+        yield number
 
 
 def _reach(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,11 +212,11 @@ def _verdicts(classes: DataFrame) -> DataFrame:
     def solve(table: pa.Table) -> pa.RecordBatch:
         key, near, left, right = _arrays(table)
         n = table.column("n").to_numpy()
-        hashes, there = window_hashes(key, near, left, right)
-        found = np.zeros(there.shape, bool)
+        before, behind = list(intervals(key, near[:, :AROUND])), list(intervals(key, near[:, AROUND:]))
+        found = np.zeros((len(key), AROUND + 1), bool)
         for d in range(AROUND + 1):
-            rows = np.flatnonzero(there[:, d])
-            _, same = np.unique(hashes[rows, d], return_inverse=True)
+            rows = np.flatnonzero((left >= d) & (right >= AROUND - d))
+            _, same = np.unique(before[d][rows] * (len(key) + 1) + behind[AROUND - d][rows], return_inverse=True)
             found[rows, d] = np.bincount(same, weights=n[rows])[same] > 1 if len(rows) else False
         most, fewest = _reach(found)
         some = found.any(axis=1)
@@ -233,11 +264,11 @@ def repeated_spans(docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS, hot_cl
     hot = staged(classes.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > hot_classes).select("key"))
     parts = [_verdicts(classes.join(hot, "key", "left_anti")), _hot_verdicts(classes.join(hot, "key", "left_semi"))]
     verdicts = staged(union_all(parts if not hot.isEmpty() else parts[:1]))
-    found = places.select("doc_id", "place", "key", "ctx").join(verdicts, ["key", "ctx"])
-    found = found.select("doc_id", (F.col("place") - F.col("most")).alias("start"), (F.col("place") - F.col("fewest") + LEAST).alias("end"))
-    # Spans of one document that overlap or touch join.
-    widest = found.groupBy("doc_id", "start").agg(F.max("end").alias("end"))
-    order = Window.partitionBy("doc_id").orderBy("start")
+    found = places.select("doc_id", "tid", "place", "key", "ctx").join(verdicts, ["key", "ctx"])
+    found = found.select("doc_id", "tid", (F.col("place") - F.col("most")).alias("start"), (F.col("place") - F.col("fewest") + LEAST).alias("end"))
+    # Spans of one text that overlap or touch join.
+    widest = found.groupBy("doc_id", "tid", "start").agg(F.max("end").alias("end"))
+    order = Window.partitionBy("doc_id", "tid").orderBy("start")
     fresh = widest.withColumn("new", (F.col("start") > F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
     numbered = fresh.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("doc_id", "span").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word")).drop("span")
+    return numbered.groupBy("doc_id", "tid", "span").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word")).drop("span", "tid")

@@ -36,35 +36,90 @@ def crc(ids):
 def plain_spans(pairs, least=50):
     words = [(i, re.findall(r"[^\x20\x09-\x0D]+", text_of(t))) for i, t in pairs]
     seen = collections.Counter(tuple(w[k : k + least]) for _, w in words for k in range(len(w) - least + 1))
-    by_id = collections.defaultdict(set)
-    for i, w in words:
-        by_id[i] |= {k for k in range(len(w) - least + 1) if seen[tuple(w[k : k + least])] > 1}
-    out = set()
-    for i, starts in by_id.items():
-        now = None
-        for k in sorted(starts):
+    out = collections.Counter()
+    for i, text in set(pairs):
+        w, now = re.findall(r"[^\x20\x09-\x0D]+", text_of(text)), None
+        for k in [k for k in range(len(w) - least + 1) if seen[tuple(w[k : k + least])] > 1]:
             if now and k <= now[1]:
                 now[1] = k + least
             else:
                 if now:
-                    out.add((i, *now))
+                    out[i, *now] += 1
                 now = [k, k + least]
         if now:
-            out.add((i, *now))
+            out[i, *now] += 1
     return out
 
 
 @pytest.mark.parametrize("options", [{}, {"broadcast_keys": 0}, {"hot_classes": 0}])
 def test_repeated_spans_are_those_of_all_windows(spark, odd, odd_pairs, options):
-    assert {tuple(r) for r in suffix_dedup.repeated_spans(odd, **options).collect()} == plain_spans(odd_pairs)
+    assert collections.Counter(tuple(r) for r in suffix_dedup.repeated_spans(odd, **options).collect()) == plain_spans(odd_pairs)
 
 
 def test_repeats_at_the_limit(spark):
     rng = random.Random(8)
     p49, p50 = prose(rng, 49, 10**6), prose(rng, 50, 10**6)
     pairs = [(i, f"{prose(rng, 40, 10**6)} {p} {prose(rng, 40, 10**6)}") for i, p in enumerate([p49, p49, p50, p50])]
-    got = {tuple(r) for r in suffix_dedup.repeated_spans(spark.createDataFrame(rows_of(pairs), SCHEMA)).collect()}
-    assert got == plain_spans(pairs) == {(2, 40, 90), (3, 40, 90)}
+    got = collections.Counter(tuple(r) for r in suffix_dedup.repeated_spans(spark.createDataFrame(rows_of(pairs), SCHEMA)).collect())
+    assert got == plain_spans(pairs) == collections.Counter([(2, 40, 90), (3, 40, 90)])
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_keys": 0}, {"hot_classes": 0}])
+def test_repeats_that_extend_differently(spark, options):
+    """Occurrences that share some words to the left with one copy and some to the right with another; ids that repeat or lack."""
+    rng = random.Random(12)
+    core, pairs = prose(rng, 60, 10**6).split(), []
+    for i in range(40):
+        a, b = rng.randrange(0, 25), rng.randrange(35, 60)
+        pairs.append((rng.choice([i, 3, None]), " ".join([prose(rng, 30, 10**6), *core[a:b], prose(rng, 30, 10**6)])))
+    two = prose(rng, 1, 2)
+    pairs += [(60, " ".join(rng.choice("ab") for _ in range(400))), (61, f"{two} " * 120)]
+    got = collections.Counter(tuple(r) for r in suffix_dedup.repeated_spans(spark.createDataFrame(rows_of(pairs), SCHEMA), **options).collect())
+    assert got == plain_spans(pairs) and len(got) > 3
+
+
+def paired_words(n):
+    """Two different words of n letters that polynomial hashes modulo powers of two do not tell apart."""
+    one = "a"
+    while len(one) < n:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_are_hard_to_tell_apart(spark):
+    rng = random.Random(14)
+    for n in (1024, 2048):
+        one, two = paired_words(n)
+        a, b = prose(rng, 30, 10**6), prose(rng, 30, 10**6)
+        pairs = [(0, f"{a} {one} {b}"), (1, f"{a} {two} {b}"), (2, f"{one} {two}")]
+        df = spark.createDataFrame(rows_of(pairs), SCHEMA).coalesce(1)
+        assert suffix_dedup.repeated_spans(df).isEmpty() and not plain_spans(pairs)
+        items = spark.createDataFrame([(7, f"{one} {one} {one}")], "item_id long, text string")
+        assert decontamination.contaminated(df, items).isEmpty()
+        for got, path, end in ((token_shards.token_shards(df, BYTES), BYTES, 2), (packing.best_fit_packing(df, WORDS), WORDS, 1)):
+            t = Tokenizer.from_file(path)
+            assert {r["doc_id"]: r["ids_crc32"] for r in got.collect()} == {i: crc(t.encode(x, add_special_tokens=False).ids + [end]) for i, x in pairs}
+
+
+def test_words_with_one_number_are_compared_as_words(monkeypatch):
+    def weak(texts, plain=True):
+        words = [decontamination.plain_words(t) for t in texts]
+        return np.array([len(w) for x in words for w in x], np.uint64), np.cumsum([0, *map(len, words)])
+
+    monkeypatch.setattr(decontamination, "word_numbers", weak)
+    items = [(1, " ".join("abcdefghijklmno")), (2, "ab cd ef")]
+    index = decontamination.SeedIndex(items)
+    assert index.found([" ".join("abcdefghijklmno"), " ".join("onmlkjihgfedcba"), "x ab cd ef", "x ab cd eg"], 13, 0.8) == [(0, 1, 0, 15, 15), (2, 2, 1, 4, 3)]
+
+
+def test_pieces_with_one_hash_are_told_apart(monkeypatch):
+    from tempoframe.llm import memo_tokens
+
+    monkeypatch.setattr(memo_tokens, "hashed", lambda keys: keys[:, -1] << np.uint64(60))
+    t, m = Tokenizer.from_file(BYTES), MemoEncoder(BYTES, "kept", 4000)
+    texts = [prose(random.Random(3), 300), "nul \x00 a\x00 a a\x00\x00"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in m.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 # 2
@@ -304,8 +359,56 @@ def test_seeds_miss_no_accepted_overlap():
     index = decontamination.SeedIndex([(7, " ".join(f"w{i}" for i in range(16)))])
     for gone in itertools.combinations(range(16), 3):
         text = " ".join("other" if i in gone else f"w{i}" for i in range(16))
-        accepted = index.overlap(0, word_numbers([text])[0], 0, decontamination.LEAST, decontamination.SHARE)
-        assert index.found([text], decontamination.LEAST, decontamination.SHARE) == ([(0, 7, *accepted)] if accepted else [])
+        accepted = index.overlaps(0, word_numbers([text])[0], np.zeros(1, np.int64), decontamination.LEAST, decontamination.SHARE)
+        assert index.found([text], decontamination.LEAST, decontamination.SHARE) == [(0, 7, *best) for best in accepted]
+
+
+def test_overlaps_are_those_of_all_alignments():
+    rng = random.Random(1)
+    for _ in range(60):
+        some = rng.choice([1, 2, 3, 30])
+        items = [(i, prose(rng, rng.randrange(40), some)) for i in range(4)] + [(9, "a b c " * 9)]
+        texts = ["a b c " * 20]
+        for _ in range(3):
+            own = rng.choice(items)[1].split()
+            for _ in range(len(own) // 7):
+                own[rng.randrange(len(own))] = "sub"
+            texts.append(f"{prose(rng, rng.randrange(60), some)} {' '.join(own)} {prose(rng, rng.randrange(5), some)}")
+        expected = set()
+        for (d, t), (i, x) in itertools.product(enumerate(texts), items):
+            words, own = t.split(), x.split()
+            for shift in range(1 - len(own), len(words)):
+                same = [(j, own[j] == words[shift + j]) for j in range(len(own)) if 0 <= shift + j < len(words)]
+                best = (-1.0, 0, 0, 0)
+                for a in range(len(same)):
+                    worth, matched = 0.0, 0
+                    for b in range(a, len(same)):
+                        worth, matched = worth + (1 if same[b][1] else -4), matched + same[b][1]
+                        if worth > best[0] + 1e-6 or (worth > best[0] - 1e-6 and b + 1 == best[2]):
+                            best = (worth, a, b + 1, matched)
+                if same and best[3] >= min(13, len(own)):
+                    expected.add((d, i, shift + same[0][0] + best[1], shift + same[0][0] + best[2]))
+        assert {r[:4] for r in decontamination.SeedIndex(items).found(texts, 13, 0.8)} == expected
+
+
+def test_accepted_overlaps_of_any_length_are_found():
+    rng = random.Random(17)
+    for n in range(13, 61):
+        for share in (0.8, 0.85, 0.9, 0.95, 1.0):
+            item = [f"w{j}" for j in range(n)]
+            index, found, accepted = decontamination.SeedIndex([(1, " ".join(item))]), 0, 0
+            for _ in range(12):
+                gone = set(rng.sample(range(n), round(n * (1 - share))))
+                text = " ".join("other" if j in gone else w for j, w in enumerate(item))
+                accepted += bool(index.overlaps(0, word_numbers([text])[0], np.zeros(1, np.int64), 13, 0.8))
+                found += bool(index.found([text], 13, 0.8))
+            assert found == accepted
+
+
+def test_one_repeated_word_does_not_multiply():
+    index = decontamination.SeedIndex([(1, "la " * 400), (2, "la " * 400)])
+    words, starts = word_numbers(["la " * 4000])
+    assert len(index.hits(words, starts)[0]) < 2 * 4400 and len(index.place) < 20
 
 
 def test_words():
