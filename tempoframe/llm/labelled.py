@@ -48,11 +48,19 @@ class Logistic:
             return
         penalty = ridge * len(x) * np.eye(z.shape[1])
         penalty[-1, -1] = 0 if intercept else 1
+
+        def loss(weights: np.ndarray) -> float:
+            margin = z @ weights
+            return float((np.logaddexp(0, margin) - y * margin).sum() + weights @ penalty @ weights / 2)
+
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(z @ self.weights, -40, 40)))
             step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty + 1e-9 * np.eye(z.shape[1]), z.T @ (p - y) + penalty @ self.weights)
-            self.weights = self.weights - step
-            if np.abs(step).max() < 1e-8:
+            share = 1.0  # a whole step may lead away from the least loss where the classes lie far apart
+            while share > 1e-4 and loss(self.weights - share * step) > loss(self.weights):
+                share /= 2
+            self.weights = self.weights - share * step
+            if np.abs(share * step).max() < 1e-8:
                 break
 
     def margin(self, x: np.ndarray) -> np.ndarray:

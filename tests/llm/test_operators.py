@@ -218,12 +218,65 @@ def test_labels_of_held_out_rows_are_not_learnt(spark):
     assert {tuple(r) for r in toxicity.toxicity(docs, labels).collect()} == {tuple(r) for r in toxicity.toxicity(docs, turned).collect()}
 
 
-def test_log_ratios_are_those_of_proper_models():
-    rng = np.random.default_rng(0)
-    number = np.unique(rng.integers(0, 32**5, 4000))
-    toxic, ordinary = rng.integers(0, 5, len(number)), rng.integers(0, 9, len(number))
-    ratio = toxicity.log_ratios(number, toxic, ordinary).astype(float)
-    assert np.isfinite(ratio).all() and ratio[number[(toxic > 3) & (ordinary == 0)]].mean() > 0 > ratio[number[(toxic == 0) & (ordinary > 6)]].mean()
+def plain_models(docs):
+    """Ratios of words and of pairs by dictionaries; docs: (text, label). Words are told by their numbers only for the classes before them."""
+    number = {w: int(n) for text, _ in docs for w, n in zip(text.split(), word_numbers([text])[0], strict=True)}
+    count, follow, kinds = [collections.Counter() for _ in "01"], [collections.Counter() for _ in "01"], collections.defaultdict(set)
+    for text, label in docs:
+        before = None
+        for w in text.split():
+            count[label][w] += 1
+            follow[label][before, w] += 1
+            kinds[w].add(int(toxicity.mixed(np.array([number.get(before, 0)], np.uint64))[0]) >> 58)
+            before = w
+    total, k, v = [sum(c.values()) for c in count], sum(map(len, kinds.values())), len(kinds)
+
+    def single(c, w):
+        shared = (len(kinds[w]) - 0.75) / k + 0.75 * v / k / (v + 1)
+        return (max(count[c][w] - 0.75, 0) + 0.75 * len(count[c]) * shared) / total[c]
+
+    def ratio(p):
+        return np.log(p[1]) - np.log(p[0])
+
+    words = {w: ratio([single(c, w) for c in (0, 1)]) for w in kinds if count[0][w] + count[1][w] >= 2}
+    pairs, weights = {}, {}
+    for h in [h for h, r in words.items() if abs(r) >= 1]:
+        own = [{w: n for (b, w), n in follow[c].items() if b == h} for c in (0, 1)]
+        free = [0.75 * len(o) / sum(o.values()) if o else 1 for o in own]
+        if own[0] or own[1]:
+            weights[h] = ratio(free)
+        for w in own[0].keys() | own[1].keys():
+            if w in words and own[0].get(w, 0) + own[1].get(w, 0) >= 2:
+                r = ratio([(max(o.get(w, 0) - 0.75, 0) / sum(o.values()) if o else 0) + f * single(c, w) for c, (o, f) in enumerate(zip(own, free, strict=True))])
+                if abs(r - weights[h] - words[w]) >= 0.25:
+                    pairs[h, w] = r
+    return number, words, weights, pairs
+
+
+def test_ratios_are_those_of_models_by_dictionaries(spark):
+    rng, docs = random.Random(21), []
+    for i in range(120):
+        label = int(i % 3 == 0)
+        words = prose(rng, rng.randrange(1, 80), 120).split()
+        docs.append((" ".join(f"vile {w}" if label and rng.random() < 0.2 else f"fair {w}" if not label and rng.random() < 0.1 else w for w in words), label))
+    number, words, weights, pairs = plain_models(docs)
+    model = toxicity.WordModel(spark.createDataFrame(docs, "text string, label int"))
+    signed = lambda w: number[w] - (1 << 64) if number[w] >> 63 else number[w]
+    close = lambda got, want: got.keys() == want.keys() and all(abs(got[x] / toxicity.SCALE - want[x]) < 2e-5 for x in want)
+    rows = model.words.collect()
+    assert close({r["word"]: r["ratio"] for r in rows}, {signed(w): r for w, r in words.items()})
+    assert close({r["word"]: r["weight"] for r in rows}, {signed(w): weights.get(w, 0) for w in words})
+    assert len(pairs) > 20 and close({(r["before"], r["word"]): r["ratio"] for r in model.pairs.collect()}, {(signed(h), signed(w)): r for (h, w), r in pairs.items()})
+    # Evidence by a loop over the words of each text.
+    texts, unseen = [docs[0][0], "", "vile unheard vile", docs[1][0] + " vile w3"], model.unseen / toxicity.SCALE
+    for text, x in zip(texts, toxicity.evidence(texts, model.arrays()), strict=True):
+        sums, own = np.zeros(8), text.split()
+        for before, w in zip([None, *own], own, strict=False):
+            one = words.get(w, unseen)
+            both = pairs.get((before, w), weights.get(before, 0) + one)
+            for k, r in enumerate((both, one)):
+                sums[4 * k : 4 * k + 4] += [r, max(r - 1, 0), max(r - 2, 0), max(-r - 1, 0)]
+        assert np.allclose(x, [*(sums / max(len(own), 1)), np.log(max(len(own), 1))], atol=1e-4)
 
 
 def test_toxic_words_of_equal_character_classes_are_told_apart(spark):
@@ -238,7 +291,9 @@ def test_toxic_words_of_equal_character_classes_are_told_apart(spark):
         labels.append((i, toxic))
     df, marked = spark.createDataFrame(rows_of(docs), SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
     got = [sorted(map(tuple, toxicity.toxicity(df, marked, **options).collect())) for options in ({}, {"broadcast_words": 0, "broadcast_pairs": 0})]
-    assert got[0] == got[1]
+    assert [r[:2] + r[3:] for r in got[0]] == [r[:2] + r[3:] for r in got[1]] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(*got, strict=True))
+    left = [sorted(r[0] for r in toxicity.without_toxic(df, marked, **options).select("doc_id").collect()) for options in ({}, {"broadcast_words": 0}, {"broadcast_pairs": 0, "broadcast_ids": 0})]
+    assert left[0] == left[1] == left[2] == [r[0] for r in got[0] if r[2] < 0.5]
     held = [(p, labels[i][1]) for i, h, _, p in got[0] if h]
     assert sum(p == t for p, t in held) / len(held) > 0.97
 
