@@ -9,6 +9,7 @@ from tempoframe.operators import beats as B, peaks as P, scoring as S, signal as
 from tempoframe.plans import relations as R
 from tempoframe.plans.relations import sql
 from tempoframe.sources import readers, sinks
+from tempoframe.sources.folders import shared_folder
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -106,7 +107,7 @@ def streamed(s, d):
     from tempoframe.streaming.tracker import stream_beats
 
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    folder = sinks.scratch(s)
+    folder = shared_folder(s)
     seq, size = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seq"), 5880
     pieces = tones(s, d).select("track_id", seq, "samples").select("track_id", "seq", F.slice("samples", F.col("seq") * size + 1, size).alias("samples"), (F.col("seq") == 2).alias("is_last"))
     for k in range(3):
@@ -120,7 +121,7 @@ def streamed(s, d):
 @query("i3_memoised")
 def memoised(s, d):
     """Grids of all tracks: the first half is stored before, only the others are analysed, and all come back."""
-    folder = sinks.scratch(s)
+    folder = shared_folder(s)
     grids = R.beats(s, d).groupBy("track_id").agg(F.array_sort(F.collect_list("beat_ms")).alias("beats"))
     keys = grids.select(F.col("track_id").cast("string").alias("path"), sinks.cache_key("b", F.col("track_id").cast("string"), F.size("beats"), F.lit(0)).alias("cache_key"))
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -14,22 +11,6 @@ from pyspark.sql import functions as F
 CACHE = "cache_key string, metrical_shift int, beats array<double>"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or a local one where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tempoframe-")
-    path = f"{base.rstrip('/')}/tempoframe/{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have gone already
-        pass
-
-
 def reading(detector: str | None = None, search: bool = False) -> str:
     """Which way of reading beats a result belongs to."""
     return f"detector:{detector}" if detector else "search" if search else "peaks"
