@@ -1,49 +1,16 @@
-"""Files that all executors see, and small helpers of the operators."""
+"""Written tables that later steps read, and small helpers of the operators."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempoframe.sources.folders import shared_folder
+
 #: What the contracts call white space, as a Java and Python character class.
 SPACE = r"[\x20\x09-\x0D]"
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tempoframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if not re.match(r"\w+:", base):
-        base = f"file://{base}"
-    path = f"{base.rstrip('/')}/tempoframe/{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(clean)
-    _made.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def clean() -> None:
-    """Deletes what this process wrote with ``shared_folder``."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            remove(spark, path)
-        except Exception:  # the session may have gone already
-            pass
 
 
 def staged(df: DataFrame) -> DataFrame:

@@ -4,13 +4,13 @@ Texts are dealt by ranges of ``doc_id`` and encoded in that order; each task wri
 of tokens. A shard holds its alphabet by falling frequency and one bit-plane for each bit of the codes, cut into
 frames that are compressed singly, with the ones before each frame. That gives, without decoding the rest: the
 token at a place (``access``), how often a token occurs before a place (``rank``, ``count``) and where its k-th
-occurrence is (``select``, ``occurrences``).
+occurrence is (``select``, ``occurrences``). An opened frame keeps the ones before each of its ``WORD`` bits, so that a rank
+costs one count of a word for each plane.
 
-Files are written under a temporary name and moved, and a repeated task writes the same bytes to the same name,
-so that lost executors and speculative copies do no harm.
+Files are read by the names in the manifest, so that what lost executors and speculative copies wrote besides is not read.
 
 Defined cases: null text is the empty text (just the end id); rows with a null ``doc_id`` come first; rows with
-equal ``doc_id`` are ordered by text, repeated rows stay; an empty table writes no file and gives no rows;
+equal ``doc_id`` are ordered by a hash of the text, then the text, repeated rows stay; an empty table writes no file and gives no rows;
 further columns are ignored.
 """
 
@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempoframe.llm.files import write_atomically
+from tempoframe.llm.files import dealt_files, new_name, read_file, write_file
 from tempoframe.llm.memo_tokens import memo_encoder
 from tempoframe.llm.shared import bounded_batches, partitions, shared_folder, staged, text_or_empty
 
 MAGIC = b"TFWM0001"
-FRAME = 1 << 16  # bits
+FRAME, WORD = 1 << 16, 64  # bits
 
 
 class WaveletMatrix:
@@ -92,7 +92,7 @@ class WaveletMatrix:
         self.alphabet, frames = self.array("alphabet"), self.array("frames")
         self.frames = frames.reshape(self.planes, -1, 3).astype(np.int64) if self.planes else frames
         self._codes: dict[int, int] | None = None
-        self._kept: dict[tuple[int, int], np.ndarray] = {}
+        self._kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def _part(self, at: int, size: int) -> bytes:
         return self._open.decompress(self.data[self.base + at : self.base + at + size])
@@ -101,28 +101,45 @@ class WaveletMatrix:
         at, size, kind, shape = self.head["where"][name]
         return np.frombuffer(self._part(at, size), kind).reshape(shape)
 
-    def _frame(self, plane: int, f: int) -> np.ndarray:
+    def _frame(self, plane: int, f: int) -> tuple[np.ndarray, np.ndarray]:
+        """The frame's bits in words, and the ones before each word (and in all)."""
         if (plane, f) not in self._kept:
             if len(self._kept) >= 1024:
                 self._kept.clear()
             at, size, _ = self.frames[plane, f]
-            self._kept[plane, f] = np.unpackbits(np.frombuffer(self._part(at, size), np.uint8), bitorder="little")
+            data = self._part(at, size)
+            words = np.frombuffer(data + bytes(-len(data) % 8), "<u8")
+            before = np.zeros(len(words) + 1, np.int64)
+            np.cumsum(np.bitwise_count(words), out=before[1:])
+            self._kept[plane, f] = words, before
         return self._kept[plane, f]
 
+    def _bit(self, plane: int, i: int) -> int:
+        f, rest = divmod(i, FRAME)
+        return int(self._frame(plane, f)[0][rest // WORD]) >> rest % WORD & 1
+
     def _ones(self, plane: int, i: int) -> int:
         """Ones of a plane before place i."""
         if i >= self.n:
             return self.n - self.zeros[plane]
         f, rest = divmod(i, FRAME)
-        return int(self.frames[plane, f, 2]) + int(np.count_nonzero(self._frame(plane, f)[:rest]))
+        words, before = self._frame(plane, f)
+        w, rest = divmod(rest, WORD)
+        return int(self.frames[plane, f, 2]) + int(before[w]) + (int(words[w]) & ((1 << rest) - 1)).bit_count()
 
     def _place(self, plane: int, bit: int, k: int) -> int:
         """Where the k-th (from 0) one or zero of a plane is."""
         ones = self.frames[plane, :, 2]
         before = ones if bit else np.arange(len(ones)) * FRAME - ones
         f = int(np.searchsorted(before, k, side="right")) - 1
-        left = min(FRAME, self.n - f * FRAME)
-        return f * FRAME + int(np.flatnonzero(self._frame(plane, f)[:left] == bit)[k - int(before[f])])
+        words, inner = self._frame(plane, f)
+        inner = inner if bit else np.arange(len(inner)) * WORD - inner
+        left = k - int(before[f])
+        w = int(np.searchsorted(inner, left, side="right")) - 1
+        word, left = int(words[w]) if bit else ~int(words[w]) & ((1 << WORD) - 1), left - int(inner[w])
+        for _ in range(left):
+            word &= word - 1
+        return f * FRAME + w * WORD + (word & -word).bit_length() - 1
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
@@ -130,7 +147,7 @@ class WaveletMatrix:
         code = 0
         for p in range(self.planes):
             ones = self._ones(p, i)
-            bit = int(self._frame(p, i // FRAME)[i % FRAME])
+            bit = self._bit(p, i)
             code, i = code * 2 + bit, self.zeros[p] + ones if bit else i - ones
         return int(self.alphabet[code])
 
@@ -192,7 +209,9 @@ def write_token_shards(docs: DataFrame, folder: str, vocabulary: str, spaces: st
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    dealt = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that share an id, or have none, are ranged by their text's hash as well: no id is one task's.
+    ranged = ["doc_id", "hash", "text"]
+    dealt = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(partitions(spark), *ranged[:2]).sortWithinPartitions(*ranged).drop("hash")
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +224,8 @@ def write_token_shards(docs: DataFrame, folder: str, vocabulary: str, spaces: st
             nonlocal ids, texts, size, number, before
             lengths = np.array([len(t) // 4 for t in texts], np.int64)
             arrays = {"doc_ids": np.array([i or 0 for i in ids], np.int64), "no_id": np.array([i is None for i in ids], np.uint8), "lengths": lengths}
-            name = f"shard-{part:06d}-{number:06d}.twm"
-            write_atomically(folder, name, WaveletMatrix.encode(np.frombuffer(b"".join(texts), "<u4"), {"part": part, "number": number, "before": before}, arrays))
+            name = new_name("shard", number, "twm")
+            write_file(folder, name, WaveletMatrix.encode(np.frombuffer(b"".join(texts), "<u4"), {"part": part, "number": number, "before": before}, arrays))
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "number": pa.array([number], pa.int64()), "name": [name], "before": pa.array([before], pa.int64()), "n_tokens": pa.array([size // 4], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64())})
             number, before = number + 1, before + size // 4
             ids, texts, size = [], [], 0
@@ -239,17 +258,18 @@ def read_token_shards(spark: SparkSession, folder: str, manifest: DataFrame) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                shard = WaveletMatrix(content.as_buffer().to_pybytes())
+            for name, n_docs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                shard = WaveletMatrix(read_file(folder, name))
                 ids, none, lengths = shard.array("doc_ids"), shard.array("no_id"), shard.array("lengths")
+                if len(ids) != n_docs:
+                    raise ValueError(f"{name}: {len(ids)} documents, {n_docs} in the manifest")
                 places = np.cumsum(lengths) - lengths
                 data = memoryview(shard.tokens().astype("<u4").tobytes())
                 crc = [zlib.crc32(data[4 * p : 4 * (p + n)]) for p, n in zip(places.tolist(), lengths.tolist(), strict=True)]
                 start = places + shard.head["before"] + earlier[shard.head["part"]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=none.astype(bool)), pa.array(start), pa.array(lengths), pa.array(crc, pa.int64()), pa.array([path.rpartition("/")[2]] * len(ids), pa.string()), pa.array(places)], ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=none.astype(bool)), pa.array(start), pa.array(lengths), pa.array(crc, pa.int64()), pa.array([name] * len(ids), pa.string()), pa.array(places)], ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "place"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.twm").load(folder).select("path", "content")
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string, place long")
+    return dealt_files(manifest.select("name", "n_docs")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string, place long")
 
 
 def token_shards(docs: DataFrame, vocabulary: str, spaces: str = "kept", end_id: int = 2, shard_tokens: int = 1 << 21, folder: str | None = None) -> DataFrame:

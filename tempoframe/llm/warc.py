@@ -2,12 +2,12 @@
 
 Writing: each page becomes one record, gzipped by itself. Of equal payloads of at least ``least`` bytes the page with
 the largest id is written as a response, the others as revisits that name it and keep only the HTTP head. Each task
-writes the archives of its own partition, under a temporary name that is then moved, so that a repeated task writes
-the same files again.
+writes the archives of its own partition and lists them in a manifest; only archives that it names are read, with the
+number of records that it gives.
 
 Reading: each archive is read whole and gives a capture run, sorted by URL key, time and page. The runs are dealt by
-ranges of that order; in each range a loser tree merges the runs' parts, so that the ranges one after the other are
-the capture history of all archives.
+ranges of that order, ``RANGE_ROWS`` captures in each, about, however many there are; in each range a loser tree merges the
+runs' parts, so that the ranges one after the other are the capture history of all archives.
 
 Defined cases: null html is the empty payload; null or odd URLs have the key of what can be read of them; rows that
 repeat with the same page and payload are records each, of the same type; a null ``page_id`` is the smallest; an empty
@@ -24,18 +24,21 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempoframe.llm.files import write_atomically
-from tempoframe.llm.shared import bounded_batches, partitions, shared_folder, staged
+from tempoframe.llm.files import dealt_files, new_name, read_file, write_file
+from tempoframe.llm.shared import bounded_batches, shared_folder, staged
 
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Groups of equal payloads are broadcast up to this number (two digests and an id each), else joined by shuffling.
 BROADCAST_ROWS = 200_000
+#: Captures that one task merges, about: they and their keys are in its memory.
+RANGE_ROWS = 100_000
 CAPTURE = "url_key string, captured string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, offset long, length long"
 ORDER = ["url_key", "captured", "page_id"]
 
@@ -119,17 +122,17 @@ def decided(pages: DataFrame, least: int = 1000) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 1000, archive_bytes: int = 32 << 20) -> DataFrame:
-    """Writes ``*.warc.gz`` below ``folder`` (a URI); returns a written table of name, records, bytes."""
+    """Writes archives below ``folder`` (a URI); returns their manifest, a written table of name, records, bytes."""
     bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, size, records, held = TaskContext.get().partitionId(), 0, 0, 0, []
+        number, size, records, held = 0, 0, 0, []
 
         def flush() -> pa.RecordBatch:
             nonlocal number, size, records, held
-            name = f"pages-{part:06d}-{number:06d}.warc.gz"
+            name = new_name("pages", number, "warc.gz")
             data = b"".join(held)
-            write_atomically(folder, name, data)
+            write_file(folder, name, data)
             row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64()), pa.array([len(data)], pa.int64())], ["name", "records", "bytes"])
             number, size, records, held = number + 1, 0, 0, []
             return row
@@ -146,28 +149,30 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000, archive_byt
     return staged(decided(pages, least).mapInArrow(run, "name string, records long, bytes long"))
 
 
-def capture_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """The captures of each archive, sorted by ORDER; payload length and digest are those of the stored payload."""
+def capture_runs(folder: str, manifest: DataFrame) -> DataFrame:
+    """The captures of each archive of the manifest, sorted by ORDER; payload length and digest are those of the stored payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for name, records in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows = []
-                for offset, length, f, block in warc_records(content.as_buffer().to_pybytes()):
+                for offset, length, f, block in warc_records(read_file(folder, name)):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     page = int(f["x-page-id"]) if f["x-page-id"] else None
                     named = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
                     size = int(next(x for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
                     refers = f.get("x-refers-to-page-id") or None
                     if f["warc-type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != named):
-                        raise ValueError(f"{path} at {offset}: the payload is not what its head says")
-                    rows.append((url_key(f["warc-target-uri"]), f["warc-date"], page, f["warc-target-uri"], f["warc-type"], size, named, refers and int(refers), path.rpartition("/")[2], offset, length))
+                        raise ValueError(f"{name} at {offset}: the payload is not what its head says")
+                    rows.append((url_key(f["warc-target-uri"]), f["warc-date"], page, f["warc-target-uri"], f["warc-type"], size, named, refers and int(refers), name, offset, length))
+                if len(rows) != records:
+                    raise ValueError(f"{name}: {len(rows)} records, {records} in the manifest")
                 rows.sort(key=lambda r: (r[0], r[1], -1 if r[2] is None else r[2], r[9]))
                 kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
                 names = [c.split()[0] for c in CAPTURE.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content").mapInArrow(run, CAPTURE)
+    return dealt_files(manifest.select("name", "records")).mapInArrow(run, CAPTURE)
 
 
 class LoserTree:
@@ -211,30 +216,43 @@ class LoserTree:
             self.winner = i
 
 
-def merged_captures(runs: DataFrame) -> DataFrame:
+def merged_captures(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The rows of all runs, each partition in ORDER and before the next."""
-    spark = runs.sparkSession
-    dealt = runs.repartitionByRange(partitions(spark), *ORDER).sortWithinPartitions("archive", *ORDER, "offset")  # each run's part by itself
+    ranges = max(1, -(-runs.count() // range_rows))
+    dealt = runs.repartitionByRange(ranges, *ORDER, "archive", "offset").sortWithinPartitions("archive", *ORDER, "offset")  # each run's part by itself
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
-        keys = list(zip(*(table.column(c).to_pylist() for c in ORDER), strict=True))
-        archive = table.column("archive").to_pylist()
-        cuts = [0, *(i for i in range(1, len(archive)) if archive[i] != archive[i - 1]), len(archive)]
-        parts = [iter(range(i, j)) for i, j in zip(cuts, cuts[1:], strict=False)]
-        tree = LoserTree(parts, lambda i: (keys[i][0], keys[i][1], -1 if keys[i][2] is None else keys[i][2]))
-        yield from table.take(pa.array(list(tree), pa.int64())).to_batches(10_000)
+        del held
+        columns = [table.column(c) for c in ORDER]
+        archive = table.column("archive")
+        cuts = [0, *np.flatnonzero(pc.not_equal(archive.slice(1), archive.slice(0, len(archive) - 1)).to_numpy()) + 1, len(archive)]
+        parts = [iter(range(i, j)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+        def key(i: int) -> tuple:
+            url, captured, page = (c[i].as_py() for c in columns)
+            return url, captured, -1 if page is None else page
+
+        order: list[int] = []
+        for i in LoserTree(parts, key):
+            order.append(i)
+            if len(order) == 10_000:
+                yield from table.take(pa.array(order, pa.int64())).combine_chunks().to_batches()
+                order = []
+        if order:
+            yield from table.take(pa.array(order, pa.int64())).combine_chunks().to_batches()
 
     return dealt.mapInArrow(run, CAPTURE)
 
 
-def warc_captures(pages: DataFrame, folder: str | None = None, least: int = 1000, archive_bytes: int = 32 << 20) -> DataFrame:
+def warc_captures(pages: DataFrame, folder: str | None = None, least: int = 1000, archive_bytes: int = 32 << 20, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Writes the archives, reads them back and merges their runs; columns of CAPTURE."""
     spark = pages.sparkSession
     folder = folder or shared_folder(spark)
-    if write_archives(pages, folder, least, archive_bytes).isEmpty():
+    manifest = write_archives(pages, folder, least, archive_bytes)
+    if manifest.isEmpty():
         return spark.createDataFrame([], CAPTURE)
-    return merged_captures(staged(capture_runs(spark, folder)))
+    return merged_captures(staged(capture_runs(folder, manifest)), range_rows)

@@ -152,7 +152,8 @@ def test_memo_ids_are_the_tokenizers(path, spaces, odd_pairs):
 def test_token_shards(spark, odd, odd_pairs, none):
     t = Tokenizer.from_file(BYTES)
     expected, start = [], 0
-    for i, text in sorted(((i, text_of(x)) for i, x in odd_pairs), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    hashes = {text_of(r["t"]): r["h"] for r in odd.select(F.col("text").alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    for i, text in sorted(((i, text_of(x)) for i, x in odd_pairs), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]])):
         ids = t.encode(text, add_special_tokens=False).ids + [2]
         expected.append((i, start, len(ids), crc(ids)))
         start += len(ids)
@@ -598,10 +599,34 @@ def test_long_near_copies_are_decided_exactly(spark, options):
     assert {(a, b) for a, b, _ in whole if got[a] == got[b]} == {(a, b) for a, b, s in whole if s >= 0.8}
 
 
-def test_files_are_moved_into_place(spark, tmp_path):
-    from tempoframe.llm.files import write_atomically
-
-    for data in (b"one", b"two"):
-        write_atomically(f"file://{tmp_path}/d", "f.bin", data)
-    assert [(p.name, p.read_bytes()) for p in (tmp_path / "d").iterdir()] == [("f.bin", b"two")]
-    assert shared_folder(spark).startswith("file:")
+def test_files_of_other_attempts_are_not_read(spark, tmp_path):
+    """The work runs twice into one folder, in another order; each manifest reads its own files."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.example.com/{i}", f"<p>{i}</p>" * 30) for i in range(200)], "page_id long, url string, html string")
+    docs = spark.createDataFrame([(i, f"text {i} " * 5) for i in range(200)], "doc_id long, text string")
+    folder, expected = f"file://{tmp_path}", None
+    for df, rows, name in ((pages, lambda: warc.warc_captures(pages_in(), f"{folder}/w", archive_bytes=3000), "w"), (docs, lambda: token_shards.token_shards(docs_in(), BYTES, shard_tokens=500, folder=f"{folder}/t"), "t")):
+        expected = None
+        for order in ("a", "b"):
+            mixed = df.repartition(3 if order == "a" else 5, F.rand(1 if order == "a" else 2))
+            pages_in = docs_in = lambda m=mixed: m
+            got = sorted(tuple(r[c] for c in r.asDict() if c not in ("archive", "offset", "shard", "place", "length")) for r in rows().collect())
+            assert len(got) == 200 and (expected is None or got == expected)
+            expected = got
+        assert len(list((tmp_path / name).iterdir())) > 4
+
+
+def test_ranges_of_captures_follow_each_other(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i % 9}.example.com/{i % 31}", f"<p>{i}</p>") for i in range(500)] + [(7, "http://h7.example.com/7", "<p>7</p>")] * 40, "page_id long, url string, html string")
+    got = warc.warc_captures(pages, archive_bytes=2000, range_rows=60)
+    assert got.rdd.getNumPartitions() > 5
+    order = [(r["url_key"], r["captured"], r["page_id"]) for r in got.collect()]
+    assert order == sorted(order) and len(order) == 540
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Other:
+        conf, sparkContext = type("C", (), {"get": lambda *_: None})(), type("S", (), {"master": "spark://somewhere:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Other())
+    assert shared_folder(spark).startswith("file:///")
