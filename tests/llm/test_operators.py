@@ -561,8 +561,8 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("limit", [2048, 2])
-def test_near_copies(spark, odd, odd_pairs, none, limit):
+@pytest.mark.parametrize("options", [{}, {"limit": 2}, {"limit": 3, "part_shingles": 300}])
+def test_near_copies(spark, odd, odd_pairs, none, options):
     rng = random.Random(5)
     base = prose(rng, 150, 5000).split()
     copies = []
@@ -570,17 +570,21 @@ def test_near_copies(spark, odd, odd_pairs, none, limit):
         w = list(base)
         w[10 + 15 * i] = "swap"
         copies.append((200 + i, " ".join(w)))
-    pairs = odd_pairs + copies
+    chain = prose(rng, 60, 5000).split()  # each is near the next ones only
+    chained = [(300 + i, " ".join(chain[3 * i :] + [f"n{j}" for j in range(3 * i)])) for i in range(12)]
+    twice = [(200, prose(rng, 90)), (201, copies[5][1]), (201, "a text of its own")]
+    pairs = odd_pairs + copies + chained + twice
     sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in (text_of(t).lower().split() for _, t in pairs)]
-    named = [(i, s) for (i, _), s in zip(pairs, sets, strict=True) if i is not None]
-    label = components([s for _, s in named], lambda a, b: (not a and not b) or len(a & b) >= 0.8 * len(a | b) > 0)
-    least = {k: min(i for (i, _), x in zip(named, label, strict=True) if x == k) for k in label}
+    named = sorted({(i, text_of(t), frozenset(s)) for (i, t), s in zip(pairs, sets, strict=True) if i is not None}, key=lambda r: r[:2])
+    label = components([s for _, _, s in named], lambda a, b: (not a and not b) or len(a & b) >= 0.8 * len(a | b) > 0)
+    least = {k: min(i for (i, _, _), x in zip(named, label, strict=True) if x == k) for k in label}
     df = spark.createDataFrame(rows_of(pairs), SCHEMA)
-    got = near_copies.near_copy_groups(df, limit=limit).collect()
-    assert sorted(map(tuple, got)) == sorted((i, least[k]) for (i, _), k in zip(named, label, strict=True))
-    left = near_copies.without_near_copies(df, broadcast_ids=limit)
+    hashed = {(r["doc_id"], r["tid"]): text_of(r["text"]) for r in df.select("doc_id", "text", near_copies._tid().alias("tid")).collect()}
+    got = near_copies.near_copy_groups(df, **options).collect()
+    assert {(r["doc_id"], hashed[r["doc_id"], r["tid"]], r["keep_id"]) for r in got} == {(i, t, least[k]) for (i, t, _), k in zip(named, label, strict=True)}
+    left = near_copies.without_near_copies(df, broadcast_ids=options.get("limit", 100), **options)
     ids = [r["doc_id"] for r in left.collect()]
-    assert left.columns == df.columns and sorted(i for i in ids if i is not None) == sorted(set(least.values())) and ids.count(None) == 2
+    assert left.columns == df.columns and sorted(i for i in ids if i is not None) == sorted(least.values()) and ids.count(None) == 2
     assert near_copies.without_near_copies(none).count() == 0
 
 
@@ -595,7 +599,7 @@ def test_long_near_copies_are_decided_exactly(spark, options):
             for side in "ab":
                 pairs.append((len(pairs), " ".join(head + [f"{side}{name}x{j}" for j in range(words - common)])))
             whole.append((len(pairs) - 2, len(pairs) - 1, (common - 4) / (2 * (words - 4) - common + 4)))
-    got = dict(map(tuple, near_copies.near_copy_groups(spark.createDataFrame(rows_of(pairs), SCHEMA), **options).collect()))
+    got = {r["doc_id"]: r["keep_id"] for r in near_copies.near_copy_groups(spark.createDataFrame(rows_of(pairs), SCHEMA), **options).collect()}
     assert {(a, b) for a, b, _ in whole if got[a] == got[b]} == {(a, b) for a, b, s in whole if s >= 0.8}
 
 
