@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempoframe.functions import numeric as N
+from tempoframe.operators import kernels as K
 
 MIN_BPM, MAX_BPM, MAJORITY, MAX_SHIFT = 80.0, 220.0, 0.8, 4
 
@@ -42,13 +44,11 @@ def local_periods(beats: DataFrame, window: int = 16) -> DataFrame:
 
 def dominant_periods(beats: DataFrame, window: int = 16) -> DataFrame:
     """track_id, dominant_ms: the local period that accounts for most time, the earliest of equals; 0 below 4 beats."""
-    rows = local_periods(beats, window).withColumn("_gap", _gap_ahead())
-    tracks = rows.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("beat_ms", "period_ms", F.col("_gap").alias("gap")))).alias("b"))
-    inner = tracks.select("track_id", F.size("b").alias("n"), F.slice("b", 1, F.greatest(F.size("b") - 1, F.lit(0))).alias("b"))
-    weight = lambda c: F.when(c["period_ms"] > 0, F.round(F.aggregate("b", F.lit(0.0), lambda acc, x: acc + F.when((x["period_ms"] >= c["period_ms"] * 0.75) & (x["period_ms"] <= c["period_ms"] * 1.25), x["gap"]).otherwise(0.0)), 6)).otherwise(0.0)
-    weighed = inner.select("track_id", "n", "b", F.transform("b", weight).alias("w"))
-    best = F.get(F.col("b"), (F.array_position("w", F.array_max("w")) - 1).cast("int"))["period_ms"]
-    return weighed.select("track_id", F.when((F.col("n") < 4) | (F.coalesce(F.array_max("w"), F.lit(0.0)) <= 0), 0.0).otherwise(best).alias("dominant_ms"))
+
+    def kernel(f: K.Arrays) -> K.Arrays:
+        return {"dominant_ms": np.array([K.dominant_period(f["beat_ms"], f["period_ms"]) if len(f["beat_ms"]) >= 4 else 0.0])}
+
+    return K.per_track(local_periods(beats, window).select("track_id", "beat_ms", "period_ms"), kernel, "dominant_ms double", "beat_ms")
 
 
 def share_in_range(gaps: DataFrame, shift: int = 0, low: float = MIN_BPM, high: float = MAX_BPM) -> DataFrame:

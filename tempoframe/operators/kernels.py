@@ -1,28 +1,81 @@
-"""Order-dependent steps, one track at a time, as NumPy kernels behind ``applyInPandas``.
+"""Order-dependent steps, one track at a time, as NumPy kernels behind ``mapInArrow``.
 
 Each kernel is a function of arrays (testable by itself); ``per_track`` runs one over the rows of each track. A track is
-the unit of parallelism: its rows fit a task, the number of tracks is unbounded.
+the unit of parallelism: its rows fit a task, the number of tracks is unbounded, and short tracks share a batch.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+Arrays = dict[str, np.ndarray]
 
-def per_track(rows: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str, order: str) -> DataFrame:
-    """``kernel`` gets a track's rows in ``order`` and returns rows without track_id; ``schema`` leaves it out, too."""
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out = kernel(frame.sort_values(order, kind="stable").reset_index(drop=True))
-        out.insert(0, "track_id", key[0])
-        return out
+def per_group(rows: DataFrame, keys: tuple[str, ...], kernel: Callable[[Arrays], Arrays], schema: str, order: str) -> DataFrame:
+    """``kernel`` gets the columns of each group's rows in ``order`` (lists as rows of an array) and returns new ones; one exchange.
+
+    ``schema``: the keys, then the kernel's columns.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = rows.sparkSession.createDataFrame([], schema).toArrow().schema.types
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, order)
+
+    def values(column: pa.ChunkedArray) -> np.ndarray:
+        if pa.types.is_list(column.type):
+            column = column.combine_chunks()
+            return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        return column.to_numpy()
+
+    def edges(table: pa.Table) -> np.ndarray:
+        """Where groups begin."""
+        fresh = np.zeros(len(table), bool)
+        fresh[:1] = True
+        for k in keys:
+            c = table.column(k)
+            same = pc.or_kleene(pc.equal(c.slice(1), c.slice(0, len(c) - 1)), pc.and_(pc.is_null(c.slice(1)), pc.is_null(c.slice(0, len(c) - 1))))
+            fresh[1:] |= ~pc.fill_null(same, False).to_numpy()
+        return np.flatnonzero(fresh)
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        first = edges(table)
+        columns = {c: values(table.column(c)) for c in table.column_names}
+        found = [kernel({c: v[i:j] for c, v in columns.items()}) for i, j in zip(first, [*first[1:], len(table)], strict=True)]
+        sizes = [len(f[names[-1]]) for f in found]
+        own = pa.array(np.repeat(first, sizes))
+        new = [pa.array(np.concatenate([np.asarray(f[c]) for f in found])).cast(kind) for c, kind in zip(names[len(keys) :], kinds[len(keys) :], strict=True)]
+        held = [table.column(k).combine_chunks().take(own).cast(kind) for k, kind in zip(keys, kinds, strict=False)]
+        return pa.RecordBatch.from_arrays([*held, *new], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # the rows of the last group so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            table = pa.Table.from_batches([b])
+            first = edges(pa.concat_tables([held[-1].slice(len(held[-1]) - 1), table])) - 1 if held else edges(table)
+            first = first[first >= 0]
+            if not len(first):  # all of one group, which has begun before
+                held.append(table)
+                continue
+            done = [*held, table.slice(0, int(first[-1]))]
+            if sum(map(len, done)):
+                yield solve(pa.concat_tables(done))
+            held = [table.slice(int(first[-1]))]
+        if held:
+            yield solve(pa.concat_tables(held))
 
-    return rows.groupBy("track_id").applyInPandas(run, f"track_id long, {schema}")
+    return dealt.mapInArrow(run, schema)
+
+
+def per_track(rows: DataFrame, kernel: Callable[[Arrays], Arrays], schema: str, order: str) -> DataFrame:
+    """``per_group`` by track_id, which ``schema`` leaves out."""
+    return per_group(rows, ("track_id",), kernel, f"track_id long, {schema}", order)
 
 
 def frame_of(place: float, length: int) -> int:
@@ -50,6 +103,37 @@ def local_period(places: np.ndarray, keep: np.ndarray, i: int, window: int = 32)
     return cluster_period(np.diff(places[low : high + 1])[both])
 
 
+def frame_peaks(curve: np.ndarray, radius: int = 3) -> np.ndarray:
+    padded = np.pad(curve, radius, constant_values=-np.inf)
+    top = np.max([padded[k : k + len(curve)] for k in range(2 * radius + 1)], axis=0) if len(curve) else curve
+    return np.flatnonzero((curve > 0) & (curve >= top))
+
+
+def raw_peaks(curve: np.ndarray, radius: int = 3) -> np.ndarray:
+    """Peaks paired within runs of consecutive frames; single ones moved to the vertex of their parabola."""
+    peaks, out, i = frame_peaks(curve, radius), [], 0
+    while i < len(peaks):
+        if i + 1 < len(peaks) and peaks[i + 1] == peaks[i] + 1:
+            out.append(peaks[i] + 0.5)
+            i += 2
+            continue
+        f = int(peaks[i])
+        if 0 < f < len(curve) - 1:
+            b, m, a = (float(curve[f + k]) for k in (-1, 0, 1))
+            bend = b - 2 * m + a
+            out.append(f + (min(0.5, max(-0.5, 0.5 * (b - a) / bend)) if abs(bend) >= 1e-9 else 0.0))
+        else:
+            out.append(float(f))
+        i += 1
+    return np.array(out, float)
+
+
+def beat_frames(curve: np.ndarray, radius: int = 3, ratio: float = 0.7) -> np.ndarray:
+    """Pruned peaks of a whole curve."""
+    places = raw_peaks(np.asarray(curve, float), radius)
+    return places[prune(places, curve, ratio)] if len(places) else places
+
+
 def prune(places: np.ndarray, curve: np.ndarray, ratio: float = 0.7, passes: int = 8) -> np.ndarray:
     """Keeps, of two peaks much closer than the period around them, the one with the higher value; the first wins a tie."""
     keep = np.ones(len(places), bool)
@@ -120,11 +204,14 @@ def modal_periods(beats: np.ndarray, window: int = 16) -> np.ndarray:
 
 
 def dominant_period(beats: np.ndarray, periods: np.ndarray) -> float:
-    """The period that accounts for most time; the first of equals."""
+    """The period that accounts for most time (to a millionth), the first of equals; sorted periods and prefix sums."""
     gaps, own = np.diff(beats), periods[:-1]
     if not len(gaps):
         return 0.0
-    weight = np.where(own > 0, (((own[None, :] >= own[:, None] * 0.75) & (own[None, :] <= own[:, None] * 1.25)) * gaps[None, :]).sum(1), 0.0)
+    order = np.argsort(own, kind="stable")
+    upto = np.concatenate(([0.0], np.cumsum(gaps[order])))
+    low, high = np.searchsorted(own[order], own * 0.75, "left"), np.searchsorted(own[order], own * 1.25, "right")
+    weight = np.where(own > 0, np.round(upto[high] - upto[low], 6), 0.0)
     return float(own[int(np.argmax(weight))]) if weight.max() > 0 else 0.0
 
 
@@ -223,12 +310,11 @@ def even_beats(beats: np.ndarray) -> np.ndarray | None:
     return np.array(out) if len(out) >= 4 else None
 
 
-def bpm_at(beats: np.ndarray, t_ms: float, window: int = 6, span_ms: float = 2000.0, wide: int = 8) -> float:
-    """Tempo around a time: the true median of near gaps if they agree or move steadily, else that of a wider range."""
+def bpm_around(beats: np.ndarray, centre: int, window: int = 6, span_ms: float = 2000.0, wide: int = 8) -> float:
+    """Tempo around a beat: the true median of near gaps if they agree or move steadily, else that of a wider range."""
     last = len(beats) - 1
     if last < 1:
         return 0.0
-    centre = max(0, int(np.searchsorted(beats, t_ms, "right")) - 1)
     low, high = max(0, centre - window), min(last, centre + window)
     while beats[high] - beats[low] < span_ms and (low > 0 or high < last):
         low, high = max(0, low - 1), min(last, high + 1)
@@ -248,6 +334,12 @@ def bpm_at(beats: np.ndarray, t_ms: float, window: int = 6, span_ms: float = 200
     return 60000 / period
 
 
+def bpm_at(beats: np.ndarray, times: np.ndarray, window: int = 6) -> np.ndarray:
+    """Tempo around each time: that of the last beat before it, worked out once for each such beat."""
+    centre, of = np.unique(np.maximum(np.searchsorted(beats, times, "right") - 1, 0), return_inverse=True)
+    return np.array([bpm_around(beats, c, window) for c in centre.tolist()], float)[of]
+
+
 def coalesced(times: np.ndarray, lengths: np.ndarray, until: float) -> list[tuple[float, float, float]]:
     """Timing points of the same length (a thousandth) as the section they follow belong to it."""
     out: list[list[float]] = []

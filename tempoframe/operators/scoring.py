@@ -10,10 +10,11 @@ from collections.abc import Callable
 from functools import cache
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempoframe.operators.kernels import per_group
+
 CHUNK, BORDER = 1500, 6
 STRIDE = CHUNK - 2 * BORDER
 UNSCORED = -1000.0
@@ -87,45 +88,54 @@ def scored(mel: np.ndarray, scorer: Scorer) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _bands(rows: pa.Table) -> tuple[np.ndarray, int, dict]:
-    """Frames x bands in order, the first frame, and what else the first row holds."""
-    rows = rows.sort_by("frame")
-    mel = rows.column("mel").combine_chunks()
-    return mel.flatten().to_numpy().reshape(len(mel), -1), rows.column("frame")[0].as_py(), {c: rows.column(c)[0].as_py() for c in rows.column_names if c != "mel"}
+def _with_total(mel: DataFrame) -> DataFrame:
+    """track_id, frame, mel, total (frames of the track); ``mel_frames`` can give it without a second look at the track."""
+    if "total" in mel.columns:
+        return mel.select("track_id", "frame", "mel", "total")
+    return mel.select("track_id", "frame", "mel").join(mel.groupBy("track_id").agg((F.max("frame") + 1).alias("total")), "track_id")
 
 
 def activations(mel: DataFrame, scorer: Scorer = band_scorer) -> DataFrame:
-    """track_id, frame, beat, downbeat from track_id, frame, mel: each chunk of each track is a task's group."""
-    sizes = mel.groupBy("track_id").agg((F.max("frame") + 1).alias("total"))
-    chunks = sizes.select("track_id", "total", F.posexplode(chunk_schedule(F.col("total"))).alias("chunk", "start"))
-    # A frame lies in at most three chunks: its own, the next and the last, which is pulled back.
-    frames = mel.join(chunks, "track_id").filter((F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("start") + CHUNK))
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        mel, first_frame, rest = _bands(rows)
-        found = score_chunk(mel, rest["start"], rest["total"], scorer, first_frame) or (0, np.zeros(0, np.float32), np.zeros(0, np.float32))
-        first, a, b = found
-        n = len(a)
-        return pa.table({"track_id": np.full(n, key[0].as_py(), np.int64), "chunk": np.full(n, key[1].as_py(), np.int32), "frame": np.arange(first, first + n, dtype=np.int32), "beat": a.astype(np.float32), "downbeat": b.astype(np.float32)})
+    """track_id, frame, beat, downbeat from track_id, frame, mel: each chunk of each track is a group, with one exchange.
+
+    Chunk k gives the frames from k * STRIDE on, the last one all that are left: of chunks that overlap the earliest counts.
+    """
+    total, frame = F.col("total"), F.col("frame")
+    last = F.ceil(total / STRIDE).cast("int") - 1
+    begin = lambda k: F.when((k == last) & (total > STRIDE), total - (CHUNK - BORDER)).otherwise(k * STRIDE - BORDER)
+    own = F.floor(frame / STRIDE).cast("int")
+    # A frame lies in at most three chunks: its own, a neighbour, and the last, which is pulled back.
+    near = F.filter(F.array_distinct(F.array(own - 1, own, own + 1, last)), lambda k: (k >= 0) & (k <= last) & (frame >= begin(k)) & (frame < begin(k) + CHUNK))
+    frames = _with_total(mel).withColumn("chunk", F.explode(near))
+
+    def kernel(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        total, k = int(f["total"][0]), int(f["chunk"][0])
+        first, end = k * STRIDE, min((k + 1) * STRIDE, total)
+        out = np.full((2, max(0, end - first)), UNSCORED, np.float32)
+        if found := score_chunk(f["mel"], chunk_starts(total)[k], total, scorer, int(f["frame"][0])):
+            at, *values = found
+            low, high = max(at, first), min(at + len(values[0]), end)
+            for row, v in zip(out, values, strict=True):
+                row[low - first : high - first] = v[low - at : high - at]
+        return {"frame": np.arange(first, end), "beat": out[0], "downbeat": out[1]}
 
-    owned = frames.groupBy("track_id", "chunk").applyInArrow(run, "track_id long, chunk int, frame int, beat float, downbeat float")
-    first = owned.withColumn("_r", F.row_number().over(Window.partitionBy("track_id", "frame").orderBy("chunk"))).filter("_r = 1")
-    return mel.select("track_id", "frame").join(first, ["track_id", "frame"], "left").select("track_id", "frame", *[F.coalesce(c, F.lit(UNSCORED).cast("float")).alias(c) for c in ("beat", "downbeat")])
+    return per_group(frames, ("track_id", "chunk"), kernel, "track_id long, chunk int, frame int, beat float, downbeat float", "frame").drop("chunk")
 
 
 def overlap_add(mel: DataFrame, scorer: Scorer = band_scorer, window: int = 1024, hop: int = 960, shortest: int = 64) -> DataFrame:
     """track_id, frame, beat_prob, period_frames: means over windows of the first output's sigmoid and of the log period."""
-    sizes = mel.groupBy("track_id").agg((F.max("frame") + 1).alias("total"))
-    starts = sizes.select("track_id", "total", F.explode(F.sequence(F.lit(0), F.col("total") - 1, F.lit(hop))).alias("start")).filter(F.least(F.lit(window), F.col("total") - F.col("start")) >= shortest)
-    # No window after one that is too short: only the last one of a track can be.
-    frames = mel.join(starts, "track_id").filter((F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("start") + window))
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        mel, first, _ = _bands(rows)
-        a, b = scorer(mel)
-        n = len(a)
-        return pa.table({"track_id": np.full(n, key[0].as_py(), np.int64), "frame": np.arange(first, first + n, dtype=np.int32), "p": (1 / (1 + np.exp(-a.astype(np.float32)))).astype(np.float32), "log_period": b.astype(np.float32)})
-
-    each = frames.groupBy("track_id", "start").applyInArrow(run, "track_id long, frame int, p float, log_period float")
-    means = each.groupBy("track_id", "frame").agg(F.avg("p").alias("p"), F.avg("log_period").alias("l"))
-    return mel.select("track_id", "frame").join(means, ["track_id", "frame"], "left").select("track_id", "frame", F.coalesce("p", F.lit(0.0)).cast("float").alias("beat_prob"), F.coalesce(F.exp("l"), F.lit(1.0)).cast("float").alias("period_frames"))
+    frame = F.col("frame")
+    own = F.floor(frame / hop).cast("int")
+    near = F.filter(F.sequence(F.greatest(F.lit(0), own - (window - 1) // hop), own), lambda k: frame < k * hop + window)
+    frames = _with_total(mel).withColumn("window", F.explode(near))
+
+    def kernel(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        n = len(f["frame"])
+        if min(window, int(f["total"][0]) - int(f["window"][0]) * hop) < shortest:  # its frames stay without a value of it
+            return {"frame": f["frame"], "p": np.zeros(n), "log_period": np.zeros(n), "scored": np.zeros(n, bool)}
+        a, b = scorer(f["mel"])
+        return {"frame": f["frame"], "p": 1 / (1 + np.exp(-a.astype(np.float32))), "log_period": b, "scored": np.ones(n, bool)}
+
+    each = per_group(frames, ("track_id", "window"), kernel, "track_id long, window int, frame int, p float, log_period float, scored boolean", "frame")
+    means = each.groupBy("track_id", "frame").agg(*(F.avg(F.when(F.col("scored"), F.col(c))).alias(c) for c in ("p", "log_period")))
+    return means.select("track_id", "frame", F.coalesce("p", F.lit(0.0)).cast("float").alias("beat_prob"), F.coalesce(F.exp("log_period"), F.lit(1.0)).cast("float").alias("period_frames"))

@@ -152,8 +152,11 @@ def to_mono(raw: DataFrame, rate: int = RATE) -> DataFrame:
     return raw.select("track_id", mono("samples", "channels", "sample_rate").alias("samples"))
 
 
-def mel_frames(tracks: DataFrame, chunk: int = 1500) -> DataFrame:
-    """track_id, frame, mel: a row for each frame, from slices of ``chunk`` frames and a margin of half a window."""
+def mel_frames(tracks: DataFrame, chunk: int = 1500, with_total: bool = False) -> DataFrame:
+    """track_id, frame, mel: a row for each frame, from slices of ``chunk`` frames and a margin of half a window.
+
+    ``with_total`` adds total, the number of the track's frames.
+    """
     n = F.size("samples")
     last = F.floor(n / HOP).cast("int")
     each = tracks.filter(n > 0).select("track_id", "samples", n.alias("total"), F.explode(F.sequence(F.lit(0), last, F.lit(chunk))).alias("first"))
@@ -168,9 +171,10 @@ def mel_frames(tracks: DataFrame, chunk: int = 1500) -> DataFrame:
             for i, samples in enumerate(b.column("samples")):
                 count = min(chunk, frame_count(total[i]) - first[i])
                 mel = log_mel(samples.values.to_numpy(zero_copy_only=False), first[i], count, base[i], total[i])
-                yield framed(track[i], first[i], mel, "mel")
+                rows = framed(track[i], first[i], mel, "mel")
+                yield rows.append_column("total", pa.array(np.full(rows.num_rows, frame_count(total[i]), np.int32))) if with_total else rows
 
-    return parts.repartition("track_id", "first").mapInArrow(run, "track_id long, frame int, mel array<float>")
+    return parts.repartition("track_id", "first").mapInArrow(run, "track_id long, frame int, mel array<float>" + (", total int" if with_total else ""))
 
 
 def framed(track_id: int, first: int, rows: np.ndarray, name: str) -> pa.RecordBatch:

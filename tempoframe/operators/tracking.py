@@ -1,35 +1,43 @@
-"""From curves to beats and grids: compositions of native steps with the order-dependent kernels."""
+"""From curves to beats and grids: compositions of native steps with the order-dependent kernels.
+
+Where a kernel needs two relations of a track, they go to it as one tagged union: one exchange, each row once.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempoframe.operators import kernels as K, peaks as P
-from tempoframe.operators.kernels import per_track
+from tempoframe.operators.kernels import Arrays, per_track
+
+
+def _tagged(first: DataFrame, at: str, second: DataFrame, then: str, value: str | None = None) -> DataFrame:
+    """track_id, at, second (false or true), x: the rows of both by place, x of the second."""
+    one = first.select("track_id", F.col(at).cast("double").alias("at"), F.lit(False).alias("second"), F.lit(None).cast("double").alias("x"))
+    return one.unionByName(second.select("track_id", F.col(then).cast("double").alias("at"), F.lit(True).alias("second"), (F.col(value) if value else F.lit(None)).cast("double").alias("x")))
 
 
-def _curve(frame: pd.DataFrame, name: str) -> np.ndarray:
-    return np.array(frame[name].iloc[0], float)
+def pruned_peaks(activation: DataFrame, radius: int = 3, ratio: float = 0.7, value: str = "x") -> DataFrame:
+    """track_id, place, beat_ms: raw peaks without those that come much too early; the curve has a value for each frame."""
 
+    def kernel(f: Arrays) -> Arrays:
+        places = K.beat_frames(f["x"], radius, ratio)
+        return {"place": places, "beat_ms": places * 20.0}
 
-def pruned_peaks(activation: DataFrame, radius: int = 3, ratio: float = 0.7) -> DataFrame:
-    """track_id, place, beat_ms: raw peaks without those that come much too early."""
-    curves = activation.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("frame", "x"))).alias("c")).select("track_id", F.transform("c", lambda r: r["x"]).alias("curve"))
-    rows = P.raw_peaks(activation, radius).join(curves, "track_id")
+    return per_track(activation.select("track_id", "frame", F.col(value).cast("double").alias("x")), kernel, "place double, beat_ms double", "frame")
 
-    def kernel(f: pd.DataFrame) -> pd.DataFrame:
-        keep = K.prune(f.place.to_numpy(), _curve(f, "curve"), ratio)
-        return pd.DataFrame({"place": f.place[keep], "beat_ms": f.place[keep] * 20.0})
 
-    return per_track(rows, kernel, "place double, beat_ms double", "place")
+def predicted(curve: DataFrame) -> DataFrame:
+    """track_id, kind (beat or downbeat), place, beat_ms: the peaks of both scored outputs (beat, downbeat)."""
+    both = [pruned_peaks(curve, value=c).select("track_id", F.lit(c).alias("kind"), "place", "beat_ms") for c in ("beat", "downbeat")]
+    return both[0].unionByName(both[1])
 
 
 def suppressed(curve: DataFrame, share: float = 0.6) -> DataFrame:
     """track_id, frame: beats of a curve of beat_prob and period_frames."""
-    return per_track(curve, lambda f: pd.DataFrame({"frame": f.frame.to_numpy()[K.suppress(f.beat_prob.to_numpy(), f.period_frames.to_numpy(), share)].astype("int32")}), "frame int", "frame")
+    return per_track(curve.select("track_id", "frame", "beat_prob", "period_frames"), lambda f: {"frame": f["frame"][K.suppress(f["beat_prob"], f["period_frames"], share)]}, "frame int", "frame")
 
 
 def placed(curve: DataFrame, share: float = 0.6) -> DataFrame:
@@ -42,59 +50,64 @@ def detector_beats(curve: DataFrame, share: float = 0.6, smoothing_seconds: floa
     return placed(P.smoothed_periods(curve, smoothing_seconds) if smoothing_seconds > 0 else curve, share)
 
 
-def searched_path(activation: DataFrame, rigidity: float = 12.0, floor: float = 0.0, downbeat: str | None = None) -> DataFrame:
+def searched_path(activation: DataFrame, rigidity: float = 12.0, floor: float = 0.0, downbeat: str | None = None, value: str = "x") -> DataFrame:
     """track_id, frame: the best sequence of beats of the whole curve."""
-    return per_track(activation, lambda f: pd.DataFrame({"frame": f.frame.to_numpy()[K.best_path(f.x.to_numpy(), f[downbeat].to_numpy() if downbeat else None, rigidity, floor)].astype("int32")}), "frame int", "frame")
+    columns = [F.col(value).alias("x"), *([F.col(downbeat).alias("down")] if downbeat else [])]
+    return per_track(activation.select("track_id", "frame", *columns), lambda f: {"frame": f["frame"][K.best_path(f["x"], f.get("down"), rigidity, floor)]}, "frame int", "frame")
 
 
 def regularised(beats: DataFrame) -> DataFrame:
-    return per_track(beats, lambda f: pd.DataFrame({"beat_ms": K.regularised(f.beat_ms.to_numpy())}), "beat_ms double", "beat_ms")
+    return per_track(beats.select("track_id", "beat_ms"), lambda f: {"beat_ms": K.regularised(f["beat_ms"])}, "beat_ms double", "beat_ms")
 
 
 def tempo_sections(beats: DataFrame, window: int = 16, share: float = 0.06, persistence: int = 20, shortest: int = 16) -> DataFrame:
     """track_id, section_idx, start_ms, end_ms, period_ms, bpm, duration_ms."""
 
-    def kernel(f: pd.DataFrame) -> pd.DataFrame:
-        found = K.tempo_sections(f.beat_ms.to_numpy(), window, share, persistence, shortest)
-        return pd.DataFrame([(i, *s) for i, s in enumerate(found)], columns=["section_idx", "start_ms", "end_ms", "period_ms"])
+    def kernel(f: Arrays) -> Arrays:
+        found = np.array(K.tempo_sections(f["beat_ms"], window, share, persistence, shortest), float).reshape(-1, 3)
+        return {"section_idx": np.arange(len(found)), "start_ms": found[:, 0], "end_ms": found[:, 1], "period_ms": found[:, 2]}
 
-    rows = per_track(beats, kernel, "section_idx int, start_ms double, end_ms double, period_ms double", "beat_ms")
+    rows = per_track(beats.select("track_id", "beat_ms"), kernel, "section_idx int, start_ms double, end_ms double, period_ms double", "beat_ms")
     return rows.withColumns({"bpm": F.when(F.col("period_ms") > 0, 60000 / F.col("period_ms")).otherwise(0.0), "duration_ms": F.col("end_ms") - F.col("start_ms")})
 
 
 def even_grid(beats: DataFrame) -> DataFrame:
     """track_id, beat_ms, even: evenly laid beats, or the track's own where there are too few."""
 
-    def kernel(f: pd.DataFrame) -> pd.DataFrame:
-        own = f.beat_ms.to_numpy()
-        laid = K.even_beats(own)
-        return pd.DataFrame({"beat_ms": own if laid is None else laid, "even": laid is not None})
+    def kernel(f: Arrays) -> Arrays:
+        laid = K.even_beats(f["beat_ms"])
+        out = f["beat_ms"] if laid is None else laid
+        return {"beat_ms": out, "even": np.full(len(out), laid is not None)}
 
-    return per_track(beats, kernel, "beat_ms double, even boolean", "beat_ms")
+    return per_track(beats.select("track_id", "beat_ms"), kernel, "beat_ms double, even boolean", "beat_ms")
 
 
 def bpm_at(points: DataFrame, beats: DataFrame, window: int = 6) -> DataFrame:
     """Points (track_id, t_ms) with the tempo of the beats around them; 0 for a track without two beats."""
-    lists = beats.groupBy("track_id").agg(F.array_sort(F.collect_list("beat_ms")).alias("_b"))
-    asked = points.groupBy("track_id").agg(F.array_sort(F.collect_list("t_ms")).alias("_t")).join(lists, "track_id", "left")
 
-    def run(batches):
-        for f in batches:
-            for r in f.itertuples(index=False):
-                own = np.zeros(0) if r.own is None else np.asarray(r.own, float)
-                yield pd.DataFrame({"track_id": r.track_id, "t_ms": r.asked, "bpm": [K.bpm_at(own, t, window) for t in r.asked]})
+    def kernel(f: Arrays) -> Arrays:
+        asked = f["at"][f["second"]]
+        return {"t_ms": asked, "bpm": K.bpm_at(f["at"][~f["second"]], asked, window)}
 
-    return asked.select("track_id", F.col("_b").alias("own"), F.col("_t").alias("asked")).mapInPandas(run, "track_id long, t_ms double, bpm double")
+    return per_track(_tagged(beats, "beat_ms", points, "t_ms"), kernel, "t_ms double, bpm double", "at")
 
 
 def coalesced_sections(timing: DataFrame, until_ms: float = 0.0) -> DataFrame:
-    return per_track(timing, lambda f: pd.DataFrame(K.coalesced(f.time_ms.to_numpy(), f.beat_length_ms.to_numpy(), until_ms), columns=["start_ms", "end_ms", "period_ms"]), "start_ms double, end_ms double, period_ms double", "time_ms")
+    def kernel(f: Arrays) -> Arrays:
+        found = np.array(K.coalesced(f["time_ms"], f["beat_length_ms"], until_ms), float).reshape(-1, 3)
+        return {"start_ms": found[:, 0], "end_ms": found[:, 1], "period_ms": found[:, 2]}
+
+    return per_track(timing.select("track_id", "time_ms", "beat_length_ms"), kernel, "start_ms double, end_ms double, period_ms double", "time_ms")
 
 
 def snapped(beats: DataFrame, curve: DataFrame) -> DataFrame:
     """track_id, beat_ms, snapped_ms: beats on the phase of their run, by an onset curve (frame, x)."""
-    curves = curve.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("frame", "x"))).alias("c")).select("track_id", F.transform("c", lambda r: r["x"]).alias("curve"))
-    return per_track(beats.join(curves, "track_id"), lambda f: pd.DataFrame({"beat_ms": f.beat_ms, "snapped_ms": K.snapped(f.beat_ms.to_numpy(), _curve(f, "curve"))}), "beat_ms double, snapped_ms double", "beat_ms")
+
+    def kernel(f: Arrays) -> Arrays:
+        own = f["at"][~f["second"]]
+        return {"beat_ms": own, "snapped_ms": K.snapped(own, f["x"][f["second"]])}
+
+    return per_track(_tagged(beats, "beat_ms", curve, "frame", "x"), kernel, "beat_ms double, snapped_ms double", "at")
 
 
 def tempo_steps(beats: DataFrame, step_ms: float = 1000.0) -> DataFrame:

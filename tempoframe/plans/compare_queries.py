@@ -161,7 +161,7 @@ def envelope_period(s, d):
 
 
 query("h34_cross_correlation", sql("signal", then=", l AS (SELECT a.track_id, k.lag::INT AS lag, corr(a.x, b.x) AS r, count(*) AS n FROM signal a CROSS JOIN (SELECT unnest(range(0, 4)) AS lag) k JOIN signal b ON b.track_id = a.track_id AND b.frame = a.frame + k.lag GROUP BY ALL) SELECT track_id, lag, n, CASE WHEN n >= 30 THEN round(r, 6) ELSE -1e9 END AS r FROM l"))(
-    lambda s, d: G.lagged(R.signal(s, d), range(4)).groupBy("track_id", "lag").agg(F.corr("a", "b").alias("_r"), F.count(F.lit(1)).alias("n")).select("track_id", "lag", "n", F.when(F.col("n") >= 30, F.round("_r", 6)).otherwise(-1e9).alias("r"))
+    lambda s, d: G.cross_correlation(R.signal(s, d), range(4), 30).withColumn("r", F.round("r", 6))
 )
 query("h35_comb_scan", sql("signal", then=", n AS (SELECT track_id, frame, max(x) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM signal), c AS (SELECT track_id, period::INT AS period, (frame % period)::INT AS phase, round(avg(s), 6) AS score FROM n CROSS JOIN (SELECT unnest([5, 6, 7, 8]) AS period) GROUP BY ALL) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY track_id, period ORDER BY score DESC, phase) = 1"))(lambda s, d: G.comb_scan(R.signal(s, d), (5, 6, 7, 8)))
 query("h36_rolling_line", sql("beats", "idx", then="SELECT track_id, beat_ms, round(regr_slope(beat_ms, i) OVER w, 4) AS slope, round(regr_intercept(beat_ms, i) OVER w + regr_slope(beat_ms, i) OVER w * i, 3) AS level FROM idx WINDOW w AS (PARTITION BY track_id ORDER BY beat_ms ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)"))(lambda s, d: G.rolling_line(R.beats(s, d), 4).select("track_id", "beat_ms", F.round("slope", 4).alias("slope"), F.round("level", 3).alias("level")))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tempoframe.operators import kernels as K
+from tempoframe.operators.kernels import raw_peaks
 from tempoframe.operators.scoring import BORDER, CHUNK, STRIDE, UNSCORED, Scorer, band_scorer, chunk_starts, score_chunk
 from tempoframe.operators.signal import FFT, HOP, complete_frames, frame_count, log_mel
 
@@ -23,37 +24,6 @@ SETTLE, HELD_PEAKS = 64, 256
 BEATS = "track_id long, frame double, beat_ms double, beats_through_ms double, samples long, final boolean"
 
 
-def frame_peaks(curve: np.ndarray, radius: int = 3) -> np.ndarray:
-    padded = np.pad(curve, radius, constant_values=-np.inf)
-    top = np.max([padded[k : k + len(curve)] for k in range(2 * radius + 1)], axis=0) if len(curve) else curve
-    return np.flatnonzero((curve > 0) & (curve >= top))
-
-
-def raw_peaks(curve: np.ndarray) -> np.ndarray:
-    """Peaks paired within runs of consecutive frames; single ones moved to the vertex of their parabola."""
-    peaks, out, i = frame_peaks(curve), [], 0
-    while i < len(peaks):
-        if i + 1 < len(peaks) and peaks[i + 1] == peaks[i] + 1:
-            out.append(peaks[i] + 0.5)
-            i += 2
-            continue
-        f = int(peaks[i])
-        if 0 < f < len(curve) - 1:
-            b, m, a = (float(curve[f + k]) for k in (-1, 0, 1))
-            bend = b - 2 * m + a
-            out.append(f + (min(0.5, max(-0.5, 0.5 * (b - a) / bend)) if abs(bend) >= 1e-9 else 0.0))
-        else:
-            out.append(float(f))
-        i += 1
-    return np.array(out, float)
-
-
-def beat_frames(curve: np.ndarray) -> np.ndarray:
-    """Pruned peaks of a whole curve."""
-    places = raw_peaks(np.asarray(curve, float))
-    return places[K.prune(places, curve)] if len(places) else places
-
-
 class TrackState:
     """One track's tail; usable without Spark."""
 

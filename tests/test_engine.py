@@ -137,10 +137,8 @@ def test_stream_equals_batch(spark, tmp_path):
     query = stream_beats(source).writeStream.format("memory").queryName("beats_out").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
     got = spark.table("beats_out").filter("frame IS NOT NULL").toPandas()
-    from tempoframe.streaming.tracker import beat_frames
-
     for t, x in enumerate(samples):
-        expected = beat_frames(S.scored(G.log_mel(x), S.band_scorer)[0])
+        expected = K.beat_frames(S.scored(G.log_mel(x), S.band_scorer)[0])
         assert np.allclose(sorted(got[got.track_id == t].frame), expected)
 
 
