@@ -134,7 +134,17 @@ def beat_frames(curve: np.ndarray, radius: int = 3, ratio: float = 0.7) -> np.nd
     return places[prune(places, curve, ratio)] if len(places) else places
 
 
+def values_at(places: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    """The curve at the frame nearest to each place."""
+    return np.array([curve[frame_of(p, len(curve))] for p in places], float)
+
+
 def prune(places: np.ndarray, curve: np.ndarray, ratio: float = 0.7, passes: int = 8) -> np.ndarray:
+    """Which peaks of a curve stay; see ``prune_by``."""
+    return prune_by(places, values_at(places, curve), ratio, passes)
+
+
+def prune_by(places: np.ndarray, values: np.ndarray, ratio: float = 0.7, passes: int = 8) -> np.ndarray:
     """Keeps, of two peaks much closer than the period around them, the one with the higher value; the first wins a tie."""
     keep = np.ones(len(places), bool)
     if len(places) < 3:
@@ -143,8 +153,7 @@ def prune(places: np.ndarray, curve: np.ndarray, ratio: float = 0.7, passes: int
         before = keep.copy()
         for i in range(len(places) - 1):
             if keep[i] and keep[i + 1] and (period := local_period(places, keep, i)) > 0 and (places[i + 1] - places[i]) / period < ratio:
-                left, right = (curve[frame_of(p, len(curve))] for p in places[i : i + 2])
-                keep[i + 1 if left >= right else i] = False
+                keep[i + 1 if values[i] >= values[i + 1] else i] = False
         if (keep == before).all():
             break
     return keep

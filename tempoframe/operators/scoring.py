@@ -139,3 +139,10 @@ def overlap_add(mel: DataFrame, scorer: Scorer = band_scorer, window: int = 1024
     each = per_group(frames, ("track_id", "window"), kernel, "track_id long, window int, frame int, p float, log_period float, scored boolean", "frame")
     means = each.groupBy("track_id", "frame").agg(*(F.avg(F.when(F.col("scored"), F.col(c))).alias(c) for c in ("p", "log_period")))
     return means.select("track_id", "frame", F.coalesce("p", F.lit(0.0)).cast("float").alias("beat_prob"), F.coalesce(F.exp("log_period"), F.lit(1.0)).cast("float").alias("period_frames"))
+
+
+def largest_difference(one: DataFrame, other: DataFrame) -> DataFrame:
+    """frames, beat, downbeat: the largest absolute difference of two scorings (track_id, frame, beat, downbeat) of the same spectra."""
+    names = ("beat", "downbeat")
+    both = one.join(other.select("track_id", "frame", *(F.col(c).alias(f"_{c}") for c in names)), ["track_id", "frame"])
+    return both.agg(F.count(F.lit(1)).alias("frames"), *(F.max(F.abs(F.col(c).cast("double") - F.col(f"_{c}"))).alias(c) for c in names))

@@ -146,22 +146,29 @@ def octave_choice(s, d):
 
 
 query("h29_labels", sql("timing", "grid", then=", f AS (SELECT track_id, round_even(beat_ms * 50 / 1000, 0)::INT AS frame, min(beat_ms) AS b FROM grid GROUP BY ALL) SELECT track_id, frame, CASE WHEN (row_number() OVER (PARTITION BY track_id ORDER BY b) - 1) % 4 = 0 THEN 2 ELSE 1 END AS label FROM f"))(lambda s, d: G.labels(grid(s, d)))
-_AUTO = _CENTRED + ", l AS (SELECT a.track_id, k.lag, sum(a.c * b.c) AS cov, sum(a.c * a.c) AS var FROM centred a CROSS JOIN (SELECT unnest(range(2, 25)) AS lag) k JOIN centred b ON b.track_id = a.track_id AND b.frame = a.frame + k.lag GROUP BY ALL), ac AS (SELECT track_id, lag::INT AS lag, CASE WHEN var > 0 THEN cov / var ELSE 0.0 END AS r FROM l)"
-query("h30_autocorrelation", sql("signal", then=_AUTO + " SELECT track_id, lag, round(r, 6) AS r FROM ac"))(lambda s, d: G.autocorrelation(R.signal(s, d), range(2, 25)).withColumn("r", F.round("r", 6)))
+
+
+def _long_signal(then: str) -> str:
+    """As ``sql`` over the values of events dealt to seven tracks."""
+    return "WITH " + R.CTE["signal"].replace("user_id AS track_id", "user_id % 7 AS track_id").replace("PARTITION BY user_id", "PARTITION BY user_id % 7") + " " + then
+
+
+_AUTO = _CENTRED + ", l AS (SELECT a.track_id, k.lag, sum(a.c * b.c) AS cov, sum(a.c * a.c) AS var FROM centred a CROSS JOIN (SELECT unnest(range(8, 61)) AS lag) k JOIN centred b ON b.track_id = a.track_id AND b.frame = a.frame + k.lag GROUP BY ALL), ac AS (SELECT track_id, lag::INT AS lag, CASE WHEN var > 0 THEN cov / var ELSE 0.0 END AS r FROM l)"
+query("h30_autocorrelation", _long_signal(_AUTO + " SELECT track_id, lag, round(r, 6) AS r FROM ac"))(lambda s, d: G.autocorrelation(R.signal(s, d, 7), range(8, 61)).withColumn("r", F.round("r", 6)))
 _TOPS = ", nb AS (SELECT track_id, lag, r, lag(r) OVER w AS b, lead(r) OVER w AS a FROM (SELECT track_id, lag, round(r, 6) AS r FROM ac) WINDOW w AS (PARTITION BY track_id ORDER BY lag)), tops AS (SELECT track_id, lag, r, row_number() OVER (PARTITION BY track_id ORDER BY r DESC, lag) AS rank FROM nb WHERE r > b AND r >= a)"
-query("h31_periodicity_peaks", sql("signal", then=_AUTO + _TOPS + " SELECT track_id, lag, r, rank FROM tops WHERE rank <= 3"))(lambda s, d: G.periodicity_peaks(G.autocorrelation(R.signal(s, d), range(2, 25)).withColumn("r", F.round("r", 6))))
+query("h31_periodicity_peaks", _long_signal(_AUTO + _TOPS + " SELECT track_id, lag, r, rank FROM tops WHERE rank <= 3"))(lambda s, d: G.periodicity_peaks(G.autocorrelation(R.signal(s, d, 7), range(8, 61)).withColumn("r", F.round("r", 6))))
 
 
-@query("h32_envelope_period", sql("signal", then=_AUTO + _TOPS + ", b AS (SELECT *, max(r) OVER (PARTITION BY track_id) AS best FROM tops) SELECT track_id, lag, r FROM b WHERE r >= 0.75 * best QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY abs(lag - 8), lag) = 1"))
+@query("h32_envelope_period", _long_signal(_AUTO + _TOPS + ", b AS (SELECT *, max(r) OVER (PARTITION BY track_id) AS best FROM tops) SELECT track_id, lag, r FROM b WHERE r >= 0.75 * best QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY abs(lag - 25), lag) = 1"))
 def envelope_period(s, d):
-    """Of the high peaks of the autocorrelation the one nearest to an expected period (8 frames)."""
-    tops = G.periodicity_peaks(G.autocorrelation(R.signal(s, d), range(2, 25)).withColumn("r", F.round("r", 6)), 10**6)
+    """Of the high peaks of the autocorrelation the one nearest to an expected period (25 frames)."""
+    tops = G.periodicity_peaks(G.autocorrelation(R.signal(s, d, 7), range(8, 61)).withColumn("r", F.round("r", 6)), 10**6)
     high = tops.withColumn("best", F.max("r").over(_track())).filter(F.col("r") >= 0.75 * F.col("best"))
-    return high.withColumn("_r", F.row_number().over(_track().orderBy(F.abs(F.col("lag") - 8), "lag"))).filter("_r = 1").select("track_id", "lag", "r")
+    return high.withColumn("_r", F.row_number().over(_track().orderBy(F.abs(F.col("lag") - 25), "lag"))).filter("_r = 1").select("track_id", "lag", "r")
 
 
-query("h34_cross_correlation", sql("signal", then=", l AS (SELECT a.track_id, k.lag::INT AS lag, corr(a.x, b.x) AS r, count(*) AS n FROM signal a CROSS JOIN (SELECT unnest(range(0, 4)) AS lag) k JOIN signal b ON b.track_id = a.track_id AND b.frame = a.frame + k.lag GROUP BY ALL) SELECT track_id, lag, n, CASE WHEN n >= 30 THEN round(r, 6) ELSE -1e9 END AS r FROM l"))(
-    lambda s, d: G.cross_correlation(R.signal(s, d), range(4), 30).withColumn("r", F.round("r", 6))
+query("h34_cross_correlation", _long_signal(", l AS (SELECT a.track_id, k.lag::INT AS lag, corr(a.x, b.x) AS r, count(*) AS n FROM signal a CROSS JOIN (SELECT unnest(range(0, 9)) AS lag) k JOIN signal b ON b.track_id = a.track_id AND b.frame = a.frame + k.lag GROUP BY ALL) SELECT track_id, lag, n, CASE WHEN n >= 100 THEN round(r, 6) ELSE -1e9 END AS r FROM l"))(
+    lambda s, d: G.cross_correlation(R.signal(s, d, 7), range(9)).withColumn("r", F.round("r", 6))
 )
 query("h35_comb_scan", sql("signal", then=", n AS (SELECT track_id, frame, max(x) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM signal), c AS (SELECT track_id, period::INT AS period, (frame % period)::INT AS phase, round(avg(s), 6) AS score FROM n CROSS JOIN (SELECT unnest([5, 6, 7, 8]) AS period) GROUP BY ALL) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY track_id, period ORDER BY score DESC, phase) = 1"))(lambda s, d: G.comb_scan(R.signal(s, d), (5, 6, 7, 8)))
 query("h36_rolling_line", sql("beats", "idx", then="SELECT track_id, beat_ms, round(regr_slope(beat_ms, i) OVER w, 4) AS slope, round(regr_intercept(beat_ms, i) OVER w + regr_slope(beat_ms, i) OVER w * i, 3) AS level FROM idx WINDOW w AS (PARTITION BY track_id ORDER BY beat_ms ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)"))(lambda s, d: G.rolling_line(R.beats(s, d), 4).select("track_id", "beat_ms", F.round("slope", 4).alias("slope"), F.round("level", 3).alias("level")))

@@ -30,6 +30,11 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir, None, "beat_ms")
 
 
+def long_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """track_id, beat_ms: the events of many users in seven tracks, of as many beats as a recording has."""
+    return beats(spark, sf_dir).withColumn("track_id", F.col("track_id") % 7)
+
+
 def clicks(spark: SparkSession, sf_dir: str, kind: str = "click") -> DataFrame:
     """track_id, t_ms: times at which something is asked."""
     return _events(spark, sf_dir, kind, "t_ms")
@@ -45,12 +50,12 @@ def activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id"), F.posexplode("embedding").alias("frame", "v")).select("track_id", "frame", F.col("v").cast("double").alias("x"))
 
 
-def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """track_id, frame, x: event values in order of time."""
+def signal(spark: SparkSession, sf_dir: str, tracks: int | None = None) -> DataFrame:
+    """track_id, frame, x: event values in order of time, by user or, with ``tracks``, dealt to so many tracks."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), (F.row_number().over(order) - 1).alias("frame"), F.col("value").alias("x"))
+    rows = table(spark, sf_dir, "events").withColumn("track_id", F.col("user_id") % tracks if tracks else F.col("user_id"))
+    return rows.select("track_id", (F.row_number().over(Window.partitionBy("track_id").orderBy("ts", "event_id")) - 1).alias("frame"), F.col("value").alias("x"))
 
 
 _T = f"(epoch_us(ts) - {START_US})::DOUBLE / 1000.0 / {SHORTEN}"

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempoframe.functions import numeric as N
 from tempoframe.operators import beats as B, peaks as P, scoring as S, signal as G, tracking as T
-from tempoframe.plans import relations as R
+from tempoframe.plans import kernel_twins as twins, relations as R
 from tempoframe.plans.relations import sql
 from tempoframe.sources import readers, sinks
 from tempoframe.sources.folders import shared_folder
@@ -46,23 +48,104 @@ query("c1_chunk_schedule", "WITH t AS (SELECT c_custkey, c_custkey * 13 % 9500 A
     lambda s, d: R.table(s, d, "customer").select("c_custkey", F.posexplode(S.chunk_schedule((F.col("c_custkey") * 13 % 9500).cast("int"))).alias("chunk", "start"))
 )
 query("c9_sigmoid", sql("activation", then="SELECT track_id, frame, round(1 / (1 + exp(-x)), 9) AS p FROM activation"))(lambda s, d: R.activation(s, d).select("track_id", "frame", F.round(N.sigmoid(F.col("x")), 9).alias("p")))
-query("b1_mono")(lambda s, d: G.to_mono(tones(s, d).select("track_id", "samples", F.lit(2).alias("channels"), F.lit(44_100).alias("sample_rate"))).select("track_id", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x).alias("energy")))
+
+
+def vector_samples(s, d, channels, rate):
+    return R.table(s, d, "embeddings").select(F.col("vec_id").alias("track_id"), F.col("embedding").alias("samples"), F.lit(channels).alias("channels"), F.lit(rate).alias("sample_rate"))
+
+
+def each_sample(tracks):
+    return tracks.select("track_id", F.posexplode("samples").alias("place", "x"))
+
+
+@query("b1_mono", twins.B1)
+def mono(s, d):
+    """The vectors as interleaved stereo at the target rate, mixed down."""
+    return each_sample(G.to_mono(vector_samples(s, d, 2, G.RATE)))
+
+
+@query("b2_resampled")
+def resampled(s, d):
+    """Tones at 44,100 Hz in stereo, mixed down and resampled."""
+    raw = tones(s, d).select("track_id", "samples", F.lit(2).alias("channels"), F.lit(44_100).alias("sample_rate"))
+    return G.to_mono(raw).select("track_id", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x).alias("energy"))
+
+
+@query("b3_upsampled", twins.B3)
+def upsampled(s, d):
+    """The vectors as samples at half the target rate: every second value lies between two of them."""
+    return each_sample(G.to_mono(vector_samples(s, d, 1, G.RATE // 2)))
+
+
+def line_mels(s, d):
+    """Spectra of 40 bands of small whole numbers, a track for each line number: tracks of many chunks."""
+    order = Window.partitionBy("l_linenumber").orderBy("l_orderkey", "l_partkey", "l_quantity")
+    rows = R.table(s, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("track_id"), (F.row_number().over(order) - 1).alias("frame"), F.col("l_quantity").cast("long").alias("q"), "l_partkey")
+    bands = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda b: ((F.col("q") * (b + 3) + F.col("l_partkey")) % 17).cast("float"))
+    return rows.select("track_id", "frame", bands.alias("mel"), F.count(F.lit(1)).over(Window.partitionBy("track_id")).cast("int").alias("total"))
+
+
 query("b11_log_mel")(mels)
 query("b13_onset_envelope")(lambda s, d: P.flux(G.flux_spectra(tones(s, d))))
-query("c2_activations")(lambda s, d: S.activations(mels(s, d)))
-query("c7_overlap_add")(lambda s, d: S.overlap_add(mels(s, d), shortest=8))
-query("d5_peaks")(lambda s, d: T.pruned_peaks(R.activation(s, d)))
-query("d9_suppress")(lambda s, d: T.suppressed(curve(s, d)))
-query("d11_place")(lambda s, d: T.placed(curve(s, d)))
-query("d13_detector_beats")(lambda s, d: T.detector_beats(curve(s, d)))
+
+
+@query("b13_flux", twins.B13)
+def flux(s, d):
+    """Onset strength of given spectra: the vectors, dealt to five tracks."""
+    spectra = R.table(s, d, "embeddings").select((F.col("vec_id") % 5).alias("track_id"), F.floor(F.col("vec_id") / 5).cast("int").alias("frame"), F.col("embedding").cast("array<double>").alias("mags"))
+    return P.flux(spectra).withColumn("flux", F.round("flux", 6))
+
+
+@query("c2_activations", twins.C2)
+def activations(s, d):
+    return S.activations(line_mels(s, d)).select("track_id", "frame", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in ("beat", "downbeat")))
+
+
+@query("c5_predict")
+def predict(s, d):
+    """Peaks of both outputs of the scored spectra."""
+    return T.predicted(S.activations(line_mels(s, d)))
+
+
+@query("c7_overlap_add", twins.C7)
+def overlap_add(s, d):
+    """Windows of 1,024 frames every 960; means by second."""
+    each = S.overlap_add(line_mels(s, d)).groupBy("track_id", F.floor(F.col("frame") / 50).cast("int").alias("second"))
+    return each.agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg(F.col("beat_prob").cast("double")), 3).alias("beat_prob"), F.round(F.avg(F.col("period_frames").cast("double")), 2).alias("period_frames"))
+
+
+@query("c10_verify", f"WITH {twins._MEL} SELECT count(*) AS frames, 0.5 AS beat, 0.25 AS downbeat FROM level")
+def verify(s, d):
+    """The largest difference of two scorings of the same spectra, by output: here a model and one that is off by constants."""
+    other = lambda mel: tuple(x + np.float32(off) for x, off in zip(S.band_scorer(mel), (0.5, 0.25), strict=True))
+    return S.largest_difference(S.activations(line_mels(s, d)), S.activations(line_mels(s, d), other)).select("frames", *(F.round(c, 3).alias(c) for c in ("beat", "downbeat")))
+
+
+@query("d5_peaks", twins.D5)
+def pruned(s, d):
+    return T.pruned_peaks(R.activation(s, d)).select("track_id", F.round("place", 6).alias("place"), F.round("beat_ms", 5).alias("beat_ms"))
+
+
+query("d9_suppress", twins.D9)(lambda s, d: T.suppressed(curve(s, d)))
+query("d11_place", twins.D11)(lambda s, d: T.placed(curve(s, d)).withColumn("beat_ms", F.round("beat_ms", 5)))
+query("d13_detector_beats", twins.D13)(lambda s, d: T.detector_beats(curve(s, d)).withColumn("beat_ms", F.round("beat_ms", 5)))
 query("d14_searched_path")(lambda s, d: T.searched_path(R.activation(s, d), floor=0.05))
-query("e5_regularised")(lambda s, d: T.regularised(R.beats(s, d)))
-query("e14_tempo_sections")(lambda s, d: T.tempo_sections(R.beats(s, d), persistence=6, shortest=6))
-query("e16_even_grid")(lambda s, d: T.even_grid(R.beats(s, d)))
-query("f3_bpm_at")(lambda s, d: T.bpm_at(R.clicks(s, d, "click"), R.beats(s, d)))
-query("h15_coalesced_sections")(lambda s, d: T.coalesced_sections(R.timing(s, d).withColumn("beat_length_ms", F.rint(F.col("beat_length_ms") / 100) * 100)))
-query("h26_tempo_steps")(lambda s, d: T.tempo_steps(R.beats(s, d)))
-query("h33_phase_snap")(lambda s, d: T.snapped(R.beats(s, d), R.signal(s, d).join(R.beats(s, d).select("track_id").distinct(), "track_id", "left_semi").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("track_id", (F.col("frame") * 5 + F.col("k")).alias("frame"), "x")))
+query("e5_regularised", twins.E5)(lambda s, d: T.regularised(R.beats(s, d)))
+query("e14_tempo_sections", twins.E14)(lambda s, d: T.tempo_sections(R.long_beats(s, d)))
+query("e16_even_grid", twins.E16)(lambda s, d: T.even_grid(R.long_beats(s, d)))
+query("f3_bpm_at", twins.F3)(lambda s, d: T.bpm_at(R.clicks(s, d, "click"), R.beats(s, d)))
+query("h15_coalesced_sections", twins.H15)(lambda s, d: T.coalesced_sections(R.timing(s, d).withColumn("beat_length_ms", F.rint(F.col("beat_length_ms") / 100) * 100)))
+query("h26_tempo_steps", twins.H26)(lambda s, d: T.tempo_steps(R.beats(s, d)))
+
+
+@query("h33_phase_snap")
+def phase_snap(s, d):
+    """Beats on the phase of an onset curve: each track's values, five frames of each."""
+    own = R.signal(s, d).join(R.beats(s, d).select("track_id").distinct(), "track_id", "left_semi")
+    curve = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("track_id", (F.col("frame") * 5 + F.col("k")).alias("frame"), "x")
+    return T.snapped(R.beats(s, d), curve)
+
+
 query("a14_modulo_shard", "SELECT c_custkey, c_name FROM customer QUALIFY (row_number() OVER (ORDER BY c_custkey) - 1) % 3 = 1")(lambda s, d: _shard(s, d))
 
 
@@ -101,21 +184,38 @@ query("a6_timing_points", sql("timing", then="SELECT track_id, round(time_ms, 3)
 query("a7_hit_objects", sql("asked", then="SELECT track_id, round(t_ms, 3) AS t_ms FROM asked"))(lambda s, d: readers.hit_objects(readers.sectioned(map_texts(s, d))).select(F.col("path").cast("long").alias("track_id"), "t_ms"))
 
 
+def streamed_tones(s, d, form):
+    """Tones of 65 s, three chunks and more, a track for each region, as a stream of five pieces each; what ``form`` makes of it, read again."""
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder, size = shared_folder(s), 13 * G.RATE
+    seq = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("seq")
+    k = F.col("seq") * size
+    sample = lambda i: (0.5 * F.sin(2 * F.pi() * (i % G.RATE) * (220 + 110 * F.col("track_id")) / G.RATE) * (i % 11025 < 2205).cast("double")).cast("float")
+    pieces = R.table(s, d, "region").select(F.col("r_regionkey").cast("long").alias("track_id"), seq).repartition(25, "track_id", "seq")
+    pieces = pieces.select("track_id", "seq", F.transform(F.sequence(k, k + size - 1), sample).alias("samples"), (F.col("seq") == 4).alias("is_last"))
+    pieces.write.partitionBy("seq").parquet(f"{folder}/by")
+    for n in range(5):
+        s.read.parquet(f"{folder}/by/seq={n}").withColumn("seq", F.lit(n)).write.mode("append").parquet(f"{folder}/in")
+    source = s.readStream.schema("track_id long, samples array<float>, is_last boolean, seq int").option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
+    stream = form(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return s.read.parquet(f"{folder}/out")
+
+
 @query("g4_stream_beats")
 def streamed(s, d):
-    """The tones as a stream of three pieces for each track: all beats, each once, as the settled ones come out."""
+    """All beats of the tones, each once, as the settled ones come out."""
     from tempoframe.streaming.tracker import stream_beats
 
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    folder = shared_folder(s)
-    seq, size = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seq"), 5880
-    pieces = tones(s, d).select("track_id", seq, "samples").select("track_id", "seq", F.slice("samples", F.col("seq") * size + 1, size).alias("samples"), (F.col("seq") == 2).alias("is_last"))
-    for k in range(3):
-        pieces.filter(F.col("seq") == k).write.mode("append").parquet(f"{folder}/in")
-    source = s.readStream.schema(pieces.withColumn("seq", F.col("seq").cast("int")).schema).parquet(f"{folder}/in")
-    stream = stream_beats(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    stream.awaitTermination()
-    return s.read.parquet(f"{folder}/out").filter("frame IS NOT NULL")
+    return streamed_tones(s, d, stream_beats).filter("frame IS NOT NULL")
+
+
+@query("g7_searched_stream")
+def searched_stream(s, d):
+    """The searched reading of the tones: the stream gives out its curve, and the search runs on what was written."""
+    from tempoframe.streaming.tracker import stream_curve
+
+    return T.searched_path(streamed_tones(s, d, stream_curve), downbeat="downbeat", value="beat")
 
 
 @query("i3_memoised")

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
@@ -45,3 +46,13 @@ def clean() -> None:
             remove(spark, path)
         except Exception:  # the session may have gone already
             pass
+
+
+def write_file(folder: str, name: str, data: bytes) -> None:
+    """From a task; ``folder``: a URI. Under another name first, then moved, so that no reader meets half a file."""
+    system, path = fs.FileSystem.from_uri(folder)
+    system.create_dir(f"{path}/{name}".rpartition("/")[0], recursive=True)
+    part = f"{path}/.{uuid.uuid4().hex}"
+    with system.open_output_stream(part, compression=None) as out:
+        out.write(data)
+    system.move(part, f"{path}/{name}")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempoframe.operators.signal import RATE, to_mono
+from tempoframe.sources.folders import shared_folder
 
 RAW = "samples array<float>, channels int, sample_rate int"
 Decoder = Callable[[bytes], tuple[np.ndarray, int, int]]
@@ -146,11 +147,34 @@ def read_fixture(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", run("content").alias("f")).select("path", "f.*")
 
 
+def read_matrix(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path, rows, columns, values of dumps as ``sinks.matrix_bytes`` makes them."""
+
+    @F.pandas_udf("rows int, columns int, values array<float>")
+    def run(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(*np.frombuffer(c[:8], "<i4").tolist(), np.frombuffer(c[8:], "<f4")) for c in map(bytes, content)], columns=["rows", "columns", "values"])
+
+    return files(spark, path, pattern).select("path", run("content").alias("m")).select("path", "m.*")
+
+
+def read_small(spark: SparkSession, path: str, pattern: str = "*.i8") -> DataFrame:
+    """path, values of files of signed bytes."""
+
+    @F.pandas_udf("array<int>")
+    def run(content: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(bytes(c), np.int8).astype(np.int32) for c in content])
+
+    return files(spark, path, pattern).select("path", run("content").alias("values"))
+
+
 def shard(rows: DataFrame, of: int, index: int, *order: str) -> DataFrame:
     """Every ``of``-th row in ``order``: ranges are numbered by a sorted pass, so that no task holds all rows."""
     spark = rows.sparkSession
     parts = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).select(F.struct(*rows.columns).alias("row"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
-    placed = parts.withColumn("n", F.col("id") - F.shiftleft(F.col("part").cast("long"), 33)).persist()
+    # Written once: what is counted and what is numbered are the same rows in the same parts.
+    folder = shared_folder(spark)
+    parts.withColumn("n", F.col("id") - F.shiftleft(F.col("part").cast("long"), 33)).drop("id").write.parquet(folder)
+    placed = spark.read.parquet(folder)
     sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
     start, before = 0, []
     for p in sorted(sizes):

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import wave
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
+
+from tempoframe.sources.folders import write_file
 
 CACHE = "cache_key string, metrical_shift int, beats array<double>"
 
@@ -90,3 +98,60 @@ def write_curve(curve: DataFrame, folder: str) -> None:
 def write_frames(rows: DataFrame, folder: str) -> None:
     """Arrays of floats or small integers, one row for each track, as Parquet by track."""
     rows.write.mode("overwrite").parquet(folder)
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Writes a file for each row (name, content) below ``folder`` (a URI); returns how many. A repeated task writes the same again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                write_file(folder, name, content.as_buffer().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return rows.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+@F.pandas_udf(BinaryType())
+def wav_bytes(samples: pd.Series, channels: pd.Series, rate: pd.Series) -> pd.Series:
+    """PCM of 16 bits; values beyond -1..1 are clipped."""
+    out = []
+    for x, c, r in zip(samples, channels, rate, strict=True):
+        data = io.BytesIO()
+        with wave.open(data, "wb") as w:
+            w.setnchannels(int(c))
+            w.setsampwidth(2)
+            w.setframerate(int(r))
+            w.writeframes(np.clip(np.rint(np.asarray(x, float) * 32768), -32768, 32767).astype("<i2").tobytes())
+        out.append(data.getvalue())
+    return pd.Series(out)
+
+
+@F.pandas_udf(BinaryType())
+def float_bytes(values: pd.Series) -> pd.Series:
+    """Little-endian floats of 32 bits."""
+    return pd.Series([np.asarray(x, "<f4").tobytes() for x in values])
+
+
+@F.pandas_udf(BinaryType())
+def small_bytes(values: pd.Series) -> pd.Series:
+    """A signed byte for each value, as frame labels and octaves are kept."""
+    return pd.Series([np.asarray(x, np.int8).tobytes() for x in values])
+
+
+@F.pandas_udf(BinaryType())
+def matrix_bytes(values: pd.Series, width: pd.Series) -> pd.Series:
+    """Rows and columns as integers of 32 bits, then the values row by row, as floats."""
+    return pd.Series([np.array([len(x) // w if w else 0, w], "<i4").tobytes() + np.asarray(x, "<f4").tobytes() for x, w in zip(values, width, strict=True)])
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def marked(samples: pd.Series, beats_ms: pd.Series, rate: pd.Series) -> pd.Series:
+    """Samples with an audible mark, half of full scale for ten milliseconds, from each beat on."""
+    out = []
+    for x, beats, r in zip(samples, beats_ms, rate, strict=True):
+        mine, length = np.array(x, np.float32), int(r) // 100
+        for at in np.floor(np.asarray(beats, float) * r / 1000).astype(int):
+            mine[max(0, at) : max(0, at + length)] = 0.5
+        out.append(mine)
+    return pd.Series(out)

@@ -1,8 +1,10 @@
 """Beats of tracks whose samples arrive in pieces, as a stateful stream.
 
-A track's state is a tail: samples for one chunk of frames and its margin, and the curve back to the last ``HELD_PEAKS``
-peaks. Chunks are scored where the batch schedule has them, so that the curve is the batch curve; beats are given out
-once ``SETTLE`` frames have passed them, each once, and the rest at the track's end.
+A track's state is a tail, however long the track and however few its peaks: samples for one chunk of frames and its margin, the
+curve of the frames that are not settled, and of what came before the last ``HELD_PEAKS`` peaks with their values. Chunks are
+scored where the batch schedule has them, so that the curve is the batch curve; beats are given out once ``SETTLE`` frames
+have passed them, each once, and the rest at the track's end. The curve itself can be given out, too, for a search over the
+whole of it when the track has ended.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tempoframe.operators import kernels as K
-from tempoframe.operators.kernels import raw_peaks
+from tempoframe.operators.kernels import frame_peaks, raw_peaks
 from tempoframe.operators.scoring import BORDER, CHUNK, STRIDE, UNSCORED, Scorer, band_scorer, chunk_starts, score_chunk
 from tempoframe.operators.signal import FFT, HOP, complete_frames, frame_count, log_mel
 
 SETTLE, HELD_PEAKS = 64, 256
+CURVE = "track_id long, frame int, beat float, downbeat float"
 BEATS = "track_id long, frame double, beat_ms double, beats_through_ms double, samples long, final boolean"
 
 
@@ -31,7 +34,9 @@ class TrackState:
         self.scorer = scorer
         self.samples, self.base, self.total = np.zeros(0, np.float32), 0, 0
         self.next_frame, self.emitted, self.done = 0, 0, False
-        self.curve, self.downbeats, self.curve_base = np.zeros(0, np.float32), np.zeros(0, np.float32), 0
+        self.curve, self.curve_base, self.cut = np.zeros(0, np.float32), 0, 0
+        self.places, self.values = np.zeros(0), np.zeros(0)  # peaks before ``cut``
+        self.fresh: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def add(self, samples: np.ndarray) -> list[float]:
         """Beats (in frames) that are settled now."""
@@ -69,10 +74,17 @@ class TrackState:
 
     def _write(self, first: int, beat: np.ndarray, downbeat: np.ndarray) -> None:
         gap = np.full(max(0, first - self.next_frame), UNSCORED, np.float32)
-        self.curve = np.concatenate((self.curve, gap, beat)).astype(np.float32)
-        self.downbeats = np.concatenate((self.downbeats, gap, downbeat)).astype(np.float32)
+        new = [np.concatenate((gap, x)).astype(np.float32) for x in (beat, downbeat)]
+        self.fresh.append((self.next_frame, *new))
+        self.curve = np.concatenate((self.curve, new[0]))
         self.next_frame = max(first, self.next_frame) + len(beat)
 
+    def scored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Frames that were scored since this was asked last, and both their values."""
+        parts, self.fresh = self.fresh, []
+        each = [(np.arange(first, first + len(a)), a, b) for first, a, b in parts] or [(np.zeros(0, int), np.zeros(0, np.float32), np.zeros(0, np.float32))]
+        return tuple(np.concatenate(x) for x in zip(*each, strict=True))
+
     def _forget_samples(self) -> None:
         need = max(0, (self.next_frame - CHUNK) * HOP - 2 * FFT)
         if need > self.base:
@@ -82,13 +94,22 @@ class TrackState:
         limit = self.next_frame if final else self.next_frame - SETTLE
         if limit <= self.emitted:
             return []
-        places = raw_peaks(self.curve.astype(float))
-        kept = places[K.prune(places, self.curve)] + self.curve_base if len(places) else places
+        tail = raw_peaks(self.curve.astype(float))
+        tail = tail[tail + self.curve_base >= self.cut]
+        values = np.concatenate((self.values, K.values_at(tail, self.curve)))
+        places = np.concatenate((self.places, tail + self.curve_base))
+        kept = places[K.prune_by(places, values)]
         out = kept[(kept >= self.emitted) & (kept < limit)].tolist()
         self.emitted = limit
-        if len(places) > HELD_PEAKS:
-            cut = max(0, min(int(places[-HELD_PEAKS]) - 4, self.emitted - self.curve_base - 4))
-            self.curve, self.downbeats, self.curve_base = self.curve[cut:], self.downbeats[cut:], self.curve_base + cut
+        # What is settled up to a frame that is no peak is known by its peaks from now on; four frames before it bear on those behind.
+        peaks = np.zeros(len(self.curve), bool)
+        peaks[frame_peaks(self.curve)] = True
+        plain = np.flatnonzero(~peaks[: max(0, limit - self.curve_base)])
+        if len(plain) and plain[-1] > 4:
+            self.cut = int(plain[-1]) + self.curve_base
+            old = places < self.cut
+            self.places, self.values = places[old][-HELD_PEAKS:], values[old][-HELD_PEAKS:]
+            self.curve, self.curve_base = self.curve[plain[-1] - 4 :], self.cut - 4
         return out
 
 
@@ -112,19 +133,32 @@ class BeatTracker(StatefulProcessor):
                 found += track.add(np.asarray(samples, np.float32))
             if last:
                 found += track.flush()
+        out = self.given_out(key[0], track, found)
         self.state.update((pickle.dumps({k: v for k, v in track.__dict__.items() if k != "scorer"}),))
+        yield out
+
+    def given_out(self, track_id: int, track: TrackState, found: list[float]) -> pd.DataFrame:
+        track.scored()
         through = track.emitted * 1000.0 / 50
-        yield pd.DataFrame({"track_id": key[0], "frame": found, "beat_ms": [f * 20.0 for f in found], "beats_through_ms": through, "samples": track.total, "final": track.done}).astype({"track_id": "int64", "frame": "float64", "beat_ms": "float64", "beats_through_ms": "float64", "samples": "int64", "final": "bool"})
+        return pd.DataFrame({"track_id": track_id, "frame": found, "beat_ms": [f * 20.0 for f in found], "beats_through_ms": through, "samples": track.total, "final": track.done}).astype({"track_id": "int64", "frame": "float64", "beat_ms": "float64", "beats_through_ms": "float64", "samples": "int64", "final": "bool"})
 
     def close(self) -> None:
         pass
 
 
+class CurveTracker(BeatTracker):
+    """The same rows in; the scored frames out, each once."""
+
+    def given_out(self, track_id: int, track: TrackState, found: list[float]) -> pd.DataFrame:
+        frame, beat, downbeat = track.scored()
+        return pd.DataFrame({"track_id": np.full(len(frame), track_id, np.int64), "frame": frame.astype(np.int32), "beat": beat, "downbeat": downbeat})
+
+
 def stream_beats(pieces: DataFrame, scorer: Scorer = band_scorer) -> DataFrame:
     """Settled beats of a stream of pieces; needs the RocksDB state store."""
     return pieces.groupBy("track_id").transformWithStateInPandas(statefulProcessor=BeatTracker(scorer), outputStructType=BEATS, outputMode="Append", timeMode="None")
 
 
-def searched(curve: np.ndarray, downbeats: np.ndarray | None = None) -> np.ndarray:
-    """The best path over a finished track's curve."""
-    return K.best_path(curve, downbeats)
+def stream_curve(pieces: DataFrame, scorer: Scorer = band_scorer) -> DataFrame:
+    """The scored curve of a stream of pieces; written out, it is what ``tracking.searched_path`` reads when a track has ended."""
+    return pieces.groupBy("track_id").transformWithStateInPandas(statefulProcessor=CurveTracker(scorer), outputStructType=CURVE, outputMode="Append", timeMode="None")
