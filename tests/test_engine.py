@@ -226,3 +226,80 @@ def test_nothing_outside_uses_the_training_data_package():
 
     top = Path(__spark_entry__.__file__).parent / "tempoframe"
     assert not [p for p in top.rglob("*.py") if "llm" not in p.parts and "tempoframe.llm" in p.read_text()]
+
+
+def field(number, *parts):
+    """A field of a protocol buffer: numbers as they are, everything else by length."""
+    out = b""
+    for p in parts:
+        if isinstance(p, int):
+            out += bytes([number << 3 & 0x7F | 0x80, number >> 4]) + bytes([p]) if number > 15 else bytes([number << 3, p])
+        else:
+            p = p.encode() if isinstance(p, str) else p
+            key = bytes([number << 3 | 2])
+            size = bytes([len(p)]) if len(p) < 128 else bytes([len(p) & 0x7F | 0x80, len(p) >> 7])
+            out += key + size + p
+    return out
+
+
+def model_file(inputs="spectrogram", outputs=("beat", "downbeat"), axis=2):
+    """A model in the exchange format: the mean and the maximum over one axis."""
+    attributes = field(5, field(1, "axes") + field(8, axis) + field(20, 7), field(1, "keepdims") + field(3, 0) + field(20, 2))
+    nodes = b"".join(field(1, field(1, inputs) + field(2, name) + field(4, op) + attributes) for name, op in zip(outputs, ("ReduceMean", "ReduceMax"), strict=True))
+
+    def value(name, *dims):
+        shape = b"".join(field(1, field(1, x) if isinstance(x, int) else field(2, x)) for x in dims)
+        return field(1, name) + field(2, field(1, field(1, 1) + field(2, shape)))
+
+    dims = (1, "t", "b")
+    graph = nodes + field(2, "g") + field(11, value(inputs, *dims)) + b"".join(field(12, value(name, 1, "t")) for name in outputs)
+    return field(1, 8) + field(7, graph) + field(8, field(2, 13))
+
+
+def test_a_model_file_scores(spark, tmp_path):
+    path = tmp_path / "m.onnx"
+    path.write_bytes(model_file())
+    rng = np.random.default_rng(5)
+    mel = rng.random((3000, 40)).astype(np.float32)
+    a, b = S.onnx_scorer(str(path))(mel)
+    assert np.allclose(a, mel.mean(1), atol=1e-6) and np.allclose(b, mel.max(1))
+    df = spark.createDataFrame(pd.DataFrame({"track_id": 1, "frame": np.arange(3000), "mel": mel.tolist()}), "track_id long, frame int, mel array<float>")
+    got = S.activations(df, S.onnx_scorer(str(path))).orderBy("frame").toPandas()
+    assert np.allclose(got.beat, mel.mean(1), atol=1e-6) and np.allclose(got.downbeat, mel.max(1))
+    other = tmp_path / "d.onnx"
+    other.write_bytes(model_file("x", ("beat_logit", "period_logit"), 1))
+    a, b = S.onnx_scorer(str(other), 2, "x", ("beat_logit", "period_logit"), bands_first=True)(mel)
+    assert np.allclose(a, mel.mean(1), atol=1e-6) and np.allclose(b, mel.max(1))
+
+
+def test_predicted_is_both_outputs(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 500))
+    df = spark.createDataFrame(pd.DataFrame({"track_id": 4, "frame": np.arange(500), "beat": a, "downbeat": b}), "track_id long, frame int, beat double, downbeat double")
+    got = T.predicted(df).toPandas()
+    for kind, curve in (("beat", a), ("downbeat", b)):
+        assert np.allclose(sorted(got[got.kind == kind].place), K.beat_frames(curve))
+
+
+def test_searched_reading_of_a_stream_is_that_of_the_whole(spark, sf):
+    got = Q.QUERIES["g7_searched_stream"](spark, sf).toPandas()
+    from tempoframe.plans.track_queries import streamed_tones
+    from tempoframe.streaming.tracker import stream_curve
+
+    curve = streamed_tones(spark, sf, stream_curve).toPandas()
+    for track, rows in curve.groupby("track_id"):
+        rows = rows.sort_values("frame")
+        assert rows.frame.tolist() == list(range(len(rows))) and len(rows) > 3000
+        assert sorted(got[got.track_id == track].frame) == K.best_path(rows.beat.to_numpy(), rows.downbeat.to_numpy()).tolist()
+
+
+def test_groups_that_span_batches(spark):
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        data = [(t, None if t == 3 else k % 2, i) for k, (t, n) in enumerate([(0, 1), (1, 40), (2, 7), (None, 9), (3, 14), (4, 3)]) for i in range(n)]
+        df = spark.createDataFrame(data, "track_id long, part int, i int").repartition(3)
+        out = K.per_group(df, ("track_id", "part"), lambda f: {"n": np.array([len(f["i"])]), "ok": np.array([(np.diff(f["i"]) == 1).all()])}, "track_id long, part int, n long, ok boolean", "i")
+        assert sorted(map(tuple, out.collect()), key=str) == sorted([(0, 0, 1, True), (1, 1, 40, True), (2, 0, 7, True), (None, 1, 9, True), (3, None, 14, True), (4, 1, 3, True)], key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
