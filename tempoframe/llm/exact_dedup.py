@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from tempoframe.llm.shared import SPACE, staged, text_or_empty
 
-#: Chunks of 512 characters and more end at the first vowel pair before a late letter, or at 4096.
-CHUNK = r"(?s).{512,4093}?[aeiou]{2}[n-z]|.{1,4096}"
+#: Chunks of 512 characters and more end at the first vowel pair before a late letter, in other scripts at the first two of their early
+#: letters (Cyrillic, Arabic, Devanagari, kana, Han, Hangul), or at 4096: places that depend on what stands there.
+CHUNK = r"(?s).{512,4093}?(?:[aeiou]{2}[n-z]|[\x{430}-\x{433}\x{627}-\x{62A}\x{905}-\x{90F}\x{3042}-\x{304B}\x{4E00}-\x{4E7F}\x{AC00}-\x{ACFF}]{2})|.{1,4096}"
 
 
 def short_identifier(chunk: Column) -> Column:
