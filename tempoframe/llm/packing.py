@@ -5,8 +5,8 @@ sequence of its own. All other pieces are dealt evenly to partitions; each parti
 decreasing and bounds the number of its sequences from below by dual-feasible functions. A partition that reaches
 its bound is certified. As long as the whole is above the bound of the whole, sequences with free places are
 opened again, in partitions with a gap all of them and in certified ones the emptiest, and their documents are
-exchanged: dealt anew and packed again. An exchange counts only if it saves sequences, and the last one that
-saves none ends the search.
+exchanged: dealt anew and packed again. An exchange counts only if it saves sequences; one that saves none, or the last of
+``rounds``, ends the search. What is left above the bound is said in each row.
 
 Only lengths and places move after the encoding, never texts or ids.
 
@@ -132,7 +132,7 @@ def _sequences(packed: DataFrame) -> int:
 
 
 def pack(rows: DataFrame, capacity: int = 4096, per_part: int = 100_000, rounds: int = 4) -> DataFrame:
-    """Places each piece (columns of ``pieces``) at sequence_id and offset."""
+    """Places each piece (columns of ``pieces``) at sequence_id and offset; gap: how many sequences there are above the lower bound, 0 if certified."""
     spark = rows.sparkSession
     full, rest = rows.filter(F.col("length") == capacity), rows.filter(F.col("length") < capacity)
     histogram = np.zeros(capacity + 1, np.int64)
@@ -160,9 +160,9 @@ def pack(rows: DataFrame, capacity: int = 4096, per_part: int = 100_000, rounds:
     out = full.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).select(names)
     for part in [*settled, opened]:
         out = out.unionByName(part.select(names))
-    return out
+    return out.withColumn("gap", F.lit(done + now - bound).cast("long"))
 
 
 def best_fit_packing(docs: DataFrame, vocabulary: str, spaces: str = "dropped", end_id: int = 1, capacity: int = 4096, per_part: int = 100_000, rounds: int = 4) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap."""
     return pack(staged(pieces(docs, vocabulary, spaces, end_id, capacity)), capacity, per_part, rounds)
