@@ -2,14 +2,14 @@
 
 A rolling hash over the hashes of the last lines ends a chunk wherever its low bits are zero, so that the places depend
 on what stands there and not on what came before. Chunks of two lines and more that occur more than once in the corpus
-stay where they first occur (smallest doc_id, then place) and are removed everywhere else. Occurrences are the same
+stay where they first occur (smallest doc_id, then hash of the text, then place) and are removed everywhere else. Occurrences are the same
 only if their bytes are: chunks are grouped by their text, after reduction to distinct ones in each task, and an
 identifier that two texts bear is not used.
 
 Defined cases: null text is the empty text and comes back empty; texts of one line stay as they are; chunks of white
-space alone stay; a text of which all chunks went is empty; rows with equal ``doc_id`` count as one document, in which
-each row keeps what its first occurrence in the row is; a null ``doc_id`` comes after all others; an empty table gives
-no rows; further columns are carried along, ``n_chars`` is counted anew.
+space alone stay; a text of which all chunks went is empty; rows with equal ``doc_id`` and different texts are documents of their own,
+rows that repeat whole are one, and each keeps what it keeps; a null ``doc_id`` comes after all others; an empty table
+gives no rows; further columns are carried along, ``n_chars`` is counted anew.
 """
 
 from __future__ import annotations
@@ -71,22 +71,22 @@ def identified(text: str, digest: Callable[[bytes], bytes]) -> Iterator[tuple[in
 
 
 def repeated_chunks(texts: DataFrame, digest: Callable[[bytes], bytes]) -> DataFrame:
-    """texts: doc_id, text. chunk_id, first_doc, texts: of chunks that occur more than once; a written table."""
+    """texts: doc_id, tid, text. chunk_id, first (the row that keeps it), texts: of chunks that occur more than once; a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(doc, i, chunk) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for _, i, chunk, _ in identified(text, digest)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.string()), strict=True)], ["doc_id", "chunk_id", "chunk"])
+            rows = [(doc, tid, i, chunk) for doc, tid, text in zip(*(c.to_pylist() for c in b.columns), strict=True) for _, i, chunk, _ in identified(text, digest)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], ["doc_id", "tid", "chunk_id", "chunk"])
 
-    each = texts.mapInArrow(run, "doc_id long, chunk_id binary, chunk string")
-    same = each.groupBy("chunk_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
-    by_id = same.groupBy("chunk_id").agg(F.sum("n").alias("n"), F.min("first_doc").alias("first_doc"), F.count(F.lit(1)).alias("texts"))
-    return staged(by_id.filter("n > 1").select("chunk_id", "first_doc", "texts"))
+    each = texts.mapInArrow(run, "doc_id long, tid long, chunk_id binary, chunk string")
+    same = each.groupBy("chunk_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("first"))
+    by_id = same.groupBy("chunk_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.count(F.lit(1)).alias("texts"))
+    return staged(by_id.filter("n > 1").select("chunk_id", "first", "texts"))
 
 
 def removals(texts: DataFrame, digests=(short_digest, long_digest)) -> tuple[DataFrame, Callable[[bytes], bytes]]:
-    """doc_id, chunk_ids, firsts: of each document the chunks to remove and those to keep at their first place."""
+    """doc_id, tid, gone, firsts: of each text the chunks to remove and those to keep at their first place only."""
     for digest in digests:
         groups = repeated_chunks(texts, digest)
         if groups.filter("texts > 1").isEmpty():
@@ -96,20 +96,20 @@ def removals(texts: DataFrame, digests=(short_digest, long_digest)) -> tuple[Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(doc, i, again) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for _, i, _, again in identified(text, digest)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.bool_()), strict=True)], ["doc_id", "chunk_id", "again"])
+            rows = [(doc, tid, i, again) for doc, tid, text in zip(*(c.to_pylist() for c in b.columns), strict=True) for _, i, _, again in identified(text, digest)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], ["doc_id", "tid", "chunk_id", "again"])
 
-    places = texts.mapInArrow(run, "doc_id long, chunk_id binary, again boolean")
-    first = F.col("doc_id").eqNullSafe(F.col("first_doc"))
-    gone = places.join(groups, "chunk_id").filter(~first | F.col("again")).select("doc_id", "chunk_id", first.alias("first"))
-    return staged(gone.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("first"), F.col("chunk_id"))).alias("gone"), F.collect_set(F.when(F.col("first"), F.col("chunk_id"))).alias("firsts"))), digest
+    places = texts.mapInArrow(run, "doc_id long, tid long, chunk_id binary, again boolean")
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tid") == F.col("first.tid"))
+    gone = places.join(groups, "chunk_id").filter(~first | F.col("again")).select("doc_id", "tid", "chunk_id", first.alias("first"))
+    return staged(gone.groupBy("doc_id", "tid").agg(F.collect_set(F.when(~F.col("first"), F.col("chunk_id"))).alias("gone"), F.collect_set(F.when(F.col("first"), F.col("chunk_id"))).alias("firsts"))), digest
 
 
 def line_dedup(docs: DataFrame, digests=(short_digest, long_digest), report: bool = False) -> DataFrame:
     """``docs`` with repeated chunks of lines removed from ``text``; ``report`` adds chunks_removed and lines_removed."""
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tid"), text_or_empty().alias("text"))
     listed, digest = removals(texts, digests)
 
     @F.pandas_udf("text string, chunks_removed int, lines_removed int")
@@ -131,10 +131,10 @@ def line_dedup(docs: DataFrame, digests=(short_digest, long_digest), report: boo
         return pd.DataFrame(out, columns=["text", "chunks_removed", "lines_removed"])
 
     names = docs.columns
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"), F.col("doc_id").cast("long").alias("key"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"), F.col("doc_id").cast("long").alias("key"), F.xxhash64(text_or_empty()).alias("key_tid"))
     size = listed.agg(F.coalesce(F.sum(F.lit(64) + 32 * (F.size("gone") + F.size("firsts"))), F.lit(0))).first()[0]
-    of = listed.withColumnRenamed("doc_id", "key_of")
-    joined = rows.join(F.broadcast(of) if size <= BROADCAST_BYTES else of.hint("merge"), F.col("key").eqNullSafe(F.col("key_of")), "left")
+    of = listed.withColumnsRenamed({"doc_id": "key_of", "tid": "tid_of"})
+    joined = rows.join(F.broadcast(of) if size <= BROADCAST_BYTES else of.hint("merge"), (F.col("key_tid") == F.col("tid_of")) & F.col("key").eqNullSafe(F.col("key_of")), "left")
     fresh = joined.select("row", rebuilt(F.coalesce(F.col("row.text").cast("string"), F.lit("")), "gone", "firsts").alias("new"))
     count = F.char_length("new.text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None
     columns = [F.col("new.text").alias(c) if c == "text" else count.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in names]

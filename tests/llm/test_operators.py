@@ -183,6 +183,16 @@ def test_exact_dedup(odd, odd_pairs, none, options):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_chunks_resist_shifts_in_other_scripts(spark):
+    rng = random.Random(4)
+    scripts = {"ru": range(0x430, 0x450), "ja": [*range(0x3041, 0x3090), *range(0x4E00, 0x5200)], "ar": range(0x621, 0x64A), "hi": range(0x905, 0x93A), "en": range(97, 123)}
+    texts = {k: "".join(chr(rng.choice(list(v))) for _ in range(20_000)) for k, v in scripts.items()}
+    rows = [(i, t) for i, t in enumerate(x for t in texts.values() for x in (t, "1" * 37 + t))]
+    found = {r["doc_id"]: r["chunks"] for r in exact_dedup.chunked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(0, len(rows), 2):
+        assert len(found[i]) > 8 and len(set(found[i]) - set(found[i + 1])) <= 4
+
+
 # 4 and 6
 def labelled(spark, rng, n=900):
     docs, labels = [], []
@@ -280,6 +290,25 @@ def test_ratios_are_those_of_models_by_dictionaries(spark):
         assert np.allclose(x, [*(sums / max(len(own), 1)), np.log(max(len(own), 1))], atol=1e-4)
 
 
+def test_ranking_is_that_of_all_pairs():
+    """Bradley-Terry strengths by plain gradient steps on each pair of a good and a poor row."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 3))
+    label = (x @ [1.5, -1.0, 0.3] + rng.normal(size=120) > 0.3).astype(int)
+    ranking = quality.Ranking(x, label, 100_000)
+    z, w = (x - x.mean(0)) / x.std(0), np.zeros(3)
+    for _ in range(400):
+        slope = np.zeros(3)
+        for g in z[label == 1]:
+            d = g - z[label == 0]
+            slope += (d / (1 + np.exp(d @ w))[:, None]).sum(0)
+        w += 2 * slope / (label.sum() * (1 - label).sum())
+    plain, got = z @ w, ranking.strength(x)
+    assert np.corrcoef(plain, got)[0, 1] > 0.9999 and abs(plain.std() / got.std() - 1) < 0.15  # the ridge draws them in
+    assert (got < ranking.threshold).sum() == (label == 0).sum()
+    assert ((ranking.score(x) >= 0.5) == (got >= ranking.threshold)).all()
+
+
 def test_toxic_words_of_equal_character_classes_are_told_apart(spark):
     rng = random.Random(8)
     vile, fair = (lambda: f"{rng.choice((1234, 9031))}"), (lambda: f"{rng.choice((4321, 1309, 7777))}")
@@ -307,6 +336,7 @@ def test_packing(odd, odd_pairs, none):
         ids = t.encode(text_of(x), add_special_tokens=False).ids + [1]
         expected += [(i, k // 4096, k, len(ids[k : k + 4096]), crc(ids[k : k + 4096])) for k in range(0, len(ids), 4096)]
     rows = packing.best_fit_packing(odd, WORDS, per_part=7).collect()
+    assert {r["gap"] for r in rows} <= {0, 1}
     assert sorted((tuple(r)[:5] for r in rows), key=str) == sorted(expected, key=str)
     by = collections.defaultdict(list)
     for r in rows:
@@ -475,24 +505,42 @@ def test_words():
 
 
 # 9
+def plain_chunks(text):
+    """A chunk ends after a line where a number of this and the line before is even, if it has two lines by then."""
+    lines, out, now = text.split("\n"), [], []
+    h = [xxhash.xxh64_intdigest(line.encode()) for line in lines]
+    for i, line in enumerate(lines):
+        now.append(line)
+        two = (h[i] + (h[i - 1] * 0x9E3779B97F4A7C15 if i else 0)) % 2**64
+        if len(now) >= 2 and (two ^ two >> 31) % 2 == 0:
+            out.append(now)
+            now = []
+    if len(now) == 1 and out:
+        out[-1] = out[-1] + now
+    elif now:
+        out.append(now)
+    return ["\n".join(c) for c in out]
+
+
 def test_line_dedup(spark, odd, odd_pairs, none):
     rng = random.Random(9)
     pool = ["\n".join(f"{prose(rng, 4)}." for _ in range(rng.randrange(1, 9))) for _ in range(14)]
-    pairs = odd_pairs + [(100 + i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 6)))) for i in range(60)]
+    pairs = odd_pairs + [(rng.choice([100 + i, 100 + i, 101, None]), "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 6)))) for i in range(60)]
     df = spark.createDataFrame(rows_of(pairs), SCHEMA).repartition(5)
+    tids = {r["t"]: r["h"] for r in df.select(F.coalesce("text", F.lit("")).alias("t")).withColumn("h", F.xxhash64("t")).collect()}
     for options in ({}, {"digests": (lambda c: c[:1], line_dedup.long_digest)}):
         got = collections.defaultdict(list)
         for r in line_dedup.line_dedup(df, **options).collect():
             got[r["doc_id"]].append(r["text"])
             assert r["n_chars"] == len(r["text"]) and r["gone"] == "g"
         first = {}
-        for i, t in sorted(((i, text_of(t)) for i, t in pairs if i is not None)):
-            for c in line_dedup.line_chunks(t):
-                first.setdefault(c, i)
+        for i, t in sorted(((i, text_of(t)) for i, t in pairs), key=lambda r: (r[0] is None, r[0] or 0, tids[r[1]])):
+            for c in plain_chunks(t):
+                first.setdefault(c, (i, t))
         for i, t in pairs:
             kept, met = [], set()
-            for c in line_dedup.line_chunks(text_of(t)):
-                if "\n" not in c or c.isspace() or (first.get(c, i) == i and c not in met):
+            for c in plain_chunks(text_of(t)):
+                if "\n" not in c or c.isspace() or (first[c] == (i, text_of(t)) and c not in met):
                     kept.append(c)
                 met.add(c)
             assert "\n".join(kept) in got[i]
