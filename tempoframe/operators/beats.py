@@ -36,19 +36,21 @@ def _gap_ahead() -> Column:
 
 
 def local_periods(beats: DataFrame, window: int = 16) -> DataFrame:
-    """period_ms: the gap around each beat that most gaps are within a quarter of, the smallest of equals; 0 below 3 gaps."""
-    gaps = beats.withColumn("_gap", _gap_ahead()).withColumn("_gaps", F.collect_list("_gap").over(_track().rowsBetween(-window, window - 1)))
-    votes = F.transform("_gaps", lambda c: F.struct(F.size(F.filter("_gaps", lambda g: (g >= c * 0.75) & (g <= c * 1.25))).alias("n"), (-c).alias("minus")))
-    return gaps.withColumn("period_ms", F.when(F.size("_gaps") < 3, 0.0).otherwise(-F.array_max(votes)["minus"])).drop("_gap", "_gaps")
+    """track_id, beat_ms, period_ms: the gap around each beat that most gaps are within a quarter of, the smallest of equals; 0 below 3 gaps.
+
+    Each gap is held against all around it: a matter of arrays, for which expressions over lists are slow.
+    """
+    return K.per_track(beats.select("track_id", "beat_ms"), lambda f: {"beat_ms": f["beat_ms"], "period_ms": K.modal_periods(f["beat_ms"], window)}, "beat_ms double, period_ms double", "beat_ms")
 
 
 def dominant_periods(beats: DataFrame, window: int = 16) -> DataFrame:
     """track_id, dominant_ms: the local period that accounts for most time, the earliest of equals; 0 below 4 beats."""
 
     def kernel(f: K.Arrays) -> K.Arrays:
-        return {"dominant_ms": np.array([K.dominant_period(f["beat_ms"], f["period_ms"]) if len(f["beat_ms"]) >= 4 else 0.0])}
+        own = f["beat_ms"]
+        return {"dominant_ms": np.array([K.dominant_period(own, K.modal_periods(own, window)) if len(own) >= 4 else 0.0])}
 
-    return K.per_track(local_periods(beats, window).select("track_id", "beat_ms", "period_ms"), kernel, "dominant_ms double", "beat_ms")
+    return K.per_track(beats.select("track_id", "beat_ms"), kernel, "dominant_ms double", "beat_ms")
 
 
 def share_in_range(gaps: DataFrame, shift: int = 0, low: float = MIN_BPM, high: float = MAX_BPM) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempoframe.functions import numeric as N
+from tempoframe.operators import kernels as K
 
 
 def _points():
@@ -100,34 +102,27 @@ def prediction_errors(beats: DataFrame, back: int = 12) -> DataFrame:
     return out.select("track_id", "beat_ms", F.abs(F.col("beat_ms") - F.col("_told")).alias("line_error"), F.abs(F.col("beat_ms") - F.col("_last")).alias("gap_error"))
 
 
-def _frames(on: str = "track_id"):
-    return Window.partitionBy(on).orderBy("frame")
+def over_lags(curve: DataFrame, lags, value: str = "x", centred: bool = True) -> DataFrame:
+    """track_id, lag, n, cov, var, corr of pairs of frames so many frames apart, for each lag that some pair has; one exchange."""
+    steps = np.array(list(lags), np.int64)
 
+    def kernel(f: K.Arrays) -> K.Arrays:
+        found = K.over_lags(f["frame"].astype(np.int64), f["x"], steps, centred)
+        some = found[:, 0] > 0
+        return {"lag": steps[some], "n": found[some, 0].astype(np.int64), **{c: found[some, k + 1] for k, c in enumerate(("cov", "var", "corr"))}}
 
-def _ahead(value: str, lag: int, on: str = "track_id") -> Column:
-    """The value ``lag`` frames later, null where there is no such frame: all lags share one sort."""
-    return F.max(value).over(_frames(on).rangeBetween(lag, lag))
-
-
-def over_lags(curve: DataFrame, lags, measure, value: str = "x", on: str = "track_id") -> DataFrame:
-    """``on``, lag and the fields of ``measure(own, ahead)``, a struct of aggregates, for each lag that some pair of frames has."""
-    lags = list(lags)
-    rows = curve.select(on, "frame", F.col(value).alias("_x")).withColumns({f"_a{i}": _ahead("_x", k, on) for i, k in enumerate(lags)})
-    per = rows.groupBy(on).agg(*(F.struct(F.lit(k).alias("lag"), F.count(f"_a{i}").alias("n"), measure(F.when(F.col(f"_a{i}").isNotNull(), F.col("_x")), F.col(f"_a{i}")).alias("m")).alias(f"l{i}") for i, k in enumerate(lags)))
-    return per.select(on, F.explode(F.array(*(f"l{i}" for i in range(len(lags))))).alias("l")).filter("l.n > 0").select(on, "l.lag", "l.n", "l.m.*")
+    rows = curve.select("track_id", "frame", F.col(value).cast("double").alias("x"))
+    return K.per_track(rows, kernel, "lag int, n long, cov double, var double, corr double", "frame")
 
 
 def autocorrelation(curve: DataFrame, lags, value: str = "x") -> DataFrame:
     """track_id, lag, r: covariance of the centred curve with itself shifted, over the variance of the unshifted side."""
-    centred = curve.select("track_id", "frame", (F.col(value) - F.avg(value).over(Window.partitionBy("track_id"))).alias("_c"))
-    per = over_lags(centred, lags, lambda a, b: F.struct(F.sum(a * b).alias("cov"), F.sum(a * a).alias("var")), "_c")
-    return per.select("track_id", "lag", F.when(F.col("var") > 0, F.col("cov") / F.col("var")).otherwise(0.0).alias("r"))
+    return over_lags(curve, lags, value).select("track_id", "lag", F.when(F.col("var") > 0, F.col("cov") / F.col("var")).otherwise(0.0).alias("r"))
 
 
 def cross_correlation(curve: DataFrame, lags, least: int = 100, value: str = "x") -> DataFrame:
     """track_id, lag, n, r: correlation of the curve with itself shifted; -1e9 where fewer than ``least`` frames overlap."""
-    per = over_lags(curve, lags, lambda a, b: F.struct(F.corr(a, b).alias("c")), value)
-    return per.select("track_id", "lag", "n", F.when(F.col("n") >= least, F.col("c")).otherwise(-1e9).alias("r"))
+    return over_lags(curve, lags, value, False).select("track_id", "lag", "n", F.when(F.col("n") >= least, F.col("corr")).otherwise(-1e9).alias("r"))
 
 
 def periodicity_peaks(correlation: DataFrame, k: int = 3) -> DataFrame:
@@ -138,17 +133,15 @@ def periodicity_peaks(correlation: DataFrame, k: int = 3) -> DataFrame:
 
 
 def best_lag(points: DataFrame, curve: DataFrame, most: int = 8, fps: int = 50, value: str = "x") -> DataFrame:
-    """track_id, lag, score: the shift of -most..most frames at which the grid's frames carry most above the mean; the first of equals.
+    """track_id, lag, score: the shift of -most..most frames at which the grid's frames carry most above the mean; the first of equals."""
+    asked = points.select("track_id", F.rint(F.col("beat_ms") * fps / 1000).cast("long").alias("frame"), F.lit(None).cast("double").alias("x"), F.lit(True).alias("point"))
+    line = asked.unionByName(curve.select("track_id", F.col("frame").cast("long").alias("frame"), F.col(value).cast("double").alias("x"), F.lit(False).alias("point")))
 
-    Points and curve lie on one time line: all shifts are read off it, none is a join.
-    """
-    centred = curve.select("track_id", "frame", (F.col(value) - F.avg(value).over(Window.partitionBy("track_id"))).alias("c"), F.lit(0).alias("points"))
-    at = points.groupBy("track_id", F.rint(F.col("beat_ms") * fps / 1000).cast("int").alias("frame")).agg(F.lit(None).cast("double").alias("c"), F.count(F.lit(1)).cast("int").alias("points"))
-    lags = range(-most, most + 1)
-    line = centred.select("track_id", F.col("frame").cast("int").alias("frame"), "c", "points").unionByName(at).withColumns({f"_a{k + most}": _ahead("c", k) for k in lags}).filter("points > 0")
-    per = line.groupBy("track_id").agg(*(F.struct(F.round(F.sum(F.col(f"_a{k + most}") * F.col("points")), 6).alias("score"), F.lit(-k).alias("minus")).alias(f"l{k + most}") for k in lags))
-    best = per.select("track_id", F.array_max(F.array(*(f"l{k + most}" for k in lags))).alias("b")).filter("b.score IS NOT NULL")
-    return best.select("track_id", (-F.col("b.minus")).alias("lag"), "b.score")
+    def kernel(f: K.Arrays) -> K.Arrays:
+        lag, score = K.best_shift(f["frame"][~f["point"]], f["x"][~f["point"]], f["frame"][f["point"]], most)
+        return {"lag": lag, "score": score}
+
+    return K.per_track(line, kernel, "lag int, score double", "frame")
 
 
 def comb_scan(strength: DataFrame, periods, value: str = "x") -> DataFrame:
