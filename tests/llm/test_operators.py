@@ -222,6 +222,22 @@ def test_scores_of_held_out_rows(spark, none, score, column, folds, fold):
     assert flat == {0.5}
 
 
+@pytest.mark.parametrize(("score", "column"), [(toxicity.toxicity, "toxic"), (quality.quality, "quality")])
+def test_scores_of_odd_rows(spark, odd, odd_pairs, score, column):
+    """Odd rows, labels that repeat, lack or name no document: a score for each row, the same for equal texts."""
+    ids = sorted({i for i, _ in odd_pairs if i is not None})
+    labels = [(i, int(i % 3 == 0), "extra") for i in ids] + [(ids[0], None, "x"), (None, 1, "x"), (10**9, 1, "x"), (ids[1], 1, "x")]
+    rows = score(odd, spark.createDataFrame(labels, f"doc_id long, {column} int, text string")).collect()
+    assert len(rows) == len(odd_pairs) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    texts, by_text = collections.defaultdict(set), collections.defaultdict(set)
+    for i, t in odd_pairs:
+        texts[i].add(text_of(t))
+    for r in rows:
+        if len(texts[r["doc_id"]]) == 1:
+            by_text[next(iter(texts[r["doc_id"]]))].add(r["score"])
+    assert all(len(s) == 1 for s in by_text.values())
+
+
 def test_labels_of_held_out_rows_are_not_learnt(spark):
     docs, labels = labelled(spark, random.Random(4), 400)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -402,6 +418,17 @@ def test_warc(spark):
     assert warc.warc_captures(df.filter("page_id < 0")).count() == 0
 
 
+def test_warc_of_very_long_and_many_equal_payloads(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh <>/\n") for _ in range(3_000_000))
+    pages = [(1, "http://a.example.com/", long), (2, "http://b.example.com/", long), (3, "http://c.example.com/", long + "x")] + [(10 + i, f"http://d{i % 3}.example.com/{i}", "z" * 1000) for i in range(300)] + [(400 + i, None, "z" * 999) for i in range(20)]
+    rows = {r["page_id"]: r for r in warc.warc_captures(spark.createDataFrame(pages, "page_id long, url string, html string"), archive_bytes=1 << 20, range_rows=50).collect()}
+    assert len(rows) == len(pages) and all(rows[i]["payload_digest"] == hashlib.sha1(h.encode()).hexdigest() and rows[i]["payload_bytes"] == len(h) for i, _, h in pages)
+    assert [rows[i]["record_type"] for i in (1, 2, 3)] == ["revisit", "response", "response"] and rows[1]["refers_to"] == 2
+    assert sum(rows[10 + i]["record_type"] == "response" for i in range(300)) == 1 and all(rows[10 + i]["refers_to"] == 309 for i in range(299))
+    assert all(rows[400 + i]["record_type"] == "response" for i in range(20))
+
+
 def test_archives_are_plain_warc(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://a.example.com/", "<p>one</p>")], "page_id long, url string, html string")
     warc.write_archives(df, f"file://{tmp_path}/w")
