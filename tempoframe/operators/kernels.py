@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 Arrays = dict[str, np.ndarray]
 
@@ -23,7 +25,7 @@ def per_group(rows: DataFrame, keys: tuple[str, ...], kernel: Callable[[Arrays],
     ``schema``: the keys, then the kernel's columns.
     """
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = rows.sparkSession.createDataFrame([], schema).toArrow().schema.types
+    kinds = to_arrow_schema(StructType.fromDDL(schema)).types
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, order)
 
     def values(column: pa.ChunkedArray) -> np.ndarray:
