@@ -127,3 +127,32 @@ B13 = """WITH s AS (SELECT vec_id % 5 AS track_id, (vec_id // 5)::INT AS frame,
 B1 = "SELECT vec_id AS track_id, (i - 1)::INT AS place, ((embedding[2 * i - 1] + embedding[2 * i])::FLOAT / 2)::FLOAT AS x FROM (SELECT *, unnest(range(1, len(embedding) // 2 + 1)) AS i FROM embeddings)"
 B3 = """SELECT vec_id AS track_id, k::INT AS place, (CASE WHEN k % 2 = 0 OR k // 2 + 2 > len(embedding) THEN embedding[k // 2 + 1]::DOUBLE ELSE embedding[k // 2 + 1]::DOUBLE + (embedding[k // 2 + 2]::DOUBLE - embedding[k // 2 + 1]::DOUBLE) * 0.5 END)::FLOAT AS x
     FROM (SELECT *, unnest(range(0, 2 * len(embedding))) AS k FROM embeddings)"""
+
+#: Phase snapping: the period at each beat by the correlation of the onset curve around it with itself, then the phase that most of a trusted run shares.
+_TURN = "(fmod(fmod({x}, q) + 1.5 * q, q) - 0.5 * q)"
+_PACED = "beats AS (SELECT track_id, 60.0 + frame * 400.0 + (fmod(x * 7, 80) - 40) AS beat_ms FROM signal)"
+H33 = "WITH " + ", ".join((R.CTE["signal"], _PACED, R.CTE["idx"])) + (_PERIOD + f""", w AS (SELECT c.track_id, c.i, c.period_ms, round(sum(o.gap_ms), 6) AS w FROM periods c JOIN periods o ON c.track_id = o.track_id AND o.gap_ms IS NOT NULL AND o.period_ms >= c.period_ms * 0.75 AND o.period_ms <= c.period_ms * 1.25
+        WHERE c.gap_ms IS NOT NULL AND c.period_ms > 0 GROUP BY ALL),
+    top AS (SELECT track_id, period_ms AS d FROM w QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY w DESC, i) = 1),
+    curves AS (SELECT track_id, list_transform(range(0, 20 * count(*)), lambda f: CASE WHEN f % 20 = 3 THEN 1.0 ELSE 0.0 END + (f * 37 + track_id * 11) % 100 / 333.0) AS v, 20 * count(*) AS n FROM signal GROUP BY track_id),
+    able AS (SELECT b.track_id, b.i, b.beat_ms, d, v, c.n, round_even(b.beat_ms / 20.0, 0)::BIGINT AS centre FROM idx b JOIN top USING (track_id) JOIN curves c USING (track_id) WHERE b.n >= 6 AND c.n >= 200 AND d > 0),
+    lagged AS (SELECT track_id, i, lag, v, greatest(centre - 50, 0) AS low, least(centre + 50, n - 1 - lag) AS high FROM (SELECT *, unnest(range(9, 52)) AS lag FROM able)),
+    sliced AS (SELECT track_id, i, lag, low, high, v[low + 1 : high] AS a, v[low + lag + 1 : high + lag] AS b FROM lagged),
+    centred AS (SELECT *, list_avg(a) AS m FROM sliced),
+    summed AS (SELECT track_id, i, lag, CASE WHEN high - low < 4 * lag THEN 0.0 ELSE list_sum(list_transform(a, lambda x: (x - m) * (x - m))) END AS var,
+        CASE WHEN high - low < 4 * lag THEN 0.0 ELSE list_sum(list_transform(list_zip(a, b), lambda z: (z[1] - m) * (z[2] - m))) END AS cov FROM centred),
+    told AS (SELECT track_id, i, lag, CASE WHEN var > 0 THEN round(cov / var, 9) ELSE 0.0 END AS r FROM summed),
+    sides AS (SELECT *, lag(r) OVER w AS b, lead(r) OVER w AS a FROM told WINDOW w AS (PARTITION BY track_id, i ORDER BY lag)),
+    tops AS (SELECT *, max(r) OVER (PARTITION BY track_id, i) AS most FROM sides WHERE lag BETWEEN 10 AND 50 AND r > 0 AND r >= b AND r >= a),
+    chosen AS (SELECT track_id, i, lag * 20.0 AS p, r FROM tops JOIN top USING (track_id) WHERE r >= 0.75 * most QUALIFY row_number() OVER (PARTITION BY track_id, i ORDER BY abs(lag * 20.0 - d), lag) = 1),
+    marked AS (SELECT able.track_id, able.i, beat_ms, p, coalesce(p > 0 AND r >= 0.05 AND p / d >= 0.75 AND p / d <= 1.35, false) AS trusted FROM able LEFT JOIN chosen USING (track_id, i)),
+    runs AS (SELECT *, i - row_number() OVER (PARTITION BY track_id ORDER BY i) AS run FROM marked WHERE trusted),
+    periods_of AS (SELECT track_id, run, count(*) AS k, {upper('list(p)')} AS q FROM runs GROUP BY track_id, run HAVING count(*) >= 6),
+    turned AS (SELECT runs.*, k, q, {_TURN.format(x='beat_ms')} AS residue FROM runs JOIN periods_of USING (track_id, run)),
+    binned AS (SELECT *, greatest(0, least(11, floor((residue + q / 2) / (q / 12))))::INT AS bin FROM turned),
+    modal AS (SELECT track_id, run, bin, count(*) AS c FROM binned GROUP BY track_id, run, bin QUALIFY row_number() OVER (PARTITION BY track_id, run ORDER BY c DESC, bin) = 1),
+    aimed AS (SELECT b.*, -q / 2 + (m.bin + 0.5) * (q / 12) AS centre FROM binned b JOIN modal m USING (track_id, run) WHERE m.c >= 0.55 * k),
+    near AS (SELECT *, {_TURN.format(x='residue - centre')} AS delta FROM aimed),
+    phased AS (SELECT *, avg(delta) FILTER (WHERE abs(delta) <= q / 12) OVER (PARTITION BY track_id, run) AS mean FROM near),
+    moved AS (SELECT *, {_TURN.format(x='beat_ms - CASE WHEN mean IS NULL THEN centre ELSE ' + _TURN.format(x='centre + mean') + ' END')} AS move FROM phased)
+    SELECT beats.track_id, beats.beat_ms, round(CASE WHEN abs(move) <= 0.35 * q THEN beats.beat_ms - move ELSE beats.beat_ms END, 5) AS snapped_ms FROM beats SEMI JOIN curves USING (track_id) LEFT JOIN moved ON moved.track_id = beats.track_id AND moved.beat_ms = beats.beat_ms""")

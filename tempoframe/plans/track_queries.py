@@ -138,12 +138,14 @@ query("h15_coalesced_sections", twins.H15)(lambda s, d: T.coalesced_sections(R.t
 query("h26_tempo_steps", twins.H26)(lambda s, d: T.tempo_steps(R.beats(s, d)))
 
 
-@query("h33_phase_snap")
+@query("h33_phase_snap", twins.H33)
 def phase_snap(s, d):
-    """Beats on the phase of an onset curve: each track's values, five frames of each."""
-    own = R.signal(s, d).join(R.beats(s, d).select("track_id").distinct(), "track_id", "left_semi")
-    curve = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("track_id", (F.col("frame") * 5 + F.col("k")).alias("frame"), "x")
-    return T.snapped(R.beats(s, d), curve)
+    """Beats that lie up to 40 ms beside the pulses of an onset curve, by the values of events: most go back to the pulses."""
+    each = R.signal(s, d)
+    beats = each.select("track_id", (60.0 + F.col("frame") * 400.0 + (F.col("x") * 7 % 80 - 40)).alias("beat_ms"))
+    frames = each.select("track_id", F.explode(F.sequence(F.col("frame") * 20, F.col("frame") * 20 + 19)).alias("frame"))
+    value = F.when(F.col("frame") % 20 == 3, 1.0).otherwise(0.0) + (F.col("frame") * 37 + F.col("track_id") * 11) % 100 / F.lit(333.0)
+    return T.snapped(beats, frames.withColumn("x", value)).withColumn("snapped_ms", F.round("snapped_ms", 5))
 
 
 query("a14_modulo_shard", "SELECT c_custkey, c_name FROM customer QUALIFY (row_number() OVER (ORDER BY c_custkey) - 1) % 3 = 1")(lambda s, d: _shard(s, d))
