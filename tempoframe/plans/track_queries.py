@@ -42,12 +42,44 @@ def curve(s, d):
 
 
 _N = "o_orderkey * 37 % 1000000"
-query("b7_frame_count", f"SELECT o_orderkey, CASE WHEN {_N} > 0 THEN 1 + ({_N}) // 441 ELSE 0 END::INT AS frames, CASE WHEN {_N} < 512 THEN 0 ELSE ({_N} - 512) // 441 + 1 END::INT AS complete FROM orders")(lambda s, d: R.table(s, d, "orders").select("o_orderkey", N.frame_count(F.col("o_orderkey") * 37 % 1_000_000).alias("frames"), N.complete_frame_count(F.col("o_orderkey") * 37 % 1_000_000).alias("complete")))
-query("b14_frame_times", sql("beats", then="SELECT track_id, beat_ms, greatest(0, least(999, floor(beat_ms * 50 / 1000 + 0.5)::INT)) AS frame, greatest(0, least(999, floor(beat_ms * 50 / 1000 + 0.5)::INT)) * 20.0 AS frame_ms FROM beats"))(lambda s, d: R.beats(s, d).withColumn("frame", N.nearest_frame(F.col("beat_ms"), F.lit(1000))).withColumn("frame_ms", N.frame_time(F.col("frame"))))
-query("c1_chunk_schedule", "WITH t AS (SELECT c_custkey, c_custkey * 13 % 9500 AS total FROM customer), s AS (SELECT *, unnest(range(-6, total - 6, 1488)) AS start FROM t WHERE total > 0), n AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY start) - 1 AS chunk, count(*) OVER (PARTITION BY c_custkey) AS k FROM s) SELECT c_custkey, chunk::INT AS chunk, CASE WHEN total > 1488 AND chunk = k - 1 THEN total - 1494 ELSE start END::INT AS start FROM n")(
-    lambda s, d: R.table(s, d, "customer").select("c_custkey", F.posexplode(S.chunk_schedule((F.col("c_custkey") * 13 % 9500).cast("int"))).alias("chunk", "start"))
+
+
+@query(
+    "b7_frame_count",
+    f"SELECT o_orderkey, CASE WHEN {_N} > 0 THEN 1 + ({_N}) // 441 ELSE 0 END::INT AS frames, CASE WHEN {_N} < 512 THEN 0 ELSE ({_N} - 512) // 441 + 1 END::INT AS complete FROM orders",
+)
+def b7_frame_count(s, d):
+    return (
+        R.table(s, d, "orders")
+        .select("o_orderkey", N.frame_count(F.col("o_orderkey") * 37 % 1_000_000).alias("frames"), N.complete_frame_count(F.col("o_orderkey") * 37 % 1_000_000).alias("complete"))
+    )
+
+
+@query(
+    "b14_frame_times",
+    sql("beats", then="SELECT track_id, beat_ms, greatest(0, least(999, floor(beat_ms * 50 / 1000 + 0.5)::INT)) AS frame, greatest(0, least(999, floor(beat_ms * 50 / 1000 + 0.5)::INT)) * 20.0 AS frame_ms FROM beats"),
 )
-query("c9_sigmoid", sql("activation", then="SELECT track_id, frame, round(1 / (1 + exp(-x)), 9) AS p FROM activation"))(lambda s, d: R.activation(s, d).select("track_id", "frame", F.round(N.sigmoid(F.col("x")), 9).alias("p")))
+def b14_frame_times(s, d):
+    return R.beats(s, d).withColumn("frame", N.nearest_frame(F.col("beat_ms"), F.lit(1000))).withColumn("frame_ms", N.frame_time(F.col("frame")))
+
+
+@query(
+    "c1_chunk_schedule",
+    """WITH t AS (SELECT c_custkey, c_custkey * 13 % 9500 AS total FROM customer),
+        s AS (SELECT *, unnest(range(-6, total - 6, 1488)) AS start FROM t WHERE total > 0),
+        n AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY start) - 1 AS chunk, count(*) OVER (PARTITION BY c_custkey) AS k FROM s)
+        SELECT c_custkey, chunk::INT AS chunk, CASE WHEN total > 1488 AND chunk = k - 1 THEN total - 1494 ELSE start END::INT AS start FROM n""",
+)
+def c1_chunk_schedule(s, d):
+    return (
+        R.table(s, d, "customer")
+        .select("c_custkey", F.posexplode(S.chunk_schedule((F.col("c_custkey") * 13 % 9500).cast("int"))).alias("chunk", "start"))
+    )
+
+
+@query("c9_sigmoid", sql("activation", then="SELECT track_id, frame, round(1 / (1 + exp(-x)), 9) AS p FROM activation"))
+def c9_sigmoid(s, d):
+    return R.activation(s, d).select("track_id", "frame", F.round(N.sigmoid(F.col("x")), 9).alias("p"))
 
 
 def vector_samples(s, d, channels, rate):
@@ -86,7 +118,11 @@ def line_mels(s, d):
 
 
 query("b11_log_mel")(mels)
-query("b13_onset_envelope")(lambda s, d: P.flux(G.flux_spectra(tones(s, d))))
+
+
+@query("b13_onset_envelope")
+def b13_onset_envelope(s, d):
+    return P.flux(G.flux_spectra(tones(s, d)))
 
 
 @query("b13_flux", twins.B13)
@@ -126,16 +162,54 @@ def pruned(s, d):
     return T.pruned_peaks(R.activation(s, d)).select("track_id", F.round("place", 6).alias("place"), F.round("beat_ms", 5).alias("beat_ms"))
 
 
-query("d9_suppress", twins.D9)(lambda s, d: T.suppressed(curve(s, d)))
-query("d11_place", twins.D11)(lambda s, d: T.placed(curve(s, d)).withColumn("beat_ms", F.round("beat_ms", 5)))
-query("d13_detector_beats", twins.D13)(lambda s, d: T.detector_beats(curve(s, d)).withColumn("beat_ms", F.round("beat_ms", 5)))
-query("d14_searched_path")(lambda s, d: T.searched_path(R.activation(s, d), floor=0.05))
-query("e5_regularised", twins.E5)(lambda s, d: T.regularised(R.beats(s, d)))
-query("e14_tempo_sections", twins.E14)(lambda s, d: T.tempo_sections(R.long_beats(s, d)))
-query("e16_even_grid", twins.E16)(lambda s, d: T.even_grid(R.long_beats(s, d)))
-query("f3_bpm_at", twins.F3)(lambda s, d: T.bpm_at(R.clicks(s, d, "click"), R.beats(s, d)))
-query("h15_coalesced_sections", twins.H15)(lambda s, d: T.coalesced_sections(R.timing(s, d).withColumn("beat_length_ms", F.rint(F.col("beat_length_ms") / 100) * 100)))
-query("h26_tempo_steps", twins.H26)(lambda s, d: T.tempo_steps(R.beats(s, d)))
+@query("d9_suppress", twins.D9)
+def d9_suppress(s, d):
+    return T.suppressed(curve(s, d))
+
+
+@query("d11_place", twins.D11)
+def d11_place(s, d):
+    return T.placed(curve(s, d)).withColumn("beat_ms", F.round("beat_ms", 5))
+
+
+@query("d13_detector_beats", twins.D13)
+def d13_detector_beats(s, d):
+    return T.detector_beats(curve(s, d)).withColumn("beat_ms", F.round("beat_ms", 5))
+
+
+@query("d14_searched_path")
+def d14_searched_path(s, d):
+    return T.searched_path(R.activation(s, d), floor=0.05)
+
+
+@query("e5_regularised", twins.E5)
+def e5_regularised(s, d):
+    return T.regularised(R.beats(s, d))
+
+
+@query("e14_tempo_sections", twins.E14)
+def e14_tempo_sections(s, d):
+    return T.tempo_sections(R.long_beats(s, d))
+
+
+@query("e16_even_grid", twins.E16)
+def e16_even_grid(s, d):
+    return T.even_grid(R.long_beats(s, d))
+
+
+@query("f3_bpm_at", twins.F3)
+def f3_bpm_at(s, d):
+    return T.bpm_at(R.clicks(s, d, "click"), R.beats(s, d))
+
+
+@query("h15_coalesced_sections", twins.H15)
+def h15_coalesced_sections(s, d):
+    return T.coalesced_sections(R.timing(s, d).withColumn("beat_length_ms", F.rint(F.col("beat_length_ms") / 100) * 100))
+
+
+@query("h26_tempo_steps", twins.H26)
+def h26_tempo_steps(s, d):
+    return T.tempo_steps(R.beats(s, d))
 
 
 @query("h33_phase_snap", twins.H33)
@@ -148,7 +222,9 @@ def phase_snap(s, d):
     return T.snapped(beats, frames.withColumn("x", value)).withColumn("snapped_ms", F.round("snapped_ms", 5))
 
 
-query("a14_modulo_shard", "SELECT c_custkey, c_name FROM customer QUALIFY (row_number() OVER (ORDER BY c_custkey) - 1) % 3 = 1")(lambda s, d: _shard(s, d))
+@query("a14_modulo_shard", "SELECT c_custkey, c_name FROM customer QUALIFY (row_number() OVER (ORDER BY c_custkey) - 1) % 3 = 1")
+def a14_modulo_shard(s, d):
+    return _shard(s, d)
 
 
 def _shard(s, d):
@@ -157,8 +233,25 @@ def _shard(s, d):
     return shard(R.table(s, d, "customer").select("c_custkey", "c_name"), 3, 1, "c_custkey")
 
 
-query("i1_cache_key", "SELECT page_id, substr(sha256('b1' || chr(10) || 'peaks' || chr(10) || url || '|' || page_id || '|' || strlen(html) || chr(10)), 1, 32) AS cache_key FROM pages")(lambda s, d: R.table(s, d, "pages").select("page_id", sinks.cache_key("b1", F.col("url"), F.col("page_id"), F.octet_length("html"), "peaks").alias("cache_key")))
-query("i2_cache_entry", sql("beats", then=", g AS (SELECT track_id, list(beat_ms ORDER BY beat_ms) AS b FROM beats GROUP BY track_id) SELECT track_id, len(b) AS beats, true AS same FROM g"))(lambda s, d: _entry(s, d))
+@query(
+    "i1_cache_key",
+    "SELECT page_id, substr(sha256('b1' || chr(10) || 'peaks' || chr(10) || url || '|' || page_id || '|' || strlen(html) || chr(10)), 1, 32) AS cache_key FROM pages",
+)
+def i1_cache_key(s, d):
+    return (
+        R.table(s, d, "pages")
+        .select("page_id", sinks.cache_key("b1", F.col("url"), F.col("page_id"), F.octet_length("html"), "peaks").alias("cache_key"))
+    )
+
+
+@query(
+    "i2_cache_entry",
+    sql("beats", then=""",
+        g AS (SELECT track_id, list(beat_ms ORDER BY beat_ms) AS b FROM beats GROUP BY track_id)
+        SELECT track_id, len(b) AS beats, true AS same FROM g"""),
+)
+def i2_cache_entry(s, d):
+    return _entry(s, d)
 
 
 def _entry(s, d):
@@ -168,7 +261,15 @@ def _entry(s, d):
     return back.select("track_id", F.size("e.beats").alias("beats"), ((F.col("e.metrical_shift") == 1) & (F.col("e.beats") == F.col("b"))).alias("same"))
 
 
-query("i4_reading", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'detector:m.onnx' WHEN c_custkey % 3 = 1 THEN 'search' ELSE 'peaks' END AS reading FROM customer")(lambda s, d: R.table(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, sinks.reading("m.onnx")).when(F.col("c_custkey") % 3 == 1, sinks.reading(search=True)).otherwise(sinks.reading()).alias("reading")))
+@query(
+    "i4_reading",
+    "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'detector:m.onnx' WHEN c_custkey % 3 = 1 THEN 'search' ELSE 'peaks' END AS reading FROM customer",
+)
+def i4_reading(s, d):
+    return (
+        R.table(s, d, "customer")
+        .select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, sinks.reading("m.onnx")).when(F.col("c_custkey") % 3 == 1, sinks.reading(search=True)).otherwise(sinks.reading()).alias("reading"))
+    )
 
 
 def map_texts(s, d):
@@ -180,10 +281,17 @@ def map_texts(s, d):
     return per.select(F.col("track_id").cast("string").alias("path"), F.concat(F.lit("[General]\nAudioFilename: a.wav\n[TimingPoints]\nnot,a,point\n"), lines(1), F.lit("\n[HitObjects]\n1,2\n"), lines(2)).alias("value"))
 
 
-query("a6_timing_points", sql("timing", then="SELECT track_id, round(time_ms, 3) AS time_ms, round(beat_length_ms, 3) AS beat_length_ms FROM timing WHERE floor(beat_length_ms)::BIGINT % 3 <> 0"))(
-    lambda s, d: readers.timing_points(readers.sectioned(map_texts(s, d))).select(F.col("path").cast("long").alias("track_id"), "time_ms", "beat_length_ms")
+@query(
+    "a6_timing_points",
+    sql("timing", then="SELECT track_id, round(time_ms, 3) AS time_ms, round(beat_length_ms, 3) AS beat_length_ms FROM timing WHERE floor(beat_length_ms)::BIGINT % 3 <> 0"),
 )
-query("a7_hit_objects", sql("asked", then="SELECT track_id, round(t_ms, 3) AS t_ms FROM asked"))(lambda s, d: readers.hit_objects(readers.sectioned(map_texts(s, d))).select(F.col("path").cast("long").alias("track_id"), "t_ms"))
+def a6_timing_points(s, d):
+    return readers.timing_points(readers.sectioned(map_texts(s, d))).select(F.col("path").cast("long").alias("track_id"), "time_ms", "beat_length_ms")
+
+
+@query("a7_hit_objects", sql("asked", then="SELECT track_id, round(t_ms, 3) AS t_ms FROM asked"))
+def a7_hit_objects(s, d):
+    return readers.hit_objects(readers.sectioned(map_texts(s, d))).select(F.col("path").cast("long").alias("track_id"), "t_ms")
 
 
 def streamed_tones(s, d, form):
