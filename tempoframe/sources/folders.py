@@ -38,6 +38,18 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def marked() -> int:
+    """A mark for ``keep_only``."""
+    return len(_made)
+
+
+def keep_only(mark: int, path: str) -> None:
+    """Deletes what was made since the mark, but for ``path``."""
+    gone, _made[mark:] = [x for x in _made[mark:] if x[1] != path], [x for x in _made[mark:] if x[1] == path]
+    for spark, other in gone:
+        remove(spark, other)
+
+
 def clean() -> None:
     """Deletes what this process wrote with ``shared_folder``."""
     while _made:
