@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempoframe.sources.folders import shared_folder
+from tempoframe.sources.folders import keep_only, marked, remove, shared_folder
 
 #: What the contracts call white space, as a Java and Python character class.
 SPACE = r"[\x20\x09-\x0D]"
 
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet and read again: later steps survive lost executors and repeat nothing."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for t in tables:
+        if path := _paths.pop(t, None):
+            remove(t.sparkSession, path)
+
+
+def staged_alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, staged; all tables that were written on the way are deleted."""
+    mark = marked()
+    out = staged(make())
+    keep_only(mark, _paths[out])
+    return out
 
 
 def text_or_empty(name: str = "text") -> Column:
