@@ -173,36 +173,6 @@ def suppress(strength: np.ndarray, periods: np.ndarray, share: float = 0.6, thre
     return np.array(sorted(chosen), int)
 
 
-def best_path(beats: np.ndarray, downbeats: np.ndarray | None = None, rigidity: float = 12.0, floor: float = 0.0, low: int = 8, high: int = 60) -> np.ndarray:
-    """Frames of the best sequence of beats: rewards at beats less the cost of changing the interval between them.
-
-    For each frame and interval the one frame it can come from is known, so that all intervals are done at once.
-    """
-    n = len(beats)
-    if n <= low:
-        return np.zeros(0, int)
-    steps = np.arange(low, high + 1)
-    extra = np.zeros(n) if downbeats is None else np.pad(np.asarray(downbeats, float)[:n], (0, max(0, n - len(downbeats))))
-    beats = np.asarray(beats, float)
-    reward = (beats - beats.sum() / n - floor) + 0.15 * extra
-    cost = rigidity * np.abs(np.log(steps[:, None] / steps[None, :]))  # to, from
-    score = np.repeat(reward[:, None], len(steps), axis=1)
-    origin = np.full((n, len(steps)), -1)
-    for t in range(low, n):
-        k = min(len(steps), t - low + 1)
-        reach = score[t - steps[:k]] + reward[t] - cost[:k]
-        best = np.argmax(reach, axis=1)
-        value = reach[np.arange(k), best]
-        won = value > score[t, :k]
-        score[t, :k][won], origin[t, :k][won] = value[won], best[won]
-    t, j = np.unravel_index(int(np.argmax(score)), score.shape)
-    path = [int(t)]
-    while origin[t, j] >= 0:
-        t, j = t - steps[j], origin[t, j]
-        path.append(int(t))
-    return np.array(path[::-1], int)
-
-
 def modal_periods(beats: np.ndarray, window: int = 16) -> np.ndarray:
     """At each beat the gap that most gaps around agree with, the smallest of equals; 0 below three gaps."""
     n = len(beats)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tempoframe.operators import kernels as K, peaks as P
 from tempoframe.operators.kernels import Arrays, per_track
+from tempoframe.operators.search import searched_path  # noqa: F401
 
 
 def _tagged(first: DataFrame, at: str, second: DataFrame, then: str, value: str | None = None) -> DataFrame:
@@ -50,12 +51,6 @@ def detector_beats(curve: DataFrame, share: float = 0.6, smoothing_seconds: floa
     return placed(P.smoothed_periods(curve, smoothing_seconds) if smoothing_seconds > 0 else curve, share)
 
 
-def searched_path(activation: DataFrame, rigidity: float = 12.0, floor: float = 0.0, downbeat: str | None = None, value: str = "x") -> DataFrame:
-    """track_id, frame: the best sequence of beats of the whole curve."""
-    columns = [F.col(value).alias("x"), *([F.col(downbeat).alias("down")] if downbeat else [])]
-    return per_track(activation.select("track_id", "frame", *columns), lambda f: {"frame": f["frame"][K.best_path(f["x"], f.get("down"), rigidity, floor)]}, "frame int", "frame")
-
-
 def regularised(beats: DataFrame) -> DataFrame:
     return per_track(beats.select("track_id", "beat_ms"), lambda f: {"beat_ms": K.regularised(f["beat_ms"])}, "beat_ms double", "beat_ms")
 

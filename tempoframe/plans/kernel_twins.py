@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tempoframe.plans import relations as R
 from tempoframe.plans.beat_queries import _MERGE, _PEAKS, _PERIOD, _REFINE, _ROBUST
-from tempoframe.plans.relations import upper
+from tempoframe.plans.relations import CTE, upper
 
 
 def recursive(*names: str, then: str) -> str:
@@ -156,3 +156,18 @@ H33 = "WITH " + ", ".join((R.CTE["signal"], _PACED, R.CTE["idx"])) + (_PERIOD +
     phased AS (SELECT *, avg(delta) FILTER (WHERE abs(delta) <= q / 12) OVER (PARTITION BY track_id, run) AS mean FROM near),
     moved AS (SELECT *, {_TURN.format(x='beat_ms - CASE WHEN mean IS NULL THEN centre ELSE ' + _TURN.format(x='centre + mean') + ' END')} AS move FROM phased)
     SELECT beats.track_id, beats.beat_ms, round(CASE WHEN abs(move) <= 0.35 * q THEN beats.beat_ms - move ELSE beats.beat_ms END, 5) AS snapped_ms FROM beats SEMI JOIN curves USING (track_id) LEFT JOIN moved ON moved.track_id = beats.track_id AND moved.beat_ms = beats.beat_ms""")
+
+#: All states forwards, a frame a step; scores are whole numbers of 2**-40. ``sc`` and ``pa``: of each frame so far, by the interval that led to it, the best score and its frames.
+D14 = f"""WITH RECURSIVE {CTE["activation"]},
+    u AS (SELECT track_id, frame, round_even(x * 1099511627776, 0)::BIGINT AS x FROM activation),
+    m AS (SELECT track_id, round_even(sum(x)::DOUBLE / count(*), 0)::BIGINT AS mean, count(*) AS n FROM u GROUP BY track_id),
+    r AS (SELECT track_id, any_value(n) AS n, list(x - mean - round_even(0.05::DOUBLE * 1099511627776, 0)::BIGINT ORDER BY frame) AS w FROM u JOIN m USING (track_id) GROUP BY track_id HAVING any_value(n) > 8),
+    c AS (SELECT [[round_even(12.0::DOUBLE * abs(ln((8 + i)::DOUBLE / (8 + j))) * 1099511627776, 0)::BIGINT FOR j IN range(53)] FOR i IN range(53)] AS cost),
+    s AS (SELECT track_id, 0 AS t, CAST([] AS BIGINT[][]) AS sc, CAST([] AS VARCHAR[][]) AS pa FROM r
+        UNION ALL
+        SELECT track_id, t + 1, list_append(sc, [w[t + 1] + greatest(0, coalesce(x.best, 0)) FOR x IN ways]), list_append(pa, [CASE WHEN x.best > 0 THEN pa[x.at][x.k] || ',' || t ELSE t::VARCHAR END FOR x IN ways])
+        FROM (SELECT track_id, t, sc, pa, w, [{{'at': x.at, 'best': list_max(x.all), 'k': list_position(x.all, list_max(x.all))}} FOR x IN
+                [{{'at': t - 7 - i, 'all': CASE WHEN t - 8 - i >= 0 THEN [sc[t - 7 - i][f + 1] - cost[i + 1][f + 1] FOR f IN range(53)] END}} FOR i IN range(53)]] AS ways
+            FROM s JOIN r USING (track_id), c WHERE t < n)),
+    e AS (SELECT track_id, flatten(sc) AS sc, flatten(pa) AS pa FROM s JOIN r USING (track_id) WHERE t = n)
+    SELECT track_id, unnest(string_split(pa[list_position(sc, list_max(sc))], ','))::INT AS frame FROM e"""

@@ -177,7 +177,7 @@ def d13_detector_beats(s, d):
     return T.detector_beats(curve(s, d)).withColumn("beat_ms", F.round("beat_ms", 5))
 
 
-@query("d14_searched_path")
+@query("d14_searched_path", twins.D14)
 def d14_searched_path(s, d):
     return T.searched_path(R.activation(s, d), floor=0.05)
 

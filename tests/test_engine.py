@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tempoframe.functions import numeric as N
-from tempoframe.operators import asof, beats as B, grids, kernels as K, peaks as P, scoring as S, signal as G, tracking as T
+from tempoframe.operators import asof, beats as B, grids, kernels as K, peaks as P, scoring as S, search, signal as G, tracking as T
 from tempoframe.plans import queries as Q, relations as R
 from tempoframe.sources import readers, sinks
 from tempoframe.streaming.tracker import stream_beats
@@ -290,7 +290,7 @@ def test_searched_reading_of_a_stream_is_that_of_the_whole(spark, sf):
     for track, rows in curve.groupby("track_id"):
         rows = rows.sort_values("frame")
         assert rows.frame.tolist() == list(range(len(rows))) and len(rows) > 3000
-        assert sorted(got[got.track_id == track].frame) == K.best_path(rows.beat.to_numpy(), rows.downbeat.to_numpy()).tolist()
+        assert sorted(got[got.track_id == track].frame) == search.best_path(rows.beat.to_numpy(), rows.downbeat.to_numpy()).tolist()
 
 
 def test_groups_that_span_batches(spark):

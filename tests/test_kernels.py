@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tempoframe.operators import kernels as K, scoring as S, signal as G
+from tempoframe.operators import kernels as K, scoring as S, search, signal as G
 from tempoframe.operators.kernels import beat_frames, raw_peaks
 from tempoframe.streaming.tracker import TrackState
 
@@ -86,11 +86,11 @@ def test_best_path():
     rng = np.random.default_rng(2)
     for n in (9, 40, 90):
         curve = rng.normal(size=n)
-        assert K.best_path(curve).tolist() == plain_path(curve.tolist())
+        assert search.best_path(curve).tolist() == plain_path(curve.tolist())
     curve = np.full(400, -1.0)
     curve[5::20] = 3.0
-    assert K.best_path(curve).tolist() == list(range(5, 400, 20))
-    assert len(K.best_path(np.ones(8))) == 0
+    assert search.best_path(curve).tolist() == list(range(5, 400, 20))
+    assert len(search.best_path(np.ones(8))) == 0
 
 
 def test_regularising():
