@@ -100,6 +100,74 @@ def best_path(beats: np.ndarray, downbeats: np.ndarray | None = None, rigidity:
     return np.array(trace(came, *np.unravel_index(int(np.argmax(score)), score.shape))[::-1], int)
 
 
+class PathState:
+    """The search while frames come in, over a given level: what no later frame can change is given out and forgotten.
+
+    Ways that may still win are the best so far and those that a coming beat can follow. Where all of them lead through one state, the path up to it
+    is settled. As long as a coming beat may as well start anew nothing is; once much has been earned no worth lies below zero, and what is kept
+    stays as short as the time that ways take to meet. (Settled frames stay given out even if silence then uses up all that was earned and a new sequence wins.)
+    """
+
+    def __init__(self, rigidity: float = RIGIDITY):
+        self.cost, self.worth = costs(rigidity), nothing()
+        self.came, self.base = np.zeros((0, K), np.uint8), 0  # of the frames from ``base`` on
+        self.root: tuple[int, int] | None = None  # the state through which all ways lead
+        self.best: tuple[int, int, int] | None = None  # score, frame, interval
+
+    def add(self, reward: np.ndarray) -> list[int]:
+        """Frames that are settled now, in order."""
+        if not len(reward):
+            return []
+        start = self.base + len(self.came)
+        worth, came, score = run(np.asarray(reward, np.int64), self.worth, self.cost)
+        self.worth, self.came = worth[-HIGH:], np.concatenate((self.came, came))
+        at = int(np.argmax(score))
+        if self.best is None or score.reshape(-1)[at] > self.best[0]:
+            self.best = (int(score.reshape(-1)[at]), start + at // K, at % K)
+        meeting = self._meeting()
+        if meeting is None or meeting == self.root:
+            return []
+        out = self._back(*meeting)
+        self.root = meeting
+        self.came, self.base = self.came[meeting[0] - self.base :], meeting[0]
+        return out
+
+    def finish(self) -> list[int]:
+        """The rest of the best path."""
+        return self._back(*self.best[1:]) if self.best and self.base + len(self.came) > LOW and self.best[1:] != self.root else []
+
+    def _before(self, t: int, i: int) -> tuple[int, int] | None:
+        s = t - int(STEPS[i])
+        if s < self.base or (f := int(self.came[s - self.base, i])) == START:
+            return None
+        return s, f
+
+    def _back(self, t: int, i: int) -> list[int]:
+        """The frames of the way to a state behind the root, in order."""
+        out, at = [], (t, i)
+        while at is not None and at != self.root:
+            out.append(at[0])
+            at = self._before(*at)
+        return out[::-1]
+
+    def _meeting(self) -> tuple[int, int] | None:
+        now, alive = self.base + len(self.came), {self.best[1:]}
+        for s in range(max(self.base, now - HIGH), now):
+            coming = np.flatnonzero(STEPS + s >= now)
+            ways = self.came[s - self.base, coming]
+            if (ways == START).any():
+                return None
+            alive |= {(s, int(f)) for f in np.unique(ways)}
+        while len(alive) > 1:  # the latest state gives way to the one before it
+            last = max(alive)
+            alive.remove(last)
+            before = self._before(*last)
+            if before is None:
+                return None
+            alive.add(before)
+        return alive.pop()
+
+
 # --- in blocks ---
 
 DONE = "track_id long, block int, start_kind long, start_level long, end_kind long, end_level long, under long, over long, best long, best_at int, best_entry int, end binary, came binary, entry binary, frames binary"

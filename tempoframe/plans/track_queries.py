@@ -328,6 +328,18 @@ def searched_stream(s, d):
     return T.searched_path(streamed_tones(s, d, stream_curve), downbeat="downbeat", value="beat")
 
 
+#: What a beat of the tones has to exceed.
+PATH_LEVEL = 0.0
+
+
+@query("g7_settled_path")
+def settled_path(s, d):
+    """The searched path of the tones over a fixed level, given out while they stream."""
+    from tempoframe.streaming.tracker import stream_path
+
+    return streamed_tones(s, d, lambda pieces: stream_path(pieces, PATH_LEVEL))
+
+
 @query("i3_memoised")
 def memoised(s, d):
     """Grids of all tracks: the first half is stored before, only the others are analysed, and all come back."""

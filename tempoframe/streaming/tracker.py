@@ -3,13 +3,15 @@
 A track's state is a tail, however long the track and however few its peaks: samples for one chunk of frames and its margin, the
 curve of the frames that are not settled, and of what came before the last ``HELD_PEAKS`` peaks with their values. Chunks are
 scored where the batch schedule has them, so that the curve is the batch curve; beats are given out once ``SETTLE`` frames
-have passed them, each once, and the rest at the track's end. The curve itself can be given out, too, for a search over the
-whole of it when the track has ended.
+have passed them, each once, and the rest at the track's end. The curve itself can be given out, too, and so can the searched path: over a given
+level, as the mean of the whole is not known before the end, frames are settled once all ways that may still win lead through them.
+
+The state has columns of its own types: numbers and the unsettled tail as values, the pieces of samples as a list, so that a new piece is put behind the others.
+At its end a track's state is cleared but for a mark, which lets later rows fail. With ``idle_ms`` a track without rows for so long ends by itself, and marks expire after ``MARK_MS``.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +19,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from tempoframe.operators import kernels as K
+from tempoframe.operators import kernels
 from tempoframe.operators.kernels import frame_peaks, raw_peaks
 from tempoframe.operators.scoring import BORDER, CHUNK, STRIDE, UNSCORED, Scorer, band_scorer, chunk_starts, score_chunk
+from tempoframe.operators.search import HIGH, RIGIDITY, K, PathState, rewards
 from tempoframe.operators.signal import FFT, HOP, complete_frames, frame_count, log_mel
 
 SETTLE, HELD_PEAKS = 64, 256
+#: How long the mark of an ended track is kept where marks expire.
+MARK_MS = 24 * 3600 * 1000
 CURVE = "track_id long, frame int, beat float, downbeat float"
 BEATS = "track_id long, frame double, beat_ms double, beats_through_ms double, samples long, final boolean"
 
@@ -96,9 +101,9 @@ class TrackState:
             return []
         tail = raw_peaks(self.curve.astype(float))
         tail = tail[tail + self.curve_base >= self.cut]
-        values = np.concatenate((self.values, K.values_at(tail, self.curve)))
+        values = np.concatenate((self.values, kernels.values_at(tail, self.curve)))
         places = np.concatenate((self.places, tail + self.curve_base))
-        kept = places[K.prune_by(places, values)]
+        kept = places[kernels.prune_by(places, values)]
         out = kept[(kept >= self.emitted) & (kept < limit)].tolist()
         self.emitted = limit
         # What is settled up to a frame that is no peak is known by its peaks from now on; four frames before it bear on those behind.
@@ -116,26 +121,72 @@ class TrackState:
 class BeatTracker(StatefulProcessor):
     """Rows of track_id, seq, samples, is_last in; settled beats out."""
 
-    def __init__(self, scorer: Scorer = band_scorer):
-        self.scorer = scorer
+    def __init__(self, scorer: Scorer = band_scorer, idle_ms: int | None = None):
+        self.scorer, self.idle_ms = scorer, idle_ms
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("track", "data binary")
+        self.handle = handle
+        self.progress = handle.getValueState("progress", "base long, total long, next_frame int, emitted int, curve_base int, cut int")
+        self.tail = handle.getValueState("tail", "curve array<float>, places array<double>, values array<double>")
+        self.pieces = handle.getListState("pieces", "samples binary")
+        self.mark = handle.getValueState("mark", "samples long", *([MARK_MS] if self.idle_ms else []))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def loaded(self) -> TrackState:
         track = TrackState(self.scorer)
-        if self.state.exists():
-            track.__dict__.update(pickle.loads(self.state.get()[0]), scorer=self.scorer)
+        if self.progress.exists():
+            track.base, track.total, track.next_frame, track.emitted, track.curve_base, track.cut = self.progress.get()
+            curve, places, values = self.tail.get()
+            track.curve, track.places, track.values = np.array(curve, np.float32), np.array(places, float), np.array(values, float)
+            track.samples = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x[0], np.float32) for x in self.pieces.get())])
+        return track
+
+    def store(self, track: TrackState, new: list[np.ndarray], forgot: bool) -> None:
+        self.progress.update((track.base, track.total, track.next_frame, track.emitted, track.curve_base, track.cut))
+        self.tail.update((track.curve.tolist(), track.places.tolist(), track.values.tolist()))
+        if forgot:
+            self.pieces.put([(track.samples.tobytes(),)])
+        elif new:
+            self.pieces.appendList([(x.tobytes(),) for x in new])
+
+    def forget(self, track: TrackState) -> None:
+        for state in (self.progress, self.tail, self.pieces):
+            state.clear()
+        self.mark.update((track.total,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         parts = pd.concat(list(rows)).sort_values("seq")
-        found: list[float] = []
+        if self.mark.exists():
+            if any(x is not None and len(x) for x in parts.samples):
+                raise ValueError("the track has ended")
+            return
+        track, found, new = self.loaded(), [], []
+        base = track.base
         for samples, last in zip(parts.samples, parts.is_last, strict=True):
             if samples is not None and len(samples):
-                found += track.add(np.asarray(samples, np.float32))
+                new.append(np.asarray(samples, np.float32))
+                found += track.add(new[-1])
             if last:
                 found += track.flush()
-        out = self.given_out(key[0], track, found)
-        self.state.update((pickle.dumps({k: v for k, v in track.__dict__.items() if k != "scorer"}),))
-        yield out
+        yield self.given_out(key[0], track, found)
+        self.wait(timerValues, track.done)
+        if track.done:
+            self.forget(track)
+        else:
+            self.store(track, new, track.base != base)
+
+    def wait(self, timer_values, done: bool) -> None:
+        if self.idle_ms:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if not done:
+                self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """A track that sent nothing for long ends where it is."""
+        if self.progress.exists():
+            track = self.loaded()
+            yield self.given_out(key[0], track, track.flush())
+            self.forget(track)
 
     def given_out(self, track_id: int, track: TrackState, found: list[float]) -> pd.DataFrame:
         track.scored()
@@ -154,11 +205,50 @@ class CurveTracker(BeatTracker):
         return pd.DataFrame({"track_id": np.full(len(frame), track_id, np.int64), "frame": frame.astype(np.int32), "beat": beat, "downbeat": downbeat})
 
 
-def stream_beats(pieces: DataFrame, scorer: Scorer = band_scorer) -> DataFrame:
+class PathTracker(BeatTracker):
+    """The same rows in; the frames of the searched path out, each once, as they are settled."""
+
+    def __init__(self, level: float, scorer: Scorer = band_scorer, rigidity: float = RIGIDITY, floor: float = 0.0, idle_ms: int | None = None):
+        super().__init__(scorer, idle_ms)
+        self.level, self.rigidity, self.floor = level, rigidity, floor
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.ways = handle.getValueState("ways", "worth binary, came binary, base int, root array<long>, best array<long>")
+
+    def forget(self, track: TrackState) -> None:
+        super().forget(track)
+        self.ways.clear()
+
+    def given_out(self, track_id: int, track: TrackState, found: list[float]) -> pd.DataFrame:
+        path = PathState(self.rigidity)
+        if self.ways.exists():
+            worth, came, path.base, root, best = self.ways.get()
+            path.worth, path.came = np.frombuffer(worth, np.int64).reshape(HIGH, K), np.frombuffer(came, np.uint8).reshape(-1, K)
+            path.root, path.best = (tuple(x) if x is not None else None for x in (root, best))
+        _, beat, downbeat = track.scored()
+        out = path.add(rewards(beat, downbeat, self.floor, self.level))
+        if track.done:
+            out += path.finish()
+        else:
+            self.ways.update((path.worth.tobytes(), path.came.tobytes(), path.base, list(path.root) if path.root else None, list(path.best) if path.best else None))
+        return pd.DataFrame({"track_id": np.full(len(out), track_id, np.int64), "frame": np.array(out, np.int32)})
+
+
+def _streamed(pieces: DataFrame, processor: BeatTracker, schema: str) -> DataFrame:
+    return pieces.groupBy("track_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if processor.idle_ms else "None")
+
+
+def stream_beats(pieces: DataFrame, scorer: Scorer = band_scorer, idle_ms: int | None = None) -> DataFrame:
     """Settled beats of a stream of pieces; needs the RocksDB state store."""
-    return pieces.groupBy("track_id").transformWithStateInPandas(statefulProcessor=BeatTracker(scorer), outputStructType=BEATS, outputMode="Append", timeMode="None")
+    return _streamed(pieces, BeatTracker(scorer, idle_ms), BEATS)
 
 
-def stream_curve(pieces: DataFrame, scorer: Scorer = band_scorer) -> DataFrame:
+def stream_curve(pieces: DataFrame, scorer: Scorer = band_scorer, idle_ms: int | None = None) -> DataFrame:
     """The scored curve of a stream of pieces; written out, it is what ``tracking.searched_path`` reads when a track has ended."""
-    return pieces.groupBy("track_id").transformWithStateInPandas(statefulProcessor=CurveTracker(scorer), outputStructType=CURVE, outputMode="Append", timeMode="None")
+    return _streamed(pieces, CurveTracker(scorer, idle_ms), CURVE)
+
+
+def stream_path(pieces: DataFrame, level: float, scorer: Scorer = band_scorer, rigidity: float = RIGIDITY, floor: float = 0.0, idle_ms: int | None = None) -> DataFrame:
+    """Frames of the searched path of a stream of pieces, over a given level: those of ``tracking.searched_path`` with that level."""
+    return _streamed(pieces, PathTracker(level, scorer, rigidity, floor, idle_ms), "track_id long, frame int")
