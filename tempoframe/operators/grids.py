@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempoframe.functions import numeric as N
-from tempoframe.operators import kernels as K
 
 
 def _points():
@@ -102,27 +100,87 @@ def prediction_errors(beats: DataFrame, back: int = 12) -> DataFrame:
     return out.select("track_id", "beat_ms", F.abs(F.col("beat_ms") - F.col("_told")).alias("line_error"), F.abs(F.col("beat_ms") - F.col("_last")).alias("gap_error"))
 
 
-def over_lags(curve: DataFrame, lags, value: str = "x", centred: bool = True) -> DataFrame:
-    """track_id, lag, n, cov, var, corr of pairs of frames so many frames apart, for each lag that some pair has; one exchange."""
-    steps = np.array(list(lags), np.int64)
+#: Frames of a track that are summed in one place; neighbouring slices share what lags reach.
+SLICE_FRAMES = 16_384
 
-    def kernel(f: K.Arrays) -> K.Arrays:
-        found = K.over_lags(f["frame"].astype(np.int64), f["x"], steps, centred)
-        some = found[:, 0] > 0
-        return {"lag": steps[some], "n": found[some, 0].astype(np.int64), **{c: found[some, k + 1] for k, c in enumerate(("cov", "var", "corr"))}}
 
-    rows = curve.select("track_id", "frame", F.col(value).cast("double").alias("x"))
-    return K.per_track(rows, kernel, "lag int, n long, cov double, var double, corr double", "frame")
+def lag_sums(curves: DataFrame, lags, first: str = "x", second: str = "x", slice_frames: int = SLICE_FRAMES) -> DataFrame:
+    """track_id, lag, n, a, b, aa, bb, ab: numbers and sums of the pairs of ``first`` at a frame and ``second`` so many frames later (earlier below zero).
 
-
-def autocorrelation(curve: DataFrame, lags, value: str = "x") -> DataFrame:
-    """track_id, lag, r: covariance of the centred curve with itself shifted, over the variance of the unshifted side."""
-    return over_lags(curve, lags, value).select("track_id", "lag", F.when(F.col("var") > 0, F.col("cov") / F.col("var")).otherwise(0.0).alias("r"))
+    Frames of a track follow each other without gaps. A slice of it and what lags reach beyond is sorted once and looked at by ``lead`` and ``lag``; sums of slices add up.
+    """
+    lags = [int(k) for k in lags]
+    most = max((abs(k) for k in lags), default=0)
+    if slice_frames <= 2 * most:
+        raise ValueError("slices have to be longer than lags reach")
+    own = lambda shift: F.floor((F.col("frame") + shift) / slice_frames)
+    near = F.filter(F.array_distinct(F.array(own(-most), own(0), own(most))), lambda k: k >= 0)
+    rows = curves.select("track_id", F.col("frame").cast("long").alias("frame"), F.col(first).cast("double").alias("a"), F.col(second).cast("double").alias("b")).withColumn("slice", F.explode(near))
+    w = Window.partitionBy("track_id", "slice").orderBy("frame")
+    pairs = F.array(*(F.struct(F.lit(k).alias("lag"), (F.col("b") if k == 0 else F.lead("b", k).over(w) if k > 0 else F.lag("b", -k).over(w)).alias("b")) for k in lags))
+    each = rows.withColumn("pairs", pairs).filter(F.col("slice") == own(0)).select("track_id", "a", F.explode("pairs").alias("p")).select("track_id", "a", "p.*").filter("a IS NOT NULL AND b IS NOT NULL")
+    a, b = F.col("a"), F.col("b")
+    return each.groupBy("track_id", "lag").agg(F.count(F.lit(1)).alias("n"), F.sum(a).alias("a"), F.sum(b).alias("b"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"), F.sum(a * b).alias("ab"))
+
+
+def autocorrelation(curve: DataFrame, lags, value: str = "x", slice_frames: int = SLICE_FRAMES) -> DataFrame:
+    """track_id, lag, r: covariance of the whole curve, about its mean, with itself shifted, over the variance of the unshifted side."""
+    mean = curve.groupBy("track_id").agg(F.avg(F.col(value).cast("double")).alias("m"))
+    n, m = F.col("n"), F.col("m")
+    cov, var = F.col("ab") - m * (F.col("a") + F.col("b")) + n * m * m, F.col("aa") - 2 * m * F.col("a") + n * m * m
+    return lag_sums(curve, lags, value, value, slice_frames).join(mean, "track_id").select("track_id", "lag", F.when(var > 1e-9, cov / var).otherwise(0.0).alias("r"))
+
+
+def cross_correlation(curves: DataFrame, lags, first: str = "a", second: str = "b", least: int = 100, slice_frames: int = SLICE_FRAMES) -> DataFrame:
+    """track_id, lag, n, r: correlation of one curve with another so many frames later; 0 where either is flat, minus infinity where fewer than ``least`` frames overlap."""
+    n, spread = F.col("n"), lambda xx, x: F.greatest(xx - x * x / F.col("n"), F.lit(0.0))
+    under = F.sqrt(spread(F.col("aa"), F.col("a")) * spread(F.col("bb"), F.col("b")))
+    r = F.when(n < least, F.lit(float("-inf"))).when(under < 1e-9, 0.0).otherwise((F.col("ab") - F.col("a") * F.col("b") / n) / under)
+    return lag_sums(curves, lags, first, second, slice_frames).select("track_id", "lag", "n", r.alias("r"))
+
+
+def local_autocorrelation(curve: DataFrame, points: DataFrame, lags, half: int = 50, value: str = "x") -> DataFrame:
+    """points (track_id, centre frame, further columns) with lag, r: as ``autocorrelation``, over the frames around each centre, about their mean; 0 where they are fewer than four lags.
+
+    The frames around are a list of bounded length for each centre; nothing else of a track is needed.
+    """
+    lags = [int(k) for k in lags]
+    w = Window.partitionBy("track_id").orderBy("frame")
+    around = F.collect_list("x").over(w.rowsBetween(-half, half + max(lags)))
+    rows = curve.select("track_id", F.col("frame").cast("long").alias("frame"), F.col(value).cast("double").alias("x"), F.count(F.lit(1)).over(Window.partitionBy("track_id")).alias("_n")).withColumn("_near", around)
+    asked = points.withColumnRenamed("track_id", "_t").withColumn("_c", F.col("centre").cast("long"))
+    each = rows.join(asked, (F.col("track_id") == F.col("_t")) & (F.col("frame") == F.col("_c"))).drop("_t", "_c", "x")
+    each = each.withColumn("lag", F.explode(F.array(*map(F.lit, lags))))
+    size = F.least(F.col("frame") + half, F.col("_n") - 1 - F.col("lag")) - F.greatest(F.col("frame") - half, F.lit(0))
+    each = each.withColumn("_m", F.when(size >= 4 * F.col("lag"), size).cast("int"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    each = each.withColumns({"_a": F.slice("_near", F.lit(1), F.col("_m")), "_b": F.slice("_near", F.col("lag") + 1, F.col("_m"))})
+    mean = total("_a") / F.col("_m")
+    each = each.withColumn("_mean", mean)
+    cov = total(F.zip_with("_a", "_b", lambda a, b: (a - F.col("_mean")) * (b - F.col("_mean"))))
+    var = total(F.transform("_a", lambda a: (a - F.col("_mean")) * (a - F.col("_mean"))))
+    return each.withColumns({"_cov": cov, "_var": var}).select(*points.columns, "lag", F.when(F.col("_var") > 0, F.col("_cov") / F.col("_var")).otherwise(0.0).alias("r"))
+
+
+def nearest_high_peak(correlation: DataFrame, keys: list[str], low: int, high: int, share: float = 0.75, expected: str = "expected") -> DataFrame:
+    """``keys`` (track_id, centre, ``expected`` in frames among them) with lag, r: of the peaks over lag not below ``share`` of the highest the one nearest to what is expected; 0, 0.0 without any.
+
+    ``correlation``: r of each lag from ``low`` - 1 to ``high`` + 1.
+    """
+    whole = Window.partitionBy("track_id", "centre")
+    own = whole.orderBy("lag")
+    top = (F.col("r") > 0) & (F.col("r") >= F.lag("r").over(own)) & (F.col("r") >= F.lead("r").over(own))
+    rows = correlation.withColumn("_top", F.coalesce(top & F.col("lag").between(low, high), F.lit(False)))
+    rows = rows.withColumn("_best", F.max(F.when(F.col("_top"), F.col("r"))).over(whole))
+    far = F.when(F.col(expected) > 0, F.abs(F.col("lag") - F.col(expected))).otherwise(0.0)
+    fair = F.when(F.col("_top") & (F.col("r") >= share * F.col("_best")), F.struct(far.alias("far"), "lag", "r"))
+    found = rows.groupBy(*keys).agg(F.min(fair).alias("f"))
+    return found.select(*keys, F.coalesce("f.lag", F.lit(0)).alias("lag"), F.coalesce("f.r", F.lit(0.0)).alias("r"))
 
 
-def cross_correlation(curve: DataFrame, lags, least: int = 100, value: str = "x") -> DataFrame:
-    """track_id, lag, n, r: correlation of the curve with itself shifted; -1e9 where fewer than ``least`` frames overlap."""
-    return over_lags(curve, lags, value, False).select("track_id", "lag", "n", F.when(F.col("n") >= least, F.col("corr")).otherwise(-1e9).alias("r"))
+def envelope_periods(curve: DataFrame, points: DataFrame, low: int = 10, high: int = 50, half: int = 50) -> DataFrame:
+    """points (track_id, centre, expected in frames) with lag, r: the period of a curve around each centre, by its local autocorrelation."""
+    return nearest_high_peak(local_autocorrelation(curve, points, range(low - 1, high + 2), half), points.columns, low, high)
 
 
 def periodicity_peaks(correlation: DataFrame, k: int = 3) -> DataFrame:
@@ -133,15 +191,14 @@ def periodicity_peaks(correlation: DataFrame, k: int = 3) -> DataFrame:
 
 
 def best_lag(points: DataFrame, curve: DataFrame, most: int = 8, fps: int = 50, value: str = "x") -> DataFrame:
-    """track_id, lag, score: the shift of -most..most frames at which the grid's frames carry most above the mean; the first of equals."""
-    asked = points.select("track_id", F.rint(F.col("beat_ms") * fps / 1000).cast("long").alias("frame"), F.lit(None).cast("double").alias("x"), F.lit(True).alias("point"))
-    line = asked.unionByName(curve.select("track_id", F.col("frame").cast("long").alias("frame"), F.col(value).cast("double").alias("x"), F.lit(False).alias("point")))
-
-    def kernel(f: K.Arrays) -> K.Arrays:
-        lag, score = K.best_shift(f["frame"][~f["point"]], f["x"][~f["point"]], f["frame"][f["point"]], most)
-        return {"lag": lag, "score": score}
-
-    return K.per_track(line, kernel, "lag int, score double", "frame")
+    """track_id, lag, score: the shift of -most..most frames at which the grid's frames carry most above the mean, to a millionth; the first of equals."""
+    lags = F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag")
+    asked = points.select("track_id", F.rint(F.col("beat_ms") * fps / 1000).cast("long").alias("place"), lags).withColumn("frame", F.col("place") + F.col("lag"))
+    x = F.col(value).cast("double")
+    above = curve.select("track_id", F.col("frame").cast("long").alias("frame"), (x - F.avg(x).over(Window.partitionBy("track_id"))).alias("c"))
+    per = asked.join(above, ["track_id", "frame"]).groupBy("track_id", "lag").agg(F.round(F.sum("c"), 6).alias("score"))
+    best = per.groupBy("track_id").agg(F.max(F.struct("score", (-F.col("lag")).alias("m"))).alias("b"))
+    return best.select("track_id", (-F.col("b.m")).alias("lag"), F.col("b.score").alias("score"))
 
 
 def comb_scan(strength: DataFrame, periods, value: str = "x") -> DataFrame:

@@ -225,36 +225,6 @@ def regularised(beats: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def over_lags(frame: np.ndarray, x: np.ndarray, lags: np.ndarray, centred: bool = True) -> np.ndarray:
-    """For each lag: pairs of values so many frames apart, their sum of products, that of the first's squares (about the whole's mean), correlation."""
-    out = np.zeros((len(lags), 4))
-    own = x - x.mean() if centred else x
-    for row, lag in zip(out, lags, strict=True):
-        at = np.minimum(np.searchsorted(frame, frame + lag), len(frame) - 1)
-        there = frame[at] == frame + lag
-        a, b = own[there], own[at[there]]
-        row[:3] = len(a), (a * b).sum(), (a * a).sum()
-        if len(a) > 1:
-            a, b = a - a.mean(), b - b.mean()
-            spread = np.sqrt((a * a).sum() * (b * b).sum())
-            row[3] = (a * b).sum() / spread if spread > 0 else np.nan
-        else:
-            row[3] = np.nan
-    return out
-
-
-def best_shift(frame: np.ndarray, x: np.ndarray, asked: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shift of -most..most frames at which the values asked for exceed the mean most, to a millionth, and by how much; none if there are none."""
-    best, lag = -np.inf, None
-    for k in range(-most, most + 1) if len(frame) and len(asked) else ():
-        at = np.minimum(np.searchsorted(frame, asked + k), len(frame) - 1)
-        there = frame[at] == asked + k
-        score = round(float((x[at[there]] - x.mean()).sum()), 6)
-        if there.any() and score > best:
-            best, lag = score, k
-    return (np.array([lag]), np.array([best])) if lag is not None else (np.zeros(0, int), np.zeros(0))
-
-
 def _upper(values: np.ndarray) -> float:
     return float(np.sort(values)[len(values) // 2]) if len(values) else 0.0
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tempoframe.functions import numeric as N
 from tempoframe.operators import asof, beats as B, grids as G, peaks as P
 from tempoframe.plans import relations as R
+from tempoframe.plans.beat_queries import _PERIOD
 from tempoframe.plans.relations import sql, upper
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -331,20 +332,14 @@ def h29_labels(s, d):
 
 
 def _long_signal(then: str) -> str:
-    """As ``sql`` over the values of events dealt to seven tracks."""
-    return "WITH " + R.CTE["signal"].replace("user_id AS track_id", "user_id % 7 AS track_id").replace("PARTITION BY user_id", "PARTITION BY user_id % 7") + " " + then
+    """As ``sql`` over the values of events, the users of a long track together."""
+    return "WITH " + R.CTE["signal"].replace("user_id AS track_id", f"user_id // {R.GATHERED} AS track_id").replace("PARTITION BY user_id", f"PARTITION BY user_id // {R.GATHERED}") + " " + then
 
 
 _AUTO = _CENTRED + """,
         l AS (SELECT a.track_id, k.lag, sum(a.c * b.c) AS cov, sum(a.c * a.c) AS var FROM centred a CROSS JOIN (SELECT unnest(range(8, 61)) AS lag) k JOIN centred b ON b.track_id = a.track_id AND b.frame = a.frame + k.lag GROUP BY ALL),
         ac AS (SELECT track_id, lag::INT AS lag, CASE WHEN var > 0 THEN cov / var ELSE 0.0 END AS r FROM l)"""
 
-
-@query("h30_autocorrelation", _long_signal(_AUTO + " SELECT track_id, lag, round(r, 6) AS r FROM ac"))
-def h30_autocorrelation(s, d):
-    return G.autocorrelation(R.signal(s, d, 7), range(8, 61)).withColumn("r", F.round("r", 6))
-
-
 _TOPS = """,
         nb AS (SELECT track_id, lag, r, lag(r) OVER w AS b, lead(r) OVER w AS a FROM (SELECT track_id, lag, round(r, 6) AS r FROM ac) WINDOW w AS (PARTITION BY track_id ORDER BY lag)),
         tops AS (SELECT track_id, lag, r, row_number() OVER (PARTITION BY track_id ORDER BY r DESC, lag) AS rank FROM nb WHERE r > b AND r >= a)"""
@@ -352,25 +347,62 @@ _TOPS = """,
 
 @query("h31_periodicity_peaks", _long_signal(_AUTO + _TOPS + " SELECT track_id, lag, r, rank FROM tops WHERE rank <= 3"))
 def h31_periodicity_peaks(s, d):
-    return G.periodicity_peaks(G.autocorrelation(R.signal(s, d, 7), range(8, 61)).withColumn("r", F.round("r", 6)))
+    return G.periodicity_peaks(G.autocorrelation(R.signal(s, d, True), range(8, 61)).withColumn("r", F.round("r", 6)))
+
 
+def _local(low: int, high: int, centres: str) -> str:
+    """Self-correlation around centres (track_id, centre): as ``G.local_autocorrelation``, pair by pair."""
+    return f"""c AS ({centres}), n AS (SELECT track_id, count(*) AS n FROM signal GROUP BY track_id),
+        w AS (SELECT c.*, lag, greatest(centre - 50, 0) AS low, least(centre + 50, n - 1 - lag) AS high FROM c JOIN n USING (track_id) CROSS JOIN (SELECT unnest(range({low}, {high + 1})) AS lag)),
+        p AS (SELECT w.track_id, w.centre, w.lag, a.x AS a, b.x AS b, avg(a.x) OVER (PARTITION BY w.track_id, w.centre, w.lag) AS m FROM w JOIN signal a ON a.track_id = w.track_id AND a.frame >= w.low AND a.frame < w.high JOIN signal b ON b.track_id = a.track_id AND b.frame = a.frame + w.lag WHERE high - low >= 4 * lag),
+        v AS (SELECT track_id, centre, lag, sum((a - m) * (b - m)) / nullif(sum((a - m) * (a - m)), 0) AS r FROM p GROUP BY ALL),
+        ac AS (SELECT w.* EXCLUDE (low, high), round(coalesce(r, 0.0), 6) AS r FROM w LEFT JOIN v USING (track_id, centre, lag))"""
 
-@query("h32_envelope_period", _long_signal(_AUTO + _TOPS + ", b AS (SELECT *, max(r) OVER (PARTITION BY track_id) AS best FROM tops) SELECT track_id, lag, r FROM b WHERE r >= 0.75 * best QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY abs(lag - 25), lag) = 1"))
+
+_CENTRES = "SELECT track_id, frame AS centre FROM signal WHERE frame % 64 = 5"
+
+
+@query("h30_autocorrelation", _long_signal(", " + _local(8, 20, _CENTRES) + " SELECT track_id, centre, lag::INT AS lag, r FROM ac"))
+def h30_autocorrelation(s, d):
+    """Around every 64th frame or so, over 50 frames on either side."""
+    curve = R.signal(s, d, True)
+    points = curve.filter(F.col("frame") % 64 == 5).select("track_id", F.col("frame").alias("centre"))
+    return G.local_autocorrelation(curve, points, range(8, 21)).withColumn("r", F.round("r", 6))
+
+
+_EXPECTED = "SELECT track_id, i AS centre, period_ms / 4 AS expected FROM periods WHERE i % 64 = 5"
+
+
+@query(
+    "h32_envelope_period",
+    _long_signal(", " + R.CTE["beats"].replace("user_id AS track_id", f"user_id // {R.GATHERED} AS track_id") + ", " + R.CTE["idx"] + _PERIOD + ", " + _local(9, 26, _EXPECTED) + """,
+        t AS (SELECT *, lag(r) OVER o AS b, lead(r) OVER o AS f FROM ac WINDOW o AS (PARTITION BY track_id, centre ORDER BY lag)),
+        tops AS (SELECT *, max(r) OVER (PARTITION BY track_id, centre) AS best FROM t WHERE r > 0 AND r >= b AND r >= f AND lag BETWEEN 10 AND 25),
+        h AS (SELECT * FROM tops WHERE r >= 0.75 * best QUALIFY row_number() OVER (PARTITION BY track_id, centre ORDER BY CASE WHEN expected > 0 THEN abs(lag - expected) ELSE 0 END, lag) = 1)
+        SELECT c.track_id, c.centre, c.expected, coalesce(h.lag, 0)::INT AS lag, coalesce(h.r, 0.0) AS r FROM c LEFT JOIN h USING (track_id, centre) WHERE EXISTS (SELECT 1 FROM signal s WHERE s.track_id = c.track_id AND s.frame = c.centre)"""),
+)
 def envelope_period(s, d):
-    """Of the high peaks of the autocorrelation the one nearest to an expected period (25 frames)."""
-    tops = G.periodicity_peaks(G.autocorrelation(R.signal(s, d, 7), range(8, 61)).withColumn("r", F.round("r", 6)), 10**6)
-    high = tops.withColumn("best", F.max("r").over(_track())).filter(F.col("r") >= 0.75 * F.col("best"))
-    return high.withColumn("_r", F.row_number().over(_track().orderBy(F.abs(F.col("lag") - 25), "lag"))).filter("_r = 1").select("track_id", "lag", "r")
+    """Around the frame of each 64th beat: of the high peaks of the curve's autocorrelation the one nearest to the local period of the beats."""
+    place = (F.row_number().over(_track().orderBy("beat_ms")) - 1).alias("centre")
+    points = B.local_periods(R.long_beats(s, d)).select("track_id", place, (F.col("period_ms") / 4).alias("expected")).filter(F.col("centre") % 64 == 5)
+    rounded = G.local_autocorrelation(R.signal(s, d, True), points, range(9, 27)).withColumn("r", F.round("r", 6))
+    return G.nearest_high_peak(rounded, points.columns, 10, 25)
+
+
+_FLUX = "u AS (SELECT track_id, frame, x AS a, greatest(x - coalesce(lag(x) OVER (PARTITION BY track_id ORDER BY frame), x), 0.0) AS b FROM signal)"
 
 
 @query(
     "h34_cross_correlation",
-    _long_signal(""",
-        l AS (SELECT a.track_id, k.lag::INT AS lag, corr(a.x, b.x) AS r, count(*) AS n FROM signal a CROSS JOIN (SELECT unnest(range(0, 9)) AS lag) k JOIN signal b ON b.track_id = a.track_id AND b.frame = a.frame + k.lag GROUP BY ALL)
-        SELECT track_id, lag, n, CASE WHEN n >= 100 THEN round(r, 6) ELSE -1e9 END AS r FROM l"""),
+    _long_signal(", " + _FLUX + """,
+        l AS (SELECT a.track_id, k.lag::INT AS lag, count(*) AS n, corr(a.a, b.b) AS r FROM u a CROSS JOIN (SELECT unnest(range(-8, 9)) AS lag) k JOIN u b ON b.track_id = a.track_id AND b.frame = a.frame + k.lag GROUP BY ALL)
+        SELECT track_id, lag, n, CASE WHEN n < 100 THEN '-infinity'::DOUBLE ELSE coalesce(round(r, 6), 0.0) END AS r FROM l"""),
 )
 def h34_cross_correlation(s, d):
-    return G.cross_correlation(R.signal(s, d, 7), range(9)).withColumn("r", F.round("r", 6))
+    """A curve against what it gains from frame to frame, up to eight frames before and behind."""
+    gained = F.greatest(F.col("x") - F.coalesce(F.lag("x").over(_track().orderBy("frame")), "x"), F.lit(0.0))
+    curves = R.signal(s, d, True).select("track_id", "frame", F.col("x").alias("a"), gained.alias("b"))
+    return G.cross_correlation(curves, range(-8, 9)).withColumn("r", F.round("r", 6))
 
 
 @query(

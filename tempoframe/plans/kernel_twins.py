@@ -61,7 +61,7 @@ E5 = recursive("beats", "idx", then=_PERIOD + """, w AS (SELECT c.track_id, c.i,
     SELECT track_id, unnest(put) AS beat_ms FROM walk UNION ALL SELECT track_id, unnest(b) FROM folded WHERE len(b) < 4""")
 
 #: Sections: from each boundary on the first lasting run of changes is the next boundary.
-_LONG = R.CTE["beats"].replace("user_id AS track_id", "user_id % 7 AS track_id")
+_LONG = R.CTE["beats"].replace("user_id AS track_id", f"user_id // {R.GATHERED} AS track_id")
 _SECTIONS = _ROBUST + f""", nf AS (SELECT *, list(robust_ms) OVER (w ROWS BETWEEN 16 PRECEDING AND 15 FOLLOWING) AS nl, list(robust_ms) OVER (w ROWS BETWEEN 33 PRECEDING AND 17 PRECEDING) AS fl FROM r WINDOW w AS (PARTITION BY track_id ORDER BY gap_idx)),
     near AS (SELECT *, coalesce({upper('nl')}, 0.0) AS n_ms, coalesce({upper('fl')}, 0.0) AS f_ms FROM nf),
     tracks AS (SELECT track_id, list(robust_ms ORDER BY gap_idx) AS g, coalesce(list(gap_idx ORDER BY gap_idx) FILTER (WHERE n_ms > 0 AND f_ms > 0 AND abs(n_ms - f_ms) / f_ms >= 0.06), []) AS c FROM near GROUP BY track_id),

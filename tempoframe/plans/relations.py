@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Users whose events make one long track.
+GATHERED = 16
 START_US, SHORTEN = 1_704_067_200_000_000, 100_000.0
 
 
@@ -31,8 +33,12 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """track_id, beat_ms: the events of many users in seven tracks, of as many beats as a recording has."""
-    return beats(spark, sf_dir).withColumn("track_id", F.col("track_id") % 7)
+    """track_id, beat_ms: the events of ``GATHERED`` users in a track, of as many beats as a recording has; more users are more tracks."""
+    return beats(spark, sf_dir).withColumn("track_id", gathered(F.col("track_id")))
+
+
+def gathered(user: Column) -> Column:
+    return F.floor(user / GATHERED)
 
 
 def clicks(spark: SparkSession, sf_dir: str, kind: str = "click") -> DataFrame:
@@ -50,11 +56,11 @@ def activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id"), F.posexplode("embedding").alias("frame", "v")).select("track_id", "frame", F.col("v").cast("double").alias("x"))
 
 
-def signal(spark: SparkSession, sf_dir: str, tracks: int | None = None) -> DataFrame:
-    """track_id, frame, x: event values in order of time, by user or, with ``tracks``, dealt to so many tracks."""
+def signal(spark: SparkSession, sf_dir: str, long: bool = False) -> DataFrame:
+    """track_id, frame, x: event values in order of time, by user or, if ``long``, by as many as a long track gathers."""
     from pyspark.sql import Window
 
-    rows = table(spark, sf_dir, "events").withColumn("track_id", F.col("user_id") % tracks if tracks else F.col("user_id"))
+    rows = table(spark, sf_dir, "events").withColumn("track_id", gathered(F.col("user_id")) if long else F.col("user_id"))
     return rows.select("track_id", (F.row_number().over(Window.partitionBy("track_id").orderBy("ts", "event_id")) - 1).alias("frame"), F.col("value").alias("x"))
 
 
