@@ -13,6 +13,7 @@ from tempoframe.operators.signal import RATE, to_mono
 from tempoframe.plans import relations as R
 from tempoframe.plans.track_queries import map_texts
 from tempoframe.sources import readers, sinks
+from tempoframe.sources.blocks import AudioBlocks, content_blocks
 from tempoframe.sources.folders import shared_folder
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -68,6 +69,31 @@ def decoded_content(s, d):
     return summed(readers.decoded(rows).withColumn("track_id", number()))
 
 
+_BLOCKS = _SUMS.format(channels=2).replace(" FROM takes", ", ceil(len(v) / 64)::BIGINT AS blocks FROM takes")
+
+
+def summed_blocks(rows):
+    """``summed`` of samples that come in blocks."""
+    whole = F.transform("samples", lambda x: F.rint(x.cast("double") * 32768).cast("long"))
+    add = lambda a, x: a + x
+    each = rows.withColumn("v", whole).select(number().alias("track_id"), "block", "channels", "sample_rate", F.size("v").alias("n"), F.aggregate("v", F.lit(0).cast("long"), add).alias("total"), F.aggregate(F.transform("v", lambda x, i: x * (i + 1 + F.col("first_sample"))), F.lit(0).cast("long"), add).alias("weighed"))
+    return each.groupBy("track_id", "channels", "sample_rate").agg(F.sum("n").cast("int").alias("n"), F.sum("total").alias("total"), F.sum("weighed").alias("weighed"), F.count(F.lit(1)).alias("blocks"))
+
+
+@query("a1_block_reads", _BLOCKS)
+def block_reads(s, d):
+    """WAV files by ranges of 200 bytes, 64 samples at a time; no task sees a whole file."""
+    s.dataSource.register(AudioBlocks)
+    return summed_blocks(s.read.format("audio_blocks").option("path", written_takes(s, d)).option("pattern", "*.wav").option("block", 64).option("rangeBytes", 200).load())
+
+
+@query("a2_content_blocks", _BLOCKS)
+def content_in_blocks(s, d):
+    """The same bytes as a column."""
+    rows = takes(s, d).select(F.col("track_id").cast("string").alias("path"), sinks.wav_bytes("samples", "channels", "sample_rate").alias("content"))
+    return summed_blocks(content_blocks(rows, 64))
+
+
 @query("a3_mono", f"WITH {_TAKES} SELECT track_id, list_sum(list_transform(range(1, len(v) // 2 + 1), lambda i: i * (v[2 * i - 1] + v[2 * i])))::BIGINT AS weighed, (len(v) // 2)::INT AS n FROM takes")
 def decoded_mono(s, d):
     """WAV files to mono at the target rate; twice the mean is a whole number again."""

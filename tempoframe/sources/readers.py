@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempoframe.operators.signal import RATE, to_mono
+from tempoframe.sources.blocks import pcm
 from tempoframe.sources.folders import shared_folder
 
 RAW = "samples array<float>, channels int, sample_rate int"
@@ -24,14 +25,7 @@ def decode_wav(data: bytes) -> tuple[np.ndarray, int, int]:
     """Interleaved samples, channels and rate of PCM with 8, 16, 24 or 32 bits."""
     with wave.open(io.BytesIO(data)) as w:
         raw, width, channels, rate = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
-    if width == 1:
-        values = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    elif width == 3:
-        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        values = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8) / np.float32(1 << 23)
-    else:
-        values = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]) / np.float32(1 << (8 * width - 1))
-    return values.astype(np.float32), channels, rate
+    return pcm(raw, width), channels, rate
 
 
 def decode_f32(data: bytes, rate: int = RATE) -> tuple[np.ndarray, int, int]:

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
-from tempoframe.sources.folders import write_file
+from tempoframe.sources.folders import write_file, written
 
+#: Letters of the key that name an entry's folder.
+PREFIX = 2
 CACHE = "cache_key string, metrical_shift int, beats array<double>"
 
 
@@ -36,19 +38,37 @@ def file_keys(spark: SparkSession, folder: str, build: str, how: str | None = No
     return found.select("path", cache_key(build, F.col("path"), F.col("length"), F.unix_micros("modificationTime"), how).alias("cache_key"))
 
 
+def _prefix() -> Column:
+    return F.substring("cache_key", 1, PREFIX)
+
+
+def _entries(grids: DataFrame) -> DataFrame:
+    return grids.filter(F.size("beats") > 0).select("cache_key", F.col("metrical_shift").cast("int").alias("metrical_shift"), F.transform("beats", lambda b: F.round(b, 3)).alias("beats"))
+
+
 def store(grids: DataFrame, folder: str) -> None:
-    """Adds grids (cache_key, metrical_shift, beats) to a Parquet cache, times to a thousandth; empty ones are not kept."""
-    rows = grids.filter(F.size("beats") > 0).select("cache_key", F.col("metrical_shift").cast("int").alias("metrical_shift"), F.transform("beats", lambda b: F.round(b, 3)).alias("beats"))
-    rows.write.mode("append").parquet(folder)
+    """Puts grids (cache_key, metrical_shift, beats) into a Parquet cache, times to a thousandth; empty ones are not kept.
+
+    The cache lies in folders by the first letters of the key. Those that new entries fall into are written anew, with the entries of other keys as they were, and
+    take the place of the old ones: an entry overwrites that of its key, and no folder gathers small files. Of several new entries of a key the largest stays.
+    """
+    spark = grids.sparkSession
+    new = written(_entries(grids).groupBy("cache_key").agg(F.max(F.struct("metrical_shift", "beats")).alias("e")).select("cache_key", "e.*"))
+    others = load(spark, folder, new.select("cache_key")).join(new.select("cache_key"), "cache_key", "left_anti")
+    rows = written(new.unionByName(others)).withColumn("prefix", _prefix())
+    rows.repartition("prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(folder)
 
 
-def load(spark: SparkSession, folder: str) -> DataFrame:
-    """The cache; anything that cannot be read is a miss."""
+def load(spark: SparkSession, folder: str, keys: DataFrame | None = None) -> DataFrame:
+    """The cache, or only the folders in which ``keys`` (cache_key) may lie; anything that cannot be read is a miss."""
     try:
-        rows = spark.read.schema(CACHE).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(folder)
+        rows = spark.read.schema(f"{CACHE}, prefix string").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(folder)
     except AnalysisException:
         return spark.createDataFrame([], CACHE)
-    return rows.filter("cache_key IS NOT NULL AND size(beats) > 0").dropDuplicates(["cache_key"])
+    if keys is not None:
+        asked = [r["p"] for r in keys.select(_prefix().alias("p")).distinct().collect()]  # 16 ** PREFIX at most
+        rows = rows.filter(F.col("prefix").isin(asked))
+    return rows.filter("cache_key IS NOT NULL AND size(beats) > 0").drop("prefix")
 
 
 def text_entry(lines: Column) -> Column:
@@ -68,11 +88,11 @@ def entry_text(shift: Column, beats: Column, name: str = "tempoframe") -> Column
 def memoised(keys: DataFrame, folder: str, analyse: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Grids of all keys (path, cache_key): those at hand, and the others analysed once and stored."""
     spark = keys.sparkSession
-    held = load(spark, folder)
+    held = load(spark, folder, keys)
     missing = keys.join(held.select("cache_key"), "cache_key", "left_anti")
     if not missing.isEmpty():
         store(analyse(missing), folder)
-        held = load(spark, folder)
+        held = load(spark, folder, keys)
     return keys.join(held, "cache_key", "left")
 
 
