@@ -30,6 +30,8 @@ from tempoframe.llm.words import eights
 FOLDS, FOLD = 5, 0
 LANGUAGES, ROWS, PIECES = 256, 400, 200_000
 HIDDEN, STEPS, BATCH, RATE = 16, 400, 512, 0.01
+#: Places among which the rows of a language are dealt before its sample is drawn.
+SALTS = 64
 #: Words that a worker remembers.
 ENTRIES = 600_000
 #: Bytes of text that are looked up at once, and words that the network reads at once.
@@ -199,8 +201,12 @@ def learnt_words(docs: DataFrame, rows: int = ROWS, languages: int = LANGUAGES,
     fair = named.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(FOLDS, FOLD))
     known = sorted(r["lang"] for r in fair.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect())
     fair = fair.filter(F.col("lang").isin(known)).withColumn("tid", F.xxhash64("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(29), "doc_id", "tid"), "doc_id", "tid")
-    chosen = staged(fair.select("doc_id", "tid", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows).drop("place").distinct())
+    order = [F.xxhash64(F.lit(29), "doc_id", "tid"), F.col("doc_id"), F.col("tid")]
+    chosen = fair.select("doc_id", "tid", "lang", F.pmod(F.xxhash64(F.lit(31), "doc_id", "tid"), F.lit(SALTS)).alias("salt"))
+    for keys in (["lang", "salt"], ["lang"]):  # in many places first, so that a frequent language does not meet in one
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        chosen = chosen.withColumn("place", place).filter(F.col("place") <= rows).drop("place")
+    chosen = staged(chosen.drop("salt").distinct())
     texts = fair.join(F.broadcast(chosen), ["doc_id", "tid", "lang"]).dropDuplicates(["doc_id", "tid", "lang"])  # rows * languages at most
     each = max(8, most // max(1, chosen.count()))
 
