@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempoframe.functions import numeric as N
+from tempoframe.sources.folders import written
 
 
 def _points():
@@ -64,8 +65,25 @@ def histogram(rows: DataFrame, value: Column, width: float, *keys: str) -> DataF
 
 def modes(rows: DataFrame, bucket: str, k: int, *keys: str) -> DataFrame:
     """The k most frequent buckets of each key, the smaller of equals first."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("n"), bucket) if keys else Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), bucket)
-    return rows.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    counts = rows.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("n"))
+    if not keys:  # each task passes on its first k
+        counts = counts.orderBy(F.desc("n"), bucket).limit(k)
+    order = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(F.desc("n"), bucket)
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def ranks(rows: DataFrame, key: str, value: str, name: str = "place") -> DataFrame:
+    """``rows`` with the rank of their value among all of the same key: 1 and how many are smaller.
+
+    Different values are dealt by ranges and counted in each; no task holds a key's rows, however few keys there are.
+    """
+    counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = written(counts.repartitionByRange(key, value).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy(key, "_part").agg(F.sum("_n").alias("_all"))  # a row for each key and range
+    before = sizes.select(key, "_part", F.coalesce(F.sum("_all").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum("_n").over(Window.partitionBy("_part", key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of = placed.withColumn("_own", own).join(before, [key, "_part"]).select(key, value, (F.col("_before") + F.col("_own") + 1).alias(name))
+    return rows.join(of, [key, value])
 
 
 def downsampled(curve: DataFrame, period: str, confidence: str, frames: int = 5, fps: int = 50) -> DataFrame:

@@ -496,7 +496,7 @@ def summaries(s, d):
     a = offsets(s, d).filter("offset_ms IS NOT NULL").groupBy("track_id").agg(N.median_of(F.abs("offset_ms")).alias("error_ms"))
     b = B.intervals(R.beats(s, d)).groupBy("track_id").agg(N.median_of(F.col("gap_ms")).alias("gap_ms"))
     rows = a.join(b, "track_id").unpivot("track_id", ["error_ms", "gap_ms"], "metric", "value")
-    return rows.withColumn("place", F.rank().over(Window.partitionBy("metric").orderBy("value")))
+    return G.ranks(rows, "metric", "value")
 
 
 _CLASS = """,

@@ -36,7 +36,7 @@ _KEPT_GAPS = "list_transform(list_filter(range(greatest(1, i - 32), least(n, i +
 _BEST_GAP = """list_reduce(list_prepend(struct_pack(c := 0.0::DOUBLE, n := 0::BIGINT, m := 0.0::DOUBLE), list_transform(g, lambda c: struct_pack(c := c, n := len(list_filter(g, lambda x: x >= c * 0.75 AND x <= c * 1.25))::BIGINT,
         m := list_sort(list_filter(g, lambda x: x >= c * 0.75 AND x <= c * 1.25))[len(list_filter(g, lambda x: x >= c * 0.75 AND x <= c * 1.25)) // 2 + 1]))),
         lambda a, e: CASE WHEN e.n > a.n OR (e.n = a.n AND e.c > a.m) THEN e ELSE a END).m"""
-D5 = recursive("activation", then=_PEAKS.format(of="activation") + _MERGE + _REFINE.format(of="activation") + f""",
+_PRUNED = (_PEAKS.format(of="activation") + _MERGE + _REFINE.format(of="activation") + f""",
     raw AS (SELECT m.track_id, coalesce(f.place, centre) AS place FROM merged m LEFT JOIN fine f ON f.track_id = m.track_id AND width = 1 AND f.frame = centre),
     valued AS (SELECT r.track_id, r.place, a.x FROM raw r JOIN activation a ON a.track_id = r.track_id AND a.frame = floor(r.place + 0.5)),
     tracks AS (SELECT track_id, list(place ORDER BY place) AS p, list(x ORDER BY place) AS v, count(*) AS n FROM valued GROUP BY track_id),
@@ -45,8 +45,9 @@ D5 = recursive("activation", then=_PEAKS.format(of="activation") + _MERGE + _REF
             THEN list_transform(range(1, n + 1), lambda j: keep[j] AND j <> CASE WHEN v[i] >= v[i + 1] THEN i + 1 ELSE i END) ELSE keep END
         FROM (SELECT *, CASE WHEN len(g) = 0 THEN 0.0 WHEN len(g) < 3 THEN {upper('g')} ELSE {_BEST_GAP} END AS period
             FROM (SELECT *, {_KEPT_GAPS} AS g FROM (SELECT *, step % (n - 1) + 1 AS i FROM walk WHERE n >= 3 AND step < 8 * (n - 1))))),
-    last AS (SELECT track_id, p, keep, n FROM walk WHERE n < 3 OR step = 8 * (n - 1))
-    SELECT track_id, round(p[j], 6) AS place, round(p[j] * 20.0, 5) AS beat_ms FROM (SELECT track_id, p, keep, unnest(range(1, n + 1)) AS j FROM last) WHERE keep[j]""")
+    last AS (SELECT track_id, p, keep, n FROM walk WHERE n < 3 OR step = 8 * (n - 1)),
+    kept AS (SELECT track_id, round(p[j], 6) AS place, round(p[j] * 20.0, 5) AS beat_ms FROM (SELECT track_id, p, keep, unnest(range(1, n + 1)) AS j FROM last) WHERE keep[j])""")
+D5 = recursive("activation", then=_PRUNED + " SELECT track_id, place, beat_ms FROM kept")
 
 #: Regularising: beats in order, each left out, taken, or taken with the ones that lack before it.
 E5 = recursive("beats", "idx", then=_PERIOD + """, w AS (SELECT c.track_id, c.i, c.period_ms, round(sum(o.gap_ms), 6) AS w FROM periods c JOIN periods o ON c.track_id = o.track_id AND o.gap_ms IS NOT NULL AND o.period_ms >= c.period_ms * 0.75 AND o.period_ms <= c.period_ms * 1.25
@@ -110,10 +111,13 @@ H15 = recursive("timing", then=""", points AS (SELECT track_id, time_ms, round_e
     SELECT track_id, min(time_ms) AS start_ms, arg_max(stop, i) AS end_ms, min(l) AS period_ms FROM walk GROUP BY track_id, section""")
 
 #: Scoring: a model of energy against its surroundings, as a window function. Bands are small whole numbers, so that values are exact to a thousandth.
-_MEL = """mel AS (SELECT l_linenumber::BIGINT AS track_id, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_orderkey, l_partkey, l_quantity) - 1 AS frame, list_transform(range(0, 40), lambda b: (l_quantity::BIGINT * (b + 3) + l_partkey) % 17) AS m FROM lineitem),
+_MEL = f"""mel AS (SELECT l_orderkey // {R.GATHERED_ORDERS} AS track_id, row_number() OVER (PARTITION BY l_orderkey // {R.GATHERED_ORDERS} ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS frame, list_transform(range(0, 40), lambda b: (l_quantity::BIGINT * (b + 3) + l_partkey) % 17) AS m FROM lineitem),
     level AS (SELECT track_id, frame, list_sum(m) / 40 AS a, list_sum(m[1:32]) / 32 AS b FROM mel)"""
 C2 = f"""WITH {_MEL}, t AS (SELECT *, sum(a) OVER w AS sa, sum(b) OVER w AS sb FROM level WINDOW w AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING))
     SELECT track_id, frame::INT AS frame, round(a - sa / 9, 3) + 0.0 AS beat, round(b - sb / 9, 3) + 0.0 AS downbeat FROM t"""
+#: Both curves as tracks of their own.
+C5 = "WITH RECURSIVE " + C2.removeprefix("WITH ").replace("    SELECT track_id, frame::INT", ", both_curves AS (SELECT track_id, frame::INT", 1) + """),
+    activation AS (SELECT track_id * 2 AS track_id, frame, beat AS x FROM both_curves UNION ALL SELECT track_id * 2 + 1, frame, downbeat FROM both_curves)""" + _PRUNED + " SELECT track_id // 2 AS track_id, CASE WHEN track_id % 2 = 0 THEN 'beat' ELSE 'downbeat' END AS kind, place, beat_ms FROM kept"
 C7 = f"""WITH {_MEL}, n AS (SELECT track_id, count(*) AS total FROM level GROUP BY track_id),
     each AS (SELECT track_id, frame, k, a, b, total FROM (SELECT l.*, total, unnest(range(greatest(0, frame // 960 - 1), frame // 960 + 1)) AS k FROM level l JOIN n USING (track_id)) WHERE frame < k * 960 + 1024),
     w AS (SELECT *, a - sum(a) OVER w / 9 AS va, b - sum(b) OVER w / 9 AS vb, least(1024, total - k * 960) >= 64 AS scored FROM each WINDOW w AS (PARTITION BY track_id, k ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),

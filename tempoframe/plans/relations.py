@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Users whose events make one long track.
 GATHERED = 16
+#: Orders whose lines make one track of spectra.
+GATHERED_ORDERS = 384
 START_US, SHORTEN = 1_704_067_200_000_000, 100_000.0
 
 

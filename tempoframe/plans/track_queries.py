@@ -110,9 +110,10 @@ def upsampled(s, d):
 
 
 def line_mels(s, d):
-    """Spectra of 40 bands of small whole numbers, a track for each line number: tracks of many chunks."""
-    order = Window.partitionBy("l_linenumber").orderBy("l_orderkey", "l_partkey", "l_quantity")
-    rows = R.table(s, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("track_id"), (F.row_number().over(order) - 1).alias("frame"), F.col("l_quantity").cast("long").alias("q"), "l_partkey")
+    """Spectra of 40 bands of small whole numbers, the lines of many orders a track: tracks of some chunks, as many as there are orders for."""
+    track = F.floor(F.col("l_orderkey") / R.GATHERED_ORDERS)
+    order = Window.partitionBy(track).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    rows = R.table(s, d, "lineitem").select(track.alias("track_id"), (F.row_number().over(order) - 1).alias("frame"), F.col("l_quantity").cast("long").alias("q"), "l_partkey")
     bands = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda b: ((F.col("q") * (b + 3) + F.col("l_partkey")) % 17).cast("float"))
     return rows.select("track_id", "frame", bands.alias("mel"), F.count(F.lit(1)).over(Window.partitionBy("track_id")).cast("int").alias("total"))
 
@@ -137,10 +138,10 @@ def activations(s, d):
     return S.activations(line_mels(s, d)).select("track_id", "frame", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in ("beat", "downbeat")))
 
 
-@query("c5_predict")
+@query("c5_predict", twins.C5)
 def predict(s, d):
-    """Peaks of both outputs of the scored spectra."""
-    return T.predicted(S.activations(line_mels(s, d)))
+    """Peaks of both outputs of the scored spectra, to a thousandth."""
+    return T.predicted(activations(s, d)).select("track_id", "kind", F.round("place", 6).alias("place"), F.round("beat_ms", 5).alias("beat_ms"))
 
 
 @query("c7_overlap_add", twins.C7)
