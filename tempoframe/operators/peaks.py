@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempoframe.functions import numeric as N
+from tempoframe.sources.folders import written
 
 
 def _frames():
@@ -66,6 +69,29 @@ def smoothed_periods(curve: DataFrame, seconds: float = 1.0, fps: int = 50, valu
     return curve.withColumn(value, F.when(few, F.col(value)).otherwise(F.coalesce(N.upper_median(near), F.col(value))))
 
 
+def suppressed(curve: DataFrame, share: float = 0.6, threshold: float = 0.5, strength: str = "beat_prob", period: str = "period_frames") -> DataFrame:
+    """track_id, frame: frames chosen strongest first (earlier on ties), each silencing those nearer than its share of the period.
+
+    In rounds: a frame that nothing stronger reaches is chosen, and with all such frames go the weaker ones that they reach. A frame waits only for stronger ones
+    near it, so that few rounds decide all tracks at once, in parts as small as one pleases; each is a grouping by the frames that are reached, and a written table.
+    """
+    reach = F.greatest(F.lit(1.0), share * F.col(period).cast("double")).cast("int")
+    left = written(curve.filter(F.col(strength) >= threshold).select("track_id", "frame", F.col(strength).cast("double").alias("s"), reach.alias("r")))
+    chosen = []
+    while not left.isEmpty():
+        over = F.explode(F.sequence(F.col("frame") - F.col("r") + 1, F.col("frame") + F.col("r") - 1)).alias("at")
+        first = left.select("track_id", over, F.struct("s", (-F.col("frame")).alias("f")).alias("by")).groupBy("track_id", "at").agg(F.max("by").alias("by"))
+        told = left.join(first.withColumnRenamed("at", "frame"), ["track_id", "frame"]).withColumn("first", -F.col("by.f") == F.col("frame")).drop("by")
+        told = written(told)
+        now = told.filter("first")
+        # Only what is weaker is silenced: a stronger one came before it in the queue, reached or not.
+        silent = now.select("track_id", over, F.struct("s", (-F.col("frame")).alias("f")).alias("by")).groupBy("track_id", "at").agg(F.max("by").alias("by")).withColumnRenamed("at", "frame")
+        rest = told.filter("NOT first").drop("first").join(silent, ["track_id", "frame"], "left")
+        left = written(rest.filter(F.col("by").isNull() | (F.col("by") < F.struct("s", (-F.col("frame")).alias("f")))).drop("by"))
+        chosen.append(now.select("track_id", "frame"))
+    return reduce(DataFrame.unionByName, chosen) if chosen else left.select("track_id", "frame")
+
+
 def max_near(frames: DataFrame, radius: int, value: str = "x", name: str = "top", floor: float | None = None) -> DataFrame:
     """The largest value within ``radius`` frames, not below ``floor``."""
     best = F.max(value).over(_frames().rowsBetween(-radius, radius))

@@ -165,7 +165,7 @@ def pruned(s, d):
 
 @query("d9_suppress", twins.D9)
 def d9_suppress(s, d):
-    return T.suppressed(curve(s, d))
+    return P.suppressed(curve(s, d))
 
 
 @query("d11_place", twins.D11)
