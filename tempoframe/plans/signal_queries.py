@@ -32,17 +32,18 @@ _FILTER = f"""taps AS (SELECT phase, tap, CASE WHEN abs(o / 128.0) < 1 THEN {_be
     filter AS (SELECT phase, tap, w / sum(w) OVER (PARTITION BY phase) AS w FROM taps)"""
 
 
-@query("b4_filter", f"WITH {_FILTER} SELECT phase::INT AS phase, tap::INT AS tap, round(w, 9) + 0.0 AS w FROM filter")
+@query("b4_filter", f"WITH {_FILTER} SELECT s_suppkey, phase::INT AS phase, tap::INT AS tap, round(w, 9) + 0.0 AS w FROM supplier JOIN filter ON phase = s_suppkey * 37 % 129")
 def filter_table(s, d):
-    """The taps of all phases of the filter from 32,000 to 22,050 Hz."""
+    """The taps of the filter from 32,000 to 22,050 Hz, at the phase that each supplier asks for."""
     taps = G.filter_phases(G.CUTOFF * G.RATE / SOURCE)
 
     @F.pandas_udf("array<double>")
     def of(phase: pd.Series) -> pd.Series:
         return pd.Series([taps[p] for p in phase])
 
-    rows = s.range(G.PHASES + 1).select(F.col("id").cast("int").alias("phase"), F.posexplode(of("id")).alias("tap", "w"))
-    return rows.select("phase", "tap", (F.round("w", 9) + 0.0).alias("w"))
+    asked = R.table(s, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 37 % (G.PHASES + 1)).cast("int").alias("phase"))
+    rows = asked.select("s_suppkey", "phase", F.posexplode(of("phase")).alias("tap", "w"))
+    return rows.withColumn("w", F.round("w", 9) + 0.0)
 
 
 @query(
@@ -98,15 +99,16 @@ _BANK = f"""edges AS (SELECT k, {_EDGE.format(m='m')} AS f FROM (SELECT k, ({_LO
         FROM (SELECT a.k AS band, a.f AS l, b.f AS c, e.f AS r, bin, bin * {G.RATE} / 1024.0 AS f FROM edges a JOIN edges b ON b.k = a.k + 1 JOIN edges e ON e.k = a.k + 2 CROSS JOIN {_BINS}))"""
 
 
-@query("b10_mel_bands", f"WITH {_BANK} SELECT band::INT AS band, bin::INT AS bin, round(w, 9) AS w FROM bank")
+@query("b10_mel_bands", f"WITH {_BANK} SELECT s_suppkey, band::INT AS band, bin::INT AS bin, round(w, 9) AS w FROM supplier JOIN bank ON band = s_suppkey * 37 % 128")
 def mel_bands(s, d):
-    """The weight of each bin in each band."""
+    """The weight of each bin in the band that each supplier asks for."""
 
     @F.pandas_udf("array<double>")
     def of(band: pd.Series) -> pd.Series:
         return pd.Series([G.mel_filterbank()[b] for b in band])
 
-    rows = s.range(G.MELS).select(F.col("id").cast("int").alias("band"), F.posexplode(of("id")).alias("bin", "w"))
+    asked = R.table(s, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 37 % G.MELS).cast("int").alias("band"))
+    rows = asked.select("s_suppkey", "band", F.posexplode(of("band")).alias("bin", "w"))
     return rows.withColumn("w", F.round("w", 9))
 
 
