@@ -335,51 +335,68 @@ def coalesced(times: np.ndarray, lengths: np.ndarray, until: float) -> list[tupl
     return [tuple(x) for x in out]
 
 
-def _self_correlation(curve: np.ndarray, centre: int, lag: int, half: int = 50) -> float:
-    low, high = max(centre - half, 0), min(centre + half, len(curve) - 1 - lag)
-    if high - low < 4 * lag:
-        return 0.0
-    mean = curve[low:high].mean()
-    own = curve[low:high] - mean
-    return float((own * (curve[low + lag : high + lag] - mean)).sum() / (own * own).sum()) if (own * own).sum() > 0 else 0.0
-
-
-def envelope_period(curve: np.ndarray, t_ms: float, expected: float, lags: tuple[int, int] = (10, 50), frame_ms: float = 20.0) -> tuple[float, float]:
-    """(period, confidence): of the high peaks of the local autocorrelation the one nearest to what is expected."""
-    r = {lag: _self_correlation(curve, round(t_ms / frame_ms), lag) for lag in range(lags[0] - 1, lags[1] + 2)}
-    tops = [(lag * frame_ms, r[lag]) for lag in range(lags[0], lags[1] + 1) if r[lag] > 0 and r[lag] >= r[lag - 1] and r[lag] >= r[lag + 1]]
-    high = [x for x in tops if x[1] >= 0.75 * max(v for _, v in tops)]
-    return min(high, key=lambda x: abs(x[0] - expected) if expected > 0 else 0) if high else (0.0, 0.0)
-
+def periods_around(curve: np.ndarray, centres: np.ndarray, expected: float, lags: tuple[int, int] = (10, 50), half: int = 50, share: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
+    """For each centre the lag, of the high peaks of the curve's correlation with itself around it, that is nearest to what is expected, and its height; zeros without any.
 
-def wrap(x: np.ndarray | float, period: float):
+    All centres and lags at once, from running sums.
+    """
+    n, every = len(curve), np.arange(lags[0] - 1, lags[1] + 2)
+    low = np.maximum(centres - half, 0)[:, None]
+    high = np.maximum(np.minimum(centres[:, None] + half, n - 1 - every), low)
+    upto = lambda x: np.append(0.0, np.cumsum(x))
+    plain, squares = upto(curve), upto(curve * curve)
+    products = np.zeros((len(every), n + 1))
+    for row, k in zip(products, every, strict=True):
+        if k < n:
+            row[1 : n - k + 1] = np.cumsum(curve[: n - k] * curve[k:])
+    size, at = high - low, np.arange(len(every))
+    own, later = plain[high] - plain[low], plain[np.minimum(high + every, n)] - plain[np.minimum(low + every, n)]
+    mean = own / np.maximum(size, 1)
+    spread = squares[high] - squares[low] - size * mean * mean
+    together = products[at, high] - products[at, low] - mean * (own + later) + size * mean * mean
+    r = np.where((size >= 4 * every) & (spread > 1e-9), together / np.where(spread > 1e-9, spread, 1.0), 0.0)
+    inner = r[:, 1:-1]
+    top = (inner > 0) & (inner >= r[:, :-2]) & (inner >= r[:, 2:])
+    fair = top & (inner >= share * np.where(top, inner, 0.0).max(axis=1, keepdims=True))
+    far = np.where(fair, np.abs(every[1:-1] - expected) if expected > 0 else 0.0, np.inf)
+    best = far.argmin(axis=1)
+    some, rows = fair.any(axis=1), np.arange(len(centres))
+    return np.where(some, every[1:-1][best], 0), np.where(some, inner[rows, best], 0.0)
+
+
+def wrap(x: np.ndarray, period: np.ndarray) -> np.ndarray:
+    """Into half a period on either side of zero."""
     return np.fmod(np.fmod(x, period) + 1.5 * period, period) - 0.5 * period
 
 
-def snapped(beats: np.ndarray, curve: np.ndarray, confidence: float = 0.05, support: float = 0.55, run: int = 6, bins: int = 12, most: float = 0.35) -> np.ndarray:
-    """Moves beats of long trusted runs onto the phase that most of the run shares."""
+def snapped(beats: np.ndarray, curve: np.ndarray, confidence: float = 0.05, support: float = 0.55, run: int = 6, bins: int = 12, most: float = 0.35, frame_ms: float = 20.0) -> np.ndarray:
+    """Moves beats of long trusted runs onto the phase that most of the run shares; all runs at once."""
     out = np.array(beats, float)
-    if len(beats) < run or len(curve) < 200:
+    usual = dominant_period(out, modal_periods(out)) if len(out) >= max(run, 4) and len(curve) >= 200 else 0.0
+    if usual <= 0:
         return out
-    dominant = dominant_period(beats, modal_periods(beats)) if len(beats) >= 4 else 0.0
-    if dominant <= 0:
+    lag, height = periods_around(np.asarray(curve, float), np.rint(out / frame_ms).astype(int), usual / frame_ms)
+    period = lag * frame_ms
+    trusted = (lag > 0) & (height >= confidence) & (period >= 0.75 * usual) & (period <= 1.35 * usual)
+    number = np.cumsum(trusted & ~np.append(False, trusted[:-1])) - 1
+    length = np.bincount(number[trusted], minlength=int(number[-1]) + 1) if trusted.any() else np.zeros(0, int)
+    rows = np.flatnonzero(trusted & (length[np.maximum(number, 0)] >= run)) if len(length) else np.zeros(0, int)
+    if not len(rows):
         return out
-    found = np.array([envelope_period(curve, t, dominant) for t in beats])
-    trusted = (found[:, 0] > 0) & (found[:, 1] >= confidence) & (found[:, 0] / dominant >= 0.75) & (found[:, 0] / dominant <= 1.35)
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], trusted.view(np.int8), [0]))))
-    for a, b in edges.reshape(-1, 2).tolist():
-        if b - a < run:
-            continue
-        q = _upper(found[a:b, 0])
-        residue, width = wrap(out[a:b], q), q / bins
-        counts = np.bincount(np.clip(np.floor((residue + q / 2) / width).astype(int), 0, bins - 1), minlength=bins)
-        modal = int(np.argmax(counts))
-        if counts[modal] < support * (b - a):
-            continue
-        centre = -q / 2 + (modal + 0.5) * width
-        delta = wrap(residue - centre, q)
-        near = delta[np.abs(delta) <= width]
-        phase = wrap(centre + near.mean(), q) if len(near) else centre
-        move = wrap(out[a:b] - phase, q)
-        out[a:b] = np.where(np.abs(move) <= most * q, out[a:b] - move, out[a:b])
+    _, of = np.unique(number[rows], return_inverse=True)
+    size = np.bincount(of)
+    in_order = period[rows][np.lexsort((period[rows], of))]
+    own = in_order[np.cumsum(size) - size + size // 2]  # upper median of each run
+    cell = own / bins
+    place = wrap(out[rows], own[of])
+    votes = np.zeros((len(size), bins), int)
+    np.add.at(votes, (of, np.clip(np.floor((place + own[of] / 2) / cell[of]).astype(int), 0, bins - 1)), 1)
+    winner = votes.argmax(axis=1)
+    middle = (winner + 0.5) * cell - own / 2
+    beside = wrap(place - middle[of], own[of])
+    close = np.abs(beside) <= cell[of]
+    shared = middle + np.bincount(of, weights=beside * close) / np.maximum(np.bincount(of, weights=close), 1)
+    move = wrap(out[rows] - wrap(shared, own)[of], own[of])
+    moved = (votes.max(axis=1) >= support * size)[of] & (np.abs(move) <= most * own[of])
+    out[rows[moved]] -= move[moved]
     return out
