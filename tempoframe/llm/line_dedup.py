@@ -6,6 +6,9 @@ stay where they first occur (smallest doc_id, then hash of the text, then place)
 only if their bytes are: chunks are grouped by their text, after reduction to distinct ones in each task, and an
 identifier that two texts bear is not used.
 
+A boundary depends on two lines, so that the first lines of a repeated block may go with the differing line before it: of short repeated blocks among
+other text (under a dozen lines) most lines stay. Whole copies and long blocks go.
+
 Defined cases: null text is the empty text and comes back empty; texts of one line stay as they are; chunks of white
 space alone stay; a text of which all chunks went is empty; rows with equal ``doc_id`` and different texts are documents of their own,
 rows that repeat whole are one, and each keeps what it keeps; a null ``doc_id`` comes after all others; an empty table

@@ -15,9 +15,8 @@ two places of the corpus or more; overlapping ones join to spans.
 No occurrence of a hot passage needs to meet all others: equal ones are counted before the shuffle, classes of a key
 meet in one task only up to ``HOT_CLASSES``, and beyond that each window is hashed and counted by itself.
 
-Words are what the characters of ``SPACE`` separate, as they are written. In a minimiser they are known by 64 bits, around
-it by 48 of these: two windows are taken for the same only if all 50 numbers agree in place, so that an error needs
-windows which differ in few words and a collision at each of these.
+Words are what the characters of ``SPACE`` separate, as they are written. The ``GRAM`` words of a minimiser are known together by one number of 64 bits, each
+of those around it by 48 bits of its own: two windows are taken for the same if these agree in place. An error needs two minimisers that share a number and the same words around them.
 
 Defined cases: null text is the empty text; texts of fewer than ``LEAST`` words have no span; repeats within one text
 count; rows with equal ``doc_id`` and different texts are each a text with spans of its own under that id, so are rows without a
