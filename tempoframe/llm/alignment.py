@@ -1,15 +1,15 @@
 """Alignment of two tokenizers over the same texts, as joins and windows over token tables.
 
-Tokens lie at byte ranges of the text with a space before it. Their lengths, summed along the text, give the ends; the two tables of ends
-meet in a full equi-join, a row for each place where a token of either side ends. Where both end is a cut, and the running count of cuts before a row is
-its group. Two tokens overlap in one stretch without any end inside, so that each row is one link: to the next token of either side that
-ends here or later. Nothing is compared in pairs, and a group of any length costs its length.
+Tokens lie at byte ranges of the text with a space before it. Their lengths, summed along the text, say where each begins and what came before it ends.
+Tokens of both sides that meet at the same end share a row: an equi-join on text and end, written as a grouping, as both sides come from one exploded table
+and lie together (a full join would deal them anew). A row with both is a cut, and the running count of cuts is its group. Two tokens overlap in one stretch
+without any end inside, so that each row is one link: of the last token of either side that began here or before. Nothing is compared in pairs, and a group of any length costs its length.
 
 Texts are aligned in parts. Where white space (a space or a line end) follows a visible character, both tokenizers surely cut, whatever stands around: the
 pattern of the byte-level one has no piece with white space behind anything else, and the other has no token with a space behind another character and none
 with a line end but its byte (both is looked up in the vocabularies). Each different part of the corpus is encoded and aligned once; the counts of
 linked ids are its links times its occurrences. Parts come back to the documents by buckets of texts: a bucket's different parts are joined with what was
-found for them, and the documents of a bucket are put together from these.
+found for them, and its documents are put together from these.
 
 The bytes of both sides equal the text's unless it has a U+2581, which one side takes for a space; then the whole text is encoded to tell.
 
@@ -24,29 +24,38 @@ import hashlib
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempoframe.llm.shared import bounded_batches, partitions, release, staged, text_or_empty
+from tempoframe.llm.shared import bounded_batches, partitions, release, staged, text_or_empty, tidy
 
 #: Behind a visible character (none that any of the two takes for white space) and before a space or a line end.
-CUT = re.compile("(?<=[!-~¡-ᙿ⁰-▀▂-⿿、-퟿])(?=[ \n])")
+VISIBLE = "!-~¡-ᙿ⁰-▀▂-⿿、-퟿"
+CUT, ODD, ENDED = re.compile(f"(?<=[{VISIBLE}])(?=[ \\n])"), re.compile(f"[^ \\n{VISIBLE}]"), re.compile(f"[{VISIBLE}]\\Z")
 MARK = "▁"
 #: Parts that a task counts before it passes them on, and that a bucket of documents holds, about.
-COUNTED, BUCKET = 400_000, 3_000_000
+COUNTED, BUCKET = 600_000, 6_000_000
+#: Parts that are encoded as one text.
+TOGETHER = 1000
 #: Pairs of ids with their counts are broadcast up to this number; more are joined by shuffling.
 BROADCAST_PAIRS = 1_000_000
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
 def parts_of(text: str) -> list[str]:
-    """The parts of a text with a space before it."""
-    return CUT.split(" " + text)
+    """The parts of a text with a space before it, by their names: a single space before a visible character goes without saying."""
+    if not (ODD.search(text) or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", "\n\n", " \n", "\n "))):
+        return text.replace("\n", " \n").split(" ")  # what nearly all texts are: one white space between words
+    return [p[1:] if len(p) > 1 and p[0] == " " and p[1] not in " \n" else p for p in CUT.split(" " + text)]
+
+
+def part_text(name: str) -> str:
+    return name if name[0] in " \n" else " " + name
 
 
 # --- the tokenizers ---
@@ -141,57 +150,80 @@ def counted_parts(texts: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     return texts.select("text").mapInArrow(run, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
 
 
-def tokens(parts: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """part, n, and for either side ids and sizes in bytes of its tokens."""
+def encoded_parts(encode: Callable[[list[str]], list[list[int]]], size: np.ndarray, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the parts, and how many each has. Parts that end in a visible character are encoded many at a time, one behind the other."""
+    ids, counts = [], []
+
+    def put(some: list[str]) -> None:
+        found = np.array(encode(["".join(some)])[0], np.int64)
+        ends, wanted = np.cumsum(size[found]), np.cumsum([len(p.encode()) for p in some])
+        at = np.searchsorted(ends, wanted)
+        if len(some) > 1 and not (len(ends) and ends[-1] == wanted[-1] and (ends[at] == wanted).all()):
+            raise ValueError("a token reaches over a place where texts are cut")
+        ids.append(found)
+        counts.append(np.diff(at + 1, prepend=0) if len(some) > 1 else np.array([len(found)]))
+
+    some: list[str] = []
+    for p in parts:
+        if ENDED.search(p):
+            some.append(p)
+            if len(some) == TOGETHER:
+                put(some)
+                some = []
+        else:
+            if some:
+                put(some)
+                some = []
+            put([p])
+    if some:
+        put(some)
+    return np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.int64), *counts])
 
-    def lists(found: list[list[int]], size: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
-        ids = np.fromiter((i for x in found for i in x), np.int32)
-        return tuple(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids, size[ids]))
+
+def tokens(parts: DataFrame, byte_level: str, pieces: str) -> DataFrame:
+    """part, n and tokens (side, id, size in bytes): those of either side in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(byte_level, pieces)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            a, c = lists(both.encode_a(texts), both.a_size), lists(both.encode_b(texts), both.b_size)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *a, *c], ["part", "n", "a", "a_size", "b", "b_size"])
-
-    return parts.mapInArrow(run, "part string, n long, a array<int>, a_size array<int>, b array<int>, b_size array<int>")
+            texts = [part_text(p) for p in b.column(0).to_pylist()]
+            sides = [encoded_parts(both.encode_a, both.a_size, texts), encoded_parts(both.encode_b, both.b_size, texts)]
+            ids, counts = np.concatenate([s[0] for s in sides]), [s[1] for s in sides]
+            side = np.repeat(np.array([0, 1], np.int8), [len(s[0]) for s in sides])
+            order = np.argsort(np.concatenate([np.repeat(np.arange(len(texts)), c) for c in counts]), kind="stable")
+            ids, side = ids[order], side[order]
+            size = np.where(side == 0, both.a_size[np.where(side == 0, ids, 0)], both.b_size[np.where(side == 0, 0, ids)])
+            cells = pa.StructArray.from_arrays([pa.array(side), pa.array(ids, pa.int32()), pa.array(size, pa.int32())], ["side", "id", "size"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts[0] + counts[1])), pa.int32()), cells)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["part", "n", "tokens"])
 
-
-def token_ends(rows: DataFrame, side: str) -> DataFrame:
-    """key, end and id: a row for each token of a side (arrays of ids and sizes), its end from the lengths up to it."""
-    each = rows.select("key", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_size").alias("size"))).alias("pos", "token"))
-    upto = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return each.select("key", F.sum("token.size").over(upto).alias("end"), F.col("token.id").alias(side))
+    return parts.mapInArrow(run, "part string, n long, tokens array<struct<side:tinyint,id:int,size:int>>")
 
 
 def aligned(rows: DataFrame) -> DataFrame:
-    """rows: key, a, a_size, b, b_size (dealt by key). key, end, a, b (ids of the tokens that end there), group, link_a, link_b (those that overlap before it)."""
-    ends = token_ends(rows, "a").join(token_ends(rows, "b").hint("merge"), ["key", "end"], "full")
-    before = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    group = F.coalesce(F.sum((F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")).over(before), F.lit(0))
-    behind = Window.partitionBy("key").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
-    links = [F.last(side, ignorenulls=True).over(behind).alias(f"link_{side}") for side in "ab"]
-    return ends.select("key", "end", "a", "b", group.alias("group")).select("*", *links)
-
-
-def _joined_ids(side: str):
-    cells = F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", F.col(side).alias("id")))))
-    return F.array_join(F.transform(cells, lambda c: c["id"].cast("string")), ",")
+    """rows: key, tokens (dealt by key). key, end (of what came before), a, b (ids of the tokens that begin there), group (from 1), link_a, link_b (those that overlap behind it)."""
+    each = rows.select("key", F.posexplode("tokens").alias("pos", "token")).select("key", "pos", "token.*")
+    before = Window.partitionBy("key", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select("key", "side", "id", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("end"))
+    met = each.groupBy("key", "end").agg(*(F.max(F.when(F.col("side") == k, F.col("id"))).alias(side) for k, side in enumerate("ab")))
+    upto = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
+    cut = F.col("a").isNotNull() & F.col("b").isNotNull()
+    return met.select("*", F.sum(cut.cast("int")).over(upto).alias("group"), *(F.last(side, ignorenulls=True).over(upto).alias(f"link_{side}") for side in "ab"))
 
 
 def grouped(rows: DataFrame) -> DataFrame:
     """key, groups (its text form), n_a, n_b, n_groups, n_links, links (array of a, b): of each key."""
-    lines = aligned(rows).groupBy("key", "group").agg(
-        F.concat(_joined_ids("a"), F.lit("|"), _joined_ids("b")).alias("text"),
-        F.count("a").alias("n_a"),
-        F.count("b").alias("n_b"),
-        F.collect_list(F.struct(F.col("link_a").alias("a"), F.col("link_b").alias("b"))).alias("links"),
-    )
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "text"))), lambda g: g["text"]), ";")
-    links = F.flatten(F.collect_list("links"))
-    return lines.groupBy("key").agg(text.alias("groups"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count(F.lit(1)).alias("n_groups"), links.alias("links")).withColumn("n_links", F.size("links").cast("long"))
+    mark = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), ";").otherwise(",")  # what stands before an id: a group's first, or a further one
+    cell = F.struct("end", *(F.concat(mark, F.col(side).cast("string")).alias(side) for side in "ab"), F.struct(F.col("link_a").alias("a"), F.col("link_b").alias("b")).alias("link"))
+    each = aligned(rows).groupBy("key").agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max("group").alias("n_groups"))
+    sides = [F.split(F.substring(F.array_join(f"cells.{side}", ""), 2, 1 << 30), ";") for side in "ab"]  # nulls are left out
+    text = F.array_join(F.zip_with(*sides, lambda a, b: F.concat(a, F.lit("|"), b)), ";")
+    return each.select("key", text.alias("groups"), "n_a", "n_b", "n_groups", F.size("cells").cast("long").alias("n_links"), F.col("cells.link").alias("links"))
+
+
+def short_name(part: Column) -> Column:
+    """What a part is joined by: itself, or a digest of a long one, which would stand beside each of its many tokens."""
+    return F.when(F.length(part) <= 64, part).otherwise(F.concat(F.lit("\0"), F.sha2(part, 256)))
 
 
 def link_counts(parts: DataFrame) -> DataFrame:
@@ -201,18 +233,18 @@ def link_counts(parts: DataFrame) -> DataFrame:
 
 
 def weighed(parts: DataFrame, counts: DataFrame, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
-    """key, n_best, count_sum of the parts."""
+    """name, n_best, count_sum of the parts."""
     few = counts.limit(broadcast_pairs + 1).count() <= broadcast_pairs
-    each = parts.select("key", F.explode("links").alias("link")).select("key", "link.a", "link.b")
+    each = parts.select("name", F.explode("links").alias("link")).select("name", "link.a", "link.b")
     each = each.join(F.broadcast(counts) if few else counts.hint("merge"), ["a", "b"])
-    return each.groupBy("key").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    return each.groupBy("name").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
 
 
 # --- documents from parts ---
 
 
 def _bucketed(docs: DataFrame, found: DataFrame, buckets: int, byte_level: str, pieces: str) -> DataFrame:
-    """found: part, groups and the SUMS. doc_id, the SUMS and groups_sha256 of each row of docs (doc_id, text)."""
+    """found: name, groups and the SUMS. doc_id, the SUMS and groups_sha256 of each row of docs (doc_id, text)."""
     dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,36 +256,37 @@ def _bucketed(docs: DataFrame, found: DataFrame, buckets: int, byte_level: str,
             met.clear()
 
         for b in batches:
-            for bucket, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for t, bucket in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if both.fair(t):
                     met.setdefault(bucket, set()).update(parts_of(t))
-            if sum(map(len, met.values())) > 2 * COUNTED:
+            if sum(map(len, met.values())) > 3 * COUNTED:  # a bucket's parts, mostly once
                 yield from flush()
         yield from flush()
 
-    needed = dealt.select("bucket", "text").mapInArrow(own, "bucket int, part string").join(found.hint("merge"), "part")
+    name = short_name(F.col("part"))
+    needed = dealt.mapInArrow(own, "bucket int, part string").select("bucket", F.when(name != F.col("part"), F.col("part")).alias("long"), name.alias("name"))
+    needed = needed.join(found.hint("merge"), "name").select("bucket", F.coalesce("long", "name").alias("part"), F.concat("groups", F.lit(";")).alias("groups"), *SUMS)
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
         both = pair(byte_level, pieces)
         number = {p: k for k, p in enumerate(right.column("part").to_pylist())}
-        groups = right.column("groups").to_pylist()
         sums = np.stack([right.column(c).to_numpy() for c in SUMS], axis=1) if len(number) else np.zeros((0, len(SUMS)), np.int64)
+        groups = right.column("groups").cast(pa.large_string()).combine_chunks()
         out, digests = np.zeros((left.num_rows, len(SUMS)), np.int64), []
         for k, t in enumerate(left.column("text")):
             t = t.as_py()
             if not both.fair(t):
                 digests.append("")
                 continue
-            at = [number[p] for p in parts_of(t)]
-            out[k] = sums[at].sum(axis=0)
-            digests.append(hashlib.sha256(";".join([groups[i] for i in at]).encode()).hexdigest())
+            mine = np.fromiter(map(number.__getitem__, parts_of(t)), np.int64)
+            out[k] = sums[mine].sum(axis=0)
+            text = groups.take(pa.array(mine))
+            end = int(np.frombuffer(text.buffers()[1], np.int64)[len(text)])  # one text lies behind the other
+            digests.append(hashlib.sha256(memoryview(text.buffers()[2])[: end - 1]).hexdigest())
         return pa.table([left.column("doc_id"), *(pa.array(out[:, j]) for j in range(len(SUMS))), pa.array(digests, pa.string())], ["doc_id", *SUMS, "groups_sha256"])
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return together(left, right)
-
     schema = ", ".join(["doc_id long", *(f"{c} long" for c in SUMS), "groups_sha256 string"])
-    return dealt.groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(run, schema)
+    return dealt.groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(together, schema)
 
 
 def cross_tokenizer_alignment(docs: DataFrame, byte_level: str, pieces: str, bucket: int = BUCKET, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
@@ -263,9 +296,11 @@ def cross_tokenizer_alignment(docs: DataFrame, byte_level: str, pieces: str, buc
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     encoded = staged(tokens(counted_parts(rows, byte_level, pieces), byte_level, pieces).withColumn("key", F.monotonically_increasing_id()))
     total = encoded.agg(F.sum("n")).first()[0] or 0
-    dealt = encoded.select("key", "a", "a_size", "b", "b_size").repartition(partitions(spark), "key")
-    parts = staged(grouped(dealt).join(encoded.select("key", "part", "n"), "key"))
+    dealt = encoded.select("key", "tokens").repartition(partitions(spark), "key")
+    parts = staged(grouped(dealt).join(encoded.select("key", short_name(F.col("part")).alias("name"), "n").hint("merge"), "key").drop("key"))
     release(encoded)
+    del encoded, dealt
     counts = staged(link_counts(parts))
-    found = parts.join(weighed(parts, counts, broadcast_pairs), "key").select("part", "groups", *SUMS)
+    tidy(spark)  # a plan is let go of once another has run
+    found = parts.join(weighed(parts, counts, broadcast_pairs).hint("merge"), "name").select("name", "groups", *SUMS)
     return _bucketed(rows, found, max(1, -(-total // bucket)), byte_level, pieces)

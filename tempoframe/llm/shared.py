@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable
 from functools import reduce
 from weakref import WeakKeyDictionary
@@ -34,6 +36,13 @@ def release(*tables: DataFrame) -> None:
             remove(t.sparkSession, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Asks the driver to collect its garbage: only then do files go that shuffles of earlier steps left on the executors' disks."""
+    gc.collect()
+    time.sleep(1)  # until the driver's other half has let go of what Python no longer names
+    spark.sparkContext._jvm.System.gc()
+
+
 def staged_alone(make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` gives, staged; all tables that were written on the way are deleted."""
     mark = marked()

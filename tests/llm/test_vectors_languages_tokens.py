@@ -229,7 +229,7 @@ def plain_alignment(texts):
 HARD = ["x▁y and more", "▁", "a\n b  c\n\n\n  d ", " lead", "tail ", "tail  ", "\n", "\t\ttabs\r\n", " nbsp  x", "\x00nul \x1c \x85", "é ﬁ 日本。 語", "<0x0A> <s> <|endoftext|> </s>", " ", "  ", "a  b", "🙂 🙂🙂", "don't I'll", "ʼn ​ z"]
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket": 300, "broadcast_pairs": 0}])
+@pytest.mark.parametrize("options", [{}, {"bucket": 20_000, "broadcast_pairs": 0}])
 def test_alignment_against_whole_texts(spark, odd_pairs, options):
     pairs = [*odd_pairs, *((900 + k, t) for k, t in enumerate(HARD))]
     docs = spark.createDataFrame([(i, t, 1, "g", 2) for i, t in pairs], "doc_id long, text string, n_a int, `groups` string, bucket int")
@@ -239,8 +239,17 @@ def test_alignment_against_whole_texts(spark, odd_pairs, options):
 
 
 def test_parts_join_to_the_text():
-    for t in HARD:
-        assert "".join(alignment.parts_of(t)) == " " + t and all(p[0] in " \n" for p in alignment.parts_of(t))
+    for t in [*HARD, "plain words.\nAnd lines", "x", "\nx", "x\n", " \nx", "a \nb", "a\n b"]:
+        parts = alignment.parts_of(t)
+        assert "".join(map(alignment.part_text, parts)) == " " + t
+        cuts = [m.start() for m in alignment.CUT.finditer(" " + t)]
+        assert np.cumsum([len(alignment.part_text(p)) for p in parts])[:-1].tolist() == cuts
+
+
+def test_a_name_has_one_text():
+    texts = ["x", " x", "\nx", " \nx", "  x", " ", "\n", "\n x"]
+    names = [p for t in texts for p in alignment.parts_of(t)]
+    assert len({alignment.part_text(n) for n in names}) == len(set(names))
 
 
 def test_alignment_of_nothing(spark):
