@@ -86,6 +86,21 @@ def ranks(rows: DataFrame, key: str, value: str, name: str = "place") -> DataFra
     return rows.join(of, [key, value])
 
 
+def numbered(rows: DataFrame, key: str, *order: str, name: str = "frame") -> DataFrame:
+    """``rows`` with their number among all of the same key, from 0, in ``order`` (nulls last), and ``total``, how many these are. Rows without a key are left out.
+
+    Rows are dealt by ranges and numbered in each; no task holds a key's rows, however few keys there are.
+    """
+    ordered = [F.col(c).asc_nulls_last() for c in order]
+    placed = written(rows.filter(F.col(key).isNotNull()).repartitionByRange(F.col(key), *ordered).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_all"))  # a row for each key and range
+    of = Window.partitionBy(key)
+    before = F.coalesce(F.sum("_all").over(of.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(key, "_part", before.alias("_before"), F.sum("_all").over(of).alias("total"))
+    own = F.row_number().over(Window.partitionBy("_part", key).orderBy(*ordered)) - 1
+    return placed.withColumn("_own", own).join(F.broadcast(sizes), [key, "_part"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
+
 def downsampled(curve: DataFrame, period: str, confidence: str, frames: int = 5, fps: int = 50) -> DataFrame:
     """track_id, time_ms, bpm, confidence: means over runs of frames."""
     per = curve.groupBy("track_id", F.floor(F.col("frame") / frames).cast("int").alias("_b")).agg(F.avg(period).alias("_p"), F.avg(confidence).alias("confidence"))

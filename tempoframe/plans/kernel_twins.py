@@ -118,7 +118,10 @@ C2 = f"""WITH {_MEL}, t AS (SELECT *, sum(a) OVER w AS sa, sum(b) OVER w AS sb F
 #: Both curves as tracks of their own.
 C5 = "WITH RECURSIVE " + C2.removeprefix("WITH ").replace("    SELECT track_id, frame::INT", ", both_curves AS (SELECT track_id, frame::INT", 1) + """),
     activation AS (SELECT track_id * 2 AS track_id, frame, beat AS x FROM both_curves UNION ALL SELECT track_id * 2 + 1, frame, downbeat FROM both_curves)""" + _PRUNED + " SELECT track_id // 2 AS track_id, CASE WHEN track_id % 2 = 0 THEN 'beat' ELSE 'downbeat' END AS kind, place, beat_ms FROM kept"
-C7 = f"""WITH {_MEL}, n AS (SELECT track_id, count(*) AS total FROM level GROUP BY track_id),
+#: The same in a track for each line number: tracks that grow with the table, of as many windows as that gives.
+_LONG_MEL = """mel AS (SELECT l_linenumber::BIGINT AS track_id, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_orderkey, l_partkey, l_quantity) - 1 AS frame, list_transform(range(0, 40), lambda b: (l_quantity::BIGINT * (b + 3) + l_partkey) % 17) AS m FROM lineitem),
+    level AS (SELECT track_id, frame, list_sum(m) / 40 AS a, list_sum(m[1:32]) / 32 AS b FROM mel)"""
+C7 = f"""WITH {_LONG_MEL}, n AS (SELECT track_id, count(*) AS total FROM level GROUP BY track_id),
     each AS (SELECT track_id, frame, k, a, b, total FROM (SELECT l.*, total, unnest(range(greatest(0, frame // 960 - 1), frame // 960 + 1)) AS k FROM level l JOIN n USING (track_id)) WHERE frame < k * 960 + 1024),
     w AS (SELECT *, a - sum(a) OVER w / 9 AS va, b - sum(b) OVER w / 9 AS vb, least(1024, total - k * 960) >= 64 AS scored FROM each WINDOW w AS (PARTITION BY track_id, k ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
     means AS (SELECT track_id, frame, coalesce(avg(1 / (1 + exp(-va))) FILTER (WHERE scored), 0.0) AS p, coalesce(exp(avg(vb) FILTER (WHERE scored)), 1.0) AS q FROM w GROUP BY track_id, frame)

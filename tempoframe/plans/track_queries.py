@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempoframe.functions import numeric as N
-from tempoframe.operators import beats as B, peaks as P, scoring as S, signal as G, tracking as T
+from tempoframe.operators import beats as B, grids as D, peaks as P, scoring as S, signal as G, tracking as T
 from tempoframe.plans import kernel_twins as twins, relations as R
 from tempoframe.plans.relations import sql
 from tempoframe.sources import readers, sinks
@@ -114,8 +114,19 @@ def line_mels(s, d):
     track = F.floor(F.col("l_orderkey") / R.GATHERED_ORDERS)
     order = Window.partitionBy(track).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     rows = R.table(s, d, "lineitem").select(track.alias("track_id"), (F.row_number().over(order) - 1).alias("frame"), F.col("l_quantity").cast("long").alias("q"), "l_partkey")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda b: ((F.col("q") * (b + 3) + F.col("l_partkey")) % 17).cast("float"))
-    return rows.select("track_id", "frame", bands.alias("mel"), F.count(F.lit(1)).over(Window.partitionBy("track_id")).cast("int").alias("total"))
+    return rows.select("track_id", "frame", bands().alias("mel"), F.count(F.lit(1)).over(Window.partitionBy("track_id")).cast("int").alias("total"))
+
+
+def bands():
+    """40 small whole numbers of a line's q and part."""
+    return F.transform(F.sequence(F.lit(0), F.lit(39)), lambda b: ((F.col("q") * (b + 3) + F.col("l_partkey")) % 17).cast("float"))
+
+
+def long_mels(s, d):
+    """Such spectra with a track for each line number: tracks that grow with the table, numbered by ranges."""
+    rows = R.table(s, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("track_id"), "l_orderkey", "l_partkey", "l_quantity", F.col("l_quantity").cast("long").alias("q"))
+    rows = D.numbered(rows, "track_id", "l_orderkey", "l_partkey", "l_quantity")
+    return rows.select("track_id", F.col("frame").cast("int").alias("frame"), bands().alias("mel"), F.col("total").cast("int").alias("total"))
 
 
 query("b11_log_mel")(mels)
@@ -147,7 +158,7 @@ def predict(s, d):
 @query("c7_overlap_add", twins.C7)
 def overlap_add(s, d):
     """Windows of 1,024 frames every 960; means by second."""
-    each = S.overlap_add(line_mels(s, d)).groupBy("track_id", F.floor(F.col("frame") / 50).cast("int").alias("second"))
+    each = S.overlap_add(long_mels(s, d)).groupBy("track_id", F.floor(F.col("frame") / 50).cast("int").alias("second"))
     return each.agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg(F.col("beat_prob").cast("double")), 3).alias("beat_prob"), F.round(F.avg(F.col("period_frames").cast("double")), 2).alias("period_frames"))
 
 
