@@ -40,6 +40,8 @@ CUT, ODD, ENDED = re.compile(f"(?<=[{VISIBLE}])(?=[ \\n])"), re.compile(f"[^ \\n
 MARK = "▁"
 #: Parts that a task counts before it passes them on, and that a bucket of documents holds, about.
 COUNTED, BUCKET = 600_000, 6_000_000
+#: Bytes of rows that a task gathers before it deals them to their buckets, about.
+BOXED = 32 << 20
 #: Parts that are encoded as one text.
 TOGETHER = 1000
 #: Pairs of ids with their counts are broadcast up to this number; more are joined by shuffling.
@@ -243,9 +245,43 @@ def weighed(parts: DataFrame, counts: DataFrame, broadcast_pairs: int = BROADCAS
 # --- documents from parts ---
 
 
+def boxed(rows: DataFrame) -> DataFrame:
+    """bucket, rows: the rows of a bucket that a task has, without the bucket, some at once as one compressed Arrow stream. It takes about half the disk of rows dealt singly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            bucket = table.column("bucket").to_numpy()
+            order = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
+            options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+            for low, high in zip(first, [*first[1:], len(order)], strict=True):
+                own, sink = table.take(pa.array(order[low:high])).drop_columns("bucket"), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=options) as out:
+                    out.write_table(own)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[order[low]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "rows"])
+
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size > BOXED:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    return rows.mapInArrow(run, "bucket int, rows binary")
+
+
+def unboxed(box: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(box.as_buffer()).read_all()
+
+
 def _bucketed(docs: DataFrame, found: DataFrame, buckets: int, byte_level: str, pieces: str) -> DataFrame:
     """found: name, groups and the SUMS. doc_id, the SUMS and groups_sha256 of each row of docs (doc_id, text)."""
-    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
+    dealt = boxed(docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"))).repartition(buckets, "bucket")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, met = pair(byte_level, pieces), {}
@@ -256,11 +292,12 @@ def _bucketed(docs: DataFrame, found: DataFrame, buckets: int, byte_level: str,
             met.clear()
 
         for b in batches:
-            for t, bucket in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if both.fair(t):
-                    met.setdefault(bucket, set()).update(parts_of(t))
-            if sum(map(len, met.values())) > 3 * COUNTED:  # a bucket's parts, mostly once
-                yield from flush()
+            for bucket, box in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for t in unboxed(box).column("text").to_pylist():
+                    if both.fair(t):
+                        met.setdefault(bucket, set()).update(parts_of(t))
+                if sum(map(len, met.values())) > 3 * COUNTED:  # a bucket's parts, mostly once
+                    yield from flush()
         yield from flush()
 
     name = short_name(F.col("part"))
@@ -269,6 +306,8 @@ def _bucketed(docs: DataFrame, found: DataFrame, buckets: int, byte_level: str,
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
         both = pair(byte_level, pieces)
+        left = pa.concat_tables(map(unboxed, left.column("rows"))) if left.num_rows else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+        right = pa.concat_tables(map(unboxed, right.column("rows"))) if right.num_rows else pa.table({c: pa.array([], pa.string() if c in ("part", "groups") else pa.int64()) for c in ("part", "groups", *SUMS)})
         number = {p: k for k, p in enumerate(right.column("part").to_pylist())}
         sums = np.stack([right.column(c).to_numpy() for c in SUMS], axis=1) if len(number) else np.zeros((0, len(SUMS)), np.int64)
         groups = right.column("groups").cast(pa.large_string()).combine_chunks()
@@ -286,7 +325,7 @@ def _bucketed(docs: DataFrame, found: DataFrame, buckets: int, byte_level: str,
         return pa.table([left.column("doc_id"), *(pa.array(out[:, j]) for j in range(len(SUMS))), pa.array(digests, pa.string())], ["doc_id", *SUMS, "groups_sha256"])
 
     schema = ", ".join(["doc_id long", *(f"{c} long" for c in SUMS), "groups_sha256 string"])
-    return dealt.groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(together, schema)
+    return dealt.groupBy("bucket").cogroup(boxed(needed).groupBy("bucket")).applyInArrow(together, schema)
 
 
 def cross_tokenizer_alignment(docs: DataFrame, byte_level: str, pieces: str, bucket: int = BUCKET, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
