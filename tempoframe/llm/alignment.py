@@ -29,6 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,9 +117,6 @@ class Pair:
         whole = (" " + text).encode()
         return all(b"".join(side[i] for i in ids) == whole for side, ids in ((self.a_bytes, self.encode_a([" " + text])[0]), (self.b_bytes, self.b.encode(text, num_threads=1))))
 
-    def fair(self, text: str | None) -> bool:
-        return bool(text) and (MARK not in text or self.agree(text))
-
 
 @cache
 def pair(byte_level: str, pieces: str) -> Pair:
@@ -126,6 +124,11 @@ def pair(byte_level: str, pieces: str) -> Pair:
     return Pair(byte_level, pieces)
 
 
+def fair(text: str | None, byte_level: str, pieces: str) -> bool:
+    """The text has tokens; the tokenizers are loaded only for one that needs them (they take about 100 MB of a worker)."""
+    return bool(text) and (MARK not in text or pair(byte_level, pieces).agree(text))
+
+
 # --- different parts, their tokens and their groups ---
 
 
@@ -133,7 +136,7 @@ def counted_parts(texts: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     """part and n, its occurrences in the texts that have tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, met = pair(byte_level, pieces), Counter()
+        met = Counter()
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(met), pa.string()), pa.array(list(met.values()), pa.int64())], ["part", "n"])
@@ -142,7 +145,7 @@ def counted_parts(texts: DataFrame, byte_level: str, pieces: str) -> DataFrame:
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                if both.fair(t):
+                if fair(t, byte_level, pieces):
                     met.update(parts_of(t))
                     if len(met) > COUNTED:
                         yield flush()
@@ -279,12 +282,40 @@ def unboxed(box: pa.BinaryScalar) -> pa.Table:
     return pa.ipc.open_stream(box.as_buffer()).read_all()
 
 
+class Places:
+    """Where each part stands in a list of parts, by hashes: 12 bytes a part, where a dictionary of strings takes some 200. Different parts of one hash go by a dictionary."""
+
+    def __init__(self, parts: pa.ChunkedArray, key: Callable[[str], int] = hash):
+        self.key = key
+        found = np.concatenate([np.zeros(0, np.int64), *(self._keys(x.to_pylist()) for x in parts.chunks)])
+        self.place = np.argsort(found, kind="stable").astype(np.int32)
+        self.keys = found[self.place]
+        again = np.flatnonzero(self.keys[1:] == self.keys[:-1])  # the same part, or another of its hash
+        differ = pc.not_equal(*(parts.take(pa.array(self.place[k])) for k in (again, again + 1))).to_numpy()
+        shared = np.isin(self.keys, self.keys[again[differ]]) if differ.any() else np.zeros(0, bool)
+        self.others = {parts[int(k)].as_py(): int(k) for k in self.place[np.flatnonzero(shared)]}
+
+    def _keys(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.key, parts), np.int64, len(parts))
+
+    def of(self, parts: list[str]) -> np.ndarray:
+        """The places of parts that are all in the list."""
+        keys = self._keys(parts)
+        at = np.searchsorted(self.keys, keys)
+        if len(at) and (at.max() == len(self.keys) or (self.keys[at] != keys).any()):
+            raise KeyError("a part of a text was not found")
+        mine = self.place[at]
+        if self.others:
+            mine = np.array([self.others.get(p, k) for p, k in zip(parts, mine.tolist(), strict=True)], np.int32)
+        return mine
+
+
 def _bucketed(docs: DataFrame, found: DataFrame, buckets: int, byte_level: str, pieces: str) -> DataFrame:
     """found: name, groups and the SUMS. doc_id, the SUMS and groups_sha256 of each row of docs (doc_id, text)."""
     dealt = boxed(docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"))).repartition(buckets, "bucket")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, met = pair(byte_level, pieces), {}
+        met = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             for bucket, some in met.items():
@@ -294,7 +325,7 @@ def _bucketed(docs: DataFrame, found: DataFrame, buckets: int, byte_level: str,
         for b in batches:
             for bucket, box in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 for t in unboxed(box).column("text").to_pylist():
-                    if both.fair(t):
+                    if fair(t, byte_level, pieces):
                         met.setdefault(bucket, set()).update(parts_of(t))
                 if sum(map(len, met.values())) > 3 * COUNTED:  # a bucket's parts, mostly once
                     yield from flush()
@@ -305,24 +336,31 @@ def _bucketed(docs: DataFrame, found: DataFrame, buckets: int, byte_level: str,
     needed = needed.join(found.hint("merge"), "name").select("bucket", F.coalesce("long", "name").alias("part"), F.concat("groups", F.lit(";")).alias("groups"), *SUMS)
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        both = pair(byte_level, pieces)
-        left = pa.concat_tables(map(unboxed, left.column("rows"))) if left.num_rows else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
-        right = pa.concat_tables(map(unboxed, right.column("rows"))) if right.num_rows else pa.table({c: pa.array([], pa.string() if c in ("part", "groups") else pa.int64()) for c in ("part", "groups", *SUMS)})
-        number = {p: k for k, p in enumerate(right.column("part").to_pylist())}
-        sums = np.stack([right.column(c).to_numpy() for c in SUMS], axis=1) if len(number) else np.zeros((0, len(SUMS)), np.int64)
-        groups = right.column("groups").cast(pa.large_string()).combine_chunks()
-        out, digests = np.zeros((left.num_rows, len(SUMS)), np.int64), []
-        for k, t in enumerate(left.column("text")):
-            t = t.as_py()
-            if not both.fair(t):
-                digests.append("")
-                continue
-            mine = np.fromiter(map(number.__getitem__, parts_of(t)), np.int64)
-            out[k] = sums[mine].sum(axis=0)
-            text = groups.take(pa.array(mine))
-            end = int(np.frombuffer(text.buffers()[1], np.int64)[len(text)])  # one text lies behind the other
-            digests.append(hashlib.sha256(memoryview(text.buffers()[2])[: end - 1]).hexdigest())
-        return pa.table([left.column("doc_id"), *(pa.array(out[:, j]) for j in range(len(SUMS))), pa.array(digests, pa.string())], ["doc_id", *SUMS, "groups_sha256"])
+        boxes = [unboxed(box) for box in right.column("rows")]
+        sums = np.empty((sum(x.num_rows for x in boxes), len(SUMS)), np.int64)
+        for j, c in enumerate(SUMS):
+            sums[:, j] = np.concatenate([np.zeros(0, np.int64), *(x.column(c).to_numpy() for x in boxes)])
+        groups = pa.concat_arrays([pa.array([], pa.large_string()), *(x.cast(pa.large_string()) for t in boxes for x in t.column("groups").chunks)])
+        parts = pa.chunked_array([x for t in boxes for x in t.column("part").chunks], pa.string())
+        del boxes
+        places = Places(parts)
+        ids, out, digests = [], [], []
+        for box in left.column("rows"):
+            docs = unboxed(box)
+            ids += docs.column("doc_id").to_pylist()
+            for t in docs.column("text"):
+                t = t.as_py()
+                if not fair(t, byte_level, pieces):
+                    out.append(np.zeros(len(SUMS), np.int64))
+                    digests.append("")
+                    continue
+                mine = places.of(parts_of(t))
+                out.append(sums[mine].sum(axis=0))
+                text = groups.take(pa.array(mine))
+                end = int(np.frombuffer(text.buffers()[1], np.int64)[len(text)])  # one text lies behind the other
+                digests.append(hashlib.sha256(memoryview(text.buffers()[2])[: end - 1]).hexdigest())
+        rows = np.array(out, np.int64).reshape(len(out), len(SUMS))
+        return pa.table([pa.array(ids, pa.int64()), *(pa.array(rows[:, j]) for j in range(len(SUMS))), pa.array(digests, pa.string())], ["doc_id", *SUMS, "groups_sha256"])
 
     schema = ", ".join(["doc_id long", *(f"{c} long" for c in SUMS), "groups_sha256 string"])
     return dealt.groupBy("bucket").cogroup(boxed(needed).groupBy("bucket")).applyInArrow(together, schema)
