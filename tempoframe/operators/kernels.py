@@ -13,20 +13,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 Arrays = dict[str, np.ndarray]
 
 
-def per_group(rows: DataFrame, keys: tuple[str, ...], kernel: Callable[[Arrays], Arrays], schema: str, order: str) -> DataFrame:
+def per_group(rows: DataFrame, keys: tuple[str, ...], kernel: Callable[[Arrays], Arrays], schema: str, order: str, union: bool = False) -> DataFrame:
     """``kernel`` gets the columns of each group's rows in ``order`` (lists as rows of an array) and returns new ones; one exchange.
 
-    ``schema``: the keys, then the kernel's columns.
+    ``schema``: the keys, then the kernel's columns. ``union``: rows are a union. Spark takes one of relations that were dealt by the keys
+    for dealt and leaves the exchange out, although their partitions may have been coalesced apart; a hash of the keys keeps it.
     """
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = to_arrow_schema(StructType.fromDDL(schema)).types
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, order)
+    dealt = rows.repartition(*([F.xxhash64(*keys)] if union else keys)).sortWithinPartitions(*keys, order)
 
     def values(column: pa.ChunkedArray) -> np.ndarray:
         if pa.types.is_list(column.type):
@@ -75,9 +77,9 @@ def per_group(rows: DataFrame, keys: tuple[str, ...], kernel: Callable[[Arrays],
     return dealt.mapInArrow(run, schema)
 
 
-def per_track(rows: DataFrame, kernel: Callable[[Arrays], Arrays], schema: str, order: str) -> DataFrame:
+def per_track(rows: DataFrame, kernel: Callable[[Arrays], Arrays], schema: str, order: str, union: bool = False) -> DataFrame:
     """``per_group`` by track_id, which ``schema`` leaves out."""
-    return per_group(rows, ("track_id",), kernel, f"track_id long, {schema}", order)
+    return per_group(rows, ("track_id",), kernel, f"track_id long, {schema}", order, union)
 
 
 def frame_of(place: float, length: int) -> int:

@@ -84,7 +84,7 @@ def bpm_at(points: DataFrame, beats: DataFrame, window: int = 6) -> DataFrame:
         asked = f["at"][f["second"]]
         return {"t_ms": asked, "bpm": K.bpm_at(f["at"][~f["second"]], asked, window)}
 
-    return per_track(_tagged(beats, "beat_ms", points, "t_ms"), kernel, "t_ms double, bpm double", "at")
+    return per_track(_tagged(beats, "beat_ms", points, "t_ms"), kernel, "t_ms double, bpm double", "at", union=True)
 
 
 def coalesced_sections(timing: DataFrame, until_ms: float = 0.0) -> DataFrame:
@@ -102,7 +102,7 @@ def snapped(beats: DataFrame, curve: DataFrame) -> DataFrame:
         own = f["at"][~f["second"]]
         return {"beat_ms": own, "snapped_ms": K.snapped(own, f["x"][f["second"]])}
 
-    return per_track(_tagged(beats, "beat_ms", curve, "frame", "x"), kernel, "beat_ms double, snapped_ms double", "at")
+    return per_track(_tagged(beats, "beat_ms", curve, "frame", "x"), kernel, "beat_ms double, snapped_ms double", "at", union=True)
 
 
 def tempo_steps(beats: DataFrame, step_ms: float = 1000.0) -> DataFrame:
