@@ -33,6 +33,12 @@ def median_of(column: Column) -> Column:
     return upper_median(F.collect_list(column))
 
 
+def mean_in_order(value: Column, order: Column) -> Column:
+    """Mean as an aggregate, summed in an order, so that it does not depend on how rows were dealt; null without values."""
+    values = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("at"), value.alias("x")))))
+    return F.aggregate(values, F.lit(0.0), lambda a, e: a + e["x"]) / F.nullif(F.count(value), F.lit(0))
+
+
 def half_even(x: Column) -> Column:
     return F.rint(x)
 

@@ -476,7 +476,7 @@ _TOP = """,
 def h40_hit_rate(s, d):
     return (
         strength_at(s, d, R.beats(s, d).withColumnRenamed("beat_ms", "t_ms"))
-        .join(R.signal(s, d).groupBy("track_id").agg(F.avg("x").alias("mean")), "track_id")
+        .join(R.signal(s, d).groupBy("track_id").agg(N.mean_in_order(F.col("x"), F.col("frame")).alias("mean")), "track_id")
         .groupBy("track_id")
         .agg(F.round(F.avg("top") / F.first("mean"), 6).alias("gain"), F.avg(F.when(F.col("top") > F.col("mean"), 1.0).otherwise(0.0)).alias("above"))
     )
