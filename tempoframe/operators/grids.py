@@ -225,12 +225,16 @@ def periodicity_peaks(correlation: DataFrame, k: int = 3) -> DataFrame:
 
 def best_lag(points: DataFrame, curve: DataFrame, most: int = 8, fps: int = 50, value: str = "x") -> DataFrame:
     """track_id, lag, score: the shift of -most..most frames at which the grid's frames carry most above the mean, to a millionth; the first of equals."""
-    lags = F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag")
-    asked = points.select("track_id", F.rint(F.col("beat_ms") * fps / 1000).cast("long").alias("place"), lags).withColumn("frame", F.col("place") + F.col("lag"))
     x = F.col(value).cast("double")
-    above = curve.select("track_id", F.col("frame").cast("long").alias("frame"), (x - F.avg(x).over(Window.partitionBy("track_id"))).alias("c"))
-    per = asked.join(above, ["track_id", "frame"]).groupBy("track_id", "lag").agg(F.round(F.sum("c"), 6).alias("score"))
-    best = per.groupBy("track_id").agg(F.max(F.struct("score", (-F.col("lag")).alias("m"))).alias("b"))
+    asked = points.select("track_id", F.rint(F.col("beat_ms") * fps / 1000).cast("long").alias("frame"), F.lit(True).alias("asked"), F.lit(None).cast("double").alias("c"))
+    above = curve.select("track_id", F.col("frame").cast("long").alias("frame"), F.lit(False).alias("asked"), (x - F.avg(x).over(Window.partitionBy("track_id"))).alias("c"))
+    both = asked.unionByName(above).filter("track_id IS NOT NULL AND frame IS NOT NULL")
+    # A frame at each lag is looked up in one sort of both; nothing is expanded or joined.
+    at = Window.partitionBy("track_id").orderBy("frame")
+    lags = range(-most, most + 1)
+    found = both.select("track_id", "asked", *(F.sum("c").over(at.rangeBetween(k, k)).alias(f"c{k + most}") for k in lags)).filter("asked")
+    per = found.groupBy("track_id").agg(F.array(*(F.struct(F.round(F.sum(f"c{k + most}"), 6).alias("score"), F.lit(-k).alias("m")) for k in lags)).alias("all"))
+    best = per.select("track_id", F.array_max(F.filter("all", lambda e: e["score"].isNotNull())).alias("b")).filter("b IS NOT NULL")
     return best.select("track_id", (-F.col("b.m")).alias("lag"), F.col("b.score").alias("score"))
 
 
