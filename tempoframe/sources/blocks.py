@@ -1,7 +1,8 @@
 """Audio files as blocks of samples, read by ranges of bytes.
 
-A data source for Spark: the driver only lists files and their sizes; each range of a file is a task, which reads the file's head, then its own
+A data source for Spark: the driver only lists files and their sizes; a task has one or more ranges of files, reads the file's head, then the range's own
 bytes, a block at a time. No task holds more than a block, however long the recording, and one that is stopped stops between two of them.
+Small ranges share tasks, those of a file among different ones as far as there are some.
 
     spark.dataSource.register(AudioBlocks)
     spark.read.format("audio_blocks").option("path", folder).load()
@@ -24,6 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tempoframe.operators.signal import RATE
 
 BLOCK, RANGE_BYTES = 65_536, 32 << 20
+#: Ranges share tasks beyond so many, while a task has no more than RANGE_BYTES and so many of them.
+TASKS, TASK_RANGES = 200, 2_000
 SCHEMA = "path string, block long, first_sample long, samples array<float>, channels int, sample_rate int"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -85,19 +88,26 @@ def blocks_of(path: str, read: Callable[[int, int], bytes], size: int, block: in
 
 
 @dataclass
-class FileRange(InputPartition):
+class FileRange:
     path: str
     size: int
     part: int
     parts: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What a task reads."""
+
+    ranges: list[FileRange]
+
+
 class BlockReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder, self.pattern = options["path"], options.get("pattern", "*")
         self.block, self.range_bytes = int(options.get("block", BLOCK)), int(options.get("rangebytes", RANGE_BYTES))
 
-    def partitions(self) -> list[FileRange]:
+    def partitions(self) -> list[Ranges]:
         system, path = fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
         found = [system.get_file_info(path)]
         if found[0].type == fs.FileType.Directory:
@@ -106,17 +116,19 @@ class BlockReader(DataSourceReader):
         for f in sorted(found, key=lambda f: f.path):
             parts = max(1, -(-f.size // self.range_bytes))
             out += [FileRange(f.path, f.size, k, parts) for k in range(parts)]
-        return out
+        tasks = max(min(len(out), TASKS), -(-sum(f.size for f in found) // RANGE_BYTES), -(-len(out) // TASK_RANGES))
+        return [Ranges(own) for k in range(tasks) if (own := out[k::tasks])]
 
-    def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system = fs.FileSystem.from_uri(self.folder)[0] if "://" in self.folder else fs.LocalFileSystem()
-        with system.open_input_file(partition.path) as source:
+        for own in partition.ranges:
+            with system.open_input_file(own.path) as source:
 
-            def read(at: int, n: int) -> bytes:
-                source.seek(at)
-                return source.read(n)
+                def read(at: int, n: int, source=source) -> bytes:
+                    source.seek(at)
+                    return source.read(n)
 
-            yield from blocks_of(partition.path, read, partition.size, self.block, partition.part, partition.parts)
+                yield from blocks_of(own.path, read, own.size, self.block, own.part, own.parts)
 
 
 class AudioBlocks(DataSource):
