@@ -89,15 +89,16 @@ def frame_of(place: float, length: int) -> int:
 
 def cluster_period(gaps: np.ndarray) -> float:
     """Upper median of the largest set of gaps within a quarter of one of them; larger candidates win ties; few gaps give their own median."""
-    if not len(gaps):
-        return 0.0
+    ordered = np.sort(gaps)
     if len(gaps) < 3:
-        return float(np.sort(gaps)[len(gaps) // 2])
-    best, most = 0.0, 0
-    for c in gaps:
-        near = gaps[(gaps >= c * 0.75) & (gaps <= c * 1.25)]
-        if len(near) > most or (len(near) == most and c > best):
-            most, best = len(near), float(np.sort(near)[len(near) // 2])
+        return float(ordered[len(gaps) // 2]) if len(gaps) else 0.0
+    low = np.searchsorted(ordered, gaps * 0.75, "left")
+    size = np.searchsorted(ordered, gaps * 1.25, "right") - low
+    most, best = size.max(), 0.0
+    if most > 0:
+        for k in np.flatnonzero(size == most).tolist():
+            if best == 0.0 or gaps[k] > best:
+                best = float(ordered[low[k] + most // 2])
     return best
 
 
@@ -115,21 +116,22 @@ def frame_peaks(curve: np.ndarray, radius: int = 3) -> np.ndarray:
 
 def raw_peaks(curve: np.ndarray, radius: int = 3) -> np.ndarray:
     """Peaks paired within runs of consecutive frames; single ones moved to the vertex of their parabola."""
-    peaks, out, i = frame_peaks(curve, radius), [], 0
-    while i < len(peaks):
-        if i + 1 < len(peaks) and peaks[i + 1] == peaks[i] + 1:
-            out.append(peaks[i] + 0.5)
-            i += 2
-            continue
-        f = int(peaks[i])
-        if 0 < f < len(curve) - 1:
-            b, m, a = (float(curve[f + k]) for k in (-1, 0, 1))
-            bend = b - 2 * m + a
-            out.append(f + (min(0.5, max(-0.5, 0.5 * (b - a) / bend)) if abs(bend) >= 1e-9 else 0.0))
-        else:
-            out.append(float(f))
-        i += 1
-    return np.array(out, float)
+    curve = np.asarray(curve, float)
+    peaks = frame_peaks(curve, radius)
+    if not len(peaks):
+        return np.zeros(0)
+    at = np.arange(len(peaks))
+    begins = np.append(True, np.diff(peaks) != 1)
+    in_run = at - np.maximum.accumulate(np.where(begins, at, 0))
+    paired = np.append(~begins[1:], False)  # the next peak is of the same run
+    first = in_run % 2 == 0
+    f, paired = peaks[first], paired[first]
+    near = curve[np.clip(f[:, None] + np.arange(-1, 2), 0, len(curve) - 1)]
+    before, after = near[:, 0], near[:, 2]
+    bend = before - 2 * near[:, 1] + after
+    usable = (f > 0) & (f < len(curve) - 1) & (np.abs(bend) >= 1e-9)
+    move = np.where(usable, np.clip(0.5 * (before - after) / np.where(usable, bend, 1.0), -0.5, 0.5), 0.0)
+    return f + np.where(paired, 0.5, move)
 
 
 def beat_frames(curve: np.ndarray, radius: int = 3, ratio: float = 0.7) -> np.ndarray:
@@ -140,7 +142,8 @@ def beat_frames(curve: np.ndarray, radius: int = 3, ratio: float = 0.7) -> np.nd
 
 def values_at(places: np.ndarray, curve: np.ndarray) -> np.ndarray:
     """The curve at the frame nearest to each place."""
-    return np.array([curve[frame_of(p, len(curve))] for p in places], float)
+    nearest = np.copysign(np.floor(np.abs(places) + 0.5), places).astype(int)
+    return np.asarray(curve, float)[np.clip(nearest, 0, len(curve) - 1)] if len(places) else np.zeros(0)
 
 
 def prune(places: np.ndarray, curve: np.ndarray, ratio: float = 0.7, passes: int = 8) -> np.ndarray:
@@ -153,11 +156,18 @@ def prune_by(places: np.ndarray, values: np.ndarray, ratio: float = 0.7, passes:
     keep = np.ones(len(places), bool)
     if len(places) < 3:
         return keep
+    # A pair that stayed is looked at again only after something left the periods around it.
+    fresh = np.ones(len(places), bool)
     for _ in range(passes):
         before = keep.copy()
         for i in range(len(places) - 1):
+            if not fresh[i]:
+                continue
+            fresh[i] = False
             if keep[i] and keep[i + 1] and (period := local_period(places, keep, i)) > 0 and (places[i + 1] - places[i]) / period < ratio:
-                keep[i + 1 if values[i] >= values[i + 1] else i] = False
+                gone = i + 1 if values[i] >= values[i + 1] else i
+                keep[gone] = False
+                fresh[max(0, gone - 33) : gone + 34] = True
         if (keep == before).all():
             break
     return keep

@@ -32,8 +32,15 @@ def pruned_peaks(activation: DataFrame, radius: int = 3, ratio: float = 0.7, val
 
 def predicted(curve: DataFrame) -> DataFrame:
     """track_id, kind (beat or downbeat), place, beat_ms: the peaks of both scored outputs (beat, downbeat)."""
-    both = [pruned_peaks(curve, value=c).select("track_id", F.lit(c).alias("kind"), "place", "beat_ms") for c in ("beat", "downbeat")]
-    return both[0].unionByName(both[1])
+    kinds = ("beat", "downbeat")
+
+    def kernel(f: Arrays) -> Arrays:
+        found = [K.beat_frames(f[c]) for c in kinds]
+        places = np.concatenate(found)
+        return {"kind": np.repeat(kinds, [len(x) for x in found]), "place": places, "beat_ms": places * 20.0}
+
+    # Both outputs of a track at once, so that the curve is made and dealt once.
+    return per_track(curve.select("track_id", "frame", *(F.col(c).cast("double").alias(c) for c in kinds)), kernel, "kind string, place double, beat_ms double", "frame")
 
 
 def suppressed(curve: DataFrame, share: float = 0.6) -> DataFrame:
